@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellum.llm.bpe import encode_decode
 from vellum.llm.common import table
+from vellum.llm.matroska import media_columns
+from vellum.llm.secret_scan import scan
 from vellum.llm.simhash import near_duplicates
 
 
@@ -16,5 +19,24 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash}
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = scan(table(spark, sf_dir, "documents"))
+    said = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", x.kind, x.start, x.stop)), ",")
+    base = F.filter("findings", lambda x: x.kind.isin("assign", "access", "hex"))
+    count = lambda kind: F.size(F.filter("findings", lambda x: x.kind == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(F.col("id").alias("doc_id"), count("assign"), count("access"), count("hex"), F.sha2(said(base).cast("binary"), 256).alias("base_sha256"), said(F.col("findings")).alias("spans"))
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = encode_decode(table(spark, sf_dir, "documents"))
+    return done.select(F.col("id").alias("doc_id"), (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op8_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = media_columns(table(spark, sf_dir, "documents"))
+    tail = F.crc32(F.expr("substring(payload, -32)"))
+    return m.select(F.col("id").alias("doc_id"), "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), tail.alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature", F.size("packets").cast("long").alias("n_packets"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op4_secrets": op4_secrets, "op5_bpe": op5_bpe, "op8_matroska": op8_matroska}
 ORACLES: dict[str, str] = {}
