@@ -21,7 +21,7 @@ from vellum.llm.common import stage, text_slices
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_punct", "n_distinct", "n_digits")
 #: Least spread of each statistic: differences below it never count as unusual.
-FLOORS = (0.05, 0.05, 0.06, 0.12, 0.04, 0.12, 0.12, 0.05)
+FLOORS = (0.06, 0.04, 0.05, 0.08, 0.03, 0.2, 0.25, 0.15)
 SHARE, STEPS, LEAST_ROWS, BINS = 0.75, 4, 200, 200
 #: Chance of a rejection if a group's clean rows were normal, before the floors.
 ALPHA = 1e-9
@@ -109,8 +109,8 @@ def _estimates(sums: DataFrame, d: int) -> DataFrame:
                 cov = np.zeros((d, d))
                 cov[np.triu_indices(d)] = s[d:] / row["n"]
                 cov = cov + np.triu(cov, 1).T - np.outer(mean, mean)
-                # Scores are in units of a spread that is at least the floor, so a tenth of a unit is noise.
-                cov = cov + 0.1 * np.eye(d) if row["n"] > 4 * d else np.eye(d)
+                # Scores are in units of a spread that is at least the floor; half a unit of variance is noise.
+                cov = cov + 0.5 * np.eye(d) if row["n"] > 4 * d else np.eye(d)
                 groups.append(row["g"])
                 where.append(mean.tolist())
                 inverse.append(np.linalg.inv(cov).ravel().tolist())

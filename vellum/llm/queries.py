@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from vellum.llm.bpe import encode_decode
 from vellum.llm.common import table
 from vellum.llm.matroska import media_columns
+from vellum.llm.quality_classifier import classify
 from vellum.llm.quality_rules import judge
 from vellum.llm.secret_scan import scan
 from vellum.llm.simhash import near_duplicates
+from vellum.llm.toxicity import severity
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +35,11 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(F.col("id").alias("doc_id"), (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = severity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return seen.select(F.col("id").alias("doc_id"), F.round(F.col("chances")[0], 6).alias("score"), F.round("severity", 6).alias("severity"), F.col("grade").cast("long").alias("grade"), (F.col("grade") > 0).cast("int").alias("predicted"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = judge(table(spark, sf_dir, "documents"))
     return seen.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("distance", 6).alias("distance"))
@@ -44,5 +51,10 @@ def op8_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select(F.col("id").alias("doc_id"), "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), tail.alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature", F.size("packets").cast("long").alias("n_packets"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op4_secrets": op4_secrets, "op5_bpe": op5_bpe, "op7_quality_rules": op7_quality_rules, "op8_matroska": op8_matroska}
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return seen.select(F.col("id").alias("doc_id"), "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op4_secrets": op4_secrets, "op5_bpe": op5_bpe, "op6_toxicity": op6_toxicity, "op7_quality_rules": op7_quality_rules, "op8_matroska": op8_matroska, "op10_quality_classifier": op10_quality_classifier}
 ORACLES: dict[str, str] = {}
