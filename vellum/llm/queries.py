@@ -14,6 +14,7 @@ from vellum.llm.quality_classifier import classify
 from vellum.llm.quality_rules import judge
 from vellum.llm.secret_scan import scan
 from vellum.llm.simhash import near_duplicates
+from vellum.llm.suffix_dedup import remove_repeats
 from vellum.llm.toxicity import severity
 
 
@@ -51,10 +52,16 @@ def op8_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select(F.col("id").alias("doc_id"), "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), tail.alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature", F.size("packets").cast("long").alias("n_packets"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = remove_repeats(table(spark, sf_dir, "documents"))
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + (x.stop - x.start))
+    return done.select(F.col("id").alias("doc_id"), "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return seen.select(F.col("id").alias("doc_id"), "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op4_secrets": op4_secrets, "op5_bpe": op5_bpe, "op6_toxicity": op6_toxicity, "op7_quality_rules": op7_quality_rules, "op8_matroska": op8_matroska, "op10_quality_classifier": op10_quality_classifier}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op4_secrets": op4_secrets, "op5_bpe": op5_bpe, "op6_toxicity": op6_toxicity, "op7_quality_rules": op7_quality_rules, "op8_matroska": op8_matroska, "op9_suffix_dedup": op9_suffix_dedup, "op10_quality_classifier": op10_quality_classifier}
 ORACLES: dict[str, str] = {}
