@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellum.llm import licenses
 from vellum.llm.bpe import encode_decode
 from vellum.llm.common import table
 from vellum.llm.matroska import media_columns
@@ -29,6 +30,12 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), default_levels(), WEIGHTS).withColumnRenamed("id", "doc_id")
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    said = F.array_join(F.transform("licenses", lambda x: F.concat_ws(":", x.license, F.format_string("%.3f", x.coverage), x.start, x.stop)), ",")
+    return found.select(F.col("id").alias("doc_id"), F.size("licenses").cast("long").alias("n_licenses"), said.alias("licenses"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = scan(table(spark, sf_dir, "documents"))
     said = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", x.kind, x.start, x.stop)), ",")
@@ -69,5 +76,5 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.select(F.col("id").alias("doc_id"), "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op2_mixing": op2_mixing, "op4_secrets": op4_secrets, "op5_bpe": op5_bpe, "op6_toxicity": op6_toxicity, "op7_quality_rules": op7_quality_rules, "op8_matroska": op8_matroska, "op9_suffix_dedup": op9_suffix_dedup, "op10_quality_classifier": op10_quality_classifier}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op2_mixing": op2_mixing, "op3_licenses": op3_licenses, "op4_secrets": op4_secrets, "op5_bpe": op5_bpe, "op6_toxicity": op6_toxicity, "op7_quality_rules": op7_quality_rules, "op8_matroska": op8_matroska, "op9_suffix_dedup": op9_suffix_dedup, "op10_quality_classifier": op10_quality_classifier}
 ORACLES: dict[str, str] = {"op2_mixing": MIXING_SQL}
