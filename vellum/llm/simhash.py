@@ -9,7 +9,8 @@ that mask. No pair within the radius is missed, and 2^(r+1) - 1 tables suffice a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -59,15 +60,17 @@ def vote(digests: list[bytes]) -> int:
     return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42) -> DataFrame:
-    """(id, fp): one row per row of ``docs``. A null or wordless text has fingerprint 0."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seeds: Sequence[int] = (42,)) -> DataFrame:
+    """(id, fp0, fp1, ...): one row per row of ``docs``, a fingerprint a seed. A null or wordless text has fingerprint 0."""
+    names = [f"fp{k}" for k in range(len(seeds))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in text_slices(batches, "t"):
-            fps = [vote(shingle_digests((t or "").encode(), width, seed)) for t in piece.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(fps, pa.int64())], names=["id", "fp"])
+            texts = [(t or "").encode() for t in piece.column(1).to_pylist()]
+            fps = [pa.array([vote(shingle_digests(t, width, seed)) for t in texts], pa.int64()) for seed in seeds]
+            yield pa.RecordBatch.from_arrays([piece.column(0), *fps], names=["id", *names])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "id long, " + ", ".join(f"{n} long" for n in names))
 
 
 def _stars(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
@@ -119,19 +122,37 @@ def _halfway(fps: DataFrame, radius: int) -> DataFrame:
     return points.join(met.select("at", "v"), "at").where("fp <> v").select(F.col("fp").alias("u"), "v").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:
-    """One row per row of ``docs``: (id, fp, component), component the smallest id reachable over links.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, seeds: Sequence[int] = (42,)) -> DataFrame:
+    """One row per row of ``docs``: (id, fp0, ..., component), component the smallest id reachable over links.
 
-    Texts link if their fingerprints differ in at most ``radius`` (even) bits. Null and wordless texts have
-    fingerprint 0 and link like any other; equal texts and repeated ids share a component; rows whose id is
-    null keep their row. An empty table gives no rows. Columns besides id and text are not looked at.
+    Texts link if their fingerprints for one of the ``seeds`` differ in at most ``radius`` (even) bits; more seeds
+    find more of the texts that share most shingles. Null and wordless texts have fingerprint 0 and link like any
+    other; equal texts and repeated ids share a component; rows whose id is null keep their row, and get a null
+    component if no row they reach has an id. An empty table gives no rows. Columns besides id and text are not
+    looked at.
     """
     if radius % 2 or not 0 < radius <= 6:
         raise ValueError("radius must be 2, 4 or 6")
-    own = stage(fingerprints(docs, id_col, text_col, width, seed), "fingerprints")
-    first = own.groupBy("fp").agg(F.min("id").alias("first"))
-    roots = connected_components(links(first.select("fp"), radius)).withColumnRenamed("node", "fp")
-    joined = first.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    own = stage(fingerprints(docs, id_col, text_col, width, seeds), "fingerprints")
+    names = [c for c in own.columns if c != "id"]
+    # A node stands for all texts with the same fingerprints; its number is the first fingerprint if there is only one.
+    node = F.col("fp0") if len(names) == 1 else F.xxhash64(*names)
+    nodes = own.withColumn("node", node).groupBy("node", *names).agg(F.min("id").alias("first"))
+    if len(names) == 1:
+        edges = links(nodes.select(F.col("node").alias("fp")), radius)
+    else:
+        nodes = stage(nodes, "nodes")
+        parts = []
+        for name in names:
+            low = stage(nodes.groupBy(F.col(name).alias("fp")).agg(F.min("node").alias("low"), F.count("*").alias("n")), "low")
+            near = links(low.select("fp"), radius)
+            a, b = (low.select(F.col("fp").alias(x), F.col("low").alias(f"node_{x}")) for x in "uv")
+            parts.append(near.join(a, "u").join(b, "v").select(F.col("node_u").alias("u"), F.col("node_v").alias("v")))
+            same = nodes.select("node", F.col(name).alias("fp")).join(low.where("n > 1").select("fp", "low"), "fp")
+            parts.append(same.where("node <> low").select(F.col("node").alias("u"), F.col("low").alias("v")))
+        edges = reduce(DataFrame.unionByName, parts)
+    roots = connected_components(edges)
+    joined = nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     low = joined.groupBy("root").agg(F.min("first").alias("component"))
-    known = joined.join(low, "root").select("fp", "component")
-    return own.join(known, "fp").select("id", "fp", "component")
+    known = joined.join(low, "root").select("node", "component")
+    return own.withColumn("node", node).join(known, "node").select("id", *names, "component")
