@@ -59,7 +59,8 @@ def reference_rows(elements: DataFrame, tail: float = 0.25) -> DataFrame:
     rows = rows.withColumn("any", F.max(F.col("likely").cast("int")).over(doc) == 1)
     titled = F.min(F.when(B.has(F.col("content"), P.REFERENCE_TITLE_LOOSE), F.struct("seq", "page_num"))).over(doc)
     start = F.coalesce(titled.page_num, F.greatest(F.bround(F.max("page_num").over(doc) * (1.0 - tail), 0).cast("int"), F.lit(1)))
-    late = ~F.col("any") & (F.col("page_num") >= start) & (F.length("content") >= 15) & B.has(F.col("content"), P.REFERENCE_ITEM)
+    rows = rows.withColumn("from", start)
+    late = ~F.col("any") & (F.col("page_num") >= F.col("from")) & (F.length("content") >= 15) & B.has(F.col("content"), P.REFERENCE_ITEM)
     return rows.where(F.col("likely") | late).select(*elements.columns)
 
 

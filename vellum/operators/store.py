@@ -14,23 +14,28 @@ def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def _beside(target: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
+    """Full join on keys (null equals null); columns of ``changes`` get a prefix, and _new says whether there is a row of it."""
+    named = changes.select(*[F.col(c).alias(f"_c_{c}") for c in changes.columns], F.lit(True).alias("_new"))
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_c_{k}"))
+    return target.join(named, on, "full")
+
+
 def upsert(target: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
     """``target`` with the rows of ``changes`` in place of those with the same keys (null equals null), restricted to target's columns.
 
     Columns that ``changes`` lacks keep their values. ``changes`` has one row a key.
     """
-    match = [target[k].eqNullSafe(changes[k]) for k in keys]
-    both = target.withColumn("_old", F.lit(True)).join(changes.withColumn("_new", F.lit(True)), match, "full")
-    pick = lambda c: F.when(F.col("_new"), changes[c]).otherwise(target[c]).alias(c) if c in changes.columns else target[c]
-    return both.select(*[pick(c) for c in target.columns])
+    pick = lambda c: F.when(F.col("_new"), F.col(f"_c_{c}")).otherwise(F.col(c)).alias(c) if c in changes.columns else F.col(c)
+    return _beside(target, changes, keys).select(*[pick(c) for c in target.columns])
 
 
 def coalescing_upsert(target: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
     """Like ``upsert``, but only values that aren't null or empty replace others."""
-    match = [target[k].eqNullSafe(changes[k]) for k in keys]
-    both = target.join(changes, match, "full")
-    filled = lambda c: F.when(changes[c].cast("string") != "", changes[c])
-    return both.select(*[F.coalesce(filled(c), target[c]).alias(c) if c in changes.columns else target[c] for c in target.columns])
+    filled = lambda c: F.when(F.col(f"_c_{c}").cast("string") != "", F.col(f"_c_{c}"))
+    return _beside(target, changes, keys).select(*[F.coalesce(filled(c), F.col(c)).alias(c) if c in changes.columns else F.col(c) for c in target.columns])
 
 
 def seed(target: DataFrame, seeds: DataFrame, key: str, overwrite: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -88,11 +93,11 @@ def key_columns(rows: DataFrame) -> DataFrame:
 def precision_recall(predicted: DataFrame, truth: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Counts of distinct rows in both, only predicted and only true, with precision, recall and F1 (0 where undefined)."""
     by = by or []
-    both = predicted.distinct().withColumn("_p", F.lit(1)).join(truth.distinct().withColumn("_t", F.lit(1)), [predicted[c].eqNullSafe(truth[c]) for c in predicted.columns], "full")
-    keys = [F.coalesce(predicted[c], truth[c]).alias(c) for c in by]
-    rows = both.select(*keys, "_p", "_t")
+    columns = predicted.columns
+    rows = predicted.distinct().withColumn("_p", F.lit(1)).withColumn("_t", F.lit(0)).unionByName(truth.distinct().withColumn("_p", F.lit(0)).withColumn("_t", F.lit(1)))
+    rows = rows.groupBy(*columns).agg(F.max("_p").alias("_p"), F.max("_t").alias("_t"))
     n = lambda x: F.coalesce(F.sum(F.when(x, 1)), F.lit(0)).cast("long")
-    p, t = F.col("_p").isNotNull(), F.col("_t").isNotNull()
+    p, t = F.col("_p") == 1, F.col("_t") == 1
     out = rows.groupBy(*by).agg(n(p & t).alias("tp"), n(p & ~t).alias("fp"), n(~p & t).alias("fn"))
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
     out = out.withColumn("precision", ratio(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", ratio(F.col("tp"), F.col("tp") + F.col("fn")))

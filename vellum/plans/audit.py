@@ -18,9 +18,13 @@ SEMANTIC: list[Check] = [terms.typos, terms.mixed_forms, terms.forbidden, terms.
 
 
 def find_issues(elements: DataFrame, rules: dict[str, Any] | None = None, checks: list[Check] | None = None) -> DataFrame:
-    """Deduplicated issues of all checks, in the order of the checks."""
-    rules = rules or RULES
-    return issues.dedupe(issues.union([check(elements, rules) for check in checks or LAYOUT + SEMANTIC]))
+    """Deduplicated issues of all checks, in the order of the checks.
+
+    Elements and the issues found are read several times, by checks, counts and tags, so both are persisted; executors
+    that are lost only cost their partitions.
+    """
+    rules, elements = rules or RULES, elements.persist()
+    return issues.dedupe(issues.union([check(elements, rules) for check in checks or LAYOUT + SEMANTIC])).persist()
 
 
 def results(found: DataFrame, docs: DataFrame, rules: dict[str, Any] | None = None) -> DataFrame:

@@ -40,7 +40,8 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse.parse(lines(spark, sf_dir))
+    """Persisted, for checks read them more than once."""
+    return parse.parse(lines(spark, sf_dir)).persist()
 
 
 def over_lines(name: str, make: Callable[[DataFrame], DataFrame]) -> None:
@@ -89,7 +90,7 @@ def _headings(e: DataFrame, starts: str, pattern: str, *names: str) -> DataFrame
     return rows.select("doc_id", F.expr("seq % 1000000000000").alias("seq"), *[F.regexp_extract("message", pattern, k + 1).alias(n) for k, n in enumerate(names)])
 
 
-over_elements("heading_duplicates", lambda e: _headings(e, "标题序号重复", r"重复: ([0-9.]+) \(首次出现: 第([0-9]+)页\)", "key", "first_page").withColumn("first_page", F.col("first_page").cast("int")))
+over_elements("heading_duplicates", lambda e: _headings(e, "标题序号重复", r"重复: ([0-9.]+) \(首次出现: 第([0-9]+)页\)", "key", "first_page").withColumn("first_page", F.col("first_page").try_cast("int")))
 over_elements("heading_gaps", lambda e: _headings(e, "标题序号不连续", r"期望: ([0-9.]+)\)", "wanted"))
 over_elements("heading_jumps", lambda e: _headings(e, "标题层级跳跃", "(.*)", "message"))
 over_elements("terminology_forbidden", lambda e: terms.forbidden(e, RULES_HERE).select("doc_id", "evidence", "page"))
@@ -105,7 +106,7 @@ over_issues("tags", issues.tags)
 
 def _result(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = audit.find_issues(parse.parse(D.decorated_lines(docs)), RULES_HERE, SQL_CHECKS)
+    found = audit.find_issues(elements(spark, sf_dir), RULES_HERE, SQL_CHECKS)
     return audit.results(found, docs, RULES_HERE)
 
 
