@@ -98,7 +98,7 @@ def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_
     """
     own = stage(indicators(docs, shape_ngrams, id_col, text_col), "indicators")
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & ~held_out(F.col("id")))
-    rows = stage(own.join(known.groupBy("id").agg(F.max("y").alias("y")), "id"), "labelled")
+    rows = stage(own.join(known.groupBy("id").agg(F.max("y").alias("y")).hint("merge"), "id"), "labelled")
     counted = class_counts(rows, BITS).toPandas()
     n = {c: int(counted.loc[counted.feature == -1, c].sum()) for c in ("n0", "n1")}
     out = own.withColumn("held_out", F.coalesce(held_out(F.col("id")), F.lit(False)))
