@@ -306,7 +306,7 @@ def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
     changes = target.where("c_custkey % 4 = 0").select("c_custkey", F.lit("changed").alias("c_mktsegment"), F.lit(1).alias("extra"))
     more = target.where("c_custkey % 10 = 1").select((-F.col("c_custkey")).alias("c_custkey"), F.lit("new").alias("c_mktsegment"), F.lit(1).alias("extra"))
-    return store.upsert(target, changes.unionByName(more), ["c_custkey"])
+    return store.upsert(target, changes.unionByName(more), ["c_custkey"]).fillna(-1, ["c_nationkey"])
 
 
 @query
