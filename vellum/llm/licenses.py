@@ -125,10 +125,11 @@ class Scanner:
                 if seen is not None and k - seen <= slack // 4:
                     continue
                 seen = k
-                low = max(0, k - slack)
-                pairs = align(template, ws[low : max(0, k + len(template) + slack)])
-                if len(pairs) >= self.coverage * len(template):
-                    found.append((-len(pairs), low + pairs[0][1], low + pairs[-1][1]))
+                # With and without the words before, which may hold a word of the template that isn't part of it.
+                for low in {max(0, k - slack), max(0, k)}:
+                    pairs = align(template, ws[low : max(0, k + len(template) + slack)])
+                    if len(pairs) >= self.coverage * len(template):
+                        found.append((-len(pairs), low + pairs[0][1], low + pairs[-1][1]))
             taken: list[tuple[int, int]] = []
             for n, a, b in sorted(found):
                 if all(b < x or y < a for x, y in taken):
