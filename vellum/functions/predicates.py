@@ -21,9 +21,17 @@ def squeeze(c: Column) -> Column:
     return F.regexp_replace(c, f"{P.S}+", "")
 
 
+def let(value: Column, then) -> Column:
+    """``then(value)`` with the value worked out once, which also keeps long expressions small."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def cascade(c: Column, steps, otherwise: bool) -> Column:
     """The verdict of the first step whose conditions all hold for the stripped text."""
-    s = strip(c)
+    return let(strip(c), lambda s: _cascade(s, steps, otherwise))
+
+
+def _cascade(s: Column, steps, otherwise: bool) -> Column:
     share = F.regexp_count(s, F.lit(P.CJK)) / F.greatest(F.length(s), F.lit(1))
     tests = {
         "has": lambda x: has(s, x),
@@ -48,8 +56,7 @@ def is_reference_title(c: Column) -> Column:
 
 
 def is_caption(c: Column) -> Column:
-    s = strip(c)
-    return ~has(s, P.TOC_DOTS) & ~has(s, P.TOC_SPACES) & has(s, P.CAPTION)
+    return let(strip(c), lambda s: ~has(s, P.TOC_DOTS) & ~has(s, P.TOC_SPACES) & has(s, P.CAPTION))
 
 
 def is_formula(c: Column) -> Column:
@@ -61,11 +68,16 @@ def is_display_formula(c: Column) -> Column:
 
 
 def is_heading(c: Column) -> Column:
-    s = strip(c)
-    number, rest = F.regexp_extract(s, P.HEADING, 1), strip(F.regexp_extract(s, P.HEADING, 2))
-    plain = (F.length(rest) >= 2) & (F.length(rest) <= 60) & ~F.lower(rest).isin(*P.HEADING_NOT) & ~has(rest, "[，；：]")
-    unit = ~F.contains(number, F.lit(".")) & has(rest, "^[A-Za-z]{2,4}$")
-    return ~has(s, P.HEADING_DATE) & ~has(s, P.SENTENCE_END) & F.when(has(s, P.HEADING), plain & ~unit).otherwise(has(s, P.HEADING_CHAPTER))
+    def numbered(x):
+        number, rest = x.number, x.rest
+        plain = (F.length(rest) >= 2) & (F.length(rest) <= 60) & ~F.lower(rest).isin(*P.HEADING_NOT) & ~has(rest, "[，；：]")
+        return plain & ~(~F.contains(number, F.lit(".")) & has(rest, "^[A-Za-z]{2,4}$"))
+
+    def heading(s):
+        parts = F.struct(F.regexp_extract(s, P.HEADING, 1).alias("number"), strip(F.regexp_extract(s, P.HEADING, 2)).alias("rest"))
+        return ~has(s, P.HEADING_DATE) & ~has(s, P.SENTENCE_END) & F.when(has(s, P.HEADING), let(parts, numbered)).otherwise(has(s, P.HEADING_CHAPTER))
+
+    return let(strip(c), heading)
 
 
 def is_toc_heading(c: Column) -> Column:
@@ -84,14 +96,17 @@ def cn_number(c: Column) -> Column:
         unit = units[ch]
         return F.when(unit.isNotNull(), F.struct((a["sum"] + F.greatest(a["digit"], F.lit(1)) * unit).alias("sum"), F.lit(0).alias("digit"))).otherwise(F.struct(a["sum"].alias("sum"), digits[ch].alias("digit")))
 
-    value = F.aggregate(F.split(s, "(?!^)"), start, step, lambda a: a["sum"] + a["digit"])
+    value = F.aggregate(F.filter(F.split(s, ""), lambda x: x != ""), start, step, lambda a: a["sum"] + a["digit"])
     spelled = F.when(has(s, f"^[{''.join([*P.CN_DIGITS, *P.CN_UNITS])}]+$") & (value > 0), value)
     return F.when(has(s, "^[0-9]+$"), s.try_cast("int")).otherwise(spelled)
 
 
 def heading_parts(c: Column) -> Column:
     """Numbers of a heading as an array, null if it has none."""
-    s = strip(c)
+    return let(strip(c), _heading_parts)
+
+
+def _heading_parts(s: Column) -> Column:
     rest = strip(F.regexp_extract(s, P.HEADING, 2))
     numbered = F.when((F.length(rest) >= 2) & has(rest, f"[A-Za-z]|{P.CJK}"), F.transform(F.split(F.regexp_extract(s, P.HEADING, 1), r"\."), lambda x: x.try_cast("int")))
     chapter = cn_number(F.regexp_extract(s, P.HEADING_PARTS_CHAPTER, 1))
@@ -155,7 +170,10 @@ def formula_number(c: Column) -> Column:
 
 
 def is_caption_continuation(c: Column) -> Column:
-    s = strip(c)
+    return let(strip(c), _goes_on)
+
+
+def _goes_on(s: Column) -> Column:
     other = is_reference_title(s) | is_caption(s) | is_heading(s) | is_formula(s) | has(s, f"^第{P.S}*[0-9]+{P.S}*页$") | has(s, "[。！？]$")
     return F.length(s).between(4, 90) & ~other
 
@@ -204,7 +222,8 @@ def normal_bbox(c: Column) -> Column:
 
 
 def clamp_weight(c: Column) -> Column:
-    return F.least(F.greatest(c.try_cast("double"), F.lit(0.0)), F.lit(1.0))
+    w = c.try_cast("double")
+    return F.when(w.isNotNull(), F.least(F.greatest(w, F.lit(0.0)), F.lit(1.0)))
 
 
 def page_list(c: Column, spaces: bool = False) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from vellum.config import RULES
 from vellum.operators import charts, citations, issues, structure, terms
 from vellum.operators.parse import parse
+from vellum.storage import stage
 
 Check = Callable[[DataFrame, dict[str, Any]], DataFrame]
 LAYOUT: list[Check] = [structure.labels_missing, charts.misplaced_captions, charts.images_without_caption, structure.formulas, structure.headings, citations.layout_faults]
@@ -20,11 +21,12 @@ SEMANTIC: list[Check] = [terms.typos, terms.mixed_forms, terms.forbidden, terms.
 def find_issues(elements: DataFrame, rules: dict[str, Any] | None = None, checks: list[Check] | None = None) -> DataFrame:
     """Deduplicated issues of all checks, in the order of the checks.
 
-    Elements and the issues found are read several times, by checks, counts and tags, so both are persisted; executors
-    that are lost only cost their partitions.
+    Elements are read by every check and issues by counts and tags, so both are staged in the shared folder, which also
+    keeps the plan of each step small.
     """
-    rules, elements = rules or RULES, elements.persist()
-    return issues.dedupe(issues.union([check(elements, rules) for check in checks or LAYOUT + SEMANTIC])).persist()
+    rules = rules or RULES
+    elements = stage(elements, "elements")
+    return stage(issues.dedupe(issues.union([check(elements, rules) for check in checks or LAYOUT + SEMANTIC])), "issues")
 
 
 def results(found: DataFrame, docs: DataFrame, rules: dict[str, Any] | None = None) -> DataFrame:

@@ -204,7 +204,7 @@ ORACLES: dict[str, str] = {
     "level_rule_point_map": "SELECT t AS issue_type, CASE t " + " ".join(f"WHEN {q(k)} THEN {q(f'{P.AGENT}-{n}')}" for k, (n, _) in P.ISSUE_RULES.items()) + f" ELSE {q(P.AGENT + '-AUTO-')} || t END AS rule_id, CASE t " + " ".join(f"WHEN {q(k)} THEN {q(p)}" for k, (_, p) in P.ISSUE_RULES.items()) + " ELSE t END AS point, CASE WHEN lower(event_type) IN ('click') THEN 3 ELSE 1 END AS score FROM (SELECT DISTINCT event_type, CASE event_type WHEN 'click' THEN 'Label_Missing' WHEN 'purchase' THEN 'Formula_Missing' ELSE event_type END AS t FROM events)",
     "page_num_normalize": "SELECT event_id, greatest(coalesce(TRY_CAST(regexp_extract(page, '-?[0-9]+', 0) AS INTEGER), 0), 0) AS page FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'p. ' || (event_id % 50) WHEN 1 THEN '-' || (event_id % 9) WHEN 2 THEN event_type ELSE (event_id % 30) || '-' || (event_id % 40) END AS page FROM events)",
     "bbox_normalize": "SELECT vec_id, round(CAST(embedding[1] AS DOUBLE), 6) AS x0, CASE WHEN vec_id % 6 > 1 THEN round(CAST(embedding[2] AS DOUBLE), 6) ELSE 0 END AS y0, CASE WHEN vec_id % 6 > 2 THEN round(CAST(embedding[3] AS DOUBLE), 6) ELSE 0 END AS x1, CASE WHEN vec_id % 6 > 3 THEN round(CAST(embedding[4] AS DOUBLE), 6) ELSE 0 END AS y1 FROM embeddings WHERE vec_id % 6 > 0",
-    "weight_clamp": "SELECT event_id, least(greatest(TRY_CAST(CASE WHEN event_id % 5 = 0 THEN event_type ELSE CAST(value / 100 AS VARCHAR) END AS DOUBLE), 0.0), 1.0) AS weight FROM events",
+    "weight_clamp": "SELECT event_id, CASE WHEN event_id % 5 > 0 THEN least(greatest(value / 100, 0.0), 1.0) END AS weight FROM events",
     "page_lists": "SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_concat(range(a, b + 1), [c]))), ',') AS pages FROM (SELECT conv_id, turn, least(conv_id % 7, turn) + 1 AS a, greatest(conv_id % 7, turn) + 1 AS b, conv_id % 11 + 1 AS c FROM conversations)",
     "review_issue_type": "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'Typo_Error' WHEN 1 THEN 'Hierarchy_Fault' WHEN 2 THEN 'Label_Missing' WHEN 3 THEN 'Citation_Reference_Missing' WHEN 4 THEN 'Formatting_Issue' ELSE 'Other' END AS issue_type, CASE doc_id % 6 WHEN 0 THEN 'Warning' WHEN 2 THEN 'Critical' WHEN 3 THEN 'Warning' ELSE 'Info' END AS severity FROM documents",
     "citation_visual_fault": over(on(FAULTS), "SELECT doc_id, seq, CAST(page_num AS VARCHAR) AS page, content AS evidence, '引用标注在参考文献区未找到对应条目: ' || missing AS message FROM faults"),

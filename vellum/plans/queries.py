@@ -16,6 +16,7 @@ from vellum.functions import predicates as B
 from vellum.operators import charts, citations, issues, parse, store, structure, terms, text
 from vellum.plans import audit
 from vellum.sources import documents as D
+from vellum.storage import stage
 from vellum.streaming.audit_stream import windowed_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,8 +41,8 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Persisted, for checks read them more than once."""
-    return parse.parse(lines(spark, sf_dir)).persist()
+    """Staged, for checks read them more than once."""
+    return stage(parse.parse(lines(spark, sf_dir)), "elements")
 
 
 def over_lines(name: str, make: Callable[[DataFrame], DataFrame]) -> None:
@@ -53,7 +54,7 @@ def over_elements(name: str, make: Callable[[DataFrame], DataFrame]) -> None:
 
 
 def over_issues(name: str, make: Callable[[DataFrame], DataFrame]) -> None:
-    QUERIES[name] = lambda spark, sf_dir: make(audit.find_issues(elements(spark, sf_dir), RULES_HERE, SQL_CHECKS))
+    QUERIES[name] = lambda spark, sf_dir: make(audit.find_issues(parse.parse(lines(spark, sf_dir)), RULES_HERE, SQL_CHECKS))
 
 
 c = F.col("content")
@@ -106,7 +107,7 @@ over_issues("tags", issues.tags)
 
 def _result(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = audit.find_issues(elements(spark, sf_dir), RULES_HERE, SQL_CHECKS)
+    found = audit.find_issues(parse.parse(lines(spark, sf_dir)), RULES_HERE, SQL_CHECKS)
     return audit.results(found, docs, RULES_HERE)
 
 
@@ -128,7 +129,7 @@ def audit_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = audit.find_issues(elements(spark, sf_dir), RULES_HERE, SQL_CHECKS)
+    found = audit.find_issues(parse.parse(lines(spark, sf_dir)), RULES_HERE, SQL_CHECKS)
     return store.report(found, audit.results(found, table(spark, sf_dir, "documents"), RULES_HERE))
 
 
