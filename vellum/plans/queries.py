@@ -57,21 +57,24 @@ def over_issues(name: str, make: Callable[[DataFrame], DataFrame]) -> None:
     QUERIES[name] = lambda spark, sf_dir: make(audit.find_issues(parse.parse(lines(spark, sf_dir)), RULES_HERE, SQL_CHECKS))
 
 
-c = F.col("content")
+def content() -> Column:
+    return F.col("content")
+
+
 over_lines("elements_decorated", lambda x: x.select("doc_id", "line_no", "page_num", "h", "content"))
 over_lines("page_stats", parse.page_stats)
-over_lines("reference_titles", lambda x: x.where(B.is_reference_title(c)).select("doc_id", "line_no"))
-over_lines("captions", lambda x: x.where(B.is_caption(c)).select("doc_id", "line_no", "content", B.label_number(F.regexp_extract(B.strip(c), P.CAPTION_NUMBER, 1)).alias("number")))
-over_lines("headings", lambda x: x.where(B.is_heading(c)).select("doc_id", "line_no", F.array_join(B.heading_parts(c).cast("array<string>"), ".").alias("number")).withColumn("number", F.coalesce("number", F.lit(""))))
-over_lines("toc_headings", lambda x: x.where("h = 0").select("doc_id", "line_no", F.concat(c, F.lit(" ..... "), F.col("line_no").cast("string")).alias("entry")).where(B.is_toc_heading(F.col("entry"))))
-over_lines("numeric_citations", lambda x: x.select("doc_id", "line_no", F.explode(B.numeric_citations(c)).alias("citation")))
-over_lines("layout_citations", lambda x: x.select("doc_id", "line_no", F.explode(B.layout_citations(c)).alias("citation")))
-over_lines("author_year_citations", lambda x: x.select("doc_id", "line_no", F.explode(B.author_year_citations(c)).alias("citation")))
-over_lines("reference_numbers", lambda x: x.select("doc_id", "line_no", F.explode(B.reference_numbers(c)).alias("number")))
-over_lines("formula_candidates", lambda x: x.where(B.is_formula(c)).select("doc_id", "line_no", "content"))
-over_lines("display_formulas", lambda x: x.where(B.is_display_formula(c)).select("doc_id", "line_no", "content"))
-over_lines("likely_references", lambda x: x.where(B.is_likely_reference(c, F.lit("main"))).select("doc_id", "line_no"))
-over_lines("reference_mode_latch", lambda x: x.select("doc_id", "line_no", (F.max(B.is_reference_title(c).cast("int")).over(Window.partitionBy("doc_id").orderBy("line_no")) == 1).alias("in_references")))
+over_lines("reference_titles", lambda x: x.where(B.is_reference_title(content())).select("doc_id", "line_no"))
+over_lines("captions", lambda x: x.where(B.is_caption(content())).select("doc_id", "line_no", "content", B.label_number(F.regexp_extract(B.strip(content()), P.CAPTION_NUMBER, 1)).alias("number")))
+over_lines("headings", lambda x: x.where(B.is_heading(content())).select("doc_id", "line_no", F.array_join(B.heading_parts(content()).cast("array<string>"), ".").alias("number")).withColumn("number", F.coalesce("number", F.lit(""))))
+over_lines("toc_headings", lambda x: x.where("h = 0").select("doc_id", "line_no", F.concat(content(), F.lit(" ..... "), F.col("line_no").cast("string")).alias("entry")).where(B.is_toc_heading(F.col("entry"))))
+over_lines("numeric_citations", lambda x: x.select("doc_id", "line_no", F.explode(B.numeric_citations(content())).alias("citation")))
+over_lines("layout_citations", lambda x: x.select("doc_id", "line_no", F.explode(B.layout_citations(content())).alias("citation")))
+over_lines("author_year_citations", lambda x: x.select("doc_id", "line_no", F.explode(B.author_year_citations(content())).alias("citation")))
+over_lines("reference_numbers", lambda x: x.select("doc_id", "line_no", F.explode(B.reference_numbers(content())).alias("number")))
+over_lines("formula_candidates", lambda x: x.where(B.is_formula(content())).select("doc_id", "line_no", "content"))
+over_lines("display_formulas", lambda x: x.where(B.is_display_formula(content())).select("doc_id", "line_no", "content"))
+over_lines("likely_references", lambda x: x.where(B.is_likely_reference(content(), F.lit("main"))).select("doc_id", "line_no"))
+over_lines("reference_mode_latch", lambda x: x.select("doc_id", "line_no", (F.max(B.is_reference_title(content()).cast("int")).over(Window.partitionBy("doc_id").orderBy("line_no")) == 1).alias("in_references")))
 over_elements("elements_parsed", lambda e: e.select("doc_id", "seq", "type", "region", "content", "x0", "y0", "x1", "y1", "page_num"))
 over_elements("element_region_counts", lambda e: e.groupBy("doc_id", "type", "region").agg(F.count("*").alias("n")))
 over_elements("text_offsets", lambda e: parse.with_offsets(e).select("doc_id", "seq", "start", "stop"))
