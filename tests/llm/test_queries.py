@@ -88,9 +88,14 @@ def test_op9(spark, texts):
 
 
 def test_op10_and_op6(spark):
-    labels = {r.doc_id: r for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
-    rows = run(spark, "op10_quality_classifier")
+    """On the largest of the small tables: the smallest has 19 held-out labels, which tell little."""
+    sf_dir = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    rows = {r.doc_id: r for r in QUERIES["op10_quality_classifier"](spark, sf_dir).collect()}
     assert all(r.held_out == (zlib.crc32(str(d).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.3) for d, r in rows.items())
     held = [(r.predicted, labels[d].quality) for d, r in rows.items() if r.held_out and d in labels]
-    assert sum(p == y for p, y in held) >= 0.9 * len(held)
-    assert set(run(spark, "op6_toxicity")) == set(rows)
+    assert len(held) > 800 and sum(p == y for p, y in held) >= 0.97 * len(held)
+    toxic = {r.doc_id: r.predicted for r in QUERIES["op6_toxicity"](spark, sf_dir).collect()}
+    assert set(toxic) == set(rows)
+    found = [(toxic[d], r.toxic) for d, r in labels.items()]
+    assert sum(p and not y for p, y in found) <= 0.005 * len(found) and sum(p and y for p, y in found) >= 0.8 * sum(y for _, y in found)
