@@ -63,12 +63,24 @@ def words_of(text: str, bits: int = 20) -> np.ndarray:
     return np.unique(np.concatenate([_spread(codes & np.uint64(0xFFFFFFFF), 1, bits), _spread(codes >> np.uint64(32), 2, bits)]))
 
 
-def indicators(docs: DataFrame, of: Callable[[str], np.ndarray], id_col: str, text_col: str) -> DataFrame:
-    """(id, f): the distinct features of each text, as little-endian 32-bit numbers in order; null: none."""
+def pack(ids: np.ndarray, bits: int) -> bytes:
+    """Little-endian numbers of as few whole bytes as ``bits`` need."""
+    return ids.astype("<u4").view(np.uint8).reshape(-1, 4)[:, : -(-bits // 8)].tobytes()
+
+
+def unpack(f: bytes, bits: int) -> np.ndarray:
+    width = -(-bits // 8)
+    out = np.zeros((len(f) // width, 4), np.uint8)
+    out[:, :width] = np.frombuffer(f, np.uint8).reshape(-1, width)
+    return out.reshape(-1).view("<u4")
+
+
+def indicators(docs: DataFrame, of: Callable[[str, int], np.ndarray], bits: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, f): the distinct features of each text, packed in order; null: none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in text_slices(batches, "t"):
-            rows = [of(t or "").astype("<u4").tobytes() for t in piece.column(1).to_pylist()]
+            rows = [pack(of(t or "", bits), bits) for t in piece.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(rows, pa.binary())], names=["id", "f"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "id long, f binary")
@@ -82,7 +94,7 @@ def class_counts(rows: DataFrame, bits: int) -> DataFrame:
         for batch in batches:
             ys = batch.column(1).to_pylist()
             for f, y in zip(batch.column(0).to_pylist(), ys):
-                total[y, np.frombuffer(f, "<u4")] += 1
+                total[y, unpack(f, bits)] += 1
                 total[y, -1] += 1
         kept = np.flatnonzero(total.any(axis=0))
         for at in range(0, len(kept), 50_000):

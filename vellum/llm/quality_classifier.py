@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.common import stage
-from vellum.llm.features import bounded_sample, class_counts, indicators, shape_ngrams
+from vellum.llm.features import bounded_sample, class_counts, indicators, shape_ngrams, unpack
 
 BITS = 16
 #: Most labelled rows that the linear model is fitted to.
@@ -31,7 +31,7 @@ class NBSVM:
     offset: float
 
     def margins(self, rows: list[bytes]) -> np.ndarray:
-        ids = [np.frombuffer(f, "<u4") for f in rows]
+        ids = [unpack(f, BITS) for f in rows]
         return np.array([self.weights[i].sum() / np.sqrt(max(1, len(i))) + self.bias for i in ids])
 
     def scores(self, rows: list[bytes]) -> np.ndarray:
@@ -47,7 +47,7 @@ def log_ratios(features: np.ndarray, n0: np.ndarray, n1: np.ndarray, bits: int,
 def fit_hinge(rows: list[bytes], ys: np.ndarray, ratio: np.ndarray, cost: float = 1.0, epochs: int = 12, seed: int = 42) -> tuple[np.ndarray, float]:
     """Dual coordinate descent for the L1 hinge loss; rarer classes cost more, by the root of their share."""
     random = np.random.default_rng(seed)
-    ids = [np.frombuffer(f, "<u4") for f in rows]
+    ids = [unpack(f, BITS) for f in rows]
     xs = [ratio[i] / np.sqrt(max(1, len(i))) for i in ids]
     norm = np.array([x @ x + 1.0 for x in xs])
     sign = np.where(ys == 1, 1.0, -1.0)
@@ -96,7 +96,7 @@ def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_
     enters its score; a null or empty text gets the score of no features. Without both classes every score is
     the share of label 1, or 0.5. Null and repeated ids keep their rows (a null id is not held out).
     """
-    own = stage(indicators(docs, shape_ngrams, id_col, text_col), "indicators")
+    own = stage(indicators(docs, shape_ngrams, BITS, id_col, text_col), "indicators")
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & ~held_out(F.col("id")))
     rows = stage(own.join(known.groupBy("id").agg(F.max("y").alias("y")).hint("merge"), "id"), "labelled")
     counted = class_counts(rows, BITS).toPandas()

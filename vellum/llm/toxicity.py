@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.common import stage
-from vellum.llm.features import bounded_sample, class_counts, indicators, words_of
+from vellum.llm.features import bounded_sample, class_counts, indicators, unpack, words_of
 
 BITS = 20
 #: Most words in the model, and most labelled rows of each class that it is fitted to.
@@ -36,7 +36,7 @@ class CumulativeLink:
         """Chance that each row exceeds grade 0, 1, ..."""
         sums = np.zeros(len(rows))
         for k, f in enumerate(rows):
-            ids = np.frombuffer(f, "<u4")
+            ids = unpack(f, BITS)
             at = np.minimum(np.searchsorted(self.words, ids), len(self.words) - 1)
             sums[k] = self.weights[at[self.words[at] == ids]].sum()
         return 1 / (1 + np.exp(-np.clip(sums[:, None] - self.cuts, -30, 30)))
@@ -97,7 +97,7 @@ def severity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_co
     the larger label counts. Without typical words, or without toxic rows, all chances are 0. A null or empty
     text has no words. Null and repeated ids keep their rows; an empty table gives none.
     """
-    own = stage(indicators(docs, words_of, id_col, text_col), "words")
+    own = stage(indicators(docs, words_of, BITS, id_col, text_col), "words")
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1))
     rows = stage(own.join(known.groupBy("id").agg(F.max("y").alias("y")).hint("merge"), "id"), "labelled")
     counts = class_counts(rows, BITS)
@@ -110,7 +110,7 @@ def severity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_co
     place = {w: k for k, w in enumerate(words.tolist())}
     parts = [bounded_sample(rows.where(F.col("y") == y).select("id", "y", "f"), sample, n) for y, n in ((0, n0), (1, n1))]
     some = sorted(parts[0].unionByName(parts[1]).collect(), key=lambda r: (r.y, r.id, r.f))
-    xs = [np.array([place[f] for f in np.frombuffer(r.f, "<u4").tolist() if f in place], np.int64) for r in some]
+    xs = [np.array([place[f] for f in unpack(bytes(r.f), BITS).tolist() if f in place], np.int64) for r in some]
     grades = np.array([r.y * (1 + sum(len(x) >= g for g in GRADES)) for r, x in zip(some, xs)])
     weight = np.where(grades > 0, n1 / max(1, (grades > 0).sum()), n0 / max(1, (grades == 0).sum()))
     weights, cuts = fit(xs, grades, weight, len(words), len(GRADES) + 2, odds)
