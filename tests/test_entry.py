@@ -6,7 +6,6 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"audit_all", "pipeline"}
 NAMES = sorted(entry.engine.QUERIES)
 
 
@@ -31,11 +30,15 @@ def test_query_equals_its_sql(spark, duck, name):
     spark.catalog.clearCache()
 
 
-def test_every_query_has_a_plan_and_names(spark):
+def test_every_query_has_names(spark, monkeypatch):
+    """Plans only: elements are staged once, issues not at all."""
+    elements = entry.engine.elements(spark, SF)
+    monkeypatch.setattr(entry.engine, "elements", lambda *_: elements)
+    monkeypatch.setattr(entry.engine.parse, "parse", lambda _: elements)
+    monkeypatch.setattr(entry.engine.audit, "stage", lambda df, _: df)
     for name in NAMES:
         df = entry.engine.QUERIES[name](spark, SF)
         assert len(set(df.columns)) == len(df.columns)
-    spark.catalog.clearCache()
     assert set(entry.ORACLES) <= set(NAMES)
 
 
