@@ -11,6 +11,8 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Mapping, Sequence
+from itertools import accumulate
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -92,17 +94,16 @@ class Scanner:
     def __init__(self, templates: Mapping[str, str], coverage: float):
         self.templates = {name: words(text.encode()) for name, text in templates.items()}
         self.coverage = coverage
-        # A text that covers a template has one at least of any 1 - coverage of its words, and one more.
-        self.hints: dict[bytes, list[tuple[str, int]]] = {}
+        # A text that covers a template may lack so many of its words, and has one at least of any one more.
+        self.hints: dict[bytes, list[str]] = {}
         for name, ws in self.templates.items():
             n, taken = Counter(ws), 0
+            lacking = len(ws) - ceil(coverage * len(ws) - 1e-9)
             for w in sorted(n, key=lambda w: (n[w], -len(w), w)):
-                if taken > (1 - coverage) * len(ws):
+                if taken > lacking:
                     break
                 taken += n[w]
-                for k, x in enumerate(ws):
-                    if x == w:
-                        self.hints.setdefault(w, []).append((name, k))
+                self.hints.setdefault(w, []).append(name)
 
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
         """(license, coverage, start, stop in code points), by start; for each license the best of findings that overlap."""
@@ -112,26 +113,35 @@ class Scanner:
             return []
         spans = [m.span() for m in _WORD.finditer(plain)]
         ws = [plain[a:b] for a, b in spans]
-        places: dict[str, set[int]] = {}
+        places: dict[str, list[int]] = {}
         for k, w in enumerate(ws):
-            for name, at in self.hints.get(w, ()):
-                places.setdefault(name, set()).add(k - at)
+            for name in self.hints.get(w, ()):
+                places.setdefault(name, []).append(k)
         out = []
-        for name, starts in places.items():
+        for name, hits in places.items():
             template = self.templates[name]
-            slack = 1 + len(template) // 5
-            found, seen = [], None
-            for k in sorted(starts):
-                if seen is not None and k - seen <= slack // 4:
-                    continue
-                seen = k
-                # With and without the words before, which may hold a word of the template that isn't part of it.
-                for low in {max(0, k - slack), max(0, k)}:
-                    pairs = align(template, ws[low : max(0, k + len(template) + slack)])
-                    if len(pairs) >= self.coverage * len(template):
-                        found.append((-len(pairs), low + pairs[0][1], low + pairs[-1][1]))
+            size, slack, known = len(template), 1 + len(template) // 5, set(template)
+            inside = list(accumulate((w in known for w in ws), initial=0))
+            found, at = [], -size - slack
+            for hit in hits:
+                # Every place whose stretch holds the hint, with and without the words before, which may hold a word
+                # of the template that isn't part of it. Nothing is better than the whole template.
+                at = max(at, hit - size - slack + 1)
+                while at <= hit + slack:
+                    high = min(len(ws), max(0, at + size + slack))
+                    lows = sorted({max(0, at - slack), min(high, max(0, at))})
+                    at += 1
+                    for low in lows:
+                        if inside[high] - inside[low] < self.coverage * size:
+                            break
+                        pairs = align(template, ws[low:high])
+                        if len(pairs) >= self.coverage * size:
+                            found.append((-len(pairs), low + pairs[0][1], low + pairs[-1][1]))
+                        if len(pairs) == size:
+                            at = max(at, found[-1][1] + slack + 1)
+                            break
             taken: list[tuple[int, int]] = []
-            for n, a, b in sorted(found):
+            for n, a, b in sorted(set(found), key=lambda x: (x[0], x[2] - x[1], x)):
                 if all(b < x or y < a for x, y in taken):
                     taken.append((a, b))
                     start = len(raw[: spans[a][0]].decode())
@@ -148,7 +158,7 @@ def scan(docs: DataFrame, templates: Mapping[str, str] | None = None, coverage:
     """One row per row of ``docs``: (id, licenses), templates of which the text has ``coverage`` or more of the words.
 
     Words are compared in lower case and without signs. A null or empty text has none. Findings of different
-    licenses may overlap; of the same license the best is kept, then the first; a finding inside one of greater coverage is left out. Null and repeated ids keep their
+    licenses may overlap; of the same license the best is kept, then the shortest, then the first; a finding inside one of greater coverage is left out. Null and repeated ids keep their
     rows, an empty table gives none, other columns are not looked at.
     """
     templates = dict(templates or TEMPLATES)
