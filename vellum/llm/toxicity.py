@@ -60,6 +60,19 @@ def typical_words(counted, least: int = 8) -> tuple[np.ndarray, np.ndarray]:
     return ids[order].astype(np.int64), odds[far][order]
 
 
+def farthest(counts: DataFrame) -> DataFrame:
+    """The row of totals, and twice as many features as the model keeps: those in enough toxic rows, by standard errors.
+
+    The bounds are a little wider than those of ``typical_words``, which has the last word.
+    """
+    totals = counts.where("feature = -1")
+    c = counts.where("feature >= 0 and n1 >= 4 and n1 + n0 >= 8").crossJoin(F.broadcast(totals.select(F.col("n0").alias("all0"), F.col("n1").alias("all1"))))
+    odds = F.ln(F.expr("(n1 + 0.5D) / (all1 - n1 + 0.5D)")) - F.ln(F.expr("(n0 + 0.5D) / (all0 - n0 + 0.5D)"))
+    z = odds / F.sqrt(F.expr("1 / (n1 + 0.5D) + 1 / (n0 + 0.5D)"))
+    far = c.withColumn("z", z).where((F.col("z") > 3.99) & (odds > np.log(8) - 0.01)).orderBy(F.desc("z"), "feature").limit(2 * WORDS)
+    return totals.unionByName(far.select(*totals.columns))
+
+
 def fit(rows: list[np.ndarray], grades: np.ndarray, weight: np.ndarray, n_words: int, n_grades: int, start: np.ndarray, steps: int = 400, l2: float = 2e-4) -> tuple[np.ndarray, np.ndarray]:
     """Weights of at least 0 and ordered cuts, by adaptive gradient steps on the mean log likelihood."""
     at = np.concatenate(rows) if rows else np.zeros(0, np.int64)
@@ -100,9 +113,8 @@ def severity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_co
     own = stage(indicators(docs, words_of, BITS, id_col, text_col), "words")
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1))
     rows = stage(own.join(known.groupBy("id").agg(F.max("y").alias("y")).hint("merge"), "id"), "labelled")
-    counts = class_counts(rows, BITS)
-    # Only features in enough toxic rows can be typical; the model keeps a bounded number of them.
-    counted = counts.where("feature = -1 or n1 >= 4 and n1 + n0 >= 8").orderBy(F.col("feature") >= 0, F.expr("n0 / (n1 + 0.5)"), F.desc("n1"), "feature").limit(4 * WORDS).toPandas()
+    counts = stage(class_counts(rows, BITS), "counts")
+    counted = farthest(counts).toPandas()
     n0, n1 = (int(counted.loc[counted.feature == -1, c].sum()) for c in ("n0", "n1"))
     words, odds = typical_words(counted) if n0 and n1 else (np.zeros(0, np.int64), np.zeros(0))
     if not len(words):
