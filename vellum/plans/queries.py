@@ -287,7 +287,7 @@ def llm_response_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def mock_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = F.concat_ws(" ", F.when(F.col("conv_id") % 2 == 0, "e.g."), F.when(F.col("conv_id") % 3 == 0, "LLM"))
-    return text.mock_scan(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), extra.alias("text")))
+    return text.mock_scan(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.concat_ws(" ", "text", extra).alias("text")))
 
 
 @query
