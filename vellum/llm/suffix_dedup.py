@@ -23,6 +23,10 @@ from pyspark.sql import functions as F
 from vellum.llm.common import discard, stage, text_slices, utf8_slices
 
 LENGTH, GRAM = 400, 200
+#: Windows and strings of the marks, which tell passages that repeat but are too short to be removed.
+MARK, MARK_GRAM = 256, 128
+#: Bits of a place within a part of a text.
+PLACE = np.uint64(24)
 #: Stretches around one anchor that one task sorts together; more are dealt out and their results merged.
 RUN = 2000
 #: Bytes of stretches that a task sorts at once.
@@ -134,24 +138,29 @@ def equal_bytes(raw: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> n
     return out
 
 
-def anchors(raw: np.ndarray, h: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each run of windows with the same anchor: the anchor, the first and the last window's start.
-
-    ``ends``: offsets of the texts in ``raw``, whose windows never cross from one text into the next.
-    """
-    if len(raw) < length:
-        return (np.zeros(0, np.int64),) * 3
-    # The upper bits of a hash with its place below them: the least of a span is the leftmost of equals.
+def _least(raw: np.ndarray, h: np.ndarray, span: int, gram: int) -> np.ndarray:
+    """For each run of ``span`` neighbouring GRAM-byte strings the place of the one of least hash, the leftmost of equals."""
+    # The upper bits of a hash with its place below them, the same bits whatever the length.
     places = np.arange(len(raw) - gram + 1)
-    bits = np.uint64(max(16, len(raw).bit_length()))
-    best = stretch_hash(h, places, gram) >> bits << bits | places.astype(np.uint64)
-    span, width = length - gram + 1, 1
+    best, width = stretch_hash(h, places, gram) >> PLACE << PLACE | places.astype(np.uint64), 1
     while width < span:
         step = min(width, span - width)
         best = np.minimum(best[:-step], best[step:])
         width += step
-    at = (best & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    starts = np.arange(len(at))
+    return (best & ((np.uint64(1) << PLACE) - np.uint64(1))).astype(np.int64)
+
+
+def anchors(raw: np.ndarray, h: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM, most: int = 1 << 23) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each run of windows with the same anchor: the anchor, the first and the last window's start.
+
+    ``ends``: offsets of the texts in ``raw``, whose windows never cross from one text into the next. Longer texts
+    are gone through ``most`` windows at a time.
+    """
+    n = len(raw) - length + 1
+    if n < 1:
+        return (np.zeros(0, np.int64),) * 3
+    at = np.concatenate([k + _least(raw[k : k + most + length - 1], h[k : k + most + length], length - gram + 1, gram) for k in range(0, n, most)])
+    starts = np.arange(n)
     text = np.searchsorted(ends, starts, "right") - 1
     inside = starts + length <= ends[text + 1]
     starts, at, text = starts[inside], at[inside], text[inside]
@@ -163,24 +172,37 @@ def anchors(raw: np.ndarray, h: np.ndarray, ends: np.ndarray, length: int = LENG
     return at[first], starts[first], starts[last]
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+ROWS = "k long, anchor long, first int, n short, lead short, stretch long, other long"
+
+
+def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int, mark: int, mark_gram: int) -> Iterator[pa.RecordBatch]:
+    """Runs of windows by their anchor, told by a 128-bit digest of their bytes; and marks, which have no windows (n = 0)."""
     for piece, raw, ends in utf8_slices(batches, "t", 1 << 20):
         h = prefix_hashes(raw)
+        k = piece.column(0)
         at, first, last = anchors(raw, h, ends, length, gram)
-        if not len(at):
-            continue
-        text = np.searchsorted(ends, first, "right") - 1
-        data = raw.tobytes()
-        digest = np.array([xxhash.xxh3_64_intdigest(data[a : b + length]) for a, b in zip(first.tolist(), last.tolist())], np.uint64)
-        columns = [piece.column(0).take(pa.array(text)), pa.array(stretch_hash(h, at, gram).view(np.int64)), pa.array((first - ends[text]).astype(np.int32)), pa.array((last - first + 1).astype(np.int16)), pa.array((at - first).astype(np.int16)), pa.array(digest.view(np.int64))]
-        yield pa.RecordBatch.from_arrays(columns, names=["k", "anchor", "first", "n", "lead", "stretch"])
-
-
-RUNS = "anchor long, stretch long, mask binary, ks array<int>, digests array<binary>"
+        if len(at):
+            text = np.searchsorted(ends, first, "right") - 1
+            data = raw.tobytes()
+            digest = np.frombuffer(b"".join([xxhash.xxh3_128_digest(data[a : b + length]) for a, b in zip(first.tolist(), last.tolist())]), np.int64).reshape(-1, 2)
+            columns = [k.take(pa.array(text)), pa.array(stretch_hash(h, at, gram).view(np.int64)), pa.array((first - ends[text]).astype(np.int32)), pa.array((last - first + 1).astype(np.int16)), pa.array((at - first).astype(np.int16)), pa.array(digest[:, 0]), pa.array(digest[:, 1])]
+            yield pa.RecordBatch.from_arrays(columns, names=["k", "anchor", "first", "n", "lead", "stretch", "other"])
+        at, first, _ = anchors(raw, h, ends, mark, mark_gram)
+        if len(at):
+            text = np.searchsorted(ends, first, "right") - 1
+            # Windows before and after one with a lesser anchor may have the same anchor.
+            _, one = np.unique(at, return_index=True)
+            at, text = at[one], text[one]
+            none = [np.zeros(len(at), t) for t in (np.int32, np.int16, np.int16, np.int64, np.int64)]
+            columns = [k.take(pa.array(text)), pa.array((stretch_hash(h, at, mark_gram) ^ np.uint64(_ODD)).view(np.int64)), pa.array((at - ends[text]).astype(np.int32)), *map(pa.array, none[1:])]
+            yield pa.RecordBatch.from_arrays(columns, names=["k", "anchor", "first", "n", "lead", "stretch", "other"])
+
+
+RUNS = "anchor long, stretch long, other long, mask binary, ks array<int>, digests array<binary>"
 
 
 def _sorted_runs(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Suffix-sorts stretches (anchor, piece, pieces, stretch, n, lead, bytes), which come in order of anchor and piece."""
+    """Suffix-sorts stretches (anchor, piece, pieces, stretch, other, n, lead, bytes), which come in order of anchor and piece."""
     held: list[dict] = []
     size, key = 0, None
     for batch in batches:
@@ -227,8 +249,9 @@ def _sort(rows: list[dict], length: int) -> pa.RecordBatch:
     for i in np.flatnonzero(wide[whose] & ~later).tolist():
         ks[whose[i]].append(int(off[i]))
         digests[whose[i]].append(xxhash.xxh3_128_digest(data[starts[i] : starts[i] + length]))
-    columns = [pa.array([r["anchor"] for r in rows], pa.int64()), pa.array([r["stretch"] for r in rows], pa.int64()), pa.array(mask, pa.binary()), pa.array(ks, pa.list_(pa.int32())), pa.array(digests, pa.list_(pa.binary()))]
-    return pa.RecordBatch.from_arrays(columns, names=["anchor", "stretch", "mask", "ks", "digests"])
+    names = ["anchor", "stretch", "other"]
+    columns = [*(pa.array([r[c] for r in rows], pa.int64()) for c in names), pa.array(mask, pa.binary()), pa.array(ks, pa.list_(pa.int32())), pa.array(digests, pa.list_(pa.binary()))]
+    return pa.RecordBatch.from_arrays(columns, names=[*names, "mask", "ks", "digests"])
 
 
 def _packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -252,8 +275,8 @@ def _stretches(docs: DataFrame, spots: DataFrame, id_col: str, text_col: str, le
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        names = ["anchor", "stretch", "pieces", "piece", "n", "lead"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.int16()]
+        names = ["anchor", "stretch", "other", "pieces", "piece", "n", "lead"]
+        kinds = [pa.int64()] * 5 + [pa.int16()] * 2
         for batch in batches:
             for at in range(len(batch)):
                 data = unpack.decompress(batch.column(1)[at].as_py())
@@ -262,51 +285,60 @@ def _stretches(docs: DataFrame, spots: DataFrame, id_col: str, text_col: str, le
                 columns.append(pa.array([data[x["first"] : x["first"] + x["n"] - 1 + length] for x in got], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, "bytes"])
 
-    lists = spots.groupBy("k").agg(F.collect_list(F.struct("anchor", "stretch", "pieces", "piece", "n", "lead", "first")).alias("spots"))
-    texts = _packed(docs, id_col, text_col).select("k", "z").join(lists, "k")
-    cuts = texts.select("spots", "z").mapInArrow(cut, "anchor long, stretch long, pieces long, piece long, n short, lead short, bytes binary")
-    return cuts
+    lists = spots.groupBy("k").agg(F.collect_list(F.struct("anchor", "stretch", "other", "pieces", "piece", "n", "lead", "first")).alias("spots"))
+    # Rows that repeat with their id, or without one, have the same key, and their texts are the same.
+    texts = _packed(docs, id_col, text_col).select("k", "z").join(lists, "k").groupBy("k").agg(F.first("spots").alias("spots"), F.first("z").alias("z"))
+    return texts.select("spots", "z").mapInArrow(cut, "anchor long, stretch long, other long, pieces long, piece long, n short, lead short, bytes binary")
 
 
-def windows(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int, run: int) -> DataFrame:
+def windows(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int, run: int, mark: int = MARK, mark_gram: int = MARK_GRAM) -> DataFrame:
     """(k, first, n, mask, more): of the ``n`` windows from byte ``first`` of a text, those that repeat.
 
-    All of them if mask is null; else those with a bit in mask or listed in more.
+    All of them if mask is null; else those with a bit in mask or listed in more. Rows without windows (n = 0) are marks
+    that another place has too. One row for a key, however many rows have it.
     """
-    rows = _keyed(docs, id_col, text_col).select("k", "t").mapInArrow(lambda it: _anchor_rows(it, length, gram), "k long, anchor long, first int, n short, lead short, stretch long")
+    rows = _keyed(docs, id_col, text_col).select("k", "t").mapInArrow(lambda it: _anchor_rows(it, length, gram, mark, mark_gram), ROWS)
     all_rows = stage(rows, "anchors")
     # Windows of an anchor that occurs once have no equals.
     often = stage(all_rows.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor"), "anchors_often")
-    rows = stage(all_rows.join(often, "anchor"), "often")
+    # A key's rows are one row that counts for all of them.
+    rows = stage(all_rows.join(often, "anchor").groupBy("anchor", "stretch", "other", "k", "first", "n", "lead").agg(F.count("*").alias("copies")), "often")
     discard(all_rows)
+    discard(often)
+    same = ["anchor", "stretch", "other"]
     # Stretches that occur twice repeat whole; of the others each is compared with all kinds of its anchor.
-    kinds = stage(rows.groupBy("anchor", "stretch").agg(F.count("*").alias("times"), F.min(F.struct("k", "first", "n", "lead")).alias("one")), "kinds")
+    kinds = stage(rows.where("n > 0").groupBy(*same).agg(F.sum("copies").alias("times"), F.min(F.struct("k", "first", "n", "lead")).alias("one")), "kinds")
     size = stage(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"), "sizes")
     ask = kinds.join(size, "anchor").withColumn("pieces", F.ceil(F.col("kinds") / run))
-    ask = ask.select("anchor", "stretch", "times", "pieces", F.pmod(F.xxhash64("stretch"), "pieces").alias("piece"), "one.*")
-    parts = _stretches(docs, ask.drop("times"), id_col, text_col, length).repartition("anchor", "piece").sortWithinPartitions("anchor", "piece")
-    found = stage(parts.mapInArrow(lambda it: _sorted_runs(it, length), RUNS).dropDuplicates(["anchor", "stretch"]), "runs")
+    ask = ask.select(*same, "pieces", F.pmod(F.xxhash64("stretch"), "pieces").alias("piece"), "one.*")
+    parts = _stretches(docs, ask, id_col, text_col, length).repartition("anchor", "piece").sortWithinPartitions("anchor", "piece")
+    found = stage(parts.mapInArrow(lambda it: _sorted_runs(it, length), RUNS), "runs")
     # Merge of the runs of anchors in several pieces: a window that another piece has too repeats.
-    across = found.where("size(ks) > 0").select("anchor", "stretch", F.explode(F.arrays_zip("ks", "digests")).alias("x")).select("anchor", "stretch", "x.ks", "x.digests")
+    across = found.where("size(ks) > 0").select(*same, F.explode(F.arrays_zip("ks", "digests")).alias("x")).select(*same, "x.ks", "x.digests")
     twice = across.groupBy("anchor", "digests").agg(F.count("*").alias("times")).where("times > 1").select("anchor", "digests")
-    more = across.join(twice, ["anchor", "digests"]).groupBy("anchor", "stretch").agg(F.collect_list("ks").alias("more"))
-    known = found.select("anchor", "stretch", "mask").join(more, ["anchor", "stretch"], "left")
-    known = kinds.select("anchor", "stretch", "times").join(known, ["anchor", "stretch"], "left")
-    known = stage(known.select("anchor", "stretch", F.when(F.col("times") == 1, F.col("mask")).alias("mask"), "more"), "known")
-    return rows.join(known, ["anchor", "stretch"]).select("k", "first", "n", "mask", "more")
+    more = across.join(twice, ["anchor", "digests"]).groupBy(*same).agg(F.collect_list("ks").alias("more"))
+    known = found.select(*same, "mask").join(more, same, "left")
+    known = kinds.select(*same, "times").join(known, same, "left")
+    known = stage(known.select(*same, F.when(F.col("times") == 1, F.col("mask")).alias("mask"), "more"), "known")
+    hits = rows.where("n > 0").join(known, same).select("k", "first", "n", "mask", "more")
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("mask", "binary"), ("more", "array<int>"))]
+    return hits.unionByName(rows.where("n = 0").select("k", "first", "n", *none))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, run: int = RUN) -> DataFrame:
-    """One row per row of ``docs``: (id, n_bytes, spans, kept), spans the removed byte ranges and kept the bytes left.
+    """One row per row of ``docs``: (id, n_bytes, spans, kept, n_marks), spans the removed byte ranges and kept the bytes left.
 
     Every byte covered by a string of ``length`` bytes that also starts anywhere else, in the same text or in
     another, is removed. Texts are UTF-8 bytes, so kept may split a character. A null text counts as empty and
-    loses nothing, like texts shorter than ``length``. Each row is a document of its own, whatever its id: rows
+    loses nothing, like texts shorter than ``length``; very long texts are gone through in parts. n_marks says how many of
+    the text's marks (in each window of ``MARK`` bytes the string of ``MARK_GRAM`` bytes with the least hash) stand in
+    another place too: a passage of ``MARK`` bytes that repeats has one at least, though it may be too short to be removed. Each row is a document of its own, whatever its id: rows
     repeated or without an id lose what they share. An empty table gives no rows; columns besides id and text are
     not looked at.
     """
     hits = windows(docs, id_col, text_col, length, gram, run)
-    lists = hits.groupBy("k").agg(F.collect_list(F.struct("first", "n", "mask", "more")).alias("hits"))
+    window = F.when(F.col("n") > 0, F.struct("first", "n", "mask", "more"))
+    lists = hits.groupBy("k").agg(F.collect_list(window).alias("hits"), F.count(F.when(F.col("n") == 0, 1)).alias("n_marks"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
@@ -321,7 +353,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     else:
                         starts = np.flatnonzero(np.unpackbits(np.frombuffer(x["mask"], np.uint8), count=x["n"]))
                         starts = np.union1d(starts, np.array(x["more"] or [], np.int64)).astype(np.int64)
-                    # A key's rows may be listed more than once, which only adds to the counts.
                     np.add.at(gone, x["first"] + starts, 1)
                     np.add.at(gone, x["first"] + starts + length, -1)
                 off = np.cumsum(gone)[: len(data)] > 0
@@ -330,7 +361,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 spans.append([{"start": a, "stop": b} for a, b in edges.reshape(-1, 2).tolist()])
                 kept.append(np.frombuffer(data, np.uint8)[~off].tobytes())
             kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], names=["id", "n_bytes", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary()), batch.column(3)], names=["id", "n_bytes", "spans", "kept", "n_marks"])
 
-    texts = _packed(docs, id_col, text_col).join(lists, "k", "left").select("id", "z", "hits")
-    return texts.mapInArrow(cut, "id long, n_bytes long, spans array<struct<start: int, stop: int>>, kept binary")
+    texts = _packed(docs, id_col, text_col).join(lists, "k", "left").select("id", "z", "hits", F.coalesce("n_marks", F.lit(0)).alias("n_marks"))
+    return texts.mapInArrow(cut, "id long, n_bytes long, spans array<struct<start: int, stop: int>>, kept binary, n_marks long")
