@@ -1,10 +1,18 @@
 """Quality rules by robust multivariate outliers.
 
 Every text gets counts and, from them, a vector of transformed statistics. Each language and source has a
-minimum-covariance-determinant estimate of location and scatter: from quartiles as the start, concentration
-steps keep the share ``SHARE`` of rows that are nearest by Mahalanobis distance and estimate anew from these.
-A row too far from its group's estimate is rejected. All steps are sums and histograms over all rows, so a
-group may have any size; only estimates, a row for each group, are put together.
+minimum-covariance-determinant estimate of location and scatter: concentration steps keep the share ``SHARE`` of its
+rows that are nearest by Mahalanobis distance and estimate anew from these. They start from three estimates (spreads by
+quartiles, the correlation of hyperbolic tangents, that of spatial signs); after ``TRIAL`` steps the start of least
+determinant goes on until no determinant falls any more. A row too far from its group's estimate is rejected.
+
+The estimates are regularised, as in the minimum regularised covariance determinant: a group's mean and scatter are
+drawn towards its language's, and a language's towards those of all rows, by a weight that counts as ``PRIOR`` rows. So
+a group of any size has an estimate of its own, and one of many rows has hardly anything of the others. Statistics come
+in units of ``FLOORS``, and half a unit of variance stands for differences that never count as unusual.
+
+All steps are sums and histograms over all rows, so a group may have any size. Estimates are a row for each group; they
+are broadcast up to ``SMALL`` groups, after counting them, and joined beyond that.
 """
 
 from __future__ import annotations
@@ -20,9 +28,14 @@ from pyspark.sql import functions as F
 from vellum.llm.common import stage, text_slices
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_punct", "n_distinct", "n_digits")
-#: Least spread of each statistic: differences below it never count as unusual.
+#: Units of the statistics: differences below them never count as unusual.
 FLOORS = (0.06, 0.04, 0.05, 0.08, 0.03, 0.2, 0.25, 0.15)
-SHARE, STEPS, LEAST_ROWS, BINS = 0.75, 4, 200, 200
+#: Share of rows that an estimate is made of, steps from each start, steps at most, and rows that the parent counts for.
+SHARE, TRIAL, STEPS, PRIOR = 0.75, 2, 10, 32
+#: Steps of a histogram in a unit and in a factor of e of a squared distance.
+BINS, SCALE = 20, 50
+#: Groups up to which estimates are broadcast.
+SMALL = 20_000
 #: Chance of a rejection if a group's clean rows were normal, before the floors.
 ALPHA = 1e-9
 _SPACE, _SYMBOLS, _UPPER, _PUNCT, _DIGITS = b" \t\n\x0b\x0c\r", b"#*$%&|<>", bytes(range(65, 91)), b".,;:!?", b"0123456789"
@@ -93,77 +106,133 @@ def _quantile(rows: DataFrame, by: list[str], value: str, shares: dict[str, floa
 
 
 def _near(distance: Column) -> Column:
-    """A squared distance as a whole number, in steps of half a hundredth of its logarithm."""
-    return F.round(F.log(distance + 1e-6) * BINS).cast("long")
+    """A squared distance as a whole number, in steps of its logarithm."""
+    return F.round(F.log(distance + 1e-6) * SCALE).cast("long")
 
 
-def _estimates(sums: DataFrame, d: int) -> DataFrame:
-    """Location and inverse scatter of each group from its sums."""
+def _distance(d: int) -> Column:
+    off = [F.col(f"y{i}") - F.col("m")[i] for i in range(d)]
+    return sum((off[i] * off[j] * F.col("p")[i * d + j] * (1 if i == j else 2) for i in range(d) for j in range(i, d)), F.lit(0.0))
+
+
+def _moments(d: int) -> list[Column]:
+    """Sums of the statistics and of their products."""
+    ys = [F.col(f"y{i}") for i in range(d)]
+    return [F.count("*").alias("n"), *[F.sum(y).alias(f"s{i}") for i, y in enumerate(ys)], *[F.sum(ys[i] * ys[j]).alias(f"s{i}_{j}") for i in range(d) for j in range(i, d)]]
+
+
+def _spread(sums: np.ndarray, n: float, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and scatter from sums."""
+    mean = sums[:d] / max(n, 1)
+    cov = np.zeros((d, d))
+    cov[np.triu_indices(d)] = sums[d:] / max(n, 1)
+    return mean, cov + np.triu(cov, 1).T - np.outer(mean, mean)
+
+
+def drawn(own: tuple[float, np.ndarray], parents: list[tuple[float, np.ndarray]], d: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and scatter of a group (rows, sums), drawn towards those of its parents, which come from the root on."""
+    mean, cov = np.zeros(d), np.zeros((d, d))
+    for k, (n, sums) in enumerate([*parents, own]):
+        m, c = _spread(sums, n, d)
+        w = n / (n + PRIOR) if k else 1.0
+        mean, cov = w * m + (1 - w) * mean, w * c + (1 - w) * cov
+    return mean, cov + 0.5 * np.eye(d)
+
+
+def _estimates(sums: DataFrame, names: DataFrame, d: int) -> DataFrame:
+    """(g, start, m, p, det): location, inverse scatter and the determinant's logarithm, from sums by group and start."""
+    columns = [c for c in sums.columns if c not in ("g", "start")]
+    values = lambda f: F.array(*[f(c).cast("double") for c in columns])
+    sums = stage(sums.join(names, "g").select("g", "start", "lang", values(F.col).alias("own"), *columns), "sums")
+    langs = sums.groupBy(F.col("start").alias("of"), F.col("lang").alias("name")).agg(values(F.sum).alias("b"))
+    every = sums.groupBy(F.col("start").alias("root")).agg(values(F.sum).alias("a"))
+    rows = sums.select("g", "start", "lang", "own").join(langs, F.expr("start = of and lang <=> name")).join(every, F.expr("start = root"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            groups, where, inverse = [], [], []
-            for row in batch.to_pylist():
-                s = np.array(row["s"])
-                mean = s[:d] / row["n"]
-                cov = np.zeros((d, d))
-                cov[np.triu_indices(d)] = s[d:] / row["n"]
-                cov = cov + np.triu(cov, 1).T - np.outer(mean, mean)
-                # Scores are in units of a spread that is at least the floor; half a unit of variance is noise.
-                cov = cov + 0.5 * np.eye(d) if row["n"] > 4 * d else np.eye(d)
-                groups.append(row["g"])
+            where, inverse, det = [], [], []
+            for own, b, a in zip(*(c.to_pylist() for c in batch.columns[2:])):
+                mean, cov = drawn((own[0], np.array(own[1:])), [(x[0], np.array(x[1:])) for x in (a, b)], d)
                 where.append(mean.tolist())
                 inverse.append(np.linalg.inv(cov).ravel().tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(groups, pa.string()), pa.array(where, pa.list_(pa.float64())), pa.array(inverse, pa.list_(pa.float64()))], names=["g", "m", "p"])
+                det.append(float(np.linalg.slogdet(cov)[1]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(where, pa.list_(pa.float64())), pa.array(inverse, pa.list_(pa.float64())), pa.array(det, pa.float64())], names=["g", "start", "m", "p", "det"])
 
-    return sums.mapInArrow(run, "g string, m array<double>, p array<double>")
+    return rows.select("g", "start", "own", "b", "a").mapInArrow(run, "g string, start int, m array<double>, p array<double>, det double")
 
 
-def _distance(d: int) -> Column:
-    off = [F.col(f"y{i}") - F.col("m")[i] for i in range(d)]
-    return sum((off[i] * off[j] * F.col("p")[i * d + j] * (1 if i == j else 2) for i in range(d) for j in range(i, d)), F.lit(0.0))
+def _starts(sums: DataFrame, d: int) -> DataFrame:
+    """(g, start, m, p) of the three starts, from quartiles (b, s) and the sums of products of tangents and of signs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            groups, starts, where, inverse = [], [], [], []
+            for row in batch.to_pylist():
+                mid, unit = np.array(row["b"]), np.array(row["s"])
+                for start, products in enumerate((None, row["u"], row["v"])):
+                    cov = np.eye(d)
+                    if products is not None:
+                        cov[np.triu_indices(d)] = products
+                        cov = np.triu(cov) + np.triu(cov, 1).T + 1e-9 * np.eye(d)
+                        root = np.sqrt(np.diag(cov))
+                        # A correlation; a tenth of the identity keeps it regular.
+                        cov = 0.9 * cov / np.outer(root, root) + 0.1 * np.eye(d)
+                    groups.append(row["g"])
+                    starts.append(start)
+                    where.append(mid.tolist())
+                    inverse.append((np.linalg.inv(cov) / np.outer(unit, unit)).ravel().tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(groups, pa.string()), pa.array(starts, pa.int32()), pa.array(where, pa.list_(pa.float64())), pa.array(inverse, pa.list_(pa.float64()))], names=["g", "start", "m", "p"])
+
+    return sums.mapInArrow(run, "g string, start int, m array<double>, p array<double>")
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", alpha: float = ALPHA) -> DataFrame:
     """One row per row of ``docs``: (id, lang, source), ``COUNTS``, base_failed, distance, kept.
 
     base_failed: fewer than 50 words, or over half the words in repeated 3-word windows. The other rows make up
-    their language and source's estimate (null counts as a name of its own); groups of fewer than ``LEAST_ROWS``
-    of them are estimated together. distance: squared Mahalanobis distance, null where base_failed. kept: not
-    base_failed and not beyond the cutoff. A null or empty text has no words and fails. Null and repeated ids
-    keep their rows; ties in distance fall on the same side; an empty table gives no rows.
+    their language and source's estimate (null counts as a name of its own). distance: squared Mahalanobis distance,
+    null where base_failed. kept: not base_failed and not beyond the cutoff. A null or empty text has no words and
+    fails; a very long one is counted whole. Null and repeated ids keep their rows; ties in distance fall on the same
+    side; an empty table gives no rows. Columns besides these four are not looked at.
     """
     own = statistics(docs, id_col, text_col, lang_col, source_col)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    own = stage(own.withColumn("base_failed", failed), "statistics")
     d = len(FLOORS)
-    name = F.to_json(F.struct("lang", "source"))
-    good = own.where("not base_failed").groupBy(name.alias("name")).agg(F.count("*").alias("n"))
-    group = F.when(F.col("n") >= LEAST_ROWS, F.col("name")).otherwise("").alias("g")
-    names = good.select("name", group)
-    xs = own.withColumn("name", name).join(names, "name", "left").drop("name")
-    xs = xs.select(*[c for c in xs.columns if c != "g"], F.when(F.col("base_failed"), None).otherwise(F.col("g")).alias("g"), *[x.alias(f"x{i}") for i, x in enumerate(vector())])
-    fit = xs.where("not base_failed")
-    each = fit.select("g", F.posexplode(F.array(*[F.round(F.col(f"x{i}") * BINS).cast("long") for i in range(d)])).alias("j", "x"))
+    g = F.when(~failed, F.to_json(F.struct("lang", "source")))
+    own = stage(own.select("id", "lang", "source", *COUNTS, failed.alias("base_failed"), g.alias("g"), *[(x / F.lit(u)).alias(f"y{i}") for i, (x, u) in enumerate(zip(vector(), FLOORS))]), "statistics")
+    fit = own.where("not base_failed").select("g", *[f"y{i}" for i in range(d)])
+    # Starts: medians and spreads, then products of tangents and of signs in these units.
+    each = fit.select("g", F.posexplode(F.array(*[F.round(F.col(f"y{i}") * BINS).cast("long") for i in range(d)])).alias("j", "x"))
     mid = _quantile(each, ["g", "j"], "x", {"a": 0.25, "b": 0.5, "c": 0.75})
-    floor = F.element_at(F.array(*[F.lit(x) for x in FLOORS]), F.col("j") + 1)
-    mid = mid.select("g", "j", (F.col("b") / BINS).alias("b"), F.greatest((F.col("c") - F.col("a")) / (BINS * 1.349), floor).alias("s"))
+    mid = mid.select("g", "j", (F.col("b") / BINS).alias("b"), F.greatest((F.col("c") - F.col("a")) / (BINS * 1.349), F.lit(1.0)).alias("s"))
     at = lambda what, i: F.max(F.when(F.col("j") == i, F.col(what)))
-    mid = stage(mid.groupBy("g").agg(*[at("b", i).alias(f"b{i}") for i in range(d)], *[at("s", i).alias(f"s{i}") for i in range(d)]), "start")
-    ys = xs.join(mid, "g", "left").select("id", "lang", "source", *COUNTS, "base_failed", "g", *[((F.col(f"x{i}") - F.col(f"b{i}")) / F.col(f"s{i}")).alias(f"y{i}") for i in range(d)])
-    ys = stage(ys, "scores")
-    fit = ys.where("not base_failed").select("g", *[f"y{i}" for i in range(d)])
-    far = fit.withColumn("far", _near(sum((F.col(f"y{i}") ** 2 for i in range(d)), F.lit(0.0))))
-    products = [f"y{i}" for i in range(d)] + [f"y{i} * y{j}" for i in range(d) for j in range(i, d)]
-    estimate = None
-    for _ in range(STEPS):
-        near = far.join(_quantile(far, ["g"], "far", {"most": SHARE}), "g").where("far <= most")
-        sums = near.groupBy("g").agg(F.count("*").alias("n"), F.array(*[F.sum(F.expr(p)) for p in products]).alias("s"))
-        estimate = stage(_estimates(sums, d), "estimate")
-        far = fit.join(estimate, "g").withColumn("far", _near(_distance(d)))
+    mid = stage(mid.groupBy("g").agg(F.array(*[at("b", i) for i in range(d)]).alias("b"), F.array(*[at("s", i) for i in range(d)]).alias("s")), "quartiles")
+    few = mid.count() <= SMALL
+    known = lambda df: F.broadcast(df) if few else df
+    names = stage(own.where("not base_failed").select("g", "lang").distinct(), "names")
+    z = [(F.col(f"y{i}") - F.col("b")[i]) / F.col("s")[i] for i in range(d)]
+    scored = fit.join(known(mid), "g").select("g", *[x.alias(f"z{i}") for i, x in enumerate(z)])
+    length = F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(d)), F.lit(1e-9)))
+    scored = scored.select("g", *[F.tanh(f"z{i}").alias(f"u{i}") for i in range(d)], *[(F.col(f"z{i}") / length).alias(f"v{i}") for i in range(d)])
+    pairs = lambda w: F.array(*[F.sum(F.col(f"{w}{i}") * F.col(f"{w}{j}")) for i in range(d) for j in range(i, d)]).alias(w)
+    estimate = stage(_starts(scored.groupBy("g").agg(pairs("u"), pairs("v")).join(mid, "g"), d), "starts")
+
+    for step in range(1, STEPS + 1):
+        far = fit.join(known(estimate), "g").select("g", "start", *[f"y{i}" for i in range(d)], _near(_distance(d)).alias("far"))
+        most = stage(_quantile(far, ["g", "start"], "far", {"most": SHARE}), "most")
+        sums = far.join(known(most), ["g", "start"]).where("far <= most").groupBy("g", "start").agg(*_moments(d))
+        before, estimate = estimate, stage(_estimates(sums, names, d), "estimate")
+        if step == TRIAL:
+            best = Window.partitionBy("g").orderBy("det", "start")
+            estimate = stage(estimate.withColumn("nth", F.row_number().over(best)).where("nth = 1").drop("nth"), "best")
+        if step > TRIAL:
+            fell = before.select("g", F.col("det").alias("was")).join(estimate, "g").agg(F.max(F.col("was") - F.col("det"))).first()[0]
+            if fell is None or fell < 1e-3:
+                break
     # The nearest rows understate the scatter: the median distance is brought to what it is under a normal law.
-    scale = _quantile(far, ["g"], "far", {"mid": 0.5}).select("g", (F.greatest(F.exp(F.col("mid") / BINS) / chi_square(0.5, d), F.lit(1.0))).alias("scale"))
-    estimate = stage(estimate.join(scale, "g"), "final")
-    out = ys.join(estimate, "g", "left").withColumn("distance", _distance(d) / F.col("scale"))
+    far = fit.join(known(estimate), "g").select("g", _near(_distance(d)).alias("far"))
+    scale = _quantile(far, ["g"], "far", {"mid": 0.5}).select("g", F.greatest(F.exp(F.col("mid") / SCALE) / chi_square(0.5, d), F.lit(1.0)).alias("scale"))
+    estimate = stage(estimate.join(scale, "g").select("g", "m", "p", "scale"), "final")
+    out = own.join(known(estimate), "g", "left").withColumn("distance", _distance(d) / F.col("scale"))
     kept = ~F.col("base_failed") & (F.col("distance") <= chi_square(1 - alpha, d))
     return out.select("id", "lang", "source", *COUNTS, "base_failed", "distance", F.coalesce(kept, F.lit(False)).alias("kept"))
