@@ -52,15 +52,9 @@ def shape_ngrams(text: str, bits: int = 16) -> np.ndarray:
     return np.unique(np.concatenate([_spread(codes >> np.uint64(16), 1, bits), _spread(s, 2, bits), _spread(pairs, 3, bits), _spread(pairs[:-1] << np.uint64(20) | s[2:], 4, bits)]))
 
 
-def _stem_code(word: bytes) -> int:
-    """Hash of the word, and above it that of its first four bytes if it has over five."""
-    return zlib.crc32(word) | (zlib.crc32(word[:4]) if len(word) > 5 else zlib.crc32(word)) << 32
-
-
 def words_of(text: str, bits: int = 20) -> np.ndarray:
-    """Distinct words, without case and signs, and distinct beginnings of long words."""
-    codes = _codes(text.encode().translate(_PLAIN).split(), _plain_codes, _stem_code)
-    return np.unique(np.concatenate([_spread(codes & np.uint64(0xFFFFFFFF), 1, bits), _spread(codes >> np.uint64(32), 2, bits)]))
+    """Distinct words, without case and signs."""
+    return np.unique(_spread(_codes(text.encode().translate(_PLAIN).split(), _plain_codes, zlib.crc32), 1, bits))
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -104,8 +98,8 @@ def class_counts(rows: DataFrame, bits: int) -> DataFrame:
     return rows.select("f", F.col("y").cast("int").alias("y")).mapInArrow(run, "feature long, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
-def bounded_sample(rows: DataFrame, most: int, n: int, key: str = "id") -> DataFrame:
-    """At most ``most`` of the ``n`` rows, those with the lowest hash of their key."""
-    order = F.xxhash64(F.lit("sample"), key)
+def bounded_sample(rows: DataFrame, most: int, n: int, keys: tuple[str, ...] = ("id", "f")) -> DataFrame:
+    """At most ``most`` of the ``n`` rows, those with the lowest hash of their keys."""
+    order = F.xxhash64(F.lit("sample"), *keys)
     share = min(1.0, 1.2 * most / max(n, 1) + 0.001)
-    return rows.where(order < int((2 * share - 1) * (2**63 - 1))).orderBy(order, key).limit(most) if n > most else rows
+    return rows.where(order < int((2 * share - 1) * (2**63 - 1))).orderBy(order, *keys).limit(most) if n > most else rows

@@ -2,8 +2,10 @@
 
 Severity grades are ordered; one weight for each word is shared by all thresholds between grades, so the log
 odds of exceeding grade k are w.x - t_k. Labels only say whether a text is toxic: a toxic row's grade in
-training is 1 to 3 by how many distinct words typical of toxic rows it holds. Words enter the model if the
-counts over all labelled rows tell that they are typical; the model is fitted to a bounded sample.
+training is 1 to 3 by how many distinct words typical of toxic rows it holds. A word enters the model if the
+counts over all labelled rows tell that it is typical: its likelihood ratio is over ``SURE`` and its odds are ``ODDS``
+times those in clean rows. There are at most 2^``BITS`` words, which is a hash's range. The model is fitted to a bounded
+sample of labelled rows, of which only the model's words leave the executors.
 """
 
 from __future__ import annotations
@@ -20,8 +22,10 @@ from vellum.llm.common import stage
 from vellum.llm.features import bounded_sample, class_counts, indicators, unpack, words_of
 
 BITS = 20
-#: Most words in the model, and most labelled rows of each class that it is fitted to.
-WORDS, SAMPLE = 4096, 6000
+#: Least likelihood ratio (four standard errors, squared) and odds ratio of a typical word.
+SURE, ODDS = 16.0, 8.0
+#: Most labelled rows of each class that the model is fitted to.
+SAMPLE = 6000
 #: Distinct typical words from which a toxic row has grade 2 and 3.
 GRADES = (4, 7)
 
@@ -42,35 +46,33 @@ class CumulativeLink:
         return 1 / (1 + np.exp(-np.clip(sums[:, None] - self.cuts, -30, 30)))
 
 
-def typical_words(counted, least: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """Features whose log odds between classes are far from none, in order, and these log odds.
+def typical_words(counts: DataFrame) -> DataFrame:
+    """(feature, odds) of the words that are typical of class 1, odds the log odds ratio, from (feature, n0, n1).
 
-    Far: over four standard errors, and in at least ``least`` rows; the farthest ``WORDS`` of them.
+    The likelihood ratio holds for rare words too, of which a standard error tells little.
     """
-    rows = counted[counted.feature == -1]
-    n0, n1 = float(rows.n0.sum()), float(rows.n1.sum())
-    c = counted[(counted.feature >= 0) & (counted.n0 + counted.n1 >= least)]
-    a, b = c.n1.to_numpy() + 0.5, c.n0.to_numpy() + 0.5
-    odds = np.log(a / (n1 - a + 1)) - np.log(b / (n0 - b + 1))
-    z = odds / np.sqrt(1 / a + 1 / b)
-    far = np.flatnonzero((z > 4) & (odds > np.log(8)))
-    far = far[np.lexsort((c.feature.to_numpy()[far], -z[far]))][:WORDS]
-    ids = c.feature.to_numpy()[far]
-    order = np.argsort(ids)
-    return ids[order].astype(np.int64), odds[far][order]
-
-
-def farthest(counts: DataFrame) -> DataFrame:
-    """The row of totals, and twice as many features as the model keeps: those in enough toxic rows, by standard errors.
-
-    The bounds are a little wider than those of ``typical_words``, which has the last word.
-    """
-    totals = counts.where("feature = -1")
-    c = counts.where("feature >= 0 and n1 >= 4 and n1 + n0 >= 8").crossJoin(F.broadcast(totals.select(F.col("n0").alias("all0"), F.col("n1").alias("all1"))))
+    totals = counts.where("feature = -1").select(F.col("n0").alias("all0"), F.col("n1").alias("all1"))
+    c = counts.where("feature >= 0").crossJoin(F.broadcast(totals))
     odds = F.ln(F.expr("(n1 + 0.5D) / (all1 - n1 + 0.5D)")) - F.ln(F.expr("(n0 + 0.5D) / (all0 - n0 + 0.5D)"))
-    z = odds / F.sqrt(F.expr("1 / (n1 + 0.5D) + 1 / (n0 + 0.5D)"))
-    far = c.withColumn("z", z).where((F.col("z") > 3.99) & (odds > np.log(8) - 0.01)).orderBy(F.desc("z"), "feature").limit(2 * WORDS)
-    return totals.unionByName(far.select(*totals.columns))
+    part = lambda n, both, of: F.expr(f"CASE WHEN {n} > 0 THEN ({n}) * ln(({n}) * CAST(all0 + all1 AS DOUBLE) / ({both}) / {of}) ELSE 0D END")
+    ratio = 2 * (part("n1", "n0 + n1", "all1") + part("n0", "n0 + n1", "all0"))
+    ratio = ratio + 2 * (part("all1 - n1", "all0 + all1 - n0 - n1", "all1") + part("all0 - n0", "all0 + all1 - n0 - n1", "all0"))
+    return c.select("feature", odds.alias("odds"), ratio.alias("ratio")).where((F.col("ratio") > SURE) & (F.col("odds") > np.log(ODDS))).select("feature", "odds")
+
+
+def of_model(rows: DataFrame, words: np.ndarray) -> DataFrame:
+    """(id, y, f) with only the places of the model's words in f, as 32-bit numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for f in batch.column(2).to_pylist():
+                ids = unpack(f, BITS)
+                at = np.minimum(np.searchsorted(words, ids), len(words) - 1)
+                out.append(at[words[at] == ids].astype("<i4").tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.binary())], names=["id", "y", "f"])
+
+    return rows.select("id", "y", "f").mapInArrow(run, "id long, y int, f binary")
 
 
 def fit(rows: list[np.ndarray], grades: np.ndarray, weight: np.ndarray, n_words: int, n_grades: int, start: np.ndarray, steps: int = 400, l2: float = 2e-4) -> tuple[np.ndarray, np.ndarray]:
@@ -108,22 +110,24 @@ def severity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_co
     chances: that the text's grade exceeds 0, 1 and 2; severity: the expected grade; grade: the likeliest grade's
     place among cuts at one half. ``labels`` has (id, 0 or 1): other and null labels are skipped, of repeated ids
     the larger label counts. Without typical words, or without toxic rows, all chances are 0. A null or empty
-    text has no words. Null and repeated ids keep their rows; an empty table gives none.
+    text has no words; a very long one is read whole. Null and repeated ids keep their rows; an empty table gives none.
+    Columns besides these are not looked at.
     """
     own = stage(indicators(docs, words_of, BITS, id_col, text_col), "words")
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1))
     rows = stage(own.join(known.groupBy("id").agg(F.max("y").alias("y")).hint("merge"), "id"), "labelled")
     counts = stage(class_counts(rows, BITS), "counts")
-    counted = farthest(counts).toPandas()
-    n0, n1 = (int(counted.loc[counted.feature == -1, c].sum()) for c in ("n0", "n1"))
-    words, odds = typical_words(counted) if n0 and n1 else (np.zeros(0, np.int64), np.zeros(0))
+    total = counts.where("feature = -1").first()
+    n0, n1 = (total.n0, total.n1) if total else (0, 0)
+    typical = sorted(typical_words(counts).collect()) if n0 and n1 else []
+    words, odds = np.array([r.feature for r in typical], np.int64), np.array([r.odds for r in typical])
     if not len(words):
         return own.select("id", F.array(*[F.lit(0.0)] * 3).alias("chances"), F.lit(0.0).alias("severity"), F.lit(0).alias("grade"))
-    place = {w: k for k, w in enumerate(words.tolist())}
-    parts = [bounded_sample(rows.where(F.col("y") == y).select("id", "y", "f"), sample, n) for y, n in ((0, n0), (1, n1))]
-    some = sorted(parts[0].unionByName(parts[1]).collect(), key=lambda r: (r.y, r.id, r.f))
-    xs = [np.array([place[f] for f in unpack(bytes(r.f), BITS).tolist() if f in place], np.int64) for r in some]
-    grades = np.array([r.y * (1 + sum(len(x) >= g for g in GRADES)) for r, x in zip(some, xs)])
+    short = of_model(rows, words)
+    parts = [bounded_sample(short.where(F.col("y") == y), sample, n) for y, n in ((0, n0), (1, n1))]
+    some = sorted(((r.y, r.id, bytes(r.f)) for r in parts[0].unionByName(parts[1]).collect()))
+    xs = [np.frombuffer(f, "<i4").astype(np.int64) for _, _, f in some]
+    grades = np.array([y * (1 + sum(len(x) >= g for g in GRADES)) for (y, _, _), x in zip(some, xs)])
     weight = np.where(grades > 0, n1 / max(1, (grades > 0).sum()), n0 / max(1, (grades == 0).sum()))
     weights, cuts = fit(xs, grades, weight, len(words), len(GRADES) + 2, odds)
     shared = docs.sparkSession.sparkContext.broadcast(CumulativeLink(words, weights, cuts))
