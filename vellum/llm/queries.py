@@ -15,7 +15,7 @@ from vellum.llm.mixing import ORACLE as MIXING_SQL
 from vellum.llm.mixing import WEIGHTS, default_levels, mix
 from vellum.llm.quality_classifier import classify
 from vellum.llm.quality_rules import judge
-from vellum.llm.secret_scan import scan
+from vellum.llm.secret_scan import BASE, scan
 from vellum.llm.simhash import near_duplicates
 from vellum.llm.suffix_dedup import remove_repeats
 from vellum.llm.toxicity import severity
@@ -37,7 +37,9 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = scan(table(spark, sf_dir, "documents"))
+    """Two runs: one with the base rules, and one with all, for which only the other rules' pairs are new."""
+    docs = table(spark, sf_dir, "documents")
+    found, _ = scan(docs, scan(docs, packs=(BASE,))[1])
     said = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", x.kind, x.start, x.stop)), ",")
     base = F.filter("findings", lambda x: x.kind.isin("assign", "access", "hex"))
     count = lambda kind: F.size(F.filter("findings", lambda x: x.kind == kind)).cast("long").alias(f"n_{kind}")
