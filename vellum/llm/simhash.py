@@ -24,6 +24,8 @@ from vellum.llm.components import connected_components
 #: Distinct fingerprints of a bucket that are compared with each other in one task. Larger buckets are dealt
 #: out by the points halfway between fingerprints, which grows with their size and not with its square.
 BUCKET = 4096
+#: Components of several fingerprints (16 bytes each) up to which they are broadcast.
+SMALL = 500_000
 
 
 def masks(radius: int = 4, bits: int = 64) -> list[int]:
@@ -151,8 +153,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             same = nodes.select("node", F.col(name).alias("fp")).join(low.where("n > 1").select("fp", "low"), "fp")
             parts.append(same.where("node <> low").select(F.col("node").alias("u"), F.col("low").alias("v")))
         edges = reduce(DataFrame.unionByName, parts)
-    roots = connected_components(edges)
-    joined = nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    low = joined.groupBy("root").agg(F.min("first").alias("component"))
-    known = joined.join(low, "root").select("node", "component")
+    roots = stage(connected_components(edges), "roots")
+    linked = nodes.join(roots, "node").select("node", "first", "root")
+    low = stage(linked.groupBy("root").agg(F.min("first").alias("component")), "low")
+    # One component may have a large share of all nodes, so its nodes aren't dealt by it unless there are too many components.
+    low = F.broadcast(low) if low.count() <= SMALL else low
+    linked = roots.join(low, "root").select("node", "component")
+    known = nodes.join(linked.withColumn("linked", F.lit(True)), "node", "left").select("node", F.when(F.col("linked"), F.col("component")).otherwise(F.col("first")).alias("component"))
     return own.withColumn("node", node).join(known, "node").select("id", *names, "component")
