@@ -49,12 +49,14 @@ def share(nodes: DataFrame, parent: Sequence[str]) -> DataFrame:
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     onward = order.rowsBetween(0, Window.unboundedFollowing)
     df = nodes.withColumn("used", F.coalesce(F.sum("cap").over(before), F.lit(0))).withColumn("heavy", F.sum("w").over(onward)).withColumn("at", F.row_number().over(order))
-    full = F.col("cap") * F.col("heavy") <= (F.col("budget") - F.col("used")) * F.col("w")
+    # Products of tokens and weights are more than a long holds in a large corpus.
+    tokens, weight = (lambda c: c.cast("decimal(20,0)")), (lambda c: F.col(c).cast("decimal(17,0)"))
+    full = tokens(F.col("cap")) * weight("heavy") <= tokens(F.col("budget") - F.col("used")) * weight("w")
     df = df.withColumn("firstopen", F.min(F.when(~full, F.col("at"))).over(by))
     left = F.min(F.when(F.col("at") == F.col("firstopen"), F.col("budget") - F.col("used"))).over(by)
     heavy = F.min(F.when(F.col("at") == F.col("firstopen"), F.col("heavy"))).over(by)
     df = df.withColumn("rest", left).withColumn("over", heavy)
-    got = F.when(F.col("firstopen").isNull() | (F.col("at") < F.col("firstopen")), F.col("cap")).otherwise(F.expr("(rest * w) div over"))
+    got = F.when(F.col("firstopen").isNull() | (F.col("at") < F.col("firstopen")), F.col("cap")).otherwise(F.expr("(cast(rest as decimal(20,0)) * cast(w as decimal(17,0))) div cast(over as decimal(17,0))"))
     return df.withColumn("got", got.cast("long")).drop("used", "heavy", "at", "firstopen", "rest", "over")
 
 
@@ -108,16 +110,15 @@ def plan(rows: DataFrame, levels: Sequence[str], weights: Mapping[tuple[str, ...
     return stage(goal.select(*levels, "got", "whole").join(cut, list(levels), "left").select(*levels, "got", "whole", F.col("cut.place").alias("cut_place"), F.col("cut.id").alias("cut_id")), "plan")
 
 
-def choose(rows: DataFrame, made: DataFrame, levels: Sequence[str], seed: int = 42, id_col: str = "id") -> DataFrame:
+def choose(rows: DataFrame, made: DataFrame, levels: Sequence[str], seed: int = 42, id_col: str = "id", epoch: str = "epoch") -> DataFrame:
     """Rows of ``rows`` as often as ``plan`` has them, with ``epoch``. Rows aren't shuffled if the plan is small."""
-    here = made.select(*[F.col(c).alias(f"_{c}") for c in (*levels, "whole", "cut_place", "cut_id")])
+    p = "_vellum_plan_"
+    here = made.select(*[F.col(c).alias(p + c) for c in (*levels, "whole", "cut_place", "cut_id")])
     here = F.broadcast(here) if made.count() <= SMALL else here
-    on = [F.col(f"_{c}") == rows[c] for c in levels]
-    at = place(F.col(id_col), F.col("_whole"), seed)
-    more = F.coalesce((at < F.col("_cut_place")) | ((at == F.col("_cut_place")) & (F.col(id_col) <= F.col("_cut_id"))), F.lit(False))
-    times = F.col("_whole") + more.cast("int")
-    joined = rows.join(here, on).withColumn("_times", times).where("_times > 0")
-    return joined.select(*rows.columns, F.explode(F.sequence(F.lit(0), F.col("_times") - 1)).alias("epoch"))
+    at = place(F.col(id_col), F.col(f"{p}whole"), seed)
+    more = F.coalesce((at < F.col(f"{p}cut_place")) | ((at == F.col(f"{p}cut_place")) & (F.col(id_col) <= F.col(f"{p}cut_id"))), F.lit(False))
+    joined = rows.join(here, [F.col(p + c) == rows[c] for c in levels]).withColumn(f"{p}times", F.col(f"{p}whole") + more.cast("int")).where(f"{p}times > 0")
+    return joined.select(*[rows[c] for c in rows.columns], F.explode(F.sequence(F.lit(0), F.col(f"{p}times") - 1)).alias(epoch))
 
 
 def leaf_rows(docs: DataFrame, levels: Mapping[str, Column], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
