@@ -151,14 +151,32 @@ def _uint(data: bytes, a: int, b: int) -> int:
     return int.from_bytes(data[a:b], "big")
 
 
-def parse(data: bytes) -> tuple[list[tuple[int, int, int, int, int, int]], list[tuple[int, int, int]]]:
-    """Packets (track, timestamp in ns, first byte, end byte, cluster, place in its lacing) and cues (time in ns, track, byte of the cluster)."""
-    packets, cues, durations, scale, cluster = [], [], {}, 1_000_000, -1
-    top = {k: (a, b) for k, a, b in children(data, 0, len(data))}
-    if EBML not in top or SEGMENT not in top:
-        raise ValueError("no EBML head or no segment")
-    base = top[SEGMENT][0]
-    for kind, a, b in children(data, *top[SEGMENT]):
+Packets = list[tuple[int, int, int, int, int, int]]
+Cues = list[tuple[int, int, int]]
+
+
+def parse(data: bytes) -> tuple[Packets, Cues]:
+    """Packets (track, timestamp in ns, first byte, end byte, cluster, place in its lacing) and cues (time in ns, track, byte of the cluster).
+
+    Segments follow each other, and clusters are counted through. Data that is cut off or isn't Matroska raises ValueError.
+    """
+    try:
+        top = list(children(data, 0, len(data)))
+        segments = [(a, b) for k, a, b in top if k == SEGMENT]
+        if not segments or top[0][0] != EBML:
+            raise ValueError("no EBML head or no segment")
+        packets: Packets = []
+        cues: Cues = []
+        for a, b in segments:
+            _segment(data, a, b, packets, cues)
+    except (IndexError, KeyError, StopIteration, struct.error) as e:
+        raise ValueError("the Matroska data is cut off or incomplete") from e
+    return packets, cues
+
+
+def _segment(data: bytes, base: int, end: int, packets: Packets, cues: Cues) -> None:
+    durations, scale, cluster = {}, 1_000_000, packets[-1][4] if packets else -1
+    for kind, a, b in children(data, base, end):
         if kind == INFO:
             scale = next((_uint(data, x, y) for k, x, y in children(data, a, b) if k == TIMESTAMP_SCALE), scale)
         elif kind == TRACKS:
@@ -173,6 +191,8 @@ def parse(data: bytes) -> tuple[list[tuple[int, int, int, int, int, int]], list[
                     began = _uint(data, x, y)
                 for p, q in [(x, y)] if k == SIMPLE_BLOCK else [(p, q) for i, p, q in children(data, x, y) if i == BLOCK] if k == BLOCK_GROUP else []:
                     track, _, width = vint(data, p)
+                    if p + width + 3 > q:
+                        raise ValueError(f"block at byte {p} has no head")
                     ahead = struct.unpack_from(">h", data, p + width)[0]
                     at = (began + ahead) * scale
                     for lace, (m, n) in enumerate(laces(data, p + width + 3, q, data[p + width + 2] >> 1 & 3)):
@@ -185,7 +205,6 @@ def parse(data: bytes) -> tuple[list[tuple[int, int, int, int, int, int]], list[
                     for p, q in [(p, q) for i, p, q in inside if i == CUE_TRACK_POSITIONS]:
                         own = {i: _uint(data, m, n) for i, m, n in children(data, p, q)}
                         cues.append((when * scale, own[CUE_TRACK], base + own[CUE_CLUSTER_POSITION]))
-    return packets, cues
 
 
 def feature(payload: bytes, packets: list, cues: list) -> str:
