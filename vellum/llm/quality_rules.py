@@ -6,22 +6,25 @@ rows that are nearest by Mahalanobis distance and estimate anew from these. They
 quartiles, the correlation of hyperbolic tangents, that of spatial signs); after ``TRIAL`` steps the start of least
 determinant goes on until no determinant falls any more. A row too far from its group's estimate is rejected.
 
-The estimates are regularised, as in the minimum regularised covariance determinant: a group's mean and scatter are
-drawn towards its language's, and a language's towards those of all rows, by a weight that counts as ``PRIOR`` rows. So
-a group of any size has an estimate of its own, and one of many rows has hardly anything of the others. Statistics come
-in units of ``FLOORS``, and half a unit of variance stands for differences that never count as unusual.
-
-All steps are sums and histograms over all rows, so a group may have any size. Estimates are a row for each group; they
-are broadcast up to ``SMALL`` groups, after counting them, and joined beyond that.
+The estimates are regularised, as in the minimum regularised covariance determinant: mean and scatter of a group are
+drawn towards its language's estimate, and a language's scatter towards one of units, by a weight that counts as
+``PRIOR`` rows. So a group of any size has an estimate of its own, and one of many rows has hardly anything of others.
+Statistics come in units of ``FLOORS``, and half a unit of variance stands for differences that never are unusual.
+
+All steps are sums and histograms over all rows, which tasks make of the rows they read, so a group may have any size
+and no rows are dealt by group. Estimates are a row for each group: the driver holds those of ``SMALL`` groups at a
+time, and goes through more of them in blocks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,11 +33,12 @@ from vellum.llm.common import stage, text_slices
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_punct", "n_distinct", "n_digits")
 #: Units of the statistics: differences below them never count as unusual.
 FLOORS = (0.06, 0.04, 0.05, 0.08, 0.03, 0.2, 0.25, 0.15)
-#: Share of rows that an estimate is made of, steps from each start, steps at most, and rows that the parent counts for.
-SHARE, TRIAL, STEPS, PRIOR = 0.75, 2, 10, 32
+#: Share of rows that an estimate is made of, steps from each start, steps at most, the fall of a determinant's logarithm
+#: that ends them, and rows that the parent counts for.
+SHARE, TRIAL, STEPS, FALL, PRIOR = 0.75, 2, 10, 1e-2, 32
 #: Steps of a histogram in a unit and in a factor of e of a squared distance.
 BINS, SCALE = 20, 50
-#: Groups up to which estimates are broadcast.
+#: Groups whose estimates (1.5 kB each) the driver holds at a time.
 SMALL = 20_000
 #: Chance of a rejection if a group's clean rows were normal, before the floors.
 ALPHA = 1e-9
@@ -97,93 +101,170 @@ def chi_square(p: float, d: int) -> float:
     return d * (1 - 2 / (9 * d) + NormalDist().inv_cdf(p) * (2 / (9 * d)) ** 0.5) ** 3
 
 
-def _quantile(rows: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """Quantiles of the whole number ``value`` in each group, from its histogram: one row a group."""
-    n = rows.groupBy(*by, value).agg(F.count("*").alias("_n"))
+def _quantile(parts: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Quantiles of the whole number ``value`` in each group, from parts of its histogram (n): one row a group."""
+    n = parts.groupBy(*by, value).agg(F.sum("n").alias("n"))
     upto = Window.partitionBy(*by).orderBy(value)
-    n = n.withColumn("_upto", F.sum("_n").over(upto)).withColumn("_all", F.sum("_n").over(Window.partitionBy(*by)))
-    return n.groupBy(*by).agg(*[F.min(F.when(F.col("_upto") >= F.col("_all") * s, F.col(value))).alias(k) for k, s in shares.items()])
+    n = n.withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(Window.partitionBy(*by)))
+    return n.groupBy(*by).agg(*[F.min(F.when(F.col("upto") >= F.col("all") * s, F.col(value))).alias(k) for k, s in shares.items()])
 
 
-def _near(distance: Column) -> Column:
-    """A squared distance as a whole number, in steps of its logarithm."""
-    return F.round(F.log(distance + 1e-6) * SCALE).cast("long")
+def _counted(*keys: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of whole numbers, and how often each comes."""
+    rows, n = np.unique(np.stack(keys, axis=1), axis=0, return_counts=True)
+    return list(rows.T), n
 
 
-def _distance(d: int) -> Column:
-    off = [F.col(f"y{i}") - F.col("m")[i] for i in range(d)]
-    return sum((off[i] * off[j] * F.col("p")[i * d + j] * (1 if i == j else 2) for i in range(d) for j in range(i, d)), F.lit(0.0))
+def _summed(key: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, their rows, and sums of their values."""
+    order = np.argsort(key, kind="stable")
+    keys, first, n = np.unique(key[order], return_index=True, return_counts=True)
+    return keys, n, np.add.reduceat(values[order], first, axis=0) if len(key) else values[:0]
 
 
-def _moments(d: int) -> list[Column]:
-    """Sums of the statistics and of their products."""
-    ys = [F.col(f"y{i}") for i in range(d)]
-    return [F.count("*").alias("n"), *[F.sum(y).alias(f"s{i}") for i, y in enumerate(ys)], *[F.sum(ys[i] * ys[j]).alias(f"s{i}_{j}") for i in range(d) for j in range(i, d)]]
+def _products(y: np.ndarray) -> np.ndarray:
+    i, j = np.triu_indices(y.shape[1])
+    return y[:, i] * y[:, j]
 
 
-def _spread(sums: np.ndarray, n: float, d: int) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and scatter from sums."""
-    mean = sums[:d] / max(n, 1)
-    cov = np.zeros((d, d))
-    cov[np.triu_indices(d)] = sums[d:] / max(n, 1)
-    return mean, cov + np.triu(cov, 1).T - np.outer(mean, mean)
+def _square(upper: np.ndarray, d: int) -> np.ndarray:
+    out = np.zeros((*upper.shape[:-1], d, d))
+    i, j = np.triu_indices(d)
+    out[..., i, j] = upper
+    out[..., j, i] = upper
+    return out
 
 
-def drawn(own: tuple[float, np.ndarray], parents: list[tuple[float, np.ndarray]], d: int) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and scatter of a group (rows, sums), drawn towards those of its parents, which come from the root on."""
-    mean, cov = np.zeros(d), np.zeros((d, d))
-    for k, (n, sums) in enumerate([*parents, own]):
-        m, c = _spread(sums, n, d)
-        w = n / (n + PRIOR) if k else 1.0
-        mean, cov = w * m + (1 - w) * mean, w * c + (1 - w) * cov
-    return mean, cov + 0.5 * np.eye(d)
+def _far(y: np.ndarray, g: np.ndarray, mean: np.ndarray, inverse: np.ndarray) -> np.ndarray:
+    """Squared distances of rows from their group's estimate."""
+    off = y - mean[g]
+    return np.einsum("ni,nij,nj->n", off, inverse[g], off)
 
 
-def _estimates(sums: DataFrame, names: DataFrame, d: int) -> DataFrame:
-    """(g, start, m, p, det): location, inverse scatter and the determinant's logarithm, from sums by group and start."""
-    columns = [c for c in sums.columns if c not in ("g", "start")]
-    values = lambda f: F.array(*[f(c).cast("double") for c in columns])
-    sums = stage(sums.join(names, "g").select("g", "start", "lang", values(F.col).alias("own"), *columns), "sums")
-    langs = sums.groupBy(F.col("start").alias("of"), F.col("lang").alias("name")).agg(values(F.sum).alias("b"))
-    every = sums.groupBy(F.col("start").alias("root")).agg(values(F.sum).alias("a"))
-    rows = sums.select("g", "start", "lang", "own").join(langs, F.expr("start = of and lang <=> name")).join(every, F.expr("start = root"))
+def _log(distance: np.ndarray) -> np.ndarray:
+    """A squared distance as a whole number, in steps of its logarithm."""
+    return np.round(np.log(distance + 1e-6) * SCALE).astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            where, inverse, det = [], [], []
-            for own, b, a in zip(*(c.to_pylist() for c in batch.columns[2:])):
-                mean, cov = drawn((own[0], np.array(own[1:])), [(x[0], np.array(x[1:])) for x in (a, b)], d)
-                where.append(mean.tolist())
-                inverse.append(np.linalg.inv(cov).ravel().tolist())
-                det.append(float(np.linalg.slogdet(cov)[1]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(where, pa.list_(pa.float64())), pa.array(inverse, pa.list_(pa.float64())), pa.array(det, pa.float64())], names=["g", "start", "m", "p", "det"])
 
-    return rows.select("g", "start", "own", "b", "a").mapInArrow(run, "g string, start int, m array<double>, p array<double>, det double")
+def drawn(n: np.ndarray, sums: np.ndarray, mean0: np.ndarray | None, cov0: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """Means and scatters from rows and sums, drawn towards others; a missing mean draws nothing."""
+    n = np.maximum(n, 1e-9)[:, None]
+    mean = sums[:, :d] / n
+    cov = _square(sums[:, d:] / n, d) - mean[:, :, None] * mean[:, None, :]
+    w = n / (n + PRIOR)
+    if mean0 is not None:
+        mean = w * mean + (1 - w) * mean0
+    return mean, w[:, :, None] * cov + (1 - w)[:, :, None] * cov0
 
 
-def _starts(sums: DataFrame, d: int) -> DataFrame:
-    """(g, start, m, p) of the three starts, from quartiles (b, s) and the sums of products of tangents and of signs."""
+def _rows(batch: pa.RecordBatch, names: pa.Array, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """Group and statistics of the rows (name, y) whose group is in ``names``."""
+    g = pc.fill_null(pc.index_in(batch.column(0), value_set=names), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    y = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+    return g[g >= 0], y[g >= 0]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            groups, starts, where, inverse = [], [], [], []
-            for row in batch.to_pylist():
-                mid, unit = np.array(row["b"]), np.array(row["s"])
-                for start, products in enumerate((None, row["u"], row["v"])):
-                    cov = np.eye(d)
-                    if products is not None:
-                        cov[np.triu_indices(d)] = products
-                        cov = np.triu(cov) + np.triu(cov, 1).T + 1e-9 * np.eye(d)
-                        root = np.sqrt(np.diag(cov))
-                        # A correlation; a tenth of the identity keeps it regular.
-                        cov = 0.9 * cov / np.outer(root, root) + 0.1 * np.eye(d)
-                    groups.append(row["g"])
-                    starts.append(start)
-                    where.append(mid.tolist())
-                    inverse.append((np.linalg.inv(cov) / np.outer(unit, unit)).ravel().tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(groups, pa.string()), pa.array(starts, pa.int32()), pa.array(where, pa.list_(pa.float64())), pa.array(inverse, pa.list_(pa.float64()))], names=["g", "start", "m", "p"])
-
-    return sums.mapInArrow(run, "g string, start int, m array<double>, p array<double>")
+
+def estimate(fit: DataFrame, names: list[str], d: int, mean0: np.ndarray | None = None, cov0: np.ndarray | None = None, scale0: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mean, scatter, scale) of each of the groups ``names`` from the rows ``fit`` (name, y: array of d doubles).
+
+    mean0, cov0 and scale0 are what they are drawn towards, units if nothing. scale brings the median distance to what it is under
+    a normal law, for the nearest rows understate the scatter.
+    """
+    values = pa.array(names, pa.string())
+    cov0 = np.broadcast_to(np.eye(d), (len(names), d, d)) if cov0 is None else cov0
+
+    def over(make: Callable[[np.ndarray, np.ndarray], list[np.ndarray]], columns: str) -> DataFrame:
+        """What ``make`` makes of each batch's groups and statistics."""
+        heads = [c.split()[0] for c in columns.split(", ")]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                g, y = _rows(batch, values, d)
+                if len(g):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in make(g, y)], names=heads)
+
+        return fit.mapInArrow(run, columns)
+
+    def quartiles(g: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+        parts = [_counted(g, np.full(len(g), j), np.round(y[:, j] * BINS).astype(np.int64)) for j in range(d)]
+        return [*(np.concatenate([p[0][k] for p in parts]) for k in range(3)), np.concatenate([p[1] for p in parts])]
+
+    mid, unit = np.zeros((len(names), d)), np.ones((len(names), d))
+    for r in _quantile(over(quartiles, "g long, j long, x long, n long"), ["g", "j"], "x", {"a": 0.25, "b": 0.5, "c": 0.75}).collect():
+        mid[r.g, r.j], unit[r.g, r.j] = r.b / BINS, max((r.c - r.a) / (BINS * 1.349), 1.0)
+
+    size = d * (d + 1) // 2
+
+    def summed(make: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], width: int, starts: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and sums by group and start, of what ``make`` gives for a batch: keys and values."""
+
+        def parts(g: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+            key, n, total = _summed(*make(g, y))
+            return [key, n, *total.T.copy()]
+
+        names_ = [f"s{k}" for k in range(width)]
+        found = over(parts, "key long, n long, " + ", ".join(f"{c} double" for c in names_)).groupBy("key").agg(F.sum("n").alias("n"), F.array(*[F.sum(c) for c in names_]).alias("s"))
+        n, total = np.zeros(len(names) * starts), np.zeros((len(names) * starts, width))
+        for r in found.collect():
+            n[r.key], total[r.key] = r.n, r.s
+        return n, total
+
+    def signs(g: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        z = (y - mid[g]) / unit[g]
+        return g, np.concatenate([_products(np.tanh(z)), _products(z / np.sqrt((z * z).sum(axis=1, keepdims=True) + 1e-9))], axis=1)
+
+    _, total = summed(signs, 2 * size, 1)
+    inverse = []
+    for upper in (None, total[:, :size], total[:, size:]):
+        like = np.broadcast_to(np.eye(d), (len(names), d, d))
+        if upper is not None:
+            cov = _square(upper, d) + 1e-9 * np.eye(d)
+            root = np.sqrt(np.einsum("gii->gi", cov))
+            # A tenth of the identity keeps a correlation regular.
+            like = 0.9 * cov / (root[:, :, None] * root[:, None, :]) + 0.1 * np.eye(d)
+        inverse.append(np.linalg.inv(like) / (unit[:, :, None] * unit[:, None, :]))
+    # Estimates by group and start; from the first choice on there is one start.
+    starts = 3
+    mean, inverse = np.repeat(mid, starts, axis=0), np.stack(inverse, axis=1).reshape(-1, d, d)
+    det = cov = None
+
+    def logs(mean: np.ndarray, inverse: np.ndarray, starts: int) -> DataFrame:
+        def parts(g: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+            found = [_counted(g * starts + k, _log(_far(y, g * starts + k, mean, inverse))) for k in range(starts)]
+            return [*(np.concatenate([f[0][c] for f in found]) for c in range(2)), np.concatenate([f[1] for f in found])]
+
+        return over(parts, "key long, far long, n long")
+
+    for step in range(1, STEPS + 1):
+        most = np.full(len(mean), -(2**62))
+        for r in _quantile(logs(mean, inverse, starts), ["key"], "far", {"most": SHARE}).collect():
+            most[r.key] = r.most
+
+        def near(g: np.ndarray, y: np.ndarray, mean=mean, inverse=inverse, starts=starts, most=most) -> tuple[np.ndarray, np.ndarray]:
+            keys, values = [], []
+            for k in range(starts):
+                key = g * starts + k
+                kept = _log(_far(y, key, mean, inverse)) <= most[key]
+                keys.append(key[kept])
+                values.append(np.concatenate([y[kept], _products(y[kept])], axis=1))
+            return np.concatenate(keys), np.concatenate(values)
+
+        n, sums = summed(near, d + size, starts)
+        again = lambda x: None if x is None else np.repeat(x, starts, axis=0)
+        mean, cov = drawn(n, sums, again(mean0), again(cov0), d)
+        cov = cov + 0.5 * np.eye(d)
+        was, det = det, np.linalg.slogdet(cov)[1]
+        if step == TRIAL:
+            best = det.reshape(-1, starts).argmin(axis=1) + np.arange(len(names)) * starts
+            mean, cov, det, n, starts = mean[best], cov[best], det[best], n[best], 1
+        inverse = np.linalg.inv(cov)
+        if step > TRIAL and (was - det).max(initial=0.0) < FALL:
+            break
+    scale = np.ones(len(names))
+    for r in _quantile(logs(mean, inverse, 1), ["key"], "far", {"mid": 0.5}).collect():
+        scale[r.key] = max(np.exp(r.mid / SCALE) / chi_square(0.5, d), 1.0)
+    w = n / (n + PRIOR)
+    return mean, cov, np.exp(w * np.log(scale) + (1 - w) * np.log(1.0 if scale0 is None else scale0))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", alpha: float = ALPHA) -> DataFrame:
@@ -198,41 +279,32 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     own = statistics(docs, id_col, text_col, lang_col, source_col)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     d = len(FLOORS)
-    g = F.when(~failed, F.to_json(F.struct("lang", "source")))
-    own = stage(own.select("id", "lang", "source", *COUNTS, failed.alias("base_failed"), g.alias("g"), *[(x / F.lit(u)).alias(f"y{i}") for i, (x, u) in enumerate(zip(vector(), FLOORS))]), "statistics")
-    fit = own.where("not base_failed").select("g", *[f"y{i}" for i in range(d)])
-    # Starts: medians and spreads, then products of tangents and of signs in these units.
-    each = fit.select("g", F.posexplode(F.array(*[F.round(F.col(f"y{i}") * BINS).cast("long") for i in range(d)])).alias("j", "x"))
-    mid = _quantile(each, ["g", "j"], "x", {"a": 0.25, "b": 0.5, "c": 0.75})
-    mid = mid.select("g", "j", (F.col("b") / BINS).alias("b"), F.greatest((F.col("c") - F.col("a")) / (BINS * 1.349), F.lit(1.0)).alias("s"))
-    at = lambda what, i: F.max(F.when(F.col("j") == i, F.col(what)))
-    mid = stage(mid.groupBy("g").agg(F.array(*[at("b", i) for i in range(d)]).alias("b"), F.array(*[at("s", i) for i in range(d)]).alias("s")), "quartiles")
-    few = mid.count() <= SMALL
-    known = lambda df: F.broadcast(df) if few else df
-    names = stage(own.where("not base_failed").select("g", "lang").distinct(), "names")
-    z = [(F.col(f"y{i}") - F.col("b")[i]) / F.col("s")[i] for i in range(d)]
-    scored = fit.join(known(mid), "g").select("g", *[x.alias(f"z{i}") for i, x in enumerate(z)])
-    length = F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(d)), F.lit(1e-9)))
-    scored = scored.select("g", *[F.tanh(f"z{i}").alias(f"u{i}") for i in range(d)], *[(F.col(f"z{i}") / length).alias(f"v{i}") for i in range(d)])
-    pairs = lambda w: F.array(*[F.sum(F.col(f"{w}{i}") * F.col(f"{w}{j}")) for i in range(d) for j in range(i, d)]).alias(w)
-    estimate = stage(_starts(scored.groupBy("g").agg(pairs("u"), pairs("v")).join(mid, "g"), d), "starts")
-
-    for step in range(1, STEPS + 1):
-        far = fit.join(known(estimate), "g").select("g", "start", *[f"y{i}" for i in range(d)], _near(_distance(d)).alias("far"))
-        most = stage(_quantile(far, ["g", "start"], "far", {"most": SHARE}), "most")
-        sums = far.join(known(most), ["g", "start"]).where("far <= most").groupBy("g", "start").agg(*_moments(d))
-        before, estimate = estimate, stage(_estimates(sums, names, d), "estimate")
-        if step == TRIAL:
-            best = Window.partitionBy("g").orderBy("det", "start")
-            estimate = stage(estimate.withColumn("nth", F.row_number().over(best)).where("nth = 1").drop("nth"), "best")
-        if step > TRIAL:
-            fell = before.select("g", F.col("det").alias("was")).join(estimate, "g").agg(F.max(F.col("was") - F.col("det"))).first()[0]
-            if fell is None or fell < 1e-3:
-                break
-    # The nearest rows understate the scatter: the median distance is brought to what it is under a normal law.
-    far = fit.join(known(estimate), "g").select("g", _near(_distance(d)).alias("far"))
-    scale = _quantile(far, ["g"], "far", {"mid": 0.5}).select("g", F.greatest(F.exp(F.col("mid") / SCALE) / chi_square(0.5, d), F.lit(1.0)).alias("scale"))
-    estimate = stage(estimate.join(scale, "g").select("g", "m", "p", "scale"), "final")
-    out = own.join(known(estimate), "g", "left").withColumn("distance", _distance(d) / F.col("scale"))
-    kept = ~F.col("base_failed") & (F.col("distance") <= chi_square(1 - alpha, d))
-    return out.select("id", "lang", "source", *COUNTS, "base_failed", "distance", F.coalesce(kept, F.lit(False)).alias("kept"))
+    y = F.array(*[x / F.lit(u) for x, u in zip(vector(), FLOORS)])
+    columns = ["id", "lang", "source", *COUNTS, "base_failed"]
+    own = stage(own.withColumn("base_failed", failed).select(*columns, F.to_json(F.struct("lang")).alias("tongue"), F.to_json(F.struct("lang", "source")).alias("g"), y.alias("y")), "statistics")
+    fit = own.where("not base_failed")
+    blocks = max(1, -(-fit.select("g").distinct().count() // SMALL))
+    cutoff = chi_square(1 - alpha, d)
+    done = [own.where("base_failed").select(*columns, F.lit(None).cast("double").alias("distance"))]
+    for block in range(blocks):
+        part = fit.where(F.pmod(F.xxhash64("g"), F.lit(blocks)) == block)
+        # A language whose groups fall into several blocks is estimated from all its rows in each.
+        pairs = sorted((r.g, r.tongue) for r in part.select("g", "tongue").distinct().collect())
+        names, tongues = [g for g, _ in pairs], sorted({t for _, t in pairs})
+        at = {t: k for k, t in enumerate(tongues)}
+        mean0, cov0, scale0 = estimate(fit.select("tongue", "y"), tongues, d)
+        own_language = [at[t] for _, t in pairs]
+        mean, cov, scale = estimate(part.select("g", "y"), names, d, mean0[own_language], cov0[own_language], scale0[own_language])
+        inverse, values = np.linalg.inv(cov) / scale[:, None, None], pa.array(names, pa.string())
+
+        def score(batches: Iterator[pa.RecordBatch], mean=mean, inverse=inverse, values=values) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                g, rows = _rows(batch.select(["g", "y"]), values, d)
+                far = _far(rows, g, mean, inverse) if len(g) else np.zeros(0)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(far, pa.float64())], names=[*columns, "distance"])
+
+        kinds = dict(own.dtypes)
+        done.append(part.select(*columns, "g", "y").mapInArrow(score, ", ".join(f"{c} {kinds[c]}" for c in columns) + ", distance double"))
+    out = reduce(DataFrame.unionByName, done)
+    kept = ~F.col("base_failed") & (F.col("distance") <= cutoff)
+    return out.select(*columns, "distance", F.coalesce(kept, F.lit(False)).alias("kept"))
