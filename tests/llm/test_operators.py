@@ -251,6 +251,25 @@ def test_suffix_dedup_empty(spark):
     assert suffix_dedup.remove_repeats(odd(spark)).count() == 10
 
 
+def test_suffix_dedup_many_rows_without_an_id(spark):
+    """Rows of one text and no id, or of one id: each loses all, in time that grows with their number."""
+    draw = random.Random(19)
+    text = " ".join("".join(draw.choice("etaoinshrdlu") for _ in range(draw.randint(2, 9))) for _ in range(350))
+    rows = suffix_dedup.remove_repeats(table(spark, [(None, text)] * 2000 + [(7, text)] * 500 + [(8, text[:390]), (9, text[:300] + "xyz" + text[300:320])])).collect()
+    assert len(rows) == 2502 and all(len(r.kept) == 0 and len(r.spans) == 1 for r in rows if r.id in (None, 7))
+    # Shorter passages stay, but their marks are counted.
+    assert all(len(r.kept) == r.n_bytes and r.n_marks > 0 for r in rows if r.id in (8, 9))
+
+
+def test_marks_tell_short_passages(spark):
+    draw = random.Random(20)
+    words = lambda n: " ".join("".join(draw.choice("etaoinshrdlu") for _ in range(draw.randint(2, 9))) for _ in range(n))
+    shared = [words(60)[:a] for a in (256, 300, 380)]
+    texts = [(k, words(90) + " " + (shared[k % 3] if k < 6 else "") + " " + words(30)) for k in range(30)]
+    got = {r.id: r.n_marks > 0 for r in suffix_dedup.remove_repeats(table(spark, texts)).collect()}
+    assert got == {k: k < 6 for k in range(30)}
+
+
 def pour(rows, weights, tokens, epochs):
     """Tokens of each leaf by repeated filling, in fractions."""
     tree = {}

@@ -295,19 +295,18 @@ def windows(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int,
     """(k, first, n, mask, more): of the ``n`` windows from byte ``first`` of a text, those that repeat.
 
     All of them if mask is null; else those with a bit in mask or listed in more. Rows without windows (n = 0) are marks
-    that another place has too. One row for a key, however many rows have it.
+    that another place has too. A key's rows come as often as rows have it.
     """
     rows = _keyed(docs, id_col, text_col).select("k", "t").mapInArrow(lambda it: _anchor_rows(it, length, gram, mark, mark_gram), ROWS)
     all_rows = stage(rows, "anchors")
     # Windows of an anchor that occurs once have no equals.
     often = stage(all_rows.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor"), "anchors_often")
-    # A key's rows are one row that counts for all of them.
-    rows = stage(all_rows.join(often, "anchor").groupBy("anchor", "stretch", "other", "k", "first", "n", "lead").agg(F.count("*").alias("copies")), "often")
+    rows = stage(all_rows.join(often, "anchor"), "often")
     discard(all_rows)
     discard(often)
     same = ["anchor", "stretch", "other"]
     # Stretches that occur twice repeat whole; of the others each is compared with all kinds of its anchor.
-    kinds = stage(rows.where("n > 0").groupBy(*same).agg(F.sum("copies").alias("times"), F.min(F.struct("k", "first", "n", "lead")).alias("one")), "kinds")
+    kinds = stage(rows.where("n > 0").groupBy(*same).agg(F.count("*").alias("times"), F.min(F.struct("k", "first", "n", "lead")).alias("one")), "kinds")
     size = stage(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"), "sizes")
     ask = kinds.join(size, "anchor").withColumn("pieces", F.ceil(F.col("kinds") / run))
     ask = ask.select(*same, "pieces", F.pmod(F.xxhash64("stretch"), "pieces").alias("piece"), "one.*")
@@ -338,7 +337,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     hits = windows(docs, id_col, text_col, length, gram, run)
     window = F.when(F.col("n") > 0, F.struct("first", "n", "mask", "more"))
-    lists = hits.groupBy("k").agg(F.collect_list(window).alias("hits"), F.count(F.when(F.col("n") == 0, 1)).alias("n_marks"))
+    # Sets, so that rows that repeat with their id, or without one, are listed once, however many they are.
+    marks = F.collect_set(F.when(F.col("n") == 0, F.col("first")))
+    lists = hits.groupBy("k").agg(F.collect_set(window).alias("hits"), F.size(marks).cast("long").alias("n_marks"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
