@@ -85,6 +85,7 @@ class ByteBPE:
         self._safe = re.compile(r"(?<=\S) (?=\S)")
         self._words: dict[str, bytes] = {}
         self._chunks: dict[str, bytes] = {}
+        self._spaced: dict[str, bytes] = {}
         self._fits: dict[int, bool] = {}
         self.merged_words = 0
 
@@ -210,39 +211,42 @@ class ByteBPE:
         return out
 
     def _pieces(self, text: str) -> list[str]:
-        """Parts of a text that no word crosses: cut before each space that stands alone between two other characters."""
-        if self._odd.search(text):
-            return self._safe_split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
+        """Parts of a text that no word crosses, cut at each space that stands alone between two other characters.
 
-    def _safe_split(self, text: str) -> list[str]:
-        first, *rest = self._safe.split(text)
-        return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
+        All but the first begin with such a space, which is left out.
+        """
+        return self._safe.split(text) if self._odd.search(text) else text.split(" ")
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """Ids of each text, as little-endian 32-bit numbers; the strings of special tokens are those tokens."""
-        if len(self._chunks) > CACHE:
-            self._chunks.clear()
-        if len(self._words) > CACHE:
-            self._words.clear()
-        chunks, words = self._chunks, self._words
+        for cache in (self._chunks, self._spaced, self._words):
+            if len(cache) > CACHE:
+                cache.clear()
+        chunks, spaced, words = self._chunks, self._spaced, self._words
         plans: list[list[list[str]]] = []
         specials: list[list[bytes]] = []
+        firsts: set[str] = set()
+        others: set[str] = set()
         for text in texts:
             marks = self._special.findall(text) if self._special else []
-            parts = self._special.split(text) if marks else [text]
-            plans.append([self._pieces(x) if x else [] for x in parts])
+            parts = [self._pieces(x) if x else [""] for x in (self._special.split(text) if marks else [text])]
+            for part in parts:
+                firsts.add(part[0])
+                others.update(part[1:])
+            plans.append(parts)
             specials.append([np.array([self.special[m]], "<u4").tobytes() for m in marks])
-        unseen = {c for plan in plans for part in plan for c in part if c not in chunks}
-        split = {c: self._word.findall(c) for c in unseen}
-        new = [w for w in {w for ws in split.values() for w in ws} if w not in words]
+        find = self._word.findall
+        # Letters and a space before them are one word.
+        split = {c: [c] if c.isascii() and c.isalpha() else find(c) for c in firsts.difference(chunks)}
+        after = {c: [" " + c] if c.isascii() and c.isalpha() else find(" " + c) for c in others.difference(spaced)}
+        new = list(set().union(*split.values(), *after.values()).difference(words))
         words.update(zip(new, self.encode_words([w.encode() for w in new])))
-        for c, ws in split.items():
-            chunks[c] = b"".join([words[w] for w in ws])
+        for cache, cut in ((chunks, split), (spaced, after)):
+            for c, ws in cut.items():
+                cache[c] = words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])
         out = []
         for plan, marks in zip(plans, specials):
-            ids = [b"".join([chunks[c] for c in part]) for part in plan]
+            ids = [chunks[part[0]] + b"".join(map(spaced.__getitem__, part[1:])) for part in plan]
             out.append(ids[0] + b"".join(m + x for m, x in zip(marks, ids[1:])))
         return out
 
@@ -265,8 +269,8 @@ def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
     """One row per row of ``docs``: (id, ids, decoded).
 
     ids: binary, the token ids as little-endian unsigned 32-bit numbers; decoded: the text they decode to.
-    A null text counts as empty and has no ids; null and repeated document ids stay as they are; an empty table
-    gives no rows; other columns are not looked at. ``path`` names a byte-level BPE file that every worker can
+    A null text counts as empty and has no ids; a very long one is encoded whole; null and repeated document ids stay as
+    they are; an empty table gives no rows; other columns are not looked at. ``path`` names a byte-level BPE file that every worker can
     open (installed with the vocabulary package, like the Python libraries).
     """
     path = path or default_vocabulary()
