@@ -223,7 +223,7 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     media: a Matroska file with the text's UTF-8 bytes; packets: what parsing that file finds; payload: the bytes
     read back from the packets' byte ranges, padded; feature: what ``feature`` makes of them. A null text counts
-    as empty, whose payload is one frame of bytes 255. Null and repeated ids keep their rows, equal texts have
+    as empty, whose payload is one frame of bytes 255; a very long one is one file. Null and repeated ids keep their rows, equal texts have
     equal values, an empty table gives no rows, other columns are not looked at.
     """
     names = ["track", "ts_ns", "first", "stop", "cluster", "lace"]

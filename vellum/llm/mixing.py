@@ -132,7 +132,8 @@ def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[tuple[st
     levels: names and columns from the root down. weights: whole numbers by path, "*" for any name; 1 otherwise.
     tokens: the budget, by default all there are. A leaf gives each row ``epochs`` times at most. Rows with the
     same id have the same place, and are chosen together; leaves without tokens give their rows once; an empty
-    table gives none. Columns that ``levels`` doesn't use are not looked at.
+    table gives none; a very long text is a row of many tokens, which is chosen whole or not at all. Columns that
+    ``levels`` doesn't use are not looked at.
     """
     rows = stage(leaf_rows(docs, levels, id_col, text_col), "rows")
     return choose(rows, plan(rows, list(levels), weights, tokens, epochs, seed), list(levels), seed)

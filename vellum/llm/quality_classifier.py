@@ -94,7 +94,8 @@ def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_
     Learns from rows of ``labels`` (id, 0 or 1; other and null labels are skipped, of repeated ids the larger
     label counts) whose id isn't held out: crc32 of the id as text, mod 5, is not 0. Of a document only the text
     enters its score; a null or empty text gets the score of no features. Without both classes every score is
-    the share of label 1, or 0.5. Null and repeated ids keep their rows (a null id is not held out).
+    the share of label 1, or 0.5. A very long text is read whole. Null and repeated ids keep their rows (a null id is
+    not held out); an empty table gives no rows; columns besides these are not looked at.
     """
     own = stage(indicators(docs, shape_ngrams, BITS, id_col, text_col), "indicators")
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & ~held_out(F.col("id")))

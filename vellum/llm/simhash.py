@@ -130,8 +130,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts link if their fingerprints for one of the ``seeds`` differ in at most ``radius`` (even) bits; more seeds
     find more of the texts that share most shingles. Null and wordless texts have fingerprint 0 and link like any
     other; equal texts and repeated ids share a component; rows whose id is null keep their row, and get a null
-    component if no row they reach has an id. An empty table gives no rows. Columns besides id and text are not
-    looked at.
+    component if no row they reach has an id. A very long text is one fingerprint of all its shingles, which are
+    counted a part at a time. An empty table gives no rows. Columns besides id and text are not looked at.
     """
     if radius % 2 or not 0 < radius <= 6:
         raise ValueError("radius must be 2, 4 or 6")
