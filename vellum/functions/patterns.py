@@ -82,9 +82,37 @@ ISSUE_RULES = {
     "Formatting_Issue": ("011", "排版与格式"),
     "Experiment_Result_Question": ("012", "实验结果疑问"),
 }
-AGENT = "FMT"
+RULE_PREFIX = "FMT"
+# Words in reviewers' remarks, a list for each thing that must be named, and the type or severity they tell.
+REMARK_TYPES = (
+    ("Typo_Error", (("错别字", "书写错误", "别字", "笔误", "语病"),)),
+    ("Experiment_Result_Question", (("实验", "结果", "数据"), ("疑问", "原因", "过拟合", "为什么", "是否", "\\?", "？"))),
+    ("Hierarchy_Fault", (("标题",), ("编号", "连续", "层级"))),
+    ("Label_Missing", (("图", "表"), ("标题", "题注", "标注"), ("缺", "无"))),
+    ("Citation_Style_Inconsistent", (("参考文献",), ("格式", "排版"))),
+    ("Citation_Reference_Missing", (("参考文献", "引用", "标注", "【", "\\["), ("缺", "未", "找不到"))),
+    ("Citation_Inconsistency", (("参考文献", "引用", "标注", "【", "\\["),)),
+    ("Formula_Readability", (("公式",), ("不可读", "模糊", "看不清"))),
+    ("Punctuation_Mixed", (("标点",), ("混用", "不一致"))),
+    ("Formatting_Issue", (("格式", "排版", "字体", "字号", "行距", "页眉", "页脚", "对齐", "缩进", "空格", "标点"),)),
+)
+REMARK_SEVERITIES = (
+    ("Critical", ("无法", "严重", "不可用", "致命")),
+    ("Warning", ("错误", "缺失", "缺少", "不一致", "不可读", "模糊", "问题", "质询", "错别字", "书写错误", "语病")),
+)
+#: Headings of the part of a review that lists its remarks: words that one heading has together, the first list first.
+REMARK_HEADINGS = ((("质询问题",),), (("论文存在的主要问题",), ("主要问题", "修改意见")))
+REMARK_ITEM = f"^([0-9]{{1,2}}){S}*[.、)）]{S}*(.+)$"
+#: Marks that matching leaves out.
+MARKS = "[，,。.；;：:、!！?？()（）\\[\\]【】“”\"'‘’]"
+#: Labels of a result.
+TAGS = ("Citation_Inconsistency", "Label_Missing", "Hierarchy_Fault", "Punctuation_Error")
+#: Types of issues that a language model may report, and what is noted where a missing citation is only a line of its own.
+MODEL_TYPES = ("Terminology_Inconsistency", "Terminology_Forbidden", "Terminology_Language", "Abbreviation_Definition", "Citation_Placeholder")
+LONE_CITATION = " (疑似排版或解析造成的孤立行，非内容缺失)"
+LONE_WORDS = ("孤立", "单独成行")
 
-#: Formula cascade: (verdict, conditions), the first step whose conditions all hold decides. A condition is a pattern
+#: Still fixed values. Formula cascade: (verdict, conditions), the first step whose conditions all hold decides. A condition is a pattern
 #: found ("has") or not ("not"), or a comparison of length, share of Chinese characters or number of operators.
 FORMULA = (
     (False, (("longer", 160),)),

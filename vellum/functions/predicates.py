@@ -56,28 +56,41 @@ def is_reference_title(c: Column) -> Column:
 
 
 def is_caption(c: Column) -> Column:
-    return let(strip(c), lambda s: ~has(s, P.TOC_DOTS) & ~has(s, P.TOC_SPACES) & has(s, P.CAPTION))
+    return let(strip(c), caption_like)
+
+
+def caption_like(s: Column) -> Column:
+    """``is_caption`` of a stripped text."""
+    return has(s, P.CAPTION) & ~has(s, P.TOC_DOTS) & ~has(s, P.TOC_SPACES)
 
 
 def is_formula(c: Column) -> Column:
     return cascade(c, P.FORMULA, P.FORMULA_ELSE)
 
 
+def formula_like(s: Column) -> Column:
+    """``is_formula`` of a stripped text."""
+    return _cascade(s, P.FORMULA, P.FORMULA_ELSE)
+
+
 def is_display_formula(c: Column) -> Column:
     return (strip(c) != "") & cascade(c, P.DISPLAY, P.DISPLAY_ELSE)
 
 
 def is_heading(c: Column) -> Column:
+    return let(strip(c), heading_like)
+
+
+def heading_like(s: Column) -> Column:
+    """``is_heading`` of a stripped text."""
+
     def numbered(x):
         number, rest = x.number, x.rest
         plain = (F.length(rest) >= 2) & (F.length(rest) <= 60) & ~F.lower(rest).isin(*P.HEADING_NOT) & ~has(rest, "[，；：]")
         return plain & ~(~F.contains(number, F.lit(".")) & has(rest, "^[A-Za-z]{2,4}$"))
 
-    def heading(s):
-        parts = F.struct(F.regexp_extract(s, P.HEADING, 1).alias("number"), strip(F.regexp_extract(s, P.HEADING, 2)).alias("rest"))
-        return ~has(s, P.HEADING_DATE) & ~has(s, P.SENTENCE_END) & F.when(has(s, P.HEADING), let(parts, numbered)).otherwise(has(s, P.HEADING_CHAPTER))
-
-    return let(strip(c), heading)
+    parts = F.struct(F.regexp_extract(s, P.HEADING, 1).alias("number"), strip(F.regexp_extract(s, P.HEADING, 2)).alias("rest"))
+    return F.when(has(s, P.HEADING), ~has(s, P.HEADING_DATE) & ~has(s, P.SENTENCE_END) & let(parts, numbered)).otherwise(has(s, P.HEADING_CHAPTER) & ~has(s, P.SENTENCE_END))
 
 
 def is_toc_heading(c: Column) -> Column:
@@ -170,17 +183,17 @@ def formula_number(c: Column) -> Column:
 
 
 def is_caption_continuation(c: Column) -> Column:
-    return let(strip(c), _goes_on)
+    return let(strip(c), lambda s: goes_on(s, is_reference_title(s) | caption_like(s) | heading_like(s) | formula_like(s)))
 
 
-def _goes_on(s: Column) -> Column:
-    other = is_reference_title(s) | is_caption(s) | is_heading(s) | is_formula(s) | has(s, f"^第{P.S}*[0-9]+{P.S}*页$") | has(s, "[。！？]$")
-    return F.length(s).between(4, 90) & ~other
+def goes_on(s: Column, other: Column) -> Column:
+    """Whether a stripped text, which is something of its own if ``other``, can go on with a caption."""
+    return F.length(s).between(4, 90) & ~other & ~has(s, f"^第{P.S}*[0-9]+{P.S}*页$") & ~has(s, "[。！？]$")
 
 
 def match_text(c: Column) -> Column:
-    """Lower case without white space and signs, for fuzzy matching."""
-    return F.lower(F.regexp_replace(c, f"{P.S}|[^\\p{{L}}\\p{{N}}]", ""))
+    """Lower case without white space and common marks, for fuzzy matching."""
+    return F.lower(F.regexp_replace(c, f"{P.S}|{P.MARKS}", ""))
 
 
 def normal_level(c: Column) -> Column:
@@ -192,8 +205,8 @@ def normal_level(c: Column) -> Column:
 
 def rule_id(c: Column) -> Column:
     t = F.trim(F.coalesce(c, F.lit("")))
-    known = F.create_map(*[F.lit(x) for k, (n, _) in P.ISSUE_RULES.items() for x in (k, f"{P.AGENT}-{n}")])
-    return F.coalesce(known[t], F.concat(F.lit(f"{P.AGENT}-AUTO-"), F.when(t == "", "Other").otherwise(t)))
+    known = F.create_map(*[F.lit(x) for k, (n, _) in P.ISSUE_RULES.items() for x in (k, f"{P.RULE_PREFIX}-{n}")])
+    return F.coalesce(known[t], F.concat(F.lit(f"{P.RULE_PREFIX}-AUTO-"), F.when(t == "", "Other").otherwise(t)))
 
 
 def point(c: Column) -> Column:
@@ -226,8 +239,11 @@ def clamp_weight(c: Column) -> Column:
     return F.when(w.isNotNull(), F.least(F.greatest(w, F.lit(0.0)), F.lit(1.0)))
 
 
-def page_list(c: Column, spaces: bool = False) -> Column:
-    """Sorted distinct pages of "1,3-5": reversed ranges are turned, other parts skipped."""
+def page_list(c: Column, spaces: bool = False, empty_is_all: bool = False) -> Column:
+    """Sorted distinct pages of "1,3-5": reversed ranges are turned, other parts skipped.
+
+    Where ``empty_is_all``, null stands for all pages if no page is named.
+    """
     parts = F.split(squeeze(c) if not spaces else F.regexp_replace(strip(c), f"{P.S}+", ","), ",")
 
     def pages(p):
@@ -235,7 +251,49 @@ def page_list(c: Column, spaces: bool = False) -> Column:
         one = p.try_cast("int")
         return F.when(a.isNotNull(), F.sequence(F.least(a, b), F.greatest(a, b))).when(has(p, "^[0-9]+$"), F.array(one)).otherwise(F.array().cast("array<int>"))
 
-    return F.array_sort(F.array_distinct(F.filter(F.flatten(F.transform(parts, pages)), lambda n: n > 0)))
+    out = F.array_sort(F.array_distinct(F.filter(F.flatten(F.transform(parts, pages)), lambda n: n > 0)))
+    return F.when(F.size(out) > 0, out) if empty_is_all else out
+
+
+def term_found(c: Column, term: str) -> Column:
+    """Whether a text has a term: one in Latin letters as a word of its own, without case."""
+    if not term:
+        return F.lit(False)
+    if any("a" <= x.lower() <= "z" for x in term):
+        return has(c, r"(?iU)\b\Q" + term + r"\E\b")
+    return F.contains(c, F.lit(term))
+
+
+def term_key(c: Column) -> Column:
+    return F.when(has(c, "[A-Za-z]"), F.lower(c)).otherwise(c)
+
+
+def box_by_page(box: Column, width: Column, height: Column) -> Column:
+    """A box in shares of its page."""
+    return F.array(box[0] / width, box[1] / height, box[2] / width, box[3] / height)
+
+
+def truncate(c: Column, most: int = 120) -> Column:
+    """White space drawn together, and cut to ``most`` characters, the last of which then says so."""
+    flat = strip(F.regexp_replace(F.coalesce(c, F.lit("")), f"{P.S}+", " "))
+    return F.when(F.length(flat) > most, F.concat(F.substring(flat, 1, most - 1), F.lit("…"))).otherwise(flat)
+
+
+def format_box(box: Column) -> Column:
+    """[x0, y0, x1, y1] with one decimal, empty for what isn't four numbers."""
+    return F.when(F.size(box) == 4, F.format_string("[%.1f, %.1f, %.1f, %.1f]", *[box[k] for k in range(4)])).otherwise("")
+
+
+def mask_url(c: Column) -> Column:
+    """A database's address without its user and password; Hidden for what has no host."""
+    s = F.replace(F.trim(F.coalesce(c, F.lit(""))), F.lit("postgresql+asyncpg://"), F.lit("postgresql://"))
+    part = lambda k: F.regexp_extract(s, r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#]*@)?([^/?#@:]+)(:[0-9]+)?(/[^?#]*)?", k)
+    return F.when(part(2) == "", "Hidden").otherwise(F.concat(part(1), F.lit("://***@"), F.lower(part(2)), part(3), part(4)))
+
+
+def token_estimate(c: Column) -> Column:
+    """Four characters a token."""
+    return F.floor(F.length(F.coalesce(c, F.lit(""))) / 4)
 
 
 def is_pdf_base64(c: Column) -> Column:
@@ -246,27 +304,18 @@ def is_pdf_base64(c: Column) -> Column:
 def guess_issue_type(c: Column) -> Column:
     """Type of a reviewer's remark, by the first rule of which it has a word of every list."""
     t = strip(F.coalesce(c, F.lit("")))
-    rules = (
-        ("Typo_Error", ("错别字|书写错误|别字|笔误|语病",)),
-        ("Experiment_Result_Question", ("实验|结果|数据", "疑问|原因|过拟合|为什么|是否|\\?|？")),
-        ("Hierarchy_Fault", ("标题", "编号|连续|层级")),
-        ("Label_Missing", ("图|表", "标题|题注|标注", "缺|无")),
-        ("Citation_Style_Inconsistent", ("参考文献", "格式|排版")),
-        ("Citation_Reference_Missing", ("参考文献|引用|标注|【|\\[", "缺|未|找不到")),
-        ("Citation_Inconsistency", ("参考文献|引用|标注|【|\\[",)),
-        ("Formula_Readability", ("公式", "不可读|模糊|看不清")),
-        ("Punctuation_Mixed", ("标点", "混用|不一致")),
-        ("Formatting_Issue", ("格式|排版|字体|字号|行距|页眉|页脚|对齐|缩进|空格|标点",)),
-    )
     out = F.when(t == "", "Other")
-    for name, lists in rules:
+    for name, lists in P.REMARK_TYPES:
         holds = F.lit(True)
         for words in lists:
-            holds = holds & has(t, words)
+            holds = holds & has(t, "|".join(words))
         out = out.when(holds, name)
     return out.otherwise("Other")
 
 
 def guess_severity(c: Column) -> Column:
     t = strip(F.coalesce(c, F.lit("")))
-    return F.when(t == "", None).when(has(t, "无法|严重|不可用|致命"), "Critical").when(has(t, "错误|缺失|缺少|不一致|不可读|模糊|问题|质询|错别字|书写错误|语病"), "Warning").otherwise("Info")
+    out = F.when(t == "", None)
+    for name, words in P.REMARK_SEVERITIES:
+        out = out.when(has(t, "|".join(words)), name)
+    return out.otherwise("Info")

@@ -18,11 +18,14 @@ def parse(lines: DataFrame) -> DataFrame:
     give their citations and then a formula, a title or text.
     """
     own = lines.withColumn("content", B.strip(F.col("content"))).where("content <> ''")
+    c = F.col("content")
+    # What a line is by itself is worked out once, before the rows are dealt by document.
+    own = own.select("*", B.is_reference_title(c).alias("is_title"), B.caption_like(c).alias("is_caption"), B.heading_like(c).alias("heading"), B.formula_like(c).alias("formula"))
+    own = own.withColumn("goes_on", B.goes_on(c, F.col("is_title") | F.col("is_caption") | F.col("heading") | F.col("formula"))).repartition("doc_id")
     order = Window.partitionBy("doc_id").orderBy("line_no")
     page = Window.partitionBy("doc_id", "page_num").orderBy("line_no")
     body = F.coalesce(F.median(F.when(F.col("size") > 0, F.col("size"))).over(Window.partitionBy("doc_id", "page_num")), F.lit(10.0))
-    c = F.col("content")
-    own = own.select("*", body.alias("body"), B.is_reference_title(c).alias("is_title"), B.is_caption(c).alias("is_caption"), B.is_caption_continuation(c).alias("goes_on"))
+    own = own.withColumn("body", body)
     own = own.withColumn("refs", F.max(F.col("is_title").cast("int")).over(order) == 1)
     # Lines since the last caption of the page: the first two go on with it while nothing else comes between.
     own = own.withColumn("starts", F.col("is_caption") & ~F.col("is_title"))
@@ -36,8 +39,8 @@ def parse(lines: DataFrame) -> DataFrame:
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(part, F.struct("line_no", "content"))).over(group)), lambda x: x.content), " ")
     box = [F.min(F.when(part, F.col("x0"))).over(group), F.min(F.when(part, F.col("y0"))).over(group), F.max(F.when(part, F.col("x1"))).over(group), F.max(F.when(part, F.col("y1"))).over(group)]
     own = own.select("*", joined.alias("caption_text"), *[b.alias(f"c{n}") for b, n in zip(box, ("x0", "y0", "x1", "y1"))]).where("not joins")
-    kind = F.when(F.col("is_title"), "title").when(F.col("starts"), "chart").otherwise(B.line_region(c, F.col("size"), F.col("body"), F.lit(False)))
-    own = own.withColumn("kind", kind)
+    large = (F.col("heading") & (F.col("size") >= F.col("body") * 1.15)) | (F.col("size") >= F.col("body") * 1.3)
+    own = own.withColumn("kind", F.when(F.col("formula"), "formula").when(large, "title").otherwise("main"))
     in_refs = F.col("refs")
     kind_type = F.when(F.col("is_title") | F.col("starts"), "title").when(in_refs, "text").when(F.col("kind") == "formula", "formula").when(F.col("kind") == "title", "title").otherwise("text")
     region = F.when(F.col("is_title"), "reference").when(F.col("starts"), "chart").when(in_refs, "reference").when(F.col("kind").isin("formula", "title"), F.col("kind")).otherwise("main")
@@ -55,6 +58,60 @@ def with_offsets(elements: DataFrame) -> DataFrame:
     return elements.where("content <> ''").withColumn("start", start.cast("long")).withColumn("stop", (F.col("start") + F.length("content")).cast("long"))
 
 
+def pages_at(offsets: DataFrame, places: DataFrame) -> DataFrame:
+    """``places`` (doc_id, start, stop) with the pages that a stretch of the document's text is on, as "3" or "3-5".
+
+    ``offsets`` are elements with their offsets. A stretch between two elements is on no page, which is "?".
+    """
+    own = offsets.select(F.col("doc_id").alias("_d"), F.col("start").alias("_a"), F.col("stop").alias("_b"), "page_num")
+    keys = places.select("doc_id", "start", "stop").distinct()
+    met = keys.join(own, (F.col("doc_id") == F.col("_d")) & (F.greatest("start", "_a") < F.least("stop", "_b")), "left")
+    found = met.groupBy("doc_id", "start", "stop").agg(F.min("page_num").alias("low"), F.max("page_num").alias("high"))
+    low, high = F.col("low").cast("string"), F.col("high").cast("string")
+    page = F.when(F.col("low").isNull(), "?").when(F.col("low") == F.col("high"), low).otherwise(F.concat(low, F.lit("-"), high))
+    return places.join(found.select("doc_id", "start", "stop", page.alias("pages")), ["doc_id", "start", "stop"])
+
+
+def document_pages(docs: DataFrame, elements: DataFrame) -> DataFrame:
+    """(doc_id, pages): the range of pages of each of ``docs`` (doc_id, and if known selected: array<int>, page_count: int).
+
+    By its elements, else by the pages selected, else by the number of pages; N/A where nothing tells.
+    """
+    have = dict(docs.dtypes)
+    chosen = F.filter("selected", lambda p: p > 0) if "selected" in have else F.array().cast("array<int>")
+    count = F.col("page_count") if "page_count" in have else F.lit(None).cast("int")
+    own = elements.groupBy("doc_id").agg(F.min("page_num").alias("low"), F.max("page_num").alias("high"))
+    rows = docs.select("doc_id", chosen.alias("chosen"), count.alias("count")).join(own, "doc_id", "left")
+    span = lambda a, b: F.when(a == b, a.cast("string")).otherwise(F.concat(a.cast("string"), F.lit("-"), b.cast("string")))
+    by_elements = F.when(F.col("low") > 0, span(F.col("low"), F.col("high"))).otherwise("N/A")
+    said = F.when(F.col("low").isNotNull(), by_elements).when(F.size("chosen") > 0, span(F.array_min("chosen"), F.array_max("chosen"))).when(F.col("count") > 0, span(F.lit(1), F.col("count")))
+    return rows.select("doc_id", F.coalesce(said, F.lit("N/A")).alias("pages"))
+
+
+def place_issues(issues: DataFrame, pages: DataFrame) -> DataFrame:
+    """Issues without a page get their document's range (doc_id, pages)."""
+    known = F.when(~F.trim(F.coalesce("page", F.lit(""))).isin("", "?"), F.col("page"))
+    return issues.join(pages, "doc_id", "left").withColumn("page", F.coalesce(known, "pages", F.lit("N/A"))).drop("pages")
+
+
+def select_pages(lines: DataFrame, selection: DataFrame) -> DataFrame:
+    """Lines of the pages that ``selection`` (doc_id, pages: array<int>) names; all of a document that it names none of."""
+    wanted = selection.select("doc_id", F.filter("pages", lambda p: p > 0).alias("_wanted"))
+    rows = lines.join(wanted, "doc_id", "left")
+    return rows.where(F.coalesce(F.size("_wanted"), F.lit(0)).isin(-1, 0) | F.array_contains("_wanted", F.col("page_num"))).drop("_wanted")
+
+
+def parse_report(lines: DataFrame) -> DataFrame:
+    """(doc_id, pages, scanned_pages, multi_column_pages): a page has several columns if its lines have (col), else none has."""
+    stats = page_stats(lines).select("doc_id", "page_num", "scanned")
+    if "col" in lines.columns:
+        stats = stats.join(lines.groupBy("doc_id", "page_num").agg((F.max("col") > 0).alias("several")), ["doc_id", "page_num"])
+    else:
+        stats = stats.withColumn("several", F.lit(False))
+    n = lambda c: F.count(F.when(F.col(c), 1))
+    return stats.groupBy("doc_id").agg(F.count("*").alias("pages"), n("scanned").alias("scanned_pages"), n("several").alias("multi_column_pages"))
+
+
 def page_stats(lines: DataFrame) -> DataFrame:
     """For each page: lines, characters, whether it counts as scanned, and its extents."""
     text = F.regexp_replace(F.array_join(F.collect_list(F.regexp_replace("content", f"^{P.S}+|{P.S}+$", "")), ""), f"^{P.S}+|{P.S}+$", "")
