@@ -127,23 +127,45 @@ def images_without_caption(elements: DataFrame, rules: dict[str, Any]) -> DataFr
     return union([wrong.select(*issue("Label_Missing", "Info", F.col("m"))), bare.select(*issue("Label_Missing", "Info", "检测到图片但未找到图标题"))])
 
 
+def _touching(boxes: np.ndarray, margin: float) -> np.ndarray:
+    """For each box, sorted by its left edge, the first box of the group that touches it, over any number of boxes."""
+    n = len(boxes)
+    root = np.arange(n)
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    reach = np.searchsorted(boxes[:, 0], boxes[:, 2] + margin, "right")
+    for k in range(n):
+        some = boxes[k + 1 : reach[k]]
+        near = np.flatnonzero((some[:, 1] <= boxes[k, 3] + margin) & (some[:, 3] >= boxes[k, 1] - margin))
+        for j in near.tolist():
+            a, b = find(k), find(k + 1 + j)
+            root[max(a, b)] = min(a, b)
+    return np.array([find(k) for k in range(n)], np.int64)
+
+
 def merge_regions(rects: np.ndarray, width: float, height: float, least: float = 0.02, most: float = 0.9, margin: float = 4.0) -> list[list[float]]:
-    """Boxes of drawings: rectangles that touch within ``margin`` become one; specks, pages and slender ones are dropped."""
-    area = lambda r: (r[:, 2] - r[:, 0]) * (r[:, 3] - r[:, 1])
-    rects = rects[area(rects) >= 0.0008 * width * height] if len(rects) else rects
-    boxes = rects[np.argsort(-area(rects), kind="stable")] if len(rects) else rects
-    while True:
-        n = len(boxes)
-        for k in range(n):
-            a = boxes[k]
-            touch = (boxes[:, 0] <= a[2] + margin) & (boxes[:, 2] >= a[0] - margin) & (boxes[:, 1] <= a[3] + margin) & (boxes[:, 3] >= a[1] - margin)
-            if touch.sum() > 1:
-                some = boxes[touch]
-                whole = np.array([[some[:, 0].min(), some[:, 1].min(), some[:, 2].max(), some[:, 3].max()]])
-                boxes = np.concatenate([whole, boxes[~touch]])
-                break
-        else:
+    """Boxes of drawings: rectangles that touch within ``margin`` become one; specks, pages and slender ones are dropped.
+
+    Sweeps from left to right until nothing touches any more; each sweep leaves one box a group.
+    """
+    area = (rects[:, 2] - rects[:, 0]) * (rects[:, 3] - rects[:, 1]) if len(rects) else np.zeros(0)
+    boxes = rects[area >= 0.0008 * width * height] if len(rects) else rects
+    while len(boxes) > 1:
+        boxes = boxes[np.lexsort(boxes.T[::-1])]
+        group = _touching(boxes, margin)
+        first = np.unique(group, return_inverse=True)[1]
+        if first.max() == len(boxes) - 1:
             break
+        whole = np.empty((first.max() + 1, 4))
+        whole[:, :2], whole[:, 2:] = np.inf, -np.inf
+        np.minimum.at(whole[:, :2], first, boxes[:, :2])
+        np.maximum.at(whole[:, 2:], first, boxes[:, 2:])
+        boxes = whole
     out = []
     for x0, y0, x1, y1 in boxes.tolist():
         w, h = x1 - x0, y1 - y0
@@ -164,3 +186,50 @@ def drawing_regions(rects: DataFrame) -> DataFrame:
     return rects.groupBy("doc_id", "page_num").applyInPandas(run, "doc_id long, page_num int, x0 double, y0 double, x1 double, y1 double")
 
 
+
+
+def captioned_regions(captions: DataFrame, regions: DataFrame, images: DataFrame) -> DataFrame:
+    """Images (doc_id, page_num, x0, y0, x1, y1) that drawing regions make up for on pages with captions but without images.
+
+    ``captions``: (doc_id, page_num, line_no, content, x0, y0, x1, y1), ``regions`` and ``images`` with the same place.
+    In their order, captions take the nearest region that no other has: one that overlaps a fifth of the narrower's
+    width, and isn't below a figure's caption or above a table's. Where no caption takes any, the largest region counts.
+    """
+    page, box = ["doc_id", "page_num"], ["x0", "y0", "x1", "y1"]
+    figure, table = B.has(F.col("content"), f"(?i)^{P.S}*(?:图|Figure|Fig\\.?)"), B.has(F.col("content"), f"(?i)^{P.S}*(?:表|Table)")
+    caps = captions.join(images.select(*page).distinct(), page, "left_anti").groupBy(*page).agg(F.array_sort(F.collect_list(F.struct("line_no", *box, figure.alias("figure"), table.alias("table")))).alias("caps"))
+    size = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    # The largest first, the uppermost of equals, so that the first of all is the largest.
+    own = regions.groupBy(*page).agg(F.array_sort(F.collect_list(F.struct((-size).alias("size"), "y0", "x0", "x1", "y1"))).alias("regions"))
+    rows = caps.join(own, page)
+
+    def step(taken: Column, c: Column) -> Column:
+        def reach(r: Column) -> Column:
+            lap = F.least(c.x1, r.x1) - F.greatest(c.x0, r.x0)
+            narrow = F.least(F.greatest(F.lit(1.0), c.x1 - c.x0), F.greatest(F.lit(1.0), r.x1 - r.x0))
+            return (lap > 0) & (lap >= narrow * 0.2) & ~(c.figure & (r.y0 > c.y1 + 6.0)) & ~(c.table & (r.y1 < c.y0 - 6.0))
+
+        def score(r: Column) -> Column:
+            away = F.when(r.y1 <= c.y0, c.y0 - r.y1).when(r.y0 >= c.y1, r.y0 - c.y1).otherwise(F.lit(0.0))
+            return away * 1000.0 + F.abs((c.x0 + c.x1) / 2.0 - (r.x0 + r.x1) / 2.0)
+
+        free = F.filter("regions", lambda r: reach(r) & ~F.array_contains(taken, r))
+        best = F.array_min(F.transform(free, lambda r: F.struct(score(r).alias("score"), r.alias("r"))))
+        return F.when(F.size(free) > 0, F.concat(taken, F.array(best.r))).otherwise(taken)
+
+    kind = "array<struct<size: double, y0: double, x0: double, x1: double, y1: double>>"
+    taken = F.aggregate("caps", F.array().cast(kind), step)
+    rows = rows.withColumn("taken", taken).withColumn("taken", F.when(F.size("taken") > 0, F.col("taken")).otherwise(F.slice("regions", 1, 1)))
+    return rows.select(*page, F.explode("taken").alias("r")).select(*page, *[F.col(f"r.{b}").alias(b) for b in box])
+
+
+def drawn_images(elements: DataFrame, rects: DataFrame) -> DataFrame:
+    """``elements`` with an image for each drawing of pages that have captions but no images; rects as in ``drawing_regions``."""
+    caps = caption_rows(elements).select("doc_id", "page_num", F.col("seq").alias("line_no"), "content", "x0", "y0", "x1", "y1")
+    found = captioned_regions(caps, drawing_regions(rects), elements.where("type = 'image'"))
+    nth = F.row_number().over(Window.partitionBy("doc_id", "page_num").orderBy("y0", "x0", "x1", "y1"))
+    # Images come after all other elements.
+    last = elements.groupBy("doc_id", "page_num").agg(F.max("seq").alias("last"))
+    rows = found.withColumn("nth", nth).join(last, ["doc_id", "page_num"])
+    images = rows.select("doc_id", (F.col("last") * 1000 + F.col("nth")).alias("seq"), F.lit("image").alias("type"), F.lit("").alias("content"), "x0", "y0", "x1", "y1", "page_num", F.lit("chart").alias("region"))
+    return elements.unionByName(images)
