@@ -9,13 +9,15 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import patterns as P
 from vellum.functions.predicates import strip
 
 WIDTH = 768
+#: Expert rows (3 kB each) that are broadcast, or make up a block.
+EXPERTS = 10_000
 # Marks at which a long paragraph may be cut, with their bonus.
 CUTS = ((".!?。！？", 10000), (";:；：", 4000), (",，、", 1000))
 CHUNK = "array<struct<start: int, stop: int, text: string>>"
@@ -138,94 +140,188 @@ def mock_scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select("doc_id", F.explode(F.filter(F.array(term, short), lambda x: x.isNotNull())).alias("x")).select("doc_id", "x.*")
 
 
-# Issue types that a model may report.
-MODEL_TYPES = ("Terminology_Inconsistency", "Terminology_Forbidden", "Terminology_Language", "Abbreviation_Definition", "Citation_Placeholder")
-ANSWER = "array<struct<issue_type: string, severity: string, evidence: string, message: string, suggestion: string, location: string>>"
+# What the stand-in says.
+MOCK_SAYS = {
+    "Terminology_Inconsistency": "术语 'LLM' 建议在首次出现时使用全称 'Large Language Model (LLM)'",
+    "Abbreviation_Definition": "建议使用 '例如' 或 'for example' 代替拉丁缩写",
+}
 
 
-def model_issues(answers: DataFrame, answer_col: str = "answer") -> DataFrame:
-    """Issues in a model's answers (doc_id, answer): fences are taken off, an object or a list is read, the rest of the text ignored.
+def mock_answer(text: Column) -> Column:
+    """The stand-in's whole answer, as JSON."""
+
+    def said(kind: str, evidence: str) -> Column:
+        return F.struct(F.lit(kind).alias("issue_type"), F.lit("Info").alias("severity"), F.lit(evidence).alias("evidence"), F.lit(MOCK_SAYS[kind]).alias("message"))
+
+    term = F.when(text.contains("LLM") & ~text.contains("Large Language Model"), said("Terminology_Inconsistency", "LLM"))
+    short = F.when(text.contains("e.g."), said("Abbreviation_Definition", "e.g."))
+    return F.to_json(F.struct(F.filter(F.array(term, short), lambda x: x.isNotNull()).alias("issues"), F.lit("Mock LLM scan completed.").alias("summary")))
+
+
+ANSWER = "array<struct<issue_type: string, severity: string, evidence: string, message: string, suggestion: string, location: string, page_num: string>>"
 
-    Types outside ``MODEL_TYPES`` are dropped; a placeholder that is a plain numbered citation is only a remark on layout.
-    """
-    body = F.regexp_replace(F.trim(F.col(answer_col)), r"^```(?:json)?\s*|\s*```$", "")
-    inner = F.regexp_extract(body, r"(?s)\{.*\}", 0)
-    read = lambda x: F.coalesce(F.from_json(x, f"struct<issues: {ANSWER}>").issues, F.when(F.substring(F.trim(x), 1, 1) == "[", F.from_json(x, ANSWER)))
-    rows = answers.select("doc_id", F.posexplode(F.coalesce(read(body), read(inner))).alias("pos", "x")).select("doc_id", "pos", "x.*").where(F.col("issue_type").isin(*MODEL_TYPES))
-    plain = (F.col("issue_type") == "Citation_Placeholder") & F.regexp_like("evidence", F.lit(r"\[[0-9]+(?:\s*[,-]\s*[0-9]+)*\]"))
-    return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), F.when(plain, "Citation_Layout_Check").otherwise(F.col("issue_type")).alias("issue_type"), F.when(plain, "Info").otherwise(F.col("severity")).alias("severity"), "evidence", "message", F.lit("LLM").alias("source"))
 
+def _answer(answer_col: str) -> tuple[Column, Column]:
+    """Issues and summary of an answer: fences are taken off, an object or a list is read, else the widest braces in it."""
+    body = F.trim(F.regexp_replace(F.trim(F.col(answer_col)), r"^```(?:json)?|```$", ""))
+    inner = F.regexp_extract(F.col(answer_col), r"(?s)\{.*\}", 0)
+    listed = F.when(F.substring(body, 1, 1) == "[", F.from_json(body, ANSWER))
+    whole = lambda x: F.from_json(x, f"struct<issues: {ANSWER}, summary: string>")
+    return F.coalesce(whole(body).issues, listed, whole(inner).issues), F.coalesce(whole(body).summary, F.when(listed.isNull(), whole(inner).summary), F.lit(""))
 
-def comments(issues: DataFrame, tips: DataFrame | None = None) -> DataFrame:
-    """(doc_id, comment, suggestion): a document's issue counts in words, and its first expert tip (doc_id, tip) if there is one."""
+
+def model_issues(answers: DataFrame, answer_col: str = "answer", keep: list[str] | None = None) -> DataFrame:
+    """Issues in a model's answers: (doc_id, pos, issue_type, severity, evidence, message, page, source).
+
+    Types outside ``MODEL_TYPES`` are dropped. A missing citation whose evidence is nothing but a numbered citation, or
+    whose message speaks of a citation on a line of its own, is a remark on layout, and the message says so. ``keep``
+    names other columns that go on.
+    """
+    keep = keep or []
+    found, _ = _answer(answer_col)
+    rows = answers.select("doc_id", *keep, F.posexplode(found).alias("pos", "x")).select("doc_id", *keep, "pos", "x.*").where(F.col("issue_type").isin(*P.MODEL_TYPES))
+    message = F.coalesce("message", F.lit(""))
+    lone = F.regexp_like(message, F.lit("|".join(P.LONE_WORDS))) & F.regexp_like(message, F.lit(r"\[[0-9]+(?:,\s*[0-9]+)*\]"))
+    plain = F.regexp_like(strip(F.coalesce("evidence", F.lit(""))), F.lit(r"^\[[0-9,\s-]+\]$"))
+    layout = (F.col("issue_type") == "Citation_Placeholder") & (plain | lone)
+    return rows.select(
+        "doc_id", *keep, F.col("pos").cast("long").alias("pos"), F.when(layout, "Citation_Layout_Check").otherwise(F.col("issue_type")).alias("issue_type"),
+        F.when(layout, "Info").otherwise(F.col("severity")).alias("severity"), "evidence",
+        F.when(layout, F.concat(message, F.lit(P.LONE_CITATION))).otherwise(F.col("message")).alias("message"), F.col("page_num").alias("page"), F.lit("LLM").alias("source"),
+    )
+
+
+def model_summary(answers: DataFrame, answer_col: str = "answer") -> DataFrame:
+    """(doc_id, feedback): the summaries of a document's answers, or the answers as they are where there is none, by place."""
+    _, summary = _answer(answer_col)
+    at = F.col("chunk") if "chunk" in answers.columns else F.lit(0)
+    said = F.struct(at.alias("at"), F.when(summary != "", summary).otherwise(F.col(answer_col)).alias("said"))
+    return answers.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(said)), lambda x: x.said), "\n").alias("feedback"))
+
+
+def comments(issues: DataFrame, tips: DataFrame | None = None, docs: DataFrame | None = None) -> DataFrame:
+    """(doc_id, comment, suggestion): a document's issue counts in words, and its first expert tip (doc_id, tip) if there is one.
+
+    For the documents with issues, or for all ``docs`` (doc_id), which may have none.
+    """
     by_type = issues.groupBy("doc_id", "issue_type").agg(F.count("*").alias("n"))
     lines = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "issue_type")))
     rows = by_type.groupBy("doc_id").agg(F.array_join(F.transform(lines, lambda x: F.concat(F.lit("- "), x.issue_type, F.lit(": "), (-x.m).cast("string"))), "\n").alias("summary"))
+    rows = rows if docs is None else docs.select("doc_id").join(rows, "doc_id", "left")
     rows = rows.withColumn("tip", F.lit(None).cast("string")) if tips is None else rows.join(tips, "doc_id", "left")
+    comment = F.coalesce(F.concat(F.lit("发现以下问题：\n"), "summary"), F.lit("已完成格式审计。"))
     suggestion = F.concat(F.lit("请优先修复 Critical/Warning，再统一排版细节。"), F.coalesce(F.concat(F.lit("\n参考建议："), F.col("tip")), F.lit("")))
-    return rows.select("doc_id", F.concat(F.lit("发现以下问题：\n"), "summary").alias("comment"), suggestion.alias("suggestion"))
+    return rows.select("doc_id", comment.alias("comment"), suggestion.alias("suggestion"))
 
 
-def expert_tips(docs: DataFrame, experts: DataFrame, k: int = 5) -> DataFrame:
-    """(doc_id, tip): for each document (doc_id, embedding) the text of the nearest of the active expert rows (comment_id, text, active, embedding).
+def expert_tips(docs: DataFrame, experts: DataFrame, k: int = 5, require_text: bool = True, require_metric: bool = False, require_active: bool = True) -> DataFrame:
+    """(doc_id, tips): for each document (doc_id, embedding) the texts of the ``k`` (1 to 20) nearest of the expert rows (comment_id, text, active, embedding[, metric_id]), nearest first.
 
-    Expert rows are a configured set; every document is held against all of them, in one pass.
+    Rows without an embedding aren't looked at, nor, where asked for, those without text or metric or not active (null
+    counts as active). The experts are counted: up to ``EXPERTS`` of them are broadcast; more are dealt out in blocks,
+    each of which gives its nearest, and the nearest of these are taken.
     """
-    used = experts.where("active and embedding is not null and trim(text) <> ''").select("comment_id", F.col("text").alias("tip"), F.col("embedding").alias("e"))
-    best = docs.select("doc_id", "embedding").join(F.broadcast(used)).groupBy("doc_id").agg(F.min(F.struct(F.round(cosine_distance(F.col("embedding"), F.col("e")), 6).alias("d"), "comment_id", "tip")).alias("b"))
-    return best.select("doc_id", F.col("b.tip").alias("tip"))
+    k = max(1, min(20, k))
+    used = experts.where("embedding is not null")
+    if require_text:
+        used = used.where("trim(text) <> ''")
+    if require_metric:
+        used = used.where("trim(metric_id) <> ''")
+    if require_active:
+        used = used.where("coalesce(active, true)")
+    used = used.select("comment_id", F.col("text").alias("tip"), F.col("embedding").alias("e"))
+    n = used.count()
+    blocks = max(1, -(-n // EXPERTS))
+    used = used.withColumn("block", F.pmod(F.xxhash64("comment_id"), F.lit(blocks)).cast("int"))
+    near = F.struct(F.round(cosine_distance(F.col("embedding"), F.col("e")), 6).alias("d"), "comment_id", "tip")
+    asked = docs.select("doc_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    pairs = asked.join(F.broadcast(used) if blocks == 1 else used, "block")
+    best = pairs.groupBy("doc_id", "block").agg(F.expr("1").alias("one"), F.slice(F.array_sort(F.collect_list(near)), 1, k).alias("xs"))
+    best = best.groupBy("doc_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("xs"))), 1, k).alias("xs"))
+    return best.select("doc_id", F.transform("xs", lambda x: x.tip).alias("tips"))
+
+
+def commentary(docs: DataFrame, issues: DataFrame, experts: DataFrame, rules: dict[str, Any] | None = None, text_col: str = "text") -> DataFrame:
+    """(doc_id, comment, suggestion): a text's facts find expert rows, and these and the issues make up a commentary.
+
+    ``rag_eval`` of the rules turns it off and sets how many expert rows are looked up. A document without facts has no
+    commentary.
+    """
+    r = (rules or {}).get("rag_eval", {})
+    none = docs.select("doc_id", F.lit("").alias("comment"), F.lit("").alias("suggestion")).where("false")
+    if not r.get("enabled", True):
+        return none
+    said = docs.select("doc_id", facts(F.col(text_col)).alias("facts")).where("facts <> ''")
+    tips = expert_tips(embed(said, "facts").select("doc_id", "embedding"), experts, int(r.get("top_k") or 5), r.get("require_text", True), r.get("require_metric_id", False), r.get("require_active", True))
+    return comments(issues, tips.select("doc_id", F.col("tips")[0].alias("tip")), said)
 
 
-NUMBERED = "array<struct<n: int, text: string>>"
+NUMBERED = "array<string>"
 
 
-def numbered_remarks(text: str, most: int = 50) -> list[dict[str, Any]]:
-    """Numbered items of a review after the heading that announces problems (or from the start), with their next lines up to 200 characters."""
-    lines = text.split("\n")
-    start = next((k + 1 for k, x in enumerate(lines) if re.match(r"^\s*#+.*(问题|意见|不足|建议|issues|problems)", x, re.IGNORECASE)), 0)
-    out: list[dict[str, Any]] = []
-    for x in lines[start:]:
-        m = re.match(r"^\s*(?:[-*]\s*)?[（(]?(\d+)[)）.、]\s*(\S.*)$", x)
-        if m:
-            out.append({"n": int(m[1]), "text": m[2].strip()[:200]})
-        elif re.match(r"^\s*#", x) and out:
-            break
-        elif x.strip() and out:
-            out[-1]["text"] = f"{out[-1]['text']} {x.strip()}"[:200]
+def numbered_remarks(text: str, most: int = 4) -> list[str]:
+    """The first ``most`` numbered items of a review, from the heading that announces its remarks on, or from the start.
+
+    An item goes on with the lines after it, up to a blank line, a heading, a table or the next item; of these lines those
+    of over 200 characters are left out. A heading or a table after an item ends the list.
+    """
+    lines = [x.strip() for x in text.splitlines()]
+    items = [re.match(P.REMARK_ITEM, x) for x in lines]
+    # A letter for each line: heading, blank, numbered, text.
+    kinds = "".join("h" if x.startswith("#") or x.lower().startswith("<table") else "b" if not x else "n" if m else "t" for x, m in zip(lines, items))
+    heads = (next((k + 1 for k, x in enumerate(lines) if x.startswith("#") and any(all(w in x for w in words) for words in ways)), 0) for ways in P.REMARK_HEADINGS)
+    start = next(filter(None, heads), 0)
+    first = kinds.find("n", start)
+    end = kinds.find("h", max(first, 0))
+    runs = re.finditer("nt*", kinds[: end if end >= 0 else len(kinds)][start:]) if first >= 0 else ()
+    out = []
+    for run in runs:
+        a, b = start + run.start(), start + run.end()
+        out.append(" ".join([items[a][2].strip(), *(x for x in lines[a + 1 : b] if len(x) <= 200)]))
     return out[:most]
 
 
-def numbered_rows(reviews: DataFrame, text_col: str = "text") -> DataFrame:
-    run = F.pandas_udf(lambda texts: pd.Series([numbered_remarks(t or "") for t in texts]), NUMBERED)
-    return reviews.select("doc_id", F.posexplode(run(F.col(text_col))).alias("pos", "x")).select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("x.n").alias("n"), F.col("x.text").alias("text"))
+def numbered_rows(reviews: DataFrame, text_col: str = "text", most: int = 4) -> DataFrame:
+    run = F.pandas_udf(lambda texts: pd.Series([numbered_remarks(t or "", most) for t in texts]), NUMBERED)
+    return reviews.select("doc_id", F.posexplode(run(F.col(text_col))).alias("pos", "text")).select("doc_id", F.col("pos").cast("long").alias("pos"), "text")
 
 
-def span_likeness(remarks: pd.Series, spans: pd.Series) -> pd.Series:
-    """1 if the remark holds the span, up to 0.95 if the span holds the remark, else how alike they are."""
+def _ratio(a: pd.Series, b: pd.Series, need: pd.Series) -> pd.Series:
+    """How alike two texts are, or null where they can't be as alike as is needed."""
     import difflib
 
     out = []
-    for a, b in zip(remarks, spans):
-        if not a or not b:
-            out.append(0.0)
-        elif b in a and len(b) >= max(6, len(a) // 5):
-            out.append(1.0)
-        elif a in b:
-            out.append(min(0.95, len(a) / len(b)))
-        else:
-            out.append(difflib.SequenceMatcher(None, a, b).ratio())
+    for x, y, n in zip(a, b, need):
+        m = difflib.SequenceMatcher(None, x, y) if x is not None else None
+        out.append(m.ratio() if m and m.quick_ratio() >= n else None)
     return pd.Series(out, dtype="float64")
 
 
 def match_spans(remarks: DataFrame, spans: DataFrame, least: float = 0.6) -> DataFrame:
-    """The span (doc_id, span_id, content) of the same document that is most like each remark (doc_id, pos, text)."""
+    """The span (doc_id, span_id, content) of the same document that is most like each remark (doc_id, pos, text).
+
+    1 if the span holds the remark, their lengths' ratio (0.95 at most) if the remark holds a span of some length, else how
+    alike they are. The first span of 0.98 or more wins, else the best, the longest, the first. Only pairs whose lengths
+    allow ``least`` are compared letter by letter, and each different pair of a document once.
+    """
     from vellum.functions.predicates import match_text
 
-    ratio = F.pandas_udf(span_likeness, "double")
-    pairs = remarks.select("doc_id", "pos", match_text(F.col("text")).alias("a")).join(spans.select("doc_id", "span_id", match_text(F.col("content")).alias("b")), "doc_id")
-    pairs = pairs.withColumn("ratio", F.round(ratio("a", "b"), 6)).where(F.col("ratio") >= least)
-    best = pairs.groupBy("doc_id", "pos").agg(F.max(F.struct("ratio", F.length("b").alias("n"), (-F.col("span_id")).alias("s"))).alias("x"))
-    return best.select("doc_id", "pos", (-F.col("x.s")).alias("span_id"), F.col("x.ratio").alias("ratio"))
+    a, b = F.col("a"), F.col("b")
+    said = remarks.select("doc_id", "pos", match_text(F.col("text")).alias("a")).where("a <> ''")
+    held = spans.select("doc_id", "span_id", match_text(F.col("content")).alias("b")).where("b <> ''").groupBy("doc_id", "b").agg(F.min("span_id").alias("span_id"))
+    some = F.length(b) >= F.greatest(F.lit(6), F.floor(F.length(a) / 5))
+    known = F.when(F.contains(b, a), F.lit(1.0)).when(F.contains(a, b), F.when(some, F.least(F.lit(0.95), F.length(b) / F.length(a))).otherwise(F.lit(0.0)))
+    pairs = said.select("doc_id", "a").distinct().join(held, "doc_id").withColumn("known", known)
+    # Beside a sure span only one before it can win, if it is as sure.
+    first = F.min(F.when(F.col("known") >= 0.98, F.col("span_id"))).over(Window.partitionBy("doc_id", "a"))
+    pairs = pairs.withColumn("first", first).withColumn("need", F.when(F.col("first").isNull(), F.lit(least)).otherwise(F.lit(0.98)))
+    close = (2 * F.least(F.length(a), F.length(b)) >= F.col("need") * (F.length(a) + F.length(b))) & (F.col("first").isNull() | (F.col("span_id") < F.col("first")))
+    pairs = pairs.where((F.col("known") >= least) | F.col("known").isNull() & close)
+    ratio = F.pandas_udf(_ratio, "double")
+    pairs = pairs.withColumn("ratio", F.round(F.coalesce("known", ratio(F.when(F.col("known").isNull(), a), b, F.col("need"))), 6)).where(F.col("ratio") >= least)
+    sure = F.when(F.col("ratio") >= 0.98, -F.col("span_id"))
+    best = pairs.groupBy("doc_id", "a").agg(F.max(F.struct(sure.isNotNull().alias("sure"), sure.alias("first"), "ratio", F.length("b").alias("n"), (-F.col("span_id")).alias("s"))).alias("x"))
+    return said.join(best, ["doc_id", "a"]).select("doc_id", "pos", (-F.col("x.s")).alias("span_id"), F.col("x.ratio").alias("ratio"))
 
 
 def register(spark: SparkSession) -> None:
