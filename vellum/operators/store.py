@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellum.functions import predicates as B
 from vellum.operators.issues import level
+from vellum.storage import stage
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -82,12 +87,104 @@ def search(rows: DataFrame, words: str, columns: list[str], id_col: str, most: i
     return rows.where(hit).orderBy(F.desc(id_col)).limit(max(1, min(most, 200)))
 
 
-def key_columns(rows: DataFrame) -> DataFrame:
-    """Issues reduced to what makes two of them the same in an evaluation."""
-    page = F.coalesce(F.col("page_num").try_cast("int").cast("string"), F.col("page_num"))
-    low = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
-    box = F.array_join(F.transform("bbox", lambda x: F.bround(x, 1).cast("string")), ",")
-    return rows.select("issue_type", "severity", page.alias("page"), low(F.col("evidence")).alias("evidence"), low(F.col("message")).alias("message"), box.alias("box")).distinct()
+def key_columns(rows: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Issues reduced to what makes two of them the same in an evaluation, with the columns ``keep``."""
+    said = F.trim(F.coalesce("page", F.lit("")))
+    page = F.when(said != "", F.coalesce(said.try_cast("int").cast("string"), F.col("page")))
+    text = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    box = F.when(F.size("bbox") == 4, F.array_join(F.transform("bbox", lambda x: F.bround(x, 1).cast("string")), ","))
+    return rows.select(*(keep or []), text("issue_type").alias("issue_type"), text("severity").alias("severity"), page.alias("page"), F.lower(text("evidence")).alias("evidence"), F.lower(text("message")).alias("message"), box.alias("box")).distinct()
+
+
+def evaluate(predicted: DataFrame, truth: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Precision, recall and F1 of predicted issues, which are right if a true one has the same key; by paper, say."""
+    by = by or []
+    return precision_recall(key_columns(predicted, by), key_columns(truth, by), by)
+
+
+def upsert_experts(target: DataFrame, changes: DataFrame, embed: Callable[[DataFrame, str], DataFrame] | None = None, source: str = "admin") -> DataFrame:
+    """Expert rows after ``changes`` (comment_id, metric_id, text, ...), which have a text and a comment_id or metric_id.
+
+    A change means the row of its comment_id, else the first one of its metric and text; without either it is new. Empty
+    values change nothing, weights are kept within 0 and 1, and ``embed`` (a table and its column of texts) gives the
+    embedding of metric and text. The last change of a row wins, by ``nth`` if there is one.
+    """
+    given = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    ok = (given("text") != "") & ((given("metric_id") != "") | F.col("comment_id").isNotNull())
+    rows = changes.where(ok).select(*[given(c).alias(c) if t == "string" else F.col(c) for c, t in changes.dtypes])
+    if embed:
+        rows = embed(rows.withColumn("_said", F.concat("metric_id", F.lit("\n"), "text")), "_said").drop("_said")
+    old = target.select(F.col("comment_id").alias("_id"), F.col("metric_id").alias("_metric"), F.col("text").alias("_text"))
+    by_text = old.groupBy("_metric", "_text").agg(F.min("_id").alias("_by_text"))
+    rows = rows.join(old.select(F.col("_id").alias("_by_id")), F.col("comment_id") == F.col("_by_id"), "left")
+    rows = rows.join(by_text, (F.col("metric_id") == F.col("_metric")) & (F.col("text") == F.col("_text")) & (F.col("metric_id") != ""), "left")
+    rows = rows.withColumn("_at", F.coalesce("_by_id", "_by_text"))
+    # A new row's number is its own or comes from its metric and text, the same however often it is run.
+    rows = rows.withColumn("_key", F.coalesce(F.col("_at").cast("string"), F.col("comment_id").cast("string"), F.concat(F.lit("new:"), F.md5(F.concat_ws("\n", "metric_id", "text").cast("binary")))))
+    rows = latest(rows, ["_key"], [F.desc("nth") if "nth" in changes.columns else F.lit(1)])
+    weight = B.clamp_weight(F.col("weight").cast("string")) if "weight" in changes.columns else None
+    new = {c: F.col(c) for c in changes.columns if c in target.columns}
+    if weight is not None:
+        new["weight"] = weight
+    if embed and "embedding" in target.columns:
+        new["embedding"] = F.col("embedding")
+    kinds = dict(target.dtypes)
+    blank = lambda c: F.when(new[c] != "", new[c]) if kinds[c] == "string" else new[c]
+    fresh = {"rule_title": F.coalesce(*(x for x in (F.when(given("metric_id") != "", F.col("metric_id")), F.lit("UNKNOWN")))), "indicator_name": F.coalesce(F.when(given("metric_id") != "", F.col("metric_id")), F.lit("UNKNOWN")), "rule_text": F.col("text"), "operator": F.lit("N/A"), "source": F.lit(source), "active": F.lit(True), "is_hard_rule": F.lit(False), "evidence_pattern": F.lit("")}
+    top = F.coalesce(F.col("_at"), F.col("comment_id"), F.pmod(F.xxhash64("_key"), F.lit(2**53)) + 2**32)
+    ready = rows.select(top.cast(kinds["comment_id"]).alias("comment_id"), F.col("_at").isNull().alias("_fresh"), *[F.coalesce(*([blank(c)] if c in new else []), F.when(F.col("_at").isNull(), fresh.get(c, F.lit(None)))).cast(kinds[c]).alias(c) for c in target.columns if c != "comment_id"])
+    named = ready.select(*[F.col(c).alias(f"_n_{c}") for c in ready.columns])
+    both = target.join(named, F.col("comment_id") == F.col("_n_comment_id"), "full")
+    return both.select(F.coalesce("comment_id", "_n_comment_id").alias("comment_id"), *[F.coalesce(F.col(f"_n_{c}"), F.col(c)).alias(c) for c in target.columns if c != "comment_id"]).select(*target.columns)
+
+
+# What tells labelled issues apart, besides their type, as far as a change names it.
+TRUTH_KEYS = ("sample_id", "paper_id", "chunk_id", "evidence", "message")
+
+
+def upsert_truth(target: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Labelled issues after ``changes``, and counts (inserted, updated, skipped).
+
+    A change means the first row (issue_id) that has its type and all those of ``TRUTH_KEYS`` that it names; of a row it
+    sets severity, page_num, bbox and source, as far as it names them. Changes without a type are skipped. Where several
+    changes mean one row, the last (``nth``) wins; equal new ones are one row.
+    """
+    text = lambda c: F.when(F.trim(F.col(c)) != "", F.trim(F.col(c)))
+    keys = ["issue_type", *TRUTH_KEYS]
+    named = changes.select(*[text(c).alias(c) if t == "string" else F.col(c) for c, t in changes.dtypes])
+    rows = named.where(F.col("issue_type").isNotNull()).withColumn("_row", F.xxhash64("nth", *keys))
+    # Which keys are named decides which join finds the row: each set of names is one equi-join.
+    names = F.concat(*[F.when(F.col(c).isNotNull(), "1").otherwise("0") for c in TRUTH_KEYS])
+    shapes = sorted(r[0] for r in rows.select(names.alias("s")).distinct().collect())
+    met = []
+    for shape in shapes:
+        on = ["issue_type", *[c for c, x in zip(TRUTH_KEYS, shape) if x == "1"]]
+        first = target.groupBy(*on).agg(F.min("issue_id").alias("_at"))
+        met.append(rows.where(names == shape).join(first, on, "left").select(*rows.columns, "_at"))
+    if not met:
+        return target, changes.agg(F.lit(0).cast("long").alias("inserted"), F.lit(0).cast("long").alias("updated"), F.count("*").alias("skipped"))
+    rows = stage(reduce(DataFrame.unionByName, met), "truth")
+    again = latest(rows.where("_at is not null"), ["_at"], [F.desc("nth")])
+    sets = [c for c in ("severity", "page_num", "bbox", "source") if c in target.columns and c in changes.columns]
+    old = target.join(again.select(F.col("_at").alias("_id"), *[F.col(c).alias(f"_n_{c}") for c in sets]), F.col("issue_id") == F.col("_id"), "left")
+    old = old.select(*[F.coalesce(f"_n_{c}", c).alias(c) if c in sets else F.col(c) for c in target.columns])
+    fresh = latest(rows.where("_at is null"), keys, [F.desc("nth")])
+    kinds = dict(target.dtypes)
+    number = F.pmod(F.xxhash64(*keys), F.lit(2**53)) + 2**32
+    added = fresh.select(*[number.cast(kinds[c]).alias(c) if c == "issue_id" else (F.col(c) if c in fresh.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in target.columns])
+    found = rows.agg(F.count_distinct(F.when(F.col("_at").isNull(), F.xxhash64(*keys))).alias("inserted"), F.count("_at").alias("updated"))
+    counts = found.join(changes.agg(F.count(F.when(F.trim(F.coalesce("issue_type", F.lit(""))) == "", 1)).alias("skipped")))
+    return old.unionByName(added), counts
+
+
+def reembed(rows: DataFrame, embed: Callable[[DataFrame, str], DataFrame], most: int = 200, require_text: bool = True) -> DataFrame:
+    """The first ``most`` (1 to 2000) rows (comment_id, metric_id, text, embedding) without an embedding, with one of metric and text."""
+    todo = rows.where("embedding is null")
+    if require_text:
+        todo = todo.where("trim(text) <> ''")
+    todo = todo.orderBy("comment_id").limit(max(1, min(2000, most))).drop("embedding")
+    said = F.concat(F.trim(F.coalesce("metric_id", F.lit(""))), F.lit("\n"), F.trim(F.coalesce("text", F.lit(""))))
+    return embed(todo.withColumn("_said", said), "_said").drop("_said")
 
 
 def precision_recall(predicted: DataFrame, truth: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -109,5 +206,39 @@ def report(issues: DataFrame, scores: DataFrame) -> DataFrame:
     head = scores.select("doc_id", F.posexplode(F.array(F.lit("# Audit report"), F.concat(F.lit("Score: "), F.col("score").cast("string")), F.concat(F.lit("Level: "), F.upper(level(F.col("score"), "Pass"))))).alias("n", "line")).select("doc_id", F.lit("").alias("t"), F.col("n").cast("long").alias("n"), "line")
     by_type = issues.groupBy("doc_id", "issue_type").agg(F.count("*").alias("n")).select("doc_id", F.col("issue_type").alias("t"), F.lit(-1).cast("long").alias("n"), F.concat(F.lit("## "), "issue_type", F.lit(" ("), F.col("n").cast("string"), F.lit(")")).alias("line"))
     rows = issues.select("doc_id", F.col("issue_type").alias("t"), F.col("seq").alias("n"), F.concat(F.lit("- ["), "severity", F.lit("] p"), "page", F.lit(": "), F.coalesce("message", F.lit(""))).alias("line"))
-    order = Window.partitionBy("doc_id").orderBy("t", "n")
+    order = Window.partitionBy("doc_id").orderBy("t", "n", "line")
     return head.unionByName(by_type).unionByName(rows).select("doc_id", F.row_number().over(order).cast("long").alias("line_no"), "line")
+
+
+def deductions(issues: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, line_no, line): the details of a document's issues in Markdown: layout, then meaning, each by type in order."""
+    layout = F.col("issue_type").isin("Label_Missing", "Formula_Missing", "Formula_Ref_Missing", "Formula_Misaligned", "Hierarchy_Fault", "Citation_Visual_Fault")
+    own = issues.withColumn("part", F.when(layout, 1).otherwise(2))
+    kind = Window.partitionBy("doc_id", "part", "issue_type")
+    own = own.withColumn("at", F.min("seq").over(kind)).withColumn("nth", F.row_number().over(kind.orderBy("seq"))).withColumn("many", F.count("*").over(kind))
+    where = B.format_box(F.array("x0", "y0", "x1", "y1"))
+    evidence = B.strip(F.regexp_replace(F.coalesce("evidence", F.lit("")), r"\s+", " "))
+    said = F.when(F.length(evidence) <= 120, F.concat(F.lit("- **证据**: `"), evidence, F.lit("`"))).otherwise(F.concat(F.lit("- **证据**:\n\n```\n"), evidence, F.lit("\n```")))
+    lines = F.array(
+        F.when(F.col("nth") == 1, F.concat(F.lit("### "), "issue_type", F.lit(" ("), F.col("many").cast("string"), F.lit(" 个问题)"))),
+        F.concat(F.lit("#### "), F.col("nth").cast("string"), F.lit(". [Page "), F.coalesce("page", F.lit("?")), F.lit("] "), F.coalesce("message", F.lit("无描述"))),
+        F.concat(F.lit("- **严重程度**: "), F.coalesce("severity", F.lit("Info"))),
+        F.when(F.col("x0").isNotNull(), F.concat(F.lit("- **BBox**: "), where)),
+        F.when(evidence != "", said),
+    )
+    body = own.select("doc_id", "part", "at", "issue_type", "nth", F.posexplode(F.filter(lines, lambda x: x.isNotNull())).alias("n", "line"))
+    heads = ((0, "# 论文格式审计扣分细则"), (1, "## 1. 视觉布局分析 (CV Layout Analysis)"), (2, "## 2. 语义内容分析 (LLM Semantic Analysis)"))
+    found = own.groupBy("doc_id").agg(F.max((F.col("part") == 1).cast("int")).alias("one"), F.max((F.col("part") == 2).cast("int")).alias("two"))
+    frame = docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.explode(F.when(F.col("one").isNull(), F.array(*[F.struct(F.lit(k).alias("part"), F.lit(-1).alias("n"), F.lit(x).alias("line")) for k, x in (heads[0], (1, "恭喜！未发现明显的格式问题。"))])).otherwise(F.filter(F.array(*[F.struct(F.lit(k).alias("part"), F.lit(n).alias("n"), F.when(when, F.lit(x)).alias("line")) for k, n, x, when in ((0, -2, heads[0][1], F.lit(True)), (1, -2, heads[1][1], F.lit(True)), (1, -1, "未发现布局问题。", F.col("one") == 0), (2, -2, heads[2][1], F.lit(True)), (2, -1, "未发现语义问题。", F.col("two") == 0))]), lambda x: x.line.isNotNull()))).alias("x"))
+    frame = frame.select("doc_id", "x.part", F.lit(-1).cast("long").alias("at"), F.lit("").alias("issue_type"), F.lit(0).alias("nth"), "x.n", "x.line")
+    order = Window.partitionBy("doc_id").orderBy("part", "at", "issue_type", "nth", "n")
+    return frame.unionByName(body).select("doc_id", F.row_number().over(order).cast("long").alias("line_no"), "line")
+
+
+def json_reports(issues: DataFrame, scores: DataFrame) -> DataFrame:
+    """(doc_id, report): score and issues as one JSON text, for ``write.text``."""
+    row = F.struct("issue_type", "severity", F.col("page").alias("page_num"), F.when(F.col("x0").isNotNull(), F.array("x0", "y0", "x1", "y1")).alias("bbox"), "evidence", "message")
+    rows = issues.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", row.alias("row")))), lambda x: x.row).alias("issues"))
+    both = scores.select("doc_id", "score").join(rows, "doc_id", "left")
+    kind = dict(rows.dtypes)["issues"]
+    return both.select("doc_id", F.to_json(F.struct(F.col("doc_id").cast("string").alias("file"), "score", F.coalesce("issues", F.array().cast(kind)).alias("issues"))).alias("report"))

@@ -16,6 +16,15 @@ def text_lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", at).select("doc_id", (F.col("pos") + 1).cast("long").alias("line_no"), (F.floor(F.col("pos") / LINES_PER_PAGE) + 1).cast("int").alias("page_num"), "line")
 
 
+def placed_lines(docs: DataFrame) -> DataFrame:
+    """Lines of plain texts as the parser takes them: all of one size, one below the other, eight a page."""
+    slot = F.expr("(line_no - 1) % 8")
+    return text_lines(docs).select(
+        "doc_id", "line_no", "page_num", F.col("line").alias("content"), F.lit(10.0).alias("size"),
+        F.lit(72.0).alias("x0"), (80 + slot * 80).cast("double").alias("y0"), (72 + F.least(F.length("line") * 5, F.lit(450))).cast("double").alias("x1"), (92 + slot * 80).cast("double").alias("y1"),
+    )
+
+
 def decorated_lines(docs: DataFrame) -> DataFrame:
     """Lines of ``docs`` with headings, captions, citations, formulas and faults put in by a fixed rule, and boxes."""
     lines = text_lines(docs).withColumn("h", F.expr("cast((doc_id * 31 + line_no * 17) % 13 as int)"))
@@ -46,6 +55,19 @@ def decorated_lines(docs: DataFrame) -> DataFrame:
     )
 
 
+def heading_lines(docs: DataFrame) -> DataFrame:
+    """Lines of ``docs`` of which every third is made a heading by a fixed rule; headings come again, skip levels and go too deep."""
+    lines = text_lines(docs)
+    top, sub = F.expr("cast(1 + floor(line_no / 15) % 3 as string)"), F.expr("cast(1 + doc_id % 2 as string)")
+    k = F.col("line_no") % 15
+    content = F.when(k == 0, F.concat(top, F.lit(" Alpha"))).when(k.isin(3, 9), F.concat(top, F.lit("."), sub, F.lit(" Beta"))).when(k == 6, F.concat(top, F.lit("."), sub, F.lit(".2.1 Gamma"))).when(k == 12, F.concat(top, F.lit(".1.1.1.1 Delta"))).otherwise(F.col("line"))
+    slot = F.expr("(line_no - 1) % 8")
+    return lines.select(
+        "doc_id", "line_no", "page_num", content.alias("content"), F.when(k % 3 == 0, 14.0).otherwise(10.0).alias("size"),
+        F.lit(72.0).alias("x0"), (80 + slot * 80).cast("double").alias("y0"), F.lit(272.0).alias("x1"), (92 + slot * 80).cast("double").alias("y1"),
+    )
+
+
 def block_lines(pages: DataFrame) -> DataFrame:
     """Lines of pages (doc_id, page_num, width, blocks as JSON): text, largest size, box, and the column they are in.
 
@@ -106,3 +128,36 @@ def files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return raw.select("path", "content", F.sha2("content", 256).alias("sha256"), pdf.alias("is_pdf"))
 
 
+
+
+def verify(files: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(id, path, status): whether a manifest's files are there and have its digest: ok, missing, wrong or unchecked.
+
+    ``files`` have (path, sha256); a manifest's path is the end of a file's path.
+    """
+    name = lambda c: F.regexp_extract(c, "[^/]+$", 0)
+    own = files.select(F.col("path").alias("at"), "sha256", name(F.col("path")).alias("name"))
+    want = manifest.select("id", "path", F.lower(F.trim(F.coalesce("sha256", F.lit("")))).alias("wanted"), name(F.col("path")).alias("name"))
+    met = want.join(own, "name", "left").where(F.col("at").isNull() | F.endswith(F.concat(F.lit("/"), "at"), F.concat(F.lit("/"), F.regexp_replace("path", r"^(?:\./|/)+", ""))))
+    status = F.when(F.count("sha256") == 0, "missing").when(F.max("wanted") == "", "unchecked").when(F.max((F.lower("sha256") == F.col("wanted")).cast("int")) == 1, "ok").otherwise("wrong")
+    seen = met.groupBy("id", "path").agg(status.alias("status"))
+    return manifest.select("id", "path").join(seen, ["id", "path"], "left").withColumn("status", F.coalesce("status", F.lit("missing")))
+
+
+def review_folders(spark: SparkSession, root: str) -> DataFrame:
+    """(sample_id, paper, review, source, text, layout): reviews in folders paper/reviews/review/hybrid_auto under ``root``.
+
+    text is the review's Markdown, layout its ``_middle.json`` (null if there is none); files that have the review's name
+    come first, then the first by name.
+    """
+    raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True).select("value", F.col("_metadata.file_path").alias("path"))
+    part = lambda k: F.regexp_extract("path", r"([^/]+)/reviews/([^/]+)/hybrid_auto/([^/]+)$", k)
+    raw = raw.select("value", "path", part(1).alias("paper"), part(2).alias("review"), part(3).alias("file")).where("paper <> ''")
+
+    def best(end: str, column: str) -> DataFrame:
+        own = raw.where(F.endswith("file", F.lit(end)))
+        rank = F.struct((F.col("file") != F.concat("review", F.lit(end))).alias("other"), "file", "path", "value")
+        return own.groupBy("paper", "review").agg(F.min(rank).alias(column))
+
+    rows = best(".md", "m").join(best("_middle.json", "j"), ["paper", "review"], "left")
+    return rows.select(F.concat_ws("-", F.lit("papers-mineru10"), "paper", "review").alias("sample_id"), "paper", "review", F.col("m.path").alias("source"), F.col("m.value").alias("text"), F.col("j.value").alias("layout"))

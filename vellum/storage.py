@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_root: list[str] = []
+_scopes: list[list[DataFrame]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -26,13 +29,26 @@ def shared_root(spark: SparkSession) -> str:
     return f"file://{_local_root[0]}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts its lineage."""
+@contextmanager
+def scope() -> Iterator[None]:
+    """What is staged inside is deleted at the end, when all that reads it has been written."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for df in _scopes.pop():
+            discard(df)
+
+
+def stage(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back, which cuts its lineage. A lasting table outlives its scope."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/vellum-{uuid.uuid4().hex}/{name}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
+    if _scopes and not lasting:
+        _scopes[-1].append(out)
     return out
 
 
