@@ -5,28 +5,56 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.config import RULES
-from vellum.operators import charts, citations, issues, structure, terms
-from vellum.operators.parse import parse
+from vellum.operators import charts, citations, issues, service, store, structure, terms, text
+from vellum.operators.parse import document_pages, document_text, pages_at, parse, place_issues, with_offsets
 from vellum.storage import stage
 
 Check = Callable[[DataFrame, dict[str, Any]], DataFrame]
+Model = Callable[[Column], Column]
 LAYOUT: list[Check] = [structure.labels_missing, charts.misplaced_captions, charts.images_without_caption, structure.formulas, structure.headings, citations.layout_faults]
+IMAGES: list[Check] = [charts.misplaced_captions, charts.images_without_caption]
 SEMANTIC: list[Check] = [terms.typos, terms.mixed_forms, terms.forbidden, terms.punctuation, citations.positions, citations.styles, citations.list_missing, citations.numbers_missing, citations.authors_missing]
 
 
-def find_issues(elements: DataFrame, rules: dict[str, Any] | None = None, checks: list[Check] | None = None) -> DataFrame:
-    """Deduplicated issues of all checks, in the order of the checks.
+def model_scan(elements: DataFrame, model: Model, rules: dict[str, Any] | None = None) -> DataFrame:
+    """Issues that a language model finds in a document's text, a chunk at a time, with the pages of their chunk.
 
-    Elements are read by every check and issues by counts and tags, so both are staged in the shared folder, which also
-    keeps the plan of each step small.
+    ``model`` makes an answer (JSON, or text with JSON in it) of a column of texts; ``llm_scan.enabled`` turns it off.
+    """
+    none = elements.where("false").select(*issues.issue("", "", ""))
+    if not (rules or RULES).get("llm_scan", {}).get("enabled", False):
+        return none
+    chunks = text.chunks(document_text(elements), 15000, 500)
+    answers = chunks.select("doc_id", "chunk", "start", "stop", model(F.col("text")).alias("answer"))
+    found = text.model_issues(answers, keep=["chunk", "start", "stop"])
+    found = pages_at(with_offsets(elements), found)
+    page = F.coalesce(F.when(~F.coalesce("page", F.lit("")).isin("", "?"), F.col("page")), "pages")
+    return found.withColumn("seq", F.col("chunk") * 10000 + F.col("pos")).select(
+        "doc_id", "seq", "issue_type", "severity", page.alias("page"), *[F.lit(None).cast("double").alias(b) for b in issues.BOX], "evidence", "message"
+    )
+
+
+def find_issues(elements: DataFrame, rules: dict[str, Any] | None = None, checks: list[Check] | None = None, model: Model | None = None) -> DataFrame:
+    """Deduplicated issues of all checks, in the order of the checks, then those of a language model if there is one.
+
+    An issue without a page gets its document's range. Elements are read by every check and issues by counts and tags, so
+    both are staged in the shared folder, which also keeps the plan of each step small.
     """
     rules = rules or RULES
-    elements = stage(elements, "elements")
-    return stage(issues.dedupe(issues.union([check(elements, rules) for check in checks or LAYOUT + SEMANTIC])), "issues")
+    elements = elements if hasattr(elements, "_staged_at") else stage(elements, "elements")
+    checks = checks or LAYOUT + SEMANTIC
+    # Where there are no images, the checks of images find nothing.
+    used = checks if elements.where("type = 'image'").limit(1).count() else [c for c in checks if c not in IMAGES]
+    parts = [check(elements, rules) for check in used] or [elements.where("false").select(*issues.issue("", "", ""))]
+    if model is not None:
+        parts.append(model_scan(elements, model, rules))
+    found = issues.dedupe(issues.union(parts))
+    pages = document_pages(elements.select("doc_id").distinct(), elements)
+    return stage(place_issues(found, pages), "issues")
 
 
 def results(found: DataFrame, docs: DataFrame, rules: dict[str, Any] | None = None) -> DataFrame:
@@ -38,5 +66,17 @@ def results(found: DataFrame, docs: DataFrame, rules: dict[str, Any] | None = No
     return out.select("doc_id", total.alias("n_issues"), "n_critical", "n_warning", "n_info", "score", "audit_level", F.coalesce("tags", F.lit("")).alias("tags"))
 
 
-def audit(lines: DataFrame, rules: dict[str, Any] | None = None, checks: list[Check] | None = None) -> DataFrame:
-    return results(find_issues(parse(lines), rules, checks), lines, rules)
+def audit(lines: DataFrame, rules: dict[str, Any] | None = None, checks: list[Check] | None = None, model: Model | None = None) -> DataFrame:
+    return results(find_issues(parse(lines), rules, checks, model), lines, rules)
+
+
+def answer(docs: DataFrame, lines: DataFrame, experts: DataFrame, rules: dict[str, Any] | None = None, model: Model | None = None) -> DataFrame:
+    """(doc_id, answer): the whole audit of documents (doc_id, text) and their lines as an answer in JSON, with a commentary."""
+    found = find_issues(parse(lines), rules, model=model)
+    return service.answers(results(found, docs, rules), docs, text.commentary(docs, found, experts, rules or RULES))
+
+
+def evaluation(found: DataFrame, truth: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Precision, recall and F1 of issues against labelled ones (issue_type, severity, page, evidence, message, bbox)."""
+    box = F.when(F.col("x0").isNotNull(), F.array(*issues.BOX))
+    return store.evaluate(found.withColumn("bbox", box), truth, by)

@@ -78,8 +78,7 @@ lines AS (SELECT doc_id, line_no, page_num, h, CASE h
 
 _cites = f"list_concat(CASE WHEN {has('c', P.CITATION_CODE)} THEN [] ELSE list_filter({every('c', P.CITATION_GROUP)}, lambda x: len(list_filter(string_split(regexp_replace({squeeze('x')}, '[\\[\\]]', '', 'g'), ','), lambda n: NOT coalesce(TRY_CAST(n AS BIGINT) BETWEEN 1 AND 999, false))) = 0) END, {every('c', P.CITATION_AUTHOR)})"
 
-ELEMENTS = f"""{LINES},
-p0 AS (SELECT * REPLACE (content AS content), {strip('content')} AS c, median(size) OVER (PARTITION BY doc_id, page_num) AS body FROM lines WHERE {strip('content')} <> ''),
+PARSED = f"""p0 AS (SELECT * REPLACE (content AS content), {strip('content')} AS c, median(size) OVER (PARTITION BY doc_id, page_num) AS body FROM lines WHERE {strip('content')} <> ''),
 p1 AS (SELECT *, {is_title('c')} AS is_title, {is_caption('c')} AS is_caption, {goes_on('c')} AS goes_on FROM p0),
 p2 AS (SELECT *, max(is_title::INT) OVER (PARTITION BY doc_id ORDER BY line_no) = 1 AS refs, is_caption AND NOT is_title AS starts FROM p1),
 p3 AS (SELECT *, sum(starts::INT) OVER (PARTITION BY doc_id, page_num ORDER BY line_no) AS caption FROM p2),
@@ -92,6 +91,12 @@ elements AS (SELECT doc_id, line_no * 100 + 99 AS seq, CASE WHEN is_title OR sta
   CASE WHEN is_title THEN 'reference' WHEN starts THEN 'chart' WHEN refs THEN 'reference' WHEN kind IN ('formula', 'title') THEN kind ELSE 'main' END AS region FROM p6
   UNION ALL SELECT doc_id, line_no * 100 + least(pos, 98), 'citation', cite, x0, y0, x1, y1, page_num, 'citation' FROM (SELECT *, unnest(cites) AS cite, unnest(range(len(cites))) AS pos FROM (SELECT *, {_cites} AS cites FROM p6 WHERE NOT is_title AND NOT starts)))"""
 
+ELEMENTS = f"{LINES},\n{PARSED}"
+#: Lines of which every third is a heading.
+HEADING_LINES = """raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM documents),
+lines AS (SELECT doc_id, line_no, CAST((line_no - 1) // 8 + 1 AS INTEGER) AS page_num, CASE line_no % 15 WHEN 0 THEN top || ' Alpha' WHEN 3 THEN top || '.' || sub || ' Beta' WHEN 6 THEN top || '.' || sub || '.2.1 Gamma' WHEN 9 THEN top || '.' || sub || ' Beta' WHEN 12 THEN top || '.1.1.1.1 Delta' ELSE line END AS content,
+  CASE WHEN line_no % 3 = 0 THEN 14.0 ELSE 10.0 END::DOUBLE AS size, 72.0::DOUBLE AS x0, (80 + (line_no - 1) % 8 * 80)::DOUBLE AS y0, 272.0::DOUBLE AS x1, (92 + (line_no - 1) % 8 * 80)::DOUBLE AS y1 FROM (SELECT *, CAST(1 + line_no // 15 % 3 AS VARCHAR) AS top, CAST(1 + doc_id % 2 AS VARCHAR) AS sub FROM raw))"""
+
 NUMERIC = f"(?:^|[^\\p{{L}}\\p{{N}}_\\]]){P.CITATION_GROUP}"
 _numeric = f"list_filter({every('content', NUMERIC, 1)}, lambda x: len(list_filter(string_split({squeeze('x')}, ','), lambda n: n <> '0')) > 0 AND len(list_filter(string_split({squeeze('x')}, ','), lambda n: n <> '0' AND coalesce(TRY_CAST(n AS BIGINT), 1000) >= 1000)) = 0)"
 _author = every("content", P.AUTHOR_YEAR, 1)
@@ -151,24 +156,43 @@ AUTHORS = f"""ay AS (SELECT doc_id, seq, page_num, unnest({every('content', P.AU
 az AS (SELECT *, {get('inner_', '[0-9]{4}[a-z]?')} AS year, lower({get('inner_', '[A-Za-z][A-Za-z' + chr(39) + chr(92) + '-]+')}) AS author FROM ay),
 ax AS (SELECT * FROM az WHERE author <> '' AND doc_id IN (SELECT doc_id FROM refs) AND NOT EXISTS (SELECT 1 FROM refs WHERE refs.doc_id = az.doc_id AND contains(lower(refs.content), year) AND contains(lower(refs.content), author)))"""
 
-#: All issues that the flagship audit of the SQL-expressible checks finds: (doc_id, seq, issue_type, severity, page, evidence, message, box).
-ISSUES = f"""{ELEMENTS}, {REFERENCES}, {FAULTS}, {LABELS}, {FORMULAS}, {HEADINGS}, {FORBIDDEN}, {POSITIONS}, {STYLES}, {MISSING}, {AUTHORS},
-found AS (SELECT doc_id, seq, 'Label_Missing' AS issue_type, 'Info' AS severity, CAST(page_num AS VARCHAR) AS page, content AS evidence, 'label' AS message FROM labels
- UNION ALL SELECT doc_id, seq, 'Formula_Ref_Missing', 'Info', CAST(page_num AS VARCHAR), content, 'ref' FROM un WHERE unsaid AND k >= 3 AND k / n >= 0.2
- UNION ALL SELECT doc_id, seq, 'Formula_Misaligned', 'Warning', CAST(page_num AS VARCHAR), content, 'side' FROM fm JOIN (SELECT doc_id, page_num, max(x1) AS max_x FROM elements GROUP BY ALL) USING (doc_id, page_num) WHERE x1 < max_x * 0.6
- UNION ALL SELECT doc_id, seq, 'Hierarchy_Fault', 'Info', CAST(page_num AS VARCHAR), content, 'again' || key || first_page FROM dups
- UNION ALL SELECT doc_id, seq, 'Hierarchy_Fault', 'Info', CAST(page_num AS VARCHAR), content, 'gap' || wanted FROM gaps
- UNION ALL SELECT doc_id, seq, 'Citation_Visual_Fault', 'Warning', CAST(page_num AS VARCHAR), content, 'missing' || missing FROM faults
- UNION ALL SELECT doc_id, 0, 'Terminology_Forbidden', 'Warning', string_agg(DISTINCT CAST(page_num AS VARCHAR), ','), 'deep-learning', 'term' FROM fb GROUP BY doc_id
- UNION ALL SELECT doc_id, seq, 'Citation_Position_Inconsistent', 'Info', CAST(page_num AS VARCHAR), hit, 'position' FROM ps
- UNION ALL SELECT doc_id, 0, 'Citation_Style_Inconsistent', 'Warning', '', '', 'mixed' FROM sd WHERE n > 0 AND a > 0
- UNION ALL SELECT doc_id, 0, 'Citation_Style_Mismatch', 'Warning', '', '', 'style' FROM sd WHERE a > 0
- UNION ALL SELECT doc_id, 0, 'Reference_List_Missing', 'Warning', '?', '', 'list' FROM sd WHERE (n > 0 OR a > 0) AND doc_id NOT IN (SELECT doc_id FROM refs)
- UNION ALL SELECT doc_id, seq, 'Citation_Reference_Missing', 'Info', CAST(page_num AS VARCHAR), '[' || n || ']', 'number' FROM miss
- UNION ALL SELECT doc_id, seq, 'Citation_Reference_Missing', 'Info', CAST(page_num AS VARCHAR), '(' || inner_ || ')', 'author' FROM ax),
+_word = f"{P.W}+"
+#: Likeness is bounded from above by the letters that two words have in common; in these tables no word is let through by
+#: that which the likeness itself would stop.
+_like = "2.0 * list_sum(list_transform(list_distinct(string_split(kw, '')), lambda x: least(length(word) - length(replace(word, x, '')), length(kw) - length(replace(kw, x, ''))))) / (length(word) + length(kw))"
+TYPOS = f"""tw AS (SELECT doc_id, seq, page_num, unnest({every('content', _word)}) AS word FROM elements),
+tn AS (SELECT doc_id, word, count(*) AS n FROM tw GROUP BY ALL),
+tk AS (SELECT word, kw, {_like} AS ratio FROM (SELECT DISTINCT word FROM tw), (VALUES ('TensorFlow'), ('Pydantic')) v(kw) WHERE abs(length(word) - length(kw)) <= 2 AND {_like} >= 0.85),
+tr AS (SELECT *, least(n, 3 - coalesce(sum(n) OVER (PARTITION BY doc_id, kw ORDER BY ratio DESC, word DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS times FROM tn JOIN tk USING (word)),
+ts AS (SELECT * FROM tr WHERE times > 0 AND lower(word) <> lower(kw) AND word <> kw || 's' AND word <> kw || 'es'),
+typos AS (SELECT tw.*, kw FROM tw JOIN ts USING (doc_id, word)),
+many AS (SELECT doc_id, CAST(sum(times * n) AS BIGINT) AS total, array_to_string(list_sort(list(word))[:3], ', ') AS samples FROM ts GROUP BY doc_id HAVING sum(times * n) > 10)"""
+
+#: Elements that the check of marks would look at; these tables have none.
+MARKED = f"mk AS (SELECT * FROM elements WHERE NOT {_likely} AND region NOT IN ('chart', 'formula') AND {has('content', f'{P.CJK}{P.S}*[,?!;:.]|[a-zA-Z]{{2}}{P.S}*[，。？！；：]')})"
+
+#: All issues that the flagship audit finds; without images their two checks find none: (doc_id, seq, issue_type, severity, page, evidence, message, box).
+ISSUES = f"""{ELEMENTS}, {REFERENCES}, {FAULTS}, {LABELS}, {FORMULAS}, {HEADINGS}, {FORBIDDEN}, {POSITIONS}, {STYLES}, {MISSING}, {AUTHORS}, {TYPOS}, {MARKED},
+found AS (SELECT doc_id, seq, 'Label_Missing' AS issue_type, 'Info' AS severity, CAST(page_num AS VARCHAR) AS page, content AS evidence, '正文引用的图表编号未在图表标题中找到' AS message, 0 AS part FROM labels
+ UNION ALL SELECT doc_id, seq, 'Formula_Ref_Missing', 'Info', CAST(page_num AS VARCHAR), content, '公式编号未在正文引用中出现', 0 FROM un WHERE unsaid AND k >= 3 AND k / n >= 0.2
+ UNION ALL SELECT doc_id, seq, 'Formula_Misaligned', 'Warning', CAST(page_num AS VARCHAR), content, '公式编号疑似未右对齐', 0 FROM fm JOIN (SELECT doc_id, page_num, max(x1) AS max_x FROM elements GROUP BY ALL) USING (doc_id, page_num) WHERE x1 < max_x * 0.6
+ UNION ALL SELECT doc_id, seq, 'Hierarchy_Fault', 'Info', CAST(page_num AS VARCHAR), content, '标题序号重复: ' || key || ' (首次出现: 第' || first_page || '页)', 1 FROM dups
+ UNION ALL SELECT doc_id, seq, 'Hierarchy_Fault', 'Info', CAST(page_num AS VARCHAR), content, '标题序号不连续 (期望: ' || wanted || ')', 3 FROM gaps
+ UNION ALL SELECT doc_id, seq, 'Citation_Visual_Fault', 'Warning', CAST(page_num AS VARCHAR), content, '引用标注在参考文献区未找到对应条目: ' || missing, 0 FROM faults
+ UNION ALL SELECT doc_id, 0, 'Terminology_Forbidden', 'Warning', array_to_string(list_sort(list(DISTINCT page_num)), ', '), 'deep-learning', '检测到不规范术语写法，建议使用：deep learning', 0 FROM fb GROUP BY doc_id
+ UNION ALL SELECT doc_id, seq, 'Citation_Position_Inconsistent', 'Info', CAST(page_num AS VARCHAR), hit, '引用标注位置错误 (应置于标点符号之前)', 0 FROM ps
+ UNION ALL SELECT doc_id, 0, 'Citation_Style_Inconsistent', 'Warning', array_to_string(np, ', '), 'numeric + author-year', '正文引用风格不一致', 0 FROM sd WHERE n > 0 AND a > 0
+ UNION ALL SELECT doc_id, 0, 'Citation_Style_Mismatch', 'Warning', array_to_string(ap, ', '), 'author-year', '引用风格与配置不一致，建议使用数字编号引用', 0 FROM sd WHERE a > 0
+ UNION ALL SELECT doc_id, 0, 'Reference_List_Missing', 'Warning', '?', '', '正文存在引用标注，但未检测到参考文献列表', 0 FROM sd WHERE (n > 0 OR a > 0) AND doc_id NOT IN (SELECT doc_id FROM refs)
+ UNION ALL SELECT doc_id, seq, 'Citation_Reference_Missing', 'Info', CAST(page_num AS VARCHAR), '[' || n || ']', '引用标注未在参考文献中找到对应编号', 0 FROM miss
+ UNION ALL SELECT doc_id, seq, 'Citation_Reference_Missing', 'Info', CAST(page_num AS VARCHAR), '(' || inner_ || ')', '作者-年份引用未在参考文献中找到对应条目', 1 FROM ax
+ UNION ALL SELECT doc_id, seq, 'Critical_Keyword_Typo', 'Critical', CAST(page_num AS VARCHAR), word, '关键术语拼写错误: ' || chr(39) || word || chr(39) || ' 应为 ' || chr(39) || kw || chr(39), 0 FROM typos
+ UNION ALL SELECT doc_id, 0, 'Typo_Limit_Exceeded', 'Warning', '?', 'Found ' || total || ' typos (including: ' || samples || '...)', '全文错别字数量超过红线 (10个)', 0 FROM many
+ UNION ALL SELECT doc_id, seq, 'Punctuation_Mixed', 'Info', CAST(page_num AS VARCHAR), content, 'marks', 0 FROM mk),
 -- Checks that belong to no element have no box; others are the same only if their element's box is, too.
 boxed AS (SELECT f.*, CASE WHEN issue_type IN ('Label_Missing', 'Formula_Ref_Missing', 'Formula_Misaligned', 'Hierarchy_Fault', 'Citation_Visual_Fault') THEN concat_ws(',', x0, y0, x1, y1) ELSE '' END AS box FROM found f LEFT JOIN elements e USING (doc_id, seq)),
-issues AS (SELECT DISTINCT doc_id, issue_type, severity, page, evidence, message, box FROM boxed)"""
+issues AS (SELECT doc_id, issue_type, severity, page, evidence, message, box, min((part, seq)) AS place FROM boxed GROUP BY doc_id, issue_type, severity, page, evidence, message, box)"""
+PAGES = "dp AS (SELECT doc_id, CASE WHEN min(page_num) = max(page_num) THEN CAST(min(page_num) AS VARCHAR) ELSE min(page_num) || '-' || max(page_num) END AS pages FROM elements GROUP BY doc_id)"
 COUNTS = "cs AS (SELECT doc_id, count(*) FILTER (WHERE severity = 'Critical') AS c, count(*) FILTER (WHERE severity = 'Warning') AS w, count(*) FILTER (WHERE severity NOT IN ('Critical', 'Warning')) AS i FROM issues GROUP BY doc_id)"
 _score = "CAST(greatest(least(100 - round_even(coalesce(c, 0) * 5.0 + sqrt(coalesce(w, 0)) * 2.0 + sqrt(coalesce(i, 0)) * 0.3, 0), 100), 0) AS INTEGER)"
 _tag = "CASE WHEN contains(lower(issue_type), 'citation') OR contains(lower(issue_type), 'reference') THEN 'Citation_Inconsistency' WHEN issue_type IN ('Label_Missing', 'Hierarchy_Fault') THEN issue_type WHEN contains(lower(issue_type), 'punctuation') THEN 'Punctuation_Error' END"
@@ -183,6 +207,27 @@ def on(*ctes: str) -> str:
     return ", ".join([ELEMENTS, *ctes])
 
 
+HEADING_ELEMENTS = f"{HEADING_LINES},\n{PARSED}, {HEADINGS}"
+MIXED = (f"(?i)\\bdeep{P.S}+learning\\b|\\bdeep-learning\\b", "(?i)\\bTensorFlw\\b")
+IMAGES = f"""imgs AS (SELECT DISTINCT doc_id, page_num, 90.0 AS x0, (100 + doc_id % 5 * 80)::DOUBLE AS y0, 290.0 AS x1, (240 + doc_id % 5 * 80)::DOUBLE + CASE WHEN doc_id % 3 = 0 THEN 5.5 ELSE 0 END AS y1 FROM lines WHERE page_num % 2 = 1),
+pgs AS (SELECT doc_id, page_num, max(x1) AS max_x, max(y1) AS max_y FROM (SELECT doc_id, page_num, x1, y1 FROM elements UNION ALL SELECT doc_id, page_num, x1, y1 FROM imgs) GROUP BY ALL),
+figs AS (SELECT * FROM elements WHERE type = 'title' AND {is_caption('content')} AND {has('content', P.FIGURE_CAPTION)})"""
+OFFSETS = "ofs AS (SELECT *, start + length(content) AS stop FROM (SELECT doc_id, seq, page_num, content, coalesce(sum(length(content) + 1) OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM elements))"
+_added = "content || '，一二,'"
+_start, _stop = "least(a, length(flat))", "least(b, length(flat))"
+_snippet = f"CASE WHEN greatest({_start} - 18, 0) > 0 THEN '…' ELSE '' END || substr(flat, greatest({_start} - 18, 0) + 1, least({_stop} + 18, length(flat)) - greatest({_start} - 18, 0)) || CASE WHEN least({_stop} + 18, length(flat)) < length(flat) THEN '…' ELSE '' END"
+#: Marks of the wrong script in lines that end with some: by the share of Chinese either the last comma or the first is wrong.
+MARKS = f"""mm AS (SELECT doc_id, seq, {_added} AS c, {strip('regexp_replace(' + _added + f", {q(P.S + '+')}, ' ', 'g')")} AS flat, len({every(_added, P.CJK)}) AS zh, len({every(_added, '[A-Za-z]')}) AS la, len({every(_added, '[0-9]')}) AS di, {get('content', '[a-zA-Z]{2,}$')} AS tail, length(content) AS n, region FROM elements),
+ml AS (SELECT * FROM mm WHERE NOT {likely('c')} AND region NOT IN ('chart', 'formula') AND NOT {has('c', 'https?://|@[A-Za-z0-9_.-]+')} AND NOT {has('c', '[∧∨¬⇒⇔∑∫√∂∇∞≈≠≤≥±×÷]')} AND len({every('c', '[=<>≤≥±×÷*/+' + chr(92) + '-≈≠]')}) < 2),
+mh AS (SELECT *, n + 2 AS a, n + 4 AS b, '中文文本使用了英文标点' AS message FROM ml WHERE zh / greatest(zh + la + di, 1) >= 0.5
+  UNION ALL SELECT *, n - length(tail), n + 1, '英文文本使用了中文标点' FROM ml WHERE la >= 5 AND la / greatest(zh + la + di, 1) >= 0.8 AND tail <> '' AND NOT (NOT contains(c, ' ') AND length(c) < 50))"""
+REGIONS = f"""{LINES},
+rp AS (SELECT doc_id, page_num, doc_id % 7 AS k FROM lines WHERE line_no % 8 = 1 AND page_num % 3 = 1),
+rc AS (SELECT *, 200.0 + k * 50 AS c0, 212.0 + k * 50 AS c1, unnest([0, 1, 2]) AS n FROM rp),
+rb AS (SELECT *, (90 + n * 95)::DOUBLE AS x0, (120 + n * 170)::DOUBLE AS y0, (330 + n * 60)::DOUBLE AS x1, (180 + n * 175)::DOUBLE AS y1 FROM rc),
+rg AS (SELECT *, -(x1 - x0) * (y1 - y0) AS neg, {{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}} AS box, least(300, x1) - greatest(100, x0) > 0 AND least(300, x1) - greatest(100, x0) >= least(200, x1 - x0) * 0.2 AND NOT (k % 2 = 0 AND y0 > c1 + 6) AND NOT (k % 2 = 1 AND y1 < c0 - 6) AS reach,
+  CASE WHEN y1 <= c0 THEN c0 - y1 WHEN y0 >= c1 THEN y0 - c1 ELSE 0 END * 1000 + abs(200 - (x0 + x1) / 2) AS score FROM rb)"""
+
 ORACLES: dict[str, str] = {
     "elements_decorated": over(LINES, "SELECT doc_id, line_no, page_num, h, content FROM lines"),
     "page_stats": over(LINES, f"SELECT doc_id, page_num, count(*) AS n_lines, CAST(length({strip('string_agg(' + strip('content') + chr(44) + chr(39) * 2 + ' ORDER BY line_no)')}) AS BIGINT) AS n_chars, length({strip('string_agg(' + strip('content') + chr(44) + chr(39) * 2 + ' ORDER BY line_no)')}) < 10 AS scanned, max(x1) AS max_x, max(y1) AS max_y FROM lines GROUP BY ALL"),
@@ -191,7 +236,7 @@ ORACLES: dict[str, str] = {
     "reference_titles": over(LINES, f"SELECT doc_id, line_no FROM lines WHERE {is_title('content')}"),
     "captions": over(LINES, f"SELECT doc_id, line_no, content, {_label(get(strip('content'), P.CAPTION_NUMBER, 1))} AS number FROM lines WHERE {is_caption(strip('content'))}"),
     "headings": over(LINES, f"SELECT doc_id, line_no, {get(strip('content'), P.HEADING, 1)} AS number FROM lines WHERE {is_heading(strip('content'))}"),
-    "toc_headings": over(LINES, f"SELECT doc_id, line_no, content || ' ..... ' || line_no AS entry FROM lines WHERE h = 0 AND ({has(strip('content') + ' || ' + q(' ..... ') + ' || line_no', P.TOC_LEADER)})"),
+    "toc_headings": over(LINES, f"SELECT doc_id, line_no, content || ' ..... ' || line_no AS entry FROM lines WHERE {has(strip('content || ' + q(' ..... ') + ' || line_no'), P.TOC_LEADER)}"),
     "numeric_citations": over(LINES, f"SELECT doc_id, line_no, unnest({_numeric}) AS citation FROM lines"),
     "layout_citations": over(LINES, f"SELECT doc_id, line_no, unnest({_cites}) AS citation FROM (SELECT *, content AS c FROM lines)"),
     "author_year_citations": over(LINES, f"SELECT doc_id, line_no, {strip('unnest(' + _author + ')')} AS citation FROM lines"),
@@ -201,9 +246,9 @@ ORACLES: dict[str, str] = {
     "likely_references": over(LINES, f"SELECT doc_id, line_no FROM lines WHERE {likely('content', chr(39) + 'main' + chr(39))}"),
     "reference_mode_latch": over(LINES, f"SELECT doc_id, line_no, max({is_title('content')}::INT) OVER (PARTITION BY doc_id ORDER BY line_no) = 1 AS in_references FROM lines"),
     "text_offsets": over(ELEMENTS, "SELECT doc_id, seq, CAST(coalesce(sum(length(content) + 1) OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, CAST(coalesce(sum(length(content) + 1) OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(content) AS BIGINT) AS stop FROM elements"),
-    "level_rule_point_map": "SELECT t AS issue_type, CASE t " + " ".join(f"WHEN {q(k)} THEN {q(f'{P.AGENT}-{n}')}" for k, (n, _) in P.ISSUE_RULES.items()) + f" ELSE {q(P.AGENT + '-AUTO-')} || t END AS rule_id, CASE t " + " ".join(f"WHEN {q(k)} THEN {q(p)}" for k, (_, p) in P.ISSUE_RULES.items()) + " ELSE t END AS point, CASE WHEN lower(event_type) IN ('click') THEN 3 ELSE 1 END AS score FROM (SELECT DISTINCT event_type, CASE event_type WHEN 'click' THEN 'Label_Missing' WHEN 'purchase' THEN 'Formula_Missing' ELSE event_type END AS t FROM events)",
+    "level_rule_point_map": "SELECT t AS issue_type, CASE t " + " ".join(f"WHEN {q(k)} THEN {q(f'{P.RULE_PREFIX}-{n}')}" for k, (n, _) in P.ISSUE_RULES.items()) + f" ELSE {q(P.RULE_PREFIX + '-AUTO-')} || t END AS rule_id, CASE t " + " ".join(f"WHEN {q(k)} THEN {q(p)}" for k, (_, p) in P.ISSUE_RULES.items()) + " ELSE t END AS point, CASE WHEN lower(event_type) IN ('click') THEN 3 ELSE 1 END AS score FROM (SELECT DISTINCT event_type, CASE event_type WHEN 'click' THEN 'Label_Missing' WHEN 'purchase' THEN 'Formula_Missing' ELSE event_type END AS t FROM events)",
     "page_num_normalize": "SELECT event_id, greatest(coalesce(TRY_CAST(regexp_extract(page, '-?[0-9]+', 0) AS INTEGER), 0), 0) AS page FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'p. ' || (event_id % 50) WHEN 1 THEN '-' || (event_id % 9) WHEN 2 THEN event_type ELSE (event_id % 30) || '-' || (event_id % 40) END AS page FROM events)",
-    "bbox_normalize": "SELECT vec_id, round(CAST(embedding[1] AS DOUBLE), 6) AS x0, CASE WHEN vec_id % 6 > 1 THEN round(CAST(embedding[2] AS DOUBLE), 6) ELSE 0 END AS y0, CASE WHEN vec_id % 6 > 2 THEN round(CAST(embedding[3] AS DOUBLE), 6) ELSE 0 END AS x1, CASE WHEN vec_id % 6 > 3 THEN round(CAST(embedding[4] AS DOUBLE), 6) ELSE 0 END AS y1 FROM embeddings WHERE vec_id % 6 > 0",
+    "bbox_normalize": "SELECT vec_id, CASE WHEN vec_id % 6 > 0 THEN round(CAST(embedding[1] AS DOUBLE), 6) ELSE 0 END AS x0, CASE WHEN vec_id % 6 > 1 THEN round(CAST(embedding[2] AS DOUBLE), 6) ELSE 0 END AS y0, CASE WHEN vec_id % 6 > 2 THEN round(CAST(embedding[3] AS DOUBLE), 6) ELSE 0 END AS x1, CASE WHEN vec_id % 6 > 3 THEN round(CAST(embedding[4] AS DOUBLE), 6) ELSE 0 END AS y1 FROM embeddings",
     "weight_clamp": "SELECT event_id, CASE WHEN event_id % 5 > 0 THEN least(greatest(value / 100, 0.0), 1.0) END AS weight FROM events",
     "page_lists": "SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_concat(range(a, b + 1), [c]))), ',') AS pages FROM (SELECT conv_id, turn, least(conv_id % 7, turn) + 1 AS a, greatest(conv_id % 7, turn) + 1 AS b, conv_id % 11 + 1 AS c FROM conversations)",
     "review_issue_type": "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'Typo_Error' WHEN 1 THEN 'Hierarchy_Fault' WHEN 2 THEN 'Label_Missing' WHEN 3 THEN 'Citation_Reference_Missing' WHEN 4 THEN 'Formatting_Issue' ELSE 'Other' END AS issue_type, CASE doc_id % 6 WHEN 0 THEN 'Warning' WHEN 2 THEN 'Critical' WHEN 3 THEN 'Warning' ELSE 'Info' END AS severity FROM documents",
@@ -216,14 +261,43 @@ ORACLES: dict[str, str] = {
     "citation_style": over(on(STYLES), "SELECT doc_id, 'Citation_Style_Inconsistent' AS issue_type, array_to_string(np, ', ') AS page FROM sd WHERE n > 0 AND a > 0 UNION ALL SELECT doc_id, 'Citation_Style_Mismatch', array_to_string(ap, ', ') FROM sd WHERE a > 0"),
     "reference_list_missing": over(on(REFERENCES, STYLES), "SELECT doc_id FROM sd WHERE (n > 0 OR a > 0) AND doc_id NOT IN (SELECT doc_id FROM refs)"),
     "heading_depth": over(on(HEADINGS), "SELECT doc_id, CAST(max(len(parts)) AS INTEGER) AS depth, count(*) AS n FROM hd GROUP BY doc_id"),
-    "heading_duplicates": over(on(HEADINGS), "SELECT doc_id, seq, key, first_page FROM dups"),
+    "heading_duplicates": over(HEADING_ELEMENTS, "SELECT doc_id, seq, key, first_page FROM dups"),
     "heading_gaps": over(on(HEADINGS), "SELECT doc_id, seq, wanted FROM gaps"),
+    "heading_jumps": over(HEADING_ELEMENTS + ", hj AS (SELECT *, lag(page_num) OVER w AS p_page, lag((x0 + x1) / 2) OVER w AS p_cx, lag(parts) OVER w AS p_parts FROM hd WINDOW w AS (PARTITION BY doc_id ORDER BY page_num, y0, x0, seq))", "SELECT doc_id, seq, '标题层级跳跃' AS message FROM hj WHERE p_page = page_num AND abs((x0 + x1) / 2 - p_cx) < 200 AND len(parts) > len(p_parts) + 1 AND parts[:len(p_parts)] = p_parts"),
+    "terminology_mixed_forms": over(on(f"mf AS (SELECT doc_id, page_num, list_transform(list_concat({every('content', MIXED[0])}, {every('content', MIXED[1])}), lambda x: regexp_replace(lower(x), '[_-]+', ' ', 'g')) AS used FROM elements)"), "SELECT doc_id, array_to_string(list_sort(list_distinct(flatten(list(used))))[:6], ', ') AS evidence, array_to_string(list_sort(list(DISTINCT page_num)), ', ') AS page FROM mf WHERE len(used) > 0 GROUP BY doc_id HAVING len(list_distinct(flatten(list(used)))) > 1"),
+    "typo_keywords": over(on(TYPOS), "SELECT DISTINCT doc_id, 'Critical_Keyword_Typo' AS issue_type, CAST(page_num AS VARCHAR) AS page, word AS evidence, '关键术语拼写错误: ' || chr(39) || word || chr(39) || ' 应为 ' || chr(39) || kw || chr(39) AS message FROM typos UNION ALL SELECT doc_id, 'Typo_Limit_Exceeded', '?', 'Found ' || total || ' typos (including: ' || samples || '...)', '全文错别字数量超过红线 (10个)' FROM many"),
+    "commentary": over(ISSUES, "SELECT doc_id, '发现以下问题：' || chr(10) || string_agg('- ' || issue_type || ': ' || n, chr(10) ORDER BY n DESC, issue_type) AS comment, '请优先修复 Critical/Warning，再统一排版细节。' AS suggestion FROM (SELECT doc_id, issue_type, count(*) AS n FROM issues GROUP BY ALL) GROUP BY doc_id"),
+    "image_caption_match": over(on(IMAGES), "SELECT DISTINCT c.doc_id, c.seq, CAST(c.page_num AS VARCHAR) AS page, c.content AS evidence, '图标题应位于图下方 (规则要求: bottom)' AS message FROM figs c JOIN imgs i USING (doc_id, page_num) JOIN pgs USING (doc_id, page_num) WHERE c.y0 - i.y1 <= max_y * 0.33 AND c.y0 - i.y1 >= -6 AND (c.x0 + c.x1) / 2 BETWEEN i.x0 - max_x * 0.02 AND i.x1 + max_x * 0.02 AND c.y0 < i.y1 - 5"),
+    "select_pages": over(LINES, "SELECT doc_id, line_no, page_num FROM lines WHERE doc_id % 3 = 0 OR page_num IN (1, doc_id % 4 + 1)"),
+    "parse_report": over(LINES, f"SELECT doc_id, count(*) AS pages, count(*) FILTER (WHERE scanned) AS scanned_pages, count(*) FILTER (WHERE several) AS multi_column_pages FROM (SELECT doc_id, page_num, length({strip('string_agg(' + strip('content') + chr(44) + chr(39) * 2 + ' ORDER BY line_no)')}) < 10 AS scanned, (doc_id + page_num) % 4 = 0 AND max(line_no % 2) > 0 AS several FROM lines GROUP BY doc_id, page_num) GROUP BY doc_id"),
+    "page_ranges": over(on(OFFSETS, "pl AS (SELECT doc_id, unnest(range(0, CAST(max(stop) AS BIGINT) + 1, 700)) AS start FROM ofs GROUP BY doc_id)"), "SELECT pl.doc_id, pl.start, pl.start + 700 AS stop, CASE WHEN min(page_num) IS NULL THEN '?' WHEN min(page_num) = max(page_num) THEN CAST(min(page_num) AS VARCHAR) ELSE min(page_num) || '-' || max(page_num) END AS pages FROM pl LEFT JOIN ofs ON pl.doc_id = ofs.doc_id AND greatest(pl.start, ofs.start) < least(pl.start + 700, ofs.stop) GROUP BY ALL"),
+    "document_pages": over(ELEMENTS, "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN coalesce(pages, 'N/A') WHEN doc_id % 4 = 1 THEN CASE WHEN doc_id % 9 IN (0, 5) THEN '5' ELSE least(5, doc_id % 9) || '-' || greatest(5, doc_id % 9) END WHEN doc_id % 4 = 2 AND doc_id % 3 > 0 THEN CASE WHEN doc_id % 3 = 1 THEN '1' ELSE '1-2' END ELSE 'N/A' END AS pages FROM documents LEFT JOIN (SELECT doc_id, CASE WHEN min(page_num) = max(page_num) THEN CAST(min(page_num) AS VARCHAR) ELSE min(page_num) || '-' || max(page_num) END AS pages FROM elements GROUP BY doc_id) USING (doc_id)"),
+    "request_faults": "SELECT event_id, concat_ws(',', CASE WHEN event_id % 11 = 0 THEN 'request_id' END, CASE WHEN event_id % 5 = 0 THEN 'paper_id' END, CASE WHEN event_id % 7 = 0 THEN 'paper_title' END, CASE WHEN event_id % 13 = 0 THEN 'chunk_id' END, CASE WHEN event_id % 4 = 0 THEN 'temperature' END, CASE WHEN event_id % 3 = 0 THEN 'max_tokens' END) AS faults FROM events",
+    "result_faults": "SELECT event_id, concat_ws(',', CASE WHEN event_id % 130 < 10 OR event_id % 130 > 110 THEN 'score' END, CASE WHEN event_id % 3 = 0 THEN 'tags' END, CASE WHEN event_id % 5 = 0 THEN 'tokens' END, CASE WHEN event_id % 6 = 0 THEN 'latency_ms' END) AS faults FROM events",
+    "compact_issues": "SELECT user_id AS doc_id, event_id AS seq, '{\"issue_type\":\"' || event_type || '\"' || CASE WHEN event_id % 2 = 0 THEN ',\"severity\":\"Info\"' ELSE '' END || ',\"message\":\"a ' || chr(92) || '\"b' || chr(92) || '\"\"' || CASE event_id % 3 WHEN 0 THEN ',\"page_num\":' || (event_id % 50) WHEN 1 THEN ',\"page_num\":\"3-5\"' ELSE '' END || CASE WHEN event_id % 4 = 0 THEN ',\"bbox\":[0.5,1.5,2.5,3.5]' ELSE '' END || '}' AS issue FROM events",
+    "expert_upsert": "SELECT c_mktsegment AS metric_id, CASE WHEN c_custkey % 3 = 0 THEN 'new' ELSE 't' END || c_custkey AS text, CASE c_custkey % 3 WHEN 0 THEN CASE WHEN c_custkey % 2 = 0 THEN 'Warning' ELSE 'Info' END WHEN 1 THEN 'Critical' ELSE 'Info' END AS severity, CASE c_custkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.0 ELSE 0.5 END::DOUBLE AS weight, 'seed' AS source, true AS active FROM customer UNION ALL SELECT 'fresh', 'f' || c_custkey, NULL, NULL, 'admin', true FROM customer WHERE c_custkey % 10 = 2",
+    "truth_upsert": "SELECT c_mktsegment AS issue_type, 's' || c_custkey AS sample_id, 'e' || c_custkey AS evidence, 'm' AS message, CASE c_custkey % 4 WHEN 1 THEN 'Warning' WHEN 2 THEN 'Critical' ELSE 'Info' END AS severity, 'old' AS source FROM customer UNION ALL SELECT 'New', 'n' || c_custkey, 'x', NULL, NULL, NULL FROM customer WHERE c_custkey % 8 = 7",
+    "truth_upsert_counts": "SELECT count(*) FILTER (WHERE c_custkey % 8 = 7) AS inserted, count(*) FILTER (WHERE c_custkey % 4 IN (1, 2)) AS updated, count(*) FILTER (WHERE c_custkey % 8 = 3) AS skipped FROM customer",
+    "issue_evaluation": over(on(LABELS), "SELECT doc_id, CASE WHEN k IN (0, 1) THEN n ELSE 0 END AS tp, CASE WHEN k IN (0, 1) THEN 0 ELSE n END AS fp, CASE WHEN k IN (0, 1) THEN 0 ELSE m END AS fn, CASE WHEN k IN (0, 1) THEN 1.0 ELSE 0.0 END::DOUBLE AS precision, CASE WHEN k IN (0, 1) THEN 1.0 ELSE 0.0 END::DOUBLE AS recall, CASE WHEN k IN (0, 1) THEN 1.0 ELSE 0.0 END::DOUBLE AS f1 FROM (SELECT doc_id, doc_id % 5 AS k, count(DISTINCT (page_num, lower(trim(content)), x0, y0, x1, y1)) AS n, CASE doc_id % 5 WHEN 3 THEN count(DISTINCT (lower(trim(content)), x0, y0, x1, y1)) WHEN 4 THEN count(DISTINCT (page_num, lower(trim(content)))) ELSE count(DISTINCT (page_num, lower(trim(content)), x0, y0, x1, y1)) END AS m FROM labels JOIN elements USING (doc_id, seq, page_num, content) GROUP BY doc_id)"),
+    "mask_urls": "SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'Hidden' ELSE regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1) || '://***@' || lower(regexp_extract(url, '^[a-z]+://([^/?#@:]+)', 1)) || regexp_extract(url, '^[a-z]+://[^/?#@:]+(:[0-9]+)?(/[^?#]*)?', 1) || regexp_extract(url, '^[a-z]+://[^/?#@:]+(:[0-9]+)?(/[^?#]*)?', 2) END AS masked FROM (SELECT page_id, url, CASE WHEN page_id % 5 = 1 THEN 'postgresql://' ELSE url END AS u FROM pages)",
+    "text_helpers": f"SELECT doc_id, length(coalesce(text, '')) // 4 AS tokens, {has('text', '(?i)' + P.whole('the'))} AS the, contains(text, '图') AS chart, md5(CASE WHEN {has('text', '[A-Za-z]')} THEN lower(text) ELSE text END) AS key_md5, CASE WHEN length(flat) > 120 THEN substr(flat, 1, 119) || '…' ELSE flat END AS short FROM (SELECT *, {strip(f'regexp_replace(text, {q(P.S + chr(43))}, {q(chr(32))}, {q(chr(103))})')} AS flat FROM documents)",
+    "page_boxes": over(LINES, "SELECT doc_id, line_no, round(x0 / 600, 6) AS x0, round(y0 / 800, 6) AS y0, round(x1 / 600, 6) AS x1, round(y1 / 800, 6) AS y1, printf('[%.1f, %.1f, %.1f, %.1f]', x0, y0, x1, y1) AS said FROM lines"),
+    "ordered_rules": "SELECT n_name AS rule_id, n_nationkey AS content FROM nation ORDER BY n_name",
+    "numbered_issues": f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS pos, {strip('line')} || CASE WHEN line_no % 3 = 0 THEN ' more of it' ELSE '' END AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM documents) WHERE {strip('line')} <> ''",
+    "reembed_missing": "SELECT conv_id * 1000 + turn AS comment_id, 768 AS width, 1.0::DOUBLE AS norm FROM conversations WHERE turn % 2 = 0 AND length(trim(text)) > 0 ORDER BY 1 LIMIT 2000",
+    "punctuation_mixed": over(on(MARKS), f"SELECT doc_id, seq, {_snippet} AS evidence, message FROM mh"),
+    "captioned_regions": over(REGIONS, "SELECT doc_id, page_num, b.x0 AS x0, b.y0 AS y0, b.x1 AS x1, b.y1 AS y1 FROM (SELECT doc_id, page_num, coalesce(arg_min(box, (score, neg, y0, x0)) FILTER (WHERE reach), arg_min(box, (neg, y0, x0))) AS b FROM rg GROUP BY ALL)"),
+    "frontend_payload": over(on(LABELS), """SELECT doc_id, '[' || string_agg('{"issue_type":"Label_Missing","severity":"Info","page":"' || page_num || '","bbox":' || box || ',"evidence":' || to_json(content) || ',"message":"正文引用的图表编号未在图表标题中找到","anchor_id":"' || md5('Label_Missing-' || page_num || '-' || replace(box, ',', ', ')) || '","highlight":' || box || '}', ',' ORDER BY seq) || ']' AS payload FROM (SELECT *, printf('[%.1f,%.1f,%.1f,%.1f]', x0, y0, x1, y1) AS box FROM labels JOIN elements USING (doc_id, seq, page_num, content)) GROUP BY doc_id"""),
     "terminology_forbidden": over(on(FORBIDDEN), "SELECT doc_id, 'deep-learning' AS evidence, array_to_string(list_sort(list(DISTINCT page_num)), ', ') AS page FROM fb GROUP BY doc_id"),
     "citation_position": over(on(POSITIONS), "SELECT doc_id, seq, hit AS evidence FROM ps"),
     "dedupe_issues": over(ISSUES, "SELECT doc_id, issue_type, severity, count(*) AS n FROM issues GROUP BY ALL"),
     "severity_counts": over(f"{ISSUES}, {COUNTS}", "SELECT doc_id, c AS n_critical, w AS n_warning, i AS n_info FROM cs"),
     "issue_counts": over(ISSUES, "SELECT issue_type, count(*) AS n FROM issues GROUP BY ALL"),
     "score_level": over(f"{ISSUES}, {COUNTS}", f"SELECT doc_id, {_score} AS score, CASE WHEN {_score} < 60 THEN 'Critical' WHEN {_score} < 80 THEN 'Warning' ELSE 'Info' END AS audit_level FROM documents LEFT JOIN cs USING (doc_id)"),
+    "report_lines": over(f"{ISSUES}, {COUNTS}, {PAGES}", f"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY t, p, n, line) AS line_no, line FROM (
+ SELECT doc_id, '' AS t, 0 AS p, n, CASE n WHEN 0 THEN '# Audit report' WHEN 1 THEN 'Score: ' || score ELSE 'Level: ' || CASE WHEN score < 60 THEN 'CRITICAL' WHEN score < 80 THEN 'WARNING' ELSE 'PASS' END END AS line FROM (SELECT doc_id, {_score} AS score, unnest([0, 1, 2]) AS n FROM documents LEFT JOIN cs USING (doc_id))
+ UNION ALL SELECT doc_id, issue_type, -1, 0, '## ' || issue_type || ' (' || count(*) || ')' FROM issues GROUP BY doc_id, issue_type
+ UNION ALL SELECT doc_id, issue_type, place[1], place[2], '- [' || severity || '] p' || CASE WHEN page IN ('', '?') THEN pages ELSE page END || ': ' || message FROM issues LEFT JOIN dp USING (doc_id))"""),
     "tags": over(f"{ISSUES}, {TAGS}", "SELECT doc_id, coalesce(tags, '') AS tags FROM tg"),
     "audit_report": over(f"{ISSUES}, {COUNTS}, {TAGS}", f"SELECT doc_id, CAST(coalesce(c + w + i, 0) AS BIGINT) AS n_issues, coalesce(c, 0) AS n_critical, coalesce(w, 0) AS n_warning, coalesce(i, 0) AS n_info, {_score} AS score, CASE WHEN {_score} < 60 THEN 'Critical' WHEN {_score} < 80 THEN 'Warning' ELSE 'Info' END AS audit_level, coalesce(tags, '') AS tags FROM documents LEFT JOIN cs USING (doc_id) LEFT JOIN tg USING (doc_id)"),
     "anchor_ids": over(on(LABELS), "SELECT DISTINCT doc_id, md5('Label_Missing-' || page_num || '-[' || printf('%.1f, %.1f, %.1f, %.1f', x0, y0, x1, y1) || ']') AS anchor_id FROM labels JOIN elements USING (doc_id, seq, page_num, content)"),
@@ -235,7 +309,7 @@ ORACLES: dict[str, str] = {
     "pad_embedding": "SELECT vec_id, 768 AS width, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM embeddings",
     "fact_points": f"SELECT doc_id, array_to_string(list_transform(list_filter(list_transform(regexp_split_to_array(substr({strip('text')}, 1, 12000), '[。！？\n]+'), lambda p: substr(regexp_replace({strip('p')}, {q(P.S + '+')}, ' ', 'g'), 1, 30)), lambda p: p <> '')[:12], lambda p: '- ' || p), chr(10)) AS facts FROM documents",
     "llm_response_parse": "SELECT doc_id, CAST(0 AS BIGINT) AS pos, CASE WHEN doc_id % 3 = 2 THEN 'Citation_Layout_Check' ELSE 'Terminology_Language' END AS issue_type, CASE WHEN doc_id % 3 = 2 THEN 'Info' ELSE 'Warning' END AS severity, '[' || doc_id || ']' AS evidence FROM documents WHERE doc_id % 3 <> 1",
-    "mock_scan": "SELECT conv_id AS doc_id, 'Abbreviation_Definition' AS issue_type, 'Info' AS severity, 'e.g.' AS evidence FROM conversations WHERE conv_id % 2 = 0 UNION ALL SELECT conv_id, 'Terminology_Inconsistency', 'Info', 'LLM' FROM conversations WHERE conv_id % 3 = 0",
+    "mock_scan": "WITH t AS (SELECT conv_id, concat_ws(' ', text, concat_ws(' ', CASE WHEN conv_id % 2 = 0 THEN 'e.g.' END, CASE WHEN conv_id % 3 = 0 THEN 'LLM' END)) AS text FROM conversations) SELECT conv_id AS doc_id, 'Abbreviation_Definition' AS issue_type, 'Info' AS severity, 'e.g.' AS evidence FROM t WHERE contains(text, 'e.g.') UNION ALL SELECT conv_id, 'Terminology_Inconsistency', 'Info', 'LLM' FROM t WHERE contains(text, 'LLM') AND NOT contains(text, 'Large Language Model')",
     "content_fallback": "SELECT CAST(o_custkey AS VARCHAR) AS paper_id, CAST(o_orderkey AS VARCHAR) AS chunk_id, content FROM (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'body ' || o_orderkey WHEN o_orderkey % 3 = 1 THEN 'text ' || o_orderkey WHEN o_orderkey % 5 = 0 THEN 'review ' || o_orderkey END AS content FROM orders) WHERE content IS NOT NULL",
     "latest_task": "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1",
     "upsert_merge": "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'changed' ELSE c_mktsegment END AS c_mktsegment, c_nationkey FROM customer UNION ALL SELECT -c_custkey, 'new', -1 FROM customer WHERE c_custkey % 10 = 1",

@@ -13,7 +13,7 @@ from vellum import schemas
 from vellum.config import RULES
 from vellum.functions import patterns as P
 from vellum.functions import predicates as B
-from vellum.operators import charts, citations, issues, parse, store, structure, terms, text
+from vellum.operators import charts, citations, issues, parse, service, store, structure, terms, text
 from vellum.plans import audit
 from vellum.sources import documents as D
 from vellum.storage import stage
@@ -23,10 +23,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 RULES_HERE = copy.deepcopy(RULES)
 RULES_HERE["terminology_check"]["forbidden_variants"] = {"deep learning": ["deep-learning"]}
-#: The checks that SQL can express too; the flagship audit runs them, ``audit_all`` runs every check.
-SQL_CHECKS = [structure.labels_missing, structure.formulas, structure.headings, citations.layout_faults, terms.forbidden, citations.positions, citations.styles, citations.list_missing, citations.numbers_missing, citations.authors_missing]
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -40,9 +36,20 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.decorated_lines(table(spark, sf_dir, "documents"))
 
 
+_parsed: dict[tuple[str, str], DataFrame] = {}
+
+
 def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Staged, for checks read them more than once."""
-    return stage(parse.parse(lines(spark, sf_dir)), "elements")
+    """Staged once for all queries of an application, for most of them read the same elements."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _parsed:
+        _parsed[key] = stage(parse.parse(lines(spark, sf_dir)), "elements", lasting=True)
+    return _parsed[key]
+
+
+def found_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The issues of all checks."""
+    return audit.find_issues(elements(spark, sf_dir), RULES_HERE)
 
 
 def over_lines(name: str, make: Callable[[DataFrame], DataFrame]) -> None:
@@ -54,7 +61,11 @@ def over_elements(name: str, make: Callable[[DataFrame], DataFrame]) -> None:
 
 
 def over_issues(name: str, make: Callable[[DataFrame], DataFrame]) -> None:
-    QUERIES[name] = lambda spark, sf_dir: make(audit.find_issues(parse.parse(lines(spark, sf_dir)), RULES_HERE, SQL_CHECKS))
+    QUERIES[name] = lambda spark, sf_dir: make(found_issues(spark, sf_dir))
+
+
+def over_headings(name: str, make: Callable[[DataFrame], DataFrame]) -> None:
+    QUERIES[name] = lambda spark, sf_dir: make(parse.parse(D.heading_lines(table(spark, sf_dir, "documents"))))
 
 
 def content() -> Column:
@@ -66,7 +77,7 @@ over_lines("page_stats", parse.page_stats)
 over_lines("reference_titles", lambda x: x.where(B.is_reference_title(content())).select("doc_id", "line_no"))
 over_lines("captions", lambda x: x.where(B.is_caption(content())).select("doc_id", "line_no", "content", B.label_number(F.regexp_extract(B.strip(content()), P.CAPTION_NUMBER, 1)).alias("number")))
 over_lines("headings", lambda x: x.where(B.is_heading(content())).select("doc_id", "line_no", F.array_join(B.heading_parts(content()).cast("array<string>"), ".").alias("number")).withColumn("number", F.coalesce("number", F.lit(""))))
-over_lines("toc_headings", lambda x: x.where("h = 0").select("doc_id", "line_no", F.concat(content(), F.lit(" ..... "), F.col("line_no").cast("string")).alias("entry")).where(B.is_toc_heading(F.col("entry"))))
+over_lines("toc_headings", lambda x: x.select("doc_id", "line_no", F.concat(content(), F.lit(" ..... "), F.col("line_no").cast("string")).alias("entry")).where(B.is_toc_heading(F.col("entry"))))
 over_lines("numeric_citations", lambda x: x.select("doc_id", "line_no", F.explode(B.numeric_citations(content())).alias("citation")))
 over_lines("layout_citations", lambda x: x.select("doc_id", "line_no", F.explode(B.layout_citations(content())).alias("citation")))
 over_lines("author_year_citations", lambda x: x.select("doc_id", "line_no", F.explode(B.author_year_citations(content())).alias("citation")))
@@ -94,9 +105,9 @@ def _headings(e: DataFrame, starts: str, pattern: str, *names: str) -> DataFrame
     return rows.select("doc_id", F.expr("seq % 1000000000000").alias("seq"), *[F.regexp_extract("message", pattern, k + 1).alias(n) for k, n in enumerate(names)])
 
 
-over_elements("heading_duplicates", lambda e: _headings(e, "标题序号重复", r"重复: ([0-9.]+) \(首次出现: 第([0-9]+)页\)", "key", "first_page").withColumn("first_page", F.col("first_page").try_cast("int")))
+over_headings("heading_duplicates", lambda e: _headings(e, "标题序号重复", r"重复: ([0-9.]+) \(首次出现: 第([0-9]+)页\)", "key", "first_page").withColumn("first_page", F.col("first_page").try_cast("int")))
 over_elements("heading_gaps", lambda e: _headings(e, "标题序号不连续", r"期望: ([0-9.]+)\)", "wanted"))
-over_elements("heading_jumps", lambda e: _headings(e, "标题层级跳跃", "(.*)", "message"))
+over_headings("heading_jumps", lambda e: _headings(e, "标题层级跳跃", "(.*)", "message"))
 over_elements("terminology_forbidden", lambda e: terms.forbidden(e, RULES_HERE).select("doc_id", "evidence", "page"))
 over_elements("citation_position", lambda e: citations.positions(e, RULES_HERE).select("doc_id", "seq", "evidence"))
 over_elements("typo_keywords", lambda e: issues.dedupe(terms.typos(e, RULES_HERE)).select("doc_id", "issue_type", "page", "evidence", "message"))
@@ -109,9 +120,7 @@ over_issues("tags", issues.tags)
 
 
 def _result(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    found = audit.find_issues(parse.parse(lines(spark, sf_dir)), RULES_HERE, SQL_CHECKS)
-    return audit.results(found, docs, RULES_HERE)
+    return audit.results(found_issues(spark, sf_dir), table(spark, sf_dir, "documents"), RULES_HERE)
 
 
 @query
@@ -132,23 +141,17 @@ def audit_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = audit.find_issues(parse.parse(lines(spark, sf_dir)), RULES_HERE, SQL_CHECKS)
+    found = found_issues(spark, sf_dir)
     return store.report(found, audit.results(found, table(spark, sf_dir, "documents"), RULES_HERE))
 
 
 over_elements("anchor_ids", lambda e: issues.anchors(structure.labels_missing(e)).select("doc_id", "anchor_id").distinct())
 over_elements("frontend_payload", lambda e: issues.payload(structure.labels_missing(e)))
 over_elements("result_rows", lambda e: issues.result_rows(issues.dedupe(structure.labels_missing(e))).select("doc_id", "result_id", "rule_id", "score", "section", "line_start"))
-over_elements("commentary", lambda e: text.comments(issues.dedupe(structure.labels_missing(e))))
-
-
-def _top(e: DataFrame) -> DataFrame:
-    found = citations.positions(e, RULES_HERE)
-    order = Window.partitionBy("doc_id").orderBy("seq", "evidence")
-    return found.withColumn("seq2", F.row_number().over(order)).select("doc_id", "seq", "evidence", F.col("seq2").cast("long").alias("rank")).where("rank <= 3")
+over_issues("commentary", text.comments)
 
 
-over_elements("top3_per_type", _top)
+over_elements("top3_per_type", lambda e: issues.top_per_type(citations.positions(e, RULES_HERE)).select("doc_id", "seq", "evidence", F.col("rank").cast("long").alias("rank")))
 
 
 def with_images(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,7 +159,7 @@ def with_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = elements(spark, sf_dir)
     pages = lines(spark, sf_dir).select("doc_id", "page_num").distinct().where("page_num % 2 = 1")
     slot = F.col("doc_id") % 5
-    images = pages.select("doc_id", (F.col("page_num") * 100000 + 50).cast("long").alias("seq"), F.lit("image").alias("type"), F.lit("").alias("content"), F.lit(90.0).alias("x0"), (100 + slot * 80).cast("double").alias("y0"), F.lit(290.0).alias("x1"), (240 + slot * 80).cast("double").alias("y1"), "page_num", F.lit("chart").alias("region"))
+    images = pages.select("doc_id", (F.col("page_num") * 100000 + 50).cast("long").alias("seq"), F.lit("image").alias("type"), F.lit("").alias("content"), F.lit(90.0).alias("x0"), (100 + slot * 80).cast("double").alias("y0"), F.lit(290.0).alias("x1"), (240 + slot * 80 + F.when(F.col("doc_id") % 3 == 0, 5.5).otherwise(0.0)).cast("double").alias("y1"), "page_num", F.lit("chart").alias("region"))
     return own.unionByName(images)
 
 
@@ -249,7 +252,11 @@ def expert_filter_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def reembed_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.embed(table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", "text")).select("conv_id", "turn", F.size("embedding").alias("width"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")), 4).alias("norm"))
+    rows = table(spark, sf_dir, "conversations")
+    there = F.when(F.col("turn") % 2 == 1, F.array(F.lit(1.0).cast("float")))
+    rows = rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("comment_id"), F.col("role").alias("metric_id"), "text", there.alias("embedding"))
+    done = store.reembed(rows, text.embed, 2000)
+    return done.select("comment_id", F.size("embedding").alias("width"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")), 4).alias("norm"))
 
 
 @query
@@ -335,9 +342,12 @@ def seed_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _remarks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = F.concat(F.lit("# 问题\n1. "), F.substring("line", 1, 60), F.lit("\nmore\n2) second remark\n# End\n3. none"))
-    rows = D.text_lines(table(spark, sf_dir, "documents")).where("line_no = 2").select("doc_id", said.alias("text"))
-    return text.numbered_rows(rows)
+    """Every line of a document as an item of a review; some go on, some end with a blank line."""
+    rows = D.text_lines(table(spark, sf_dir, "documents")).where(B.strip(F.col("line")) != "")
+    item = F.concat((F.col("line_no") % 99 + 1).cast("string"), F.lit(". "), "line", F.when(F.col("line_no") % 3 == 0, "\nmore of it").otherwise(""), F.when(F.col("line_no") % 4 == 0, "\n\nbetween").otherwise(""))
+    items = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", item.alias("item")))), lambda x: x.item), "\n")
+    reviews = rows.groupBy("doc_id").agg(F.concat(F.lit("# 建议\n1. not this\n# 质询问题\n"), items, F.lit("\n# End\n3. none")).alias("text"))
+    return text.numbered_rows(reviews, most=1 << 30)
 
 
 @query
@@ -356,8 +366,186 @@ def windowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windowed_counts(table(spark, sf_dir, "events"))
 
 
+def _experts(spark: SparkSession) -> DataFrame:
+    said = ("Number every figure", "Cite in order", "the and of with", "unused", "   ")
+    return text.embed(spark.createDataFrame([(k, f"m{k}", t, k != 3) for k, t in enumerate(said)], "comment_id long, metric_id string, text string, active boolean"))
+
+
 @query
 def expert_tips(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = text.embed(table(spark, sf_dir, "documents").select("doc_id", text.facts(F.col("text")).alias("facts")), "facts").select("doc_id", "embedding")
-    tips = spark.createDataFrame([(k, t, k != 3) for k, t in enumerate(("Number every figure", "Cite in order", "the and of with", "unused"))], "comment_id long, text string, active boolean")
-    return text.expert_tips(docs, text.embed(tips))
+    return text.expert_tips(docs, _experts(spark)).select("doc_id", F.array_join("tips", "|").alias("tips"))
+
+
+@query
+def expert_commentary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.commentary(table(spark, sf_dir, "documents"), found_issues(spark, sf_dir), _experts(spark), RULES_HERE)
+
+
+def _with_abbreviations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements of plain lines, some of which have a word that the stand-in model finds."""
+    rows = D.placed_lines(table(spark, sf_dir, "documents"))
+    said = F.when(F.col("line_no") % 7 == 3, F.concat("content", F.lit(" e.g. this"))).when(F.col("doc_id") % 4 == 1, F.concat("content", F.lit(" LLM"))).otherwise(F.col("content"))
+    return parse.parse(rows.withColumn("content", said))
+
+
+@query
+def model_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.model_scan(stage(_with_abbreviations(spark, sf_dir), "elements"), text.mock_answer, RULES_HERE).select("doc_id", "seq", "issue_type", "severity", "page", "evidence", "message")
+
+
+@query
+def audit_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return audit.answer(docs, lines(spark, sf_dir), _experts(spark), RULES_HERE, text.mock_answer)
+
+
+@query
+def deduction_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.deductions(found_issues(spark, sf_dir), table(spark, sf_dir, "documents"))
+
+
+@query
+def json_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = found_issues(spark, sf_dir)
+    return store.json_reports(found, audit.results(found, table(spark, sf_dir, "documents"), RULES_HERE))
+
+
+@query
+def drawn_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rects = lines(spark, sf_dir).select("doc_id", "page_num", F.lit(600.0).alias("width"), F.lit(800.0).alias("height"), (F.col("x0") + F.col("h") * 7).alias("x0"), "y0", "x1", (F.col("y1") + F.col("h") * 6).alias("y1"))
+    return charts.drawn_images(elements(spark, sf_dir), rects).where("type = 'image'").select("doc_id", "page_num", "x0", "y0", "x1", "y1")
+
+
+@query
+def captioned_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One caption and three regions on every third page: which region it takes."""
+    pages = lines(spark, sf_dir).where("line_no % 8 = 1 and page_num % 3 = 1").select("doc_id", "page_num", (F.col("doc_id") % 7).alias("k"))
+    caps = pages.select("doc_id", "page_num", F.lit(1).cast("long").alias("line_no"), F.when(F.col("k") % 2 == 0, "Figure 1 x").otherwise("Table 1 x").alias("content"), F.lit(100.0).alias("x0"), (200 + F.col("k") * 50).cast("double").alias("y0"), F.lit(300.0).alias("x1"), (212 + F.col("k") * 50).cast("double").alias("y1"))
+    n = F.explode(F.sequence(F.lit(0), F.lit(2))).alias("n")
+    regions = pages.select("doc_id", "page_num", n).select("doc_id", "page_num", (90 + F.col("n") * 95).cast("double").alias("x0"), (120 + F.col("n") * 170).cast("double").alias("y0"), (330 + F.col("n") * 60).cast("double").alias("x1"), (180 + F.col("n") * 175).cast("double").alias("y1"))
+    none = regions.where("false")
+    return charts.captioned_regions(caps, regions, none)
+
+
+@query
+def select_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 3 > 0, F.array(F.lit(-1), F.lit(1), (F.col("doc_id") % 4 + 1).cast("int"))).alias("pages"))
+    return parse.select_pages(lines(spark, sf_dir), wanted).select("doc_id", "line_no", "page_num")
+
+
+@query
+def parse_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines(spark, sf_dir).withColumn("col", F.when((F.col("doc_id") + F.col("page_num")) % 4 == 0, F.col("line_no") % 2).otherwise(0))
+    return parse.parse_report(rows)
+
+
+@query
+def page_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages of every stretch of 700 characters."""
+    offsets = stage(parse.with_offsets(elements(spark, sf_dir)), "offsets")
+    ends = offsets.groupBy("doc_id").agg(F.max("stop").alias("end"))
+    places = ends.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("end"), F.lit(700).cast("long"))).alias("start")).withColumn("stop", F.col("start") + 700)
+    return parse.pages_at(offsets, places)
+
+
+@query
+def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.when(i % 4 == 1, F.array(F.lit(5), F.lit(0), (i % 9).cast("int"))).alias("selected"), F.when(i % 4 == 2, (i % 3).cast("int")).alias("page_count"))
+    return parse.document_pages(docs, elements(spark, sf_dir).where("doc_id % 4 = 0"))
+
+
+@query
+def request_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("event_id")
+    paper = F.when(i % 5 == 0, "123e4567-e89b-12d3-a456-426614174000").otherwise("123E4567-e89b-42d3-a456-426614174000")
+    rows = table(spark, sf_dir, "events").select(F.when(i % 11 > 0, i.cast("string")).alias("request_id"), paper.alias("paper_id"), F.when(i % 7 == 0, "").otherwise(F.col("event_type")).alias("paper_title"), F.when(i % 13 > 0, "c").alias("chunk_id"), (i % 4 / 2.0 - 0.5).alias("temperature"), (i % 3).alias("max_tokens"), i.alias("event_id"))
+    return service.request_faults(rows).select("event_id", F.array_join("faults", ",").alias("faults"))
+
+
+@query
+def result_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("event_id")
+    tag = F.when(i % 3 == 0, F.array(F.lit("Label_Missing"), F.lit("Made_Up"))).when(i % 3 == 1, F.array(F.lit("Hierarchy_Fault"))).otherwise(F.array().cast("array<string>"))
+    rows = table(spark, sf_dir, "events").select("event_id", (i % 130 - 10).alias("score"), tag.alias("tags"), (i % 5 - 1).alias("tokens"), (i % 6 - 1).alias("latency_ms"))
+    return service.result_faults(rows).select("event_id", F.array_join("faults", ",").alias("faults"))
+
+
+@query
+def compact_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("event_id")
+    page = F.when(i % 3 == 0, (i % 50).cast("string")).when(i % 3 == 1, "3-5").otherwise("")
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), i.alias("seq"), F.col("event_type").alias("issue_type"), F.when(i % 2 == 0, "Info").otherwise("").alias("severity"), page.alias("page"), F.lit('a "b"').alias("message"), F.lit(None).cast("string").alias("evidence"), *[F.when(i % 4 == 0, F.lit(float(k) + 0.5)).alias(c) for k, c in enumerate(("x0", "y0", "x1", "y1"))])
+    return service.compact_issues(rows)
+
+
+@query
+def expert_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as expert rows; changes come by number, or by metric and text, some of them new."""
+    i = F.col("c_custkey")
+    base = table(spark, sf_dir, "customer")
+    target = base.select(i.alias("comment_id"), F.col("c_mktsegment").alias("metric_id"), F.concat(F.lit("t"), i.cast("string")).alias("text"), F.lit("Info").alias("severity"), F.lit(0.5).alias("weight"), F.lit("seed").alias("source"), F.lit(True).alias("active"))
+    by_number = base.where("c_custkey % 3 = 0").select(i.alias("comment_id"), F.lit("").alias("metric_id"), F.concat(F.lit(" new"), i.cast("string")).alias("text"), F.when(i % 2 == 0, "Warning").otherwise("").alias("severity"), F.lit(1.5).alias("weight"), F.lit(1).alias("nth"))
+    by_text = base.where("c_custkey % 3 = 1").select(F.lit(None).cast("long").alias("comment_id"), F.col("c_mktsegment").alias("metric_id"), F.concat(F.lit("t"), i.cast("string")).alias("text"), F.lit("Critical").alias("severity"), F.lit(-1.0).alias("weight"), F.lit(1).alias("nth"))
+    fresh = base.where("c_custkey % 10 = 2").select(F.lit(None).cast("long").alias("comment_id"), F.lit("fresh").alias("metric_id"), F.concat(F.lit("f"), i.cast("string")).alias("text"), F.lit("").alias("severity"), F.lit(None).cast("double").alias("weight"), F.lit(1).alias("nth"))
+    done = store.upsert_experts(target, by_number.unionByName(by_text).unionByName(fresh))
+    return done.select("metric_id", "text", "severity", "weight", "source", "active")
+
+
+def _truth(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    i = F.col("c_custkey")
+    base = table(spark, sf_dir, "customer")
+    none = F.lit(None).cast("string")
+    target = base.select(i.alias("issue_id"), F.col("c_mktsegment").alias("issue_type"), F.concat(F.lit("s"), i.cast("string")).alias("sample_id"), none.alias("paper_id"), none.alias("chunk_id"), F.concat(F.lit("e"), i.cast("string")).alias("evidence"), F.lit("m").alias("message"), F.lit("Info").alias("severity"), F.lit("old").alias("source"))
+    by_sample = base.where("c_custkey % 4 = 1").select(F.col("c_mktsegment").alias("issue_type"), F.concat(F.lit("s"), i.cast("string")).alias("sample_id"), none.alias("evidence"), F.lit("Warning").alias("severity"), i.alias("nth"))
+    by_evidence = base.where("c_custkey % 4 = 2").select(F.col("c_mktsegment").alias("issue_type"), F.lit("").alias("sample_id"), F.concat(F.lit("e"), i.cast("string")).alias("evidence"), F.lit("Critical").alias("severity"), i.alias("nth"))
+    fresh = base.where("c_custkey % 4 = 3").select(F.when(i % 8 == 3, "").otherwise("New").alias("issue_type"), F.concat(F.lit("n"), i.cast("string")).alias("sample_id"), F.lit("x").alias("evidence"), none.alias("severity"), i.alias("nth"))
+    changes = by_sample.unionByName(by_evidence).unionByName(fresh).select("*", none.alias("paper_id"), none.alias("chunk_id"), none.alias("message"), none.alias("source"))
+    return store.upsert_truth(target, changes)
+
+
+@query
+def truth_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _truth(spark, sf_dir)[0].select("issue_type", "sample_id", "evidence", "message", "severity", "source")
+
+
+@query
+def truth_upsert_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _truth(spark, sf_dir)[1]
+
+
+@query
+def issue_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing labels against labelled ones in which pages, case or boxes of some differ."""
+    found = structure.labels_missing(elements(spark, sf_dir))
+    i = F.col("doc_id") % 5
+    box = F.array(F.col("x0") + F.when(i == 1, 0.01).when(i == 2, 3.0).otherwise(0.0), "y0", "x1", "y1")
+    truth = found.select("doc_id", F.concat("issue_type", F.lit(" ")).alias("issue_type"), "severity", F.when(i == 3, "77").otherwise(F.concat(F.lit(" "), "page")).alias("page"), F.concat(F.lit(" "), "evidence").alias("evidence"), "message", F.when(i < 4, box).otherwise(F.array("x0")).alias("bbox"))
+    return audit.evaluation(found, truth, ["doc_id"]).select("doc_id", "tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query
+def mask_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("page_id")
+    given = F.when(i % 5 == 0, "").when(i % 5 == 1, F.regexp_replace("url", "^https?://", "postgresql+asyncpg://user:p%40ss@")).otherwise(F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", B.mask_url(given).alias("masked"))
+
+
+@query
+def text_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Estimates of tokens, terms found and their keys, shortened texts."""
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", B.token_estimate(t).alias("tokens"), B.term_found(t, "the").alias("the"), B.term_found(t, "图").alias("chart"), F.md5(B.term_key(t).cast("binary")).alias("key_md5"), B.truncate(t).alias("short"))
+
+
+@query
+def page_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    box = B.box_by_page(F.array("x0", "y0", "x1", "y1"), F.lit(600.0), F.lit(800.0))
+    return lines(spark, sf_dir).select("doc_id", "line_no", *[F.round(box[k], 6).alias(c) for k, c in enumerate(("x0", "y0", "x1", "y1"))], B.format_box(F.array("x0", "y0", "x1", "y1")).alias("said"))
+
+
+@query
+def ordered_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = table(spark, sf_dir, "nation").select(F.col("n_name").alias("rule_id"), F.col("n_nationkey").alias("content"))
+    return store.latest(rules.orderBy("rule_id").withColumn("one", F.lit(1)), ["rule_id"], [F.col("rule_id")]).select("rule_id", "content").orderBy("rule_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,15 +11,21 @@ from pyspark.sql.streaming import StreamingQuery
 
 from vellum.operators.store import latest
 from vellum.plans.audit import Check, audit
-from vellum.sources.documents import decorated_lines
+from vellum.sources.documents import placed_lines
+from vellum.storage import scope
 
 
-def start(spark: SparkSession, source: str, schema: str, sink: str, checkpoint: str, rules: dict[str, Any] | None = None, checks: list[Check] | None = None) -> StreamingQuery:
-    """Audits the Parquet files that come into ``source`` and appends results, with their batch, to ``sink``."""
+def start(spark: SparkSession, source: str, schema: str, sink: str, checkpoint: str, rules: dict[str, Any] | None = None, checks: list[Check] | None = None, lines: Callable[[DataFrame], DataFrame] = placed_lines) -> StreamingQuery:
+    """Audits the Parquet files that come into ``source`` and appends results, with their batch, to ``sink``.
+
+    ``lines`` makes placed lines of a batch's documents. What a batch stages is deleted once its results are written.
+    """
+
     def each(batch: DataFrame, number: int) -> None:
-        done = audit(decorated_lines(batch), rules, checks).withColumn("batch", F.lit(number).cast("long"))
-        # A batch that is run again writes the same folder again.
-        done.write.mode("overwrite").parquet(f"{sink}/batch_no={number:012d}")
+        with scope():
+            done = audit(lines(batch), rules, checks).withColumn("batch", F.lit(number).cast("long"))
+            # A batch that is run again writes the same folder again.
+            done.write.mode("overwrite").parquet(f"{sink}/batch_no={number:012d}")
 
     return spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
