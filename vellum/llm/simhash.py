@@ -24,8 +24,8 @@ from vellum.llm.components import connected_components
 #: Distinct fingerprints of a bucket that are compared with each other in one task. Larger buckets are dealt
 #: out by the points halfway between fingerprints, which grows with their size and not with its square.
 BUCKET = 4096
-#: Components of several fingerprints (16 bytes each) up to which they are broadcast.
-SMALL = 500_000
+#: Components of several fingerprints, and texts of over ``COPIES`` copies (16 bytes each), up to which they are broadcast.
+SMALL, COPIES = 500_000, 100
 
 
 def masks(radius: int = 4, bits: int = 64) -> list[int]:
@@ -139,7 +139,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = [c for c in own.columns if c != "id"]
     # A node stands for all texts with the same fingerprints; its number is the first fingerprint if there is only one.
     node = F.col("fp0") if len(names) == 1 else F.xxhash64(*names)
-    nodes = own.withColumn("node", node).groupBy("node", *names).agg(F.min("id").alias("first"))
+    nodes = own.withColumn("node", node).groupBy("node", *names).agg(F.min("id").alias("first"), F.count("*").alias("copies"))
     if len(names) == 1:
         edges = links(nodes.select(F.col("node").alias("fp")), radius)
     else:
@@ -159,5 +159,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # One component may have a large share of all nodes, so its nodes aren't dealt by it unless there are too many components.
     low = F.broadcast(low) if low.count() <= SMALL else low
     linked = roots.join(low, "root").select("node", "component")
-    known = nodes.join(linked.withColumn("linked", F.lit(True)), "node", "left").select("node", F.when(F.col("linked"), F.col("component")).otherwise(F.col("first")).alias("component"))
-    return own.withColumn("node", node).join(known, "node").select("id", *names, "component")
+    known = nodes.join(linked.withColumn("linked", F.lit(True)), "node", "left")
+    known = stage(known.select("node", "copies", F.when(F.col("linked"), F.col("component")).otherwise(F.col("first")).alias("component")), "known")
+    # Texts with very many copies meet their component by a broadcast, as there are few of these; all others by a join.
+    many = known.where(F.col("copies") > COPIES).select("node", "component")
+    many = F.broadcast(many) if many.count() <= SMALL else many
+    rows = own.withColumn("node", node)
+    rest = rows.join(many.select("node"), "node", "left_anti").join(known.where(F.col("copies") <= COPIES).select("node", "component"), "node")
+    return rows.join(many, "node").unionByName(rest).select("id", *names, "component")
