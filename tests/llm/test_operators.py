@@ -71,6 +71,13 @@ def test_simhash_odd_cases(spark):
     assert {r.id: r.component for r in many}[None] == 1 and len(many) == 10
 
 
+def test_simhash_copies_by_broadcast(spark, monkeypatch):
+    docs = odd(spark)
+    want = sorted(map(tuple, simhash.near_duplicates(docs).collect()), key=str)
+    monkeypatch.setattr(simhash, "COPIES", 1)
+    assert sorted(map(tuple, simhash.near_duplicates(docs).collect()), key=str) == want
+
+
 def test_components(spark):
     draw = random.Random(3)
     edges = [(k, k + 1) for k in range(0, 60)] + [(100, 100 + k) for k in range(1, 40)] + [(draw.randrange(200, 260), draw.randrange(200, 260)) for _ in range(30)] + [(5, 5), (None, 3)]
@@ -110,6 +117,14 @@ def test_secrets(spark):
     again, _ = secret_scan.scan(more, ledger)
     assert [base(r.findings) for r in again.where("id = 950").collect()] == [[("assign", 0, 17)]]
     assert secret_scan.scan(empty(spark))[0].count() == 0
+    # A ledger of one pack, then of both: the same findings as by one scan. Older versions of a path keep theirs.
+    both = sorted(map(str, secret_scan.scan(docs, secret_scan.scan(docs, packs=(secret_scan.BASE,))[1])[0].collect()))
+    assert both == sorted(map(str, rows))
+    before = table(spark, [(1, "password=hunter22"), (2, "plain")])
+    after = table(spark, [(1, "plain"), (2, "AKIA" + "A" * 20), (3, "password=hunter22")])
+    history, known = secret_scan.scan_history([before, after], [(secret_scan.BASE,), secret_scan.PACKS])
+    assert {(r.path, r.version): [x.kind for x in r.findings] for r in history.collect()} == {(1, 0): ["assign"], (2, 0): [], (1, 1): [], (2, 1): ["access"], (3, 1): ["assign"]}
+    assert known.count() == 3 * len(secret_scan.PACKS) == known.select("blob", "version").distinct().count()
     assert secret_scan.redact("a secret b", [(2, 8), (4, 9)]) == "a [SECRET]b"
 
 

@@ -1,13 +1,12 @@
 """The registered queries, over the whole smallest tables, against plain Python."""
 
 import hashlib
-import re
 import zlib
 
 import pytest
 
 from tests.llm.test_operators import counts, fingerprint, groups, left_over, spans
-from vellum.llm import bpe
+from vellum.llm import bpe, matroska
 from vellum.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -47,6 +46,37 @@ def test_op2(spark):
     assert sorted(map(tuple, got.select(*names).collect())) == sorted(want.fetchall())
 
 
+def common(a, b):
+    """The length of a longest common subsequence."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        above = row[:]
+        for k, y in enumerate(b, 1):
+            row[k] = above[k - 1] + 1 if x == y else max(above[k], row[k - 1])
+    return row[-1]
+
+
+def test_op3(spark, texts):
+    """Every template that stands in a text word for word is found, and every finding has the coverage that it says."""
+    from vellum.llm import licenses
+
+    templates = {name: licenses.words(t.encode()) for name, t in licenses.TEMPLATES.items()}
+    found_any = 0
+    for d, r in run(spark, "op3_licenses").items():
+        said = [x.rsplit(":", 3) for x in r.licenses.split(",")] if r.licenses else []
+        assert r.n_licenses == len(said)
+        ws = licenses.words(texts[d].encode())
+        for name, coverage, start, stop in said:
+            part = licenses.words(texts[d][int(start) : int(stop)].encode())
+            best = common(templates[name], part)
+            assert 0.8 <= float(coverage) <= round(best / len(templates[name]), 3) and len(part) <= 1.4 * len(templates[name]) + 2
+        for name, t in templates.items():
+            if any(ws[k : k + len(t)] == t for k in range(len(ws) - len(t) + 1)):
+                found_any += 1
+                assert any(x[0] == name and float(x[1]) == 1 for x in said)
+    assert found_any >= 3
+
+
 def test_op4(spark, texts):
     for d, r in run(spark, "op4_secrets").items():
         base = spans(texts[d])
@@ -77,7 +107,14 @@ def test_op8(spark, texts):
         raw = texts[d].encode()
         payload = raw + b"\xff" * (-len(raw) % 576 or (576 if not raw else 0))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), sha(payload), zlib.crc32(payload[-32:]))
-        assert r.media_bytes > r.payload_bytes and re.fullmatch(r"[0-9:,-]+", r.feature)
+        assert r.media_bytes > r.payload_bytes and r.media_sha256 == sha(matroska.write(payload))
+        frames, n = len(payload) // 576, len(payload)
+        x = [b - 128 for b in payload]
+        turns = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))
+        shape = ",".join(str(sum(b >> 4 == k for b in payload)) for k in range(16))
+        head, cues, last, mean, square, *rest = r.feature.split(":")
+        assert (int(head), int(cues), int(last)) == (frames, -(-frames // 256), frames * matroska.FRAME_MS)
+        assert (int(mean), int(square), ":".join(rest)) == (sum(x) * 1000 // n, sum(b * b for b in x) * 1000 // n, f"{turns}:{shape}")
 
 
 def test_op9(spark, texts):
