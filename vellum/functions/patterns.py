@@ -26,7 +26,7 @@ STOP_WORDS = "the|is|are|where|which|with|and|that|this|in|on|at|to|of|we|set|le
 GLYPHS = "[∑∫√≈≠≤≥±×÷α-ωΑ-Ω∂∇∞]"
 OPERATORS = "[=<>≤≥±×÷*/+\\-≈≠]"
 NUMBERED_END = "(?:（[0-9]+(?:[-.][0-9]+)*）|\\([0-9]+(?:[-.][0-9]+)*\\))"
-INDEXED = f"{W}+\\[[^\\]]+\\]"
+INDEXED = f"{W}\\[[^\\]]+\\]"
 LATEX = "(?:\\\\[a-zA-Z]+|\\^|\\{.*\\})"
 HEADING = f"^([0-9]+(?:\\.[0-9]+)*)(?:[.、]|{S}+)(.+)$"
 HEADING_DATE = f"^[0-9]{{2,4}}{S}*年"
@@ -39,7 +39,7 @@ CN_UNITS = {"十": 10, "百": 100, "千": 1000}
 TOC_LEADER = f"(?:\\.{{3,}}|…{{2,}}|·{{3,}}|_{{3,}}|-{{5,}}){S}*[0-9]+{S}*$"
 TOC_LEADER_SHORT = "(?:\\.{2,}|…{2,})"
 TOC_GAP = f"{S}{{2,}}[0-9]+{S}*$"
-CITATION_CODE = f"(?:{W}+{S}*:=|(?:^|{NOT_W})(?:return|for|while|if)(?:$|{NOT_W})|==|!=|->|=>|;|\\{{|\\}}|{INDEXED}|{W}+{S}*={S}*{W}+{S}*\\()"
+CITATION_CODE = f"(?:{W}{S}*:=|(?:^|{NOT_W})(?:return|for|while|if)(?:$|{NOT_W})|==|!=|->|=>|;|\\{{|\\}}|{INDEXED}|{W}{S}*={S}*{W}+{S}*\\()"
 CITATION_GROUP = f"\\[([0-9]+(?:{S}*,{S}*[0-9]+)*)\\]"
 CITATION_AUTHOR = "\\([A-Za-z][^)]{0,40}[0-9]{4}[^)]*\\)"
 REGION_CITATION = f"\\[{S}*([0-9]+(?:{S}*,{S}*[0-9]+)*){S}*\\]"
@@ -124,7 +124,7 @@ FORMULA = (
     (False, (("has", f"^{S}*(?:{CODE_WORDS})(?:$|{NOT_W})"),)),
     (False, (("has", "(?://|/\\*|#[\\s])"),)),
     (False, (("has", f"(?:^|{NOT_W})[a-zA-Z]{{2,}}_[a-zA-Z]{{2,}}(?:$|{NOT_W})"),)),
-    (False, (("has", f"{W}+{S}*={S}*{W}+{S}*\\("), ("has", INDEXED))),
+    (False, (("has", f"{W}{S}*={S}*{W}+{S}*\\("), ("has", INDEXED))),
     (False, (("has", INDEXED), ("has", "(?:==|!=|:=)"))),
     (False, (("has", "grid ?\\["),)),
     (False, (("has", f"^{S}*(?:•|o|\\*|-|[0-9]+\\.){S}"),)),
@@ -143,7 +143,7 @@ FORMULA = (
     (True, (("has", LATEX),)),
     (False, (("not", "[=<>≈]"),)),
     (False, (("has", "(?:==|!=|&&|\\|\\||->|=>)"),)),
-    (False, (("has", INDEXED), ("has", f"{W}+{S}*="))),
+    (False, (("has", INDEXED), ("has", f"{W}{S}*="))),
     (False, (("chinese", 0.2),)),
     (False, (("longer", 120),)),
     (False, (("not", "[0-9A-Za-zα-ωΑ-Ω]"),)),

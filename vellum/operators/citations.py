@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vellum.functions import patterns as P
 from vellum.functions import predicates as B
 from vellum.operators.issues import issue
+from vellum.operators.marks import mark
 
 NO_INTS = "array<int>"
 
@@ -55,7 +56,7 @@ def layout_faults(elements: DataFrame, rules: dict[str, Any] | None = None) -> D
 def reference_rows(elements: DataFrame, tail: float = 0.25) -> DataFrame:
     """Elements that are references; in documents without any, numbered items from the reference title or the last pages on."""
     doc = Window.partitionBy("doc_id")
-    rows = elements.withColumn("likely", B.is_likely_reference(F.col("content"), F.col("region")))
+    rows = elements.withColumn("likely", mark(elements, "likely"))
     rows = rows.withColumn("any", F.max(F.col("likely").cast("int")).over(doc) == 1)
     titled = F.min(F.when(B.has(F.col("content"), P.REFERENCE_TITLE_LOOSE), F.struct("seq", "page_num"))).over(doc)
     start = F.coalesce(titled.page_num, F.greatest(F.bround(F.max("page_num").over(doc) * (1.0 - tail), 0).cast("int"), F.lit(1)))
@@ -79,7 +80,7 @@ def pages_text(pages: Column) -> Column:
 def styles(elements: DataFrame, rules: dict[str, Any]) -> DataFrame:
     """Documents that mix numbers and author-year citations, or use the style that isn't the configured one."""
     r = rules.get("citation_check", {})
-    rows = elements.select("doc_id", "seq", "page_num", F.size(B.numeric_citations(F.col("content"))).alias("n"), F.size(B.author_year_citations(F.col("content"))).alias("a"))
+    rows = elements.select("doc_id", "seq", "page_num", F.size(mark(elements, "numeric")).alias("n"), F.size(mark(elements, "authors")).alias("a"))
     found = rows.groupBy("doc_id").agg(
         F.lit(0).cast("long").alias("seq"), F.sum("n").alias("numeric"), F.sum("a").alias("author"),
         F.collect_set(F.when(F.col("n") > 0, F.col("page_num"))).alias("n_pages"), F.collect_set(F.when(F.col("a") > 0, F.col("page_num"))).alias("a_pages"),
@@ -103,7 +104,7 @@ def styles(elements: DataFrame, rules: dict[str, Any]) -> DataFrame:
 def list_missing(elements: DataFrame, rules: dict[str, Any], compat: bool = True) -> DataFrame:
     """Documents with citations but without references. Not compat: nor with a reference title or numbered items at the end."""
     tail = float(rules.get("citation_check", {}).get("reference_detect_tail_ratio", 0.25) or 0.25)
-    cited = elements.where((F.size(B.numeric_citations(F.col("content"))) > 0) | (F.size(B.author_year_citations(F.col("content"))) > 0)).select("doc_id").distinct()
+    cited = elements.where((F.size(mark(elements, "numeric")) > 0) | (F.size(mark(elements, "authors")) > 0)).select("doc_id").distinct()
     out = cited.join(reference_rows(elements, tail).select("doc_id").distinct(), "doc_id", "left_anti")
     if not compat:
         last = Window.partitionBy("doc_id")
@@ -117,7 +118,7 @@ def numbers_missing(elements: DataFrame, rules: dict[str, Any]) -> DataFrame:
     """Cited numbers that no reference has, one issue a number."""
     tail = float(rules.get("citation_check", {}).get("reference_detect_tail_ratio", 0.25) or 0.25)
     docs = _per_document(elements, tail).select("doc_id", "known", "top")
-    cites = elements.select("doc_id", "seq", "page_num", F.explode(B.numeric_citations(F.col("content"))).alias("inner")).where("inner is not null")
+    cites = elements.select("doc_id", "seq", "page_num", F.explode(mark(elements, "numeric")).alias("inner")).where("inner is not null")
     nums = F.filter(F.transform(F.split(B.squeeze(F.col("inner")), ","), lambda n: n.try_cast("int")), lambda n: n != 0)
     cites = cites.withColumn("nums", nums).where(~F.exists("nums", lambda n: n >= 150))
     rows = cites.join(docs, "doc_id").select("doc_id", "seq", "page_num", "known", "top", F.explode("nums").alias("n")).where("n <= top + 10 and not array_contains(known, n)")
@@ -130,7 +131,7 @@ def authors_missing(elements: DataFrame, rules: dict[str, Any]) -> DataFrame:
     docs = _per_document(elements, tail).select("doc_id", "texts")
     cites = elements.select("doc_id", "seq", "page_num", F.explode(F.regexp_extract_all("content", F.lit(P.AUTHOR_YEAR_ANY), F.lit(1))).alias("inner"))
     cites = cites.select("*", F.regexp_extract("inner", "[0-9]{4}[a-z]?", 0).alias("year"), F.lower(F.regexp_extract("inner", r"(?<![\p{L}\p{N}_])[A-Za-z][A-Za-z'\-]+(?![\p{L}\p{N}_])", 0)).alias("author")).where("author <> ''")
-    some = elements.where(F.size(B.author_year_citations(F.col("content"))) > 0).select("doc_id").distinct()
+    some = elements.where(F.size(mark(elements, "authors")) > 0).select("doc_id").distinct()
     rows = cites.join(docs, "doc_id").join(some, "doc_id", "left_semi")
     rows = rows.where(~F.exists("texts", lambda t: t.contains(F.col("year")) & t.contains(F.col("author"))))
     return rows.select(*issue("Citation_Reference_Missing", "Info", "作者-年份引用未在参考文献中找到对应条目", F.concat(F.lit("("), F.col("inner"), F.lit(")")), box=False))
@@ -140,6 +141,6 @@ def positions(elements: DataFrame, rules: dict[str, Any]) -> DataFrame:
     """Citations that come after a punctuation mark."""
     if not rules.get("punctuation_check", {}).get("check_citation_position", True):
         elements = elements.where("false")
-    rows = elements.where(~B.is_likely_reference(F.col("content"), F.col("region")))
+    rows = elements.where(~mark(elements, "likely"))
     rows = rows.select("doc_id", "seq", "page_num", F.explode(F.regexp_extract_all("content", F.lit(f"(?s).{{0,18}}{P.POSITION}"), F.lit(0))).alias("hit"))
     return rows.select(*issue("Citation_Position_Inconsistent", "Info", "引用标注位置错误 (应置于标点符号之前)", F.col("hit"), box=False))

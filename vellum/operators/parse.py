@@ -17,11 +17,11 @@ def parse(lines: DataFrame) -> DataFrame:
     From a reference title on, lines are references. A caption takes up to two lines after it on its page. Other lines
     give their citations and then a formula, a title or text.
     """
-    own = lines.withColumn("content", B.strip(F.col("content"))).where("content <> ''")
+    # Lines are dealt by document once, for all windows; what a line is by itself is worked out once, before them.
+    own = lines.repartition("doc_id").withColumn("content", B.strip(F.col("content"))).where("content <> ''")
     c = F.col("content")
-    # What a line is by itself is worked out once, before the rows are dealt by document.
     own = own.select("*", B.is_reference_title(c).alias("is_title"), B.caption_like(c).alias("is_caption"), B.heading_like(c).alias("heading"), B.formula_like(c).alias("formula"))
-    own = own.withColumn("goes_on", B.goes_on(c, F.col("is_title") | F.col("is_caption") | F.col("heading") | F.col("formula"))).repartition("doc_id")
+    own = own.withColumn("goes_on", B.goes_on(c, F.col("is_title") | F.col("is_caption") | F.col("heading") | F.col("formula")))
     order = Window.partitionBy("doc_id").orderBy("line_no")
     page = Window.partitionBy("doc_id", "page_num").orderBy("line_no")
     body = F.coalesce(F.median(F.when(F.col("size") > 0, F.col("size"))).over(Window.partitionBy("doc_id", "page_num")), F.lit(10.0))
@@ -45,10 +45,15 @@ def parse(lines: DataFrame) -> DataFrame:
     kind_type = F.when(F.col("is_title") | F.col("starts"), "title").when(in_refs, "text").when(F.col("kind") == "formula", "formula").when(F.col("kind") == "title", "title").otherwise("text")
     region = F.when(F.col("is_title"), "reference").when(F.col("starts"), "chart").when(in_refs, "reference").when(F.col("kind").isin("formula", "title"), F.col("kind")).otherwise("main")
     place = lambda n: F.when(F.col("starts"), F.col(f"c{n}")).otherwise(F.col(n)).alias(n)
-    whole = own.select("doc_id", (F.col("line_no") * 100 + 99).alias("seq"), kind_type.alias("type"), F.when(F.col("starts"), F.col("caption_text")).otherwise(c).alias("content"), *[place(n) for n in ("x0", "y0", "x1", "y1")], "page_num", region.alias("region"))
-    cites = own.where("not is_title and not starts").select("*", F.posexplode(B.layout_citations(c)).alias("pos", "cite"))
-    cites = cites.select("doc_id", (F.col("line_no") * 100 + F.least("pos", F.lit(98))).alias("seq"), F.lit("citation").alias("type"), F.col("cite").alias("content"), "x0", "y0", "x1", "y1", "page_num", F.lit("citation").alias("region"))
-    return whole.unionByName(cites)
+    box = ("x0", "y0", "x1", "y1")
+    whole = F.struct((F.col("line_no") * 100 + 99).alias("seq"), kind_type.alias("type"), F.when(F.col("starts"), F.col("caption_text")).otherwise(c).alias("content"), *[place(n) for n in box], region.alias("region"))
+
+    def cite(x, pos):
+        return F.struct((F.col("line_no") * 100 + F.least(pos, F.lit(98))).alias("seq"), F.lit("citation").alias("type"), x.alias("content"), *[F.col(n).alias(n) for n in box], F.lit("citation").alias("region"))
+
+    cites = F.when(F.col("is_title") | F.col("starts"), F.array().cast("array<string>")).otherwise(B.layout_citations(c))
+    rows = own.select("doc_id", "page_num", F.explode(F.concat(F.array(whole), F.transform(cites, cite))).alias("e"))
+    return rows.select("doc_id", "e.seq", "e.type", "e.content", *[f"e.{n}" for n in box], "page_num", "e.region")
 
 
 def with_offsets(elements: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vellum.functions import patterns as P
 from vellum.functions import predicates as B
 from vellum.operators.issues import issue, union
+from vellum.operators.marks import mark
 
 
 def _mentions(c: Column) -> Column:
@@ -21,7 +22,7 @@ def _mentions(c: Column) -> Column:
 
 
 def caption_rows(elements: DataFrame) -> DataFrame:
-    return elements.where((F.col("type") == "chart") | ((F.col("type") == "title") & B.is_caption(F.col("content"))))
+    return elements.where((F.col("type") == "chart") | ((F.col("type") == "title") & mark(elements, "caption")))
 
 
 def labels_missing(elements: DataFrame, rules: dict[str, Any] | None = None) -> DataFrame:
@@ -101,7 +102,7 @@ def heading_rows(elements: DataFrame) -> DataFrame:
     titles = titles.withColumn("running", running)
     low = elements.groupBy("doc_id", "page_num").agg(F.max("y1").alias("low"))
     rows = titles.join(low, ["doc_id", "page_num"]).where("not running and y0 > low * 0.08 and y1 < low * 0.95")
-    rows = rows.where(B.is_heading(c) & ~B.is_toc_heading(c)).withColumn("parts", B.heading_parts(c)).where("parts is not null")
+    rows = rows.withColumn("parts", mark(elements, "parts")).where("parts is not null")
     return rows.withColumn("key", F.array_join(F.col("parts").cast("array<string>"), ".")).drop("running", "low")
 
 
@@ -128,8 +129,7 @@ def headings(elements: DataFrame, rules: dict[str, Any]) -> DataFrame:
     earlier = Window.partitionBy("doc_id", "parent").orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("expected", F.coalesce(F.max("child").over(earlier), F.lit(0)) + 1).where("child > expected")
     rows = rows.withColumn("wanted", F.concat_ws(".", F.when(F.col("parent") != "", F.col("parent")), F.col("expected").cast("string")))
-    c = F.col("content")
-    seen = _in_body(elements).where(B.is_heading(c) & ~B.is_toc_heading(c)).withColumn("parts", B.heading_parts(c)).where("parts is not null")
+    seen = _in_body(elements).withColumn("parts", mark(elements, "parts")).where("parts is not null")
     seen = seen.groupBy("doc_id", F.array_join(F.col("parts").cast("array<string>"), ".").alias("wanted")).agg(F.min(F.struct("page_num", "y0", "x0")).alias("at"))
     gaps = rows.join(seen, ["doc_id", "wanted"], "left").where(F.col("at").isNull() | ~(F.col("at") < F.struct("page_num", "y0", "x0")))
     message = F.concat(F.lit("标题序号不连续 (期望: "), F.col("wanted"), F.lit(")"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from vellum.config import RULES
 from vellum.operators import charts, citations, issues, service, store, structure, terms, text
+from vellum.operators.marks import marked
 from vellum.operators.parse import document_pages, document_text, pages_at, parse, place_issues, with_offsets
 from vellum.storage import stage
 
@@ -45,7 +46,7 @@ def find_issues(elements: DataFrame, rules: dict[str, Any] | None = None, checks
     both are staged in the shared folder, which also keeps the plan of each step small.
     """
     rules = rules or RULES
-    elements = elements if hasattr(elements, "_staged_at") else stage(elements, "elements")
+    elements = stage(marked(elements), "elements")
     checks = checks or LAYOUT + SEMANTIC
     # Where there are no images, the checks of images find nothing.
     used = checks if elements.where("type = 'image'").limit(1).count() else [c for c in checks if c not in IMAGES]

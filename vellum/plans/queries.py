@@ -16,7 +16,7 @@ from vellum.functions import predicates as B
 from vellum.operators import charts, citations, issues, parse, service, store, structure, terms, text
 from vellum.plans import audit
 from vellum.sources import documents as D
-from vellum.storage import stage
+from vellum.storage import spread, stage
 from vellum.streaming.audit_stream import windowed_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,7 +24,8 @@ QUERIES: dict[str, Query] = {}
 RULES_HERE = copy.deepcopy(RULES)
 RULES_HERE["terminology_check"]["forbidden_variants"] = {"deep learning": ["deep-learning"]}
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name == "documents" else rows
 
 
 def query(f: Query) -> Query:

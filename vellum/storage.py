@@ -29,6 +29,12 @@ def shared_root(spark: SparkSession) -> str:
     return f"file://{_local_root[0]}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out if it comes in fewer parts than there are cores, as a small file does; as it is otherwise."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 @contextmanager
 def scope() -> Iterator[None]:
     """What is staged inside is deleted at the end, when all that reads it has been written."""
