@@ -8,16 +8,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.storage import discard, shared_root, stage
+from vellum.storage import discard, shared_root, spread, stage
 
-__all__ = ["discard", "shared_root", "stage", "table", "text_slices", "utf8_slices"]
+__all__ = ["discard", "shared_root", "spread", "stage", "table", "text_slices", "utf8_slices"]
 
 #: Text bytes that one slice of an Arrow batch holds, unless a single text is longer.
 SLICE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name == "documents" else rows
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 
 from vellum.llm.common import stage
 
-#: Rows that a task orders at a time when a leaf's cut point is looked up.
-PART = 4096
 #: Leaves up to which the cut points are broadcast.
 SMALL = 20_000
 
@@ -94,14 +92,15 @@ def plan(rows: DataFrame, levels: Sequence[str], weights: Mapping[tuple[str, ...
     got = budgets(leaves.select(*levels, "tokens"), levels, weights or {}, tokens, epochs)
     whole = F.when(F.col("tokens") > 0, F.least(F.expr("got div tokens"), F.lit(epochs))).otherwise(F.lit(1)).cast("int")
     goal = got.join(leaves.select(*levels, "n"), list(levels)).withColumn("whole", whole)
-    goal = stage(goal.withColumn("rest", F.col("got") - F.col("whole") * F.col("tokens")).withColumn("parts", F.ceil(F.col("n") / PART)), "goals")
+    goal = stage(goal.withColumn("rest", F.col("got") - F.col("whole") * F.col("tokens")).withColumn("parts", F.ceil(F.sqrt("n"))), "goals")
     open_ = goal.where("whole < %d and rest > 0" % epochs)
     at = rows.join(open_.select(*levels, "whole", "rest", "parts"), list(levels)).withColumn("place", place(F.col("id"), F.col("whole"), seed))
     at = at.select("id", *levels, "n_tokens", "rest", "place", F.expr("(place * parts) div 4294967296").alias("part"))
     upto = Window.partitionBy(*levels).orderBy("part")
     sums = at.groupBy(*levels, "part").agg(F.sum("n_tokens").alias("inside"), F.max(F.struct("place", "id")).alias("last"), F.first("rest").alias("rest"))
     sums = stage(sums.withColumn("upto", F.sum("inside").over(upto)), "parts")
-    # Whole parts come first; the part in which the budget ends is ordered row by row.
+    # A leaf of n rows has the root of n parts of about as many rows. Whole parts come first; the part in which the budget
+    # ends is ordered row by row.
     edge = sums.where("upto > rest and upto - inside <= rest").select(*levels, "part", (F.col("upto") - F.col("inside")).alias("began"))
     by = Window.partitionBy(*levels, "part").orderBy("place", "id")
     inside = at.join(edge, [*levels, "part"]).withColumn("upto", F.col("began") + F.sum("n_tokens").over(by)).where("upto <= rest")
