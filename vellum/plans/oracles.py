@@ -228,6 +228,13 @@ rb AS (SELECT *, (90 + n * 95)::DOUBLE AS x0, (120 + n * 170)::DOUBLE AS y0, (33
 rg AS (SELECT *, -(x1 - x0) * (y1 - y0) AS neg, {{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}} AS box, least(300, x1) - greatest(100, x0) > 0 AND least(300, x1) - greatest(100, x0) >= least(200, x1 - x0) * 0.2 AND NOT (k % 2 = 0 AND y0 > c1 + 6) AND NOT (k % 2 = 1 AND y1 < c0 - 6) AS reach,
   CASE WHEN y1 <= c0 THEN c0 - y1 WHEN y0 >= c1 THEN y0 - c1 ELSE 0 END * 1000 + abs(200 - (x0 + x1) / 2) AS score FROM rb)"""
 
+
+def _math(compat: bool) -> str:
+    signs = "[=<>≤≥±×÷*/+\\\\-≈≠]" if compat else "[=<>≤≥±×÷*/+\\-≈≠]"
+    lone = f"({has('content', '(?:^|[^A-Za-z0-9_])[A-Za-z](?:$|[^A-Za-z0-9_])')} AND {has('content', '可满足|不满足|满足|等价|推出|蕴含|合取|析取|否定')})"
+    return f"({has('content', '[∧∨¬⇒⇔∑∫√∂∇∞≈≠≤≥±×÷]')} OR {lone} OR len({every('content', signs)}) >= 2)"
+
+
 ORACLES: dict[str, str] = {
     "elements_decorated": over(LINES, "SELECT doc_id, line_no, page_num, h, content FROM lines"),
     "page_stats": over(LINES, f"SELECT doc_id, page_num, count(*) AS n_lines, CAST(length({strip('string_agg(' + strip('content') + chr(44) + chr(39) * 2 + ' ORDER BY line_no)')}) AS BIGINT) AS n_chars, length({strip('string_agg(' + strip('content') + chr(44) + chr(39) * 2 + ' ORDER BY line_no)')}) < 10 AS scanned, max(x1) AS max_x, max(y1) AS max_y FROM lines GROUP BY ALL"),
@@ -288,6 +295,10 @@ ORACLES: dict[str, str] = {
     "punctuation_mixed": over(on(MARKS), f"SELECT doc_id, seq, {_snippet} AS evidence, message FROM mh"),
     "captioned_regions": over(REGIONS, "SELECT doc_id, page_num, b.x0 AS x0, b.y0 AS y0, b.x1 AS x1, b.y1 AS y1 FROM (SELECT doc_id, page_num, coalesce(arg_min(box, (score, neg, y0, x0)) FILTER (WHERE reach), arg_min(box, (neg, y0, x0))) AS b FROM rg GROUP BY ALL)"),
     "frontend_payload": over(on(LABELS), """SELECT doc_id, '[' || string_agg('{"issue_type":"Label_Missing","severity":"Info","page":"' || page_num || '","bbox":' || box || ',"evidence":' || to_json(content) || ',"message":"正文引用的图表编号未在图表标题中找到","anchor_id":"' || md5('Label_Missing-' || page_num || '-' || replace(box, ',', ', ')) || '","highlight":' || box || '}', ',' ORDER BY seq) || ']' AS payload FROM (SELECT *, printf('[%.1f,%.1f,%.1f,%.1f]', x0, y0, x1, y1) AS box FROM labels JOIN elements USING (doc_id, seq, page_num, content)) GROUP BY doc_id"""),
+    "chinese_numbers": "SELECT event_id, CAST(event_id % 9999 + 1 AS INTEGER) AS value FROM events",
+    "line_tests": over(LINES, f"SELECT doc_id, line_no, {_math(False)} AS math, {_math(True)} AS math_compat, md5(lower(regexp_replace(content, {q(P.S + '|' + P.MARKS)}, '', 'g'))) AS match_md5, TRY_CAST({get('content', '[0-9]+')} AS BIGINT) AS number FROM lines"),
+    "open_payloads": "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'encrypted_pdf' ELSE 'invalid_pdf' END AS error FROM documents",
+    "span_trees": f"SELECT doc_id, CAST(doc_id % 5 + 1 AS INTEGER) AS page_num, md5(content) AS content_md5, bbox FROM (SELECT doc_id, unnest([trim('a' || substr(text, 1, 5)), 'b', 'alone', trim('a' || substr(text, 1, 5)) || 'b']) AS content, unnest(['1,2,3,4', '0,3,5,6', '7,7,8,8', '0,2,5,6']) AS bbox FROM documents)",
     "terminology_forbidden": over(on(FORBIDDEN), "SELECT doc_id, 'deep-learning' AS evidence, array_to_string(list_sort(list(DISTINCT page_num)), ', ') AS page FROM fb GROUP BY doc_id"),
     "citation_position": over(on(POSITIONS), "SELECT doc_id, seq, hit AS evidence FROM ps"),
     "dedupe_issues": over(ISSUES, "SELECT doc_id, issue_type, severity, count(*) AS n FROM issues GROUP BY ALL"),

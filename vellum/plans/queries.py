@@ -550,3 +550,39 @@ def page_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ordered_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = table(spark, sf_dir, "nation").select(F.col("n_name").alias("rule_id"), F.col("n_nationkey").alias("content"))
     return store.latest(rules.orderBy("rule_id").withColumn("one", F.lit(1)), ["rule_id"], [F.col("rule_id")]).select("rule_id", "content").orderBy("rule_id")
+
+
+@query
+def chinese_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers from 1 to 9999 spelled out and read again."""
+    digits = F.array(*[F.lit(x) for x in "零一二三四五六七八九"])
+    n = (F.col("event_id") % 9999 + 1).cast("int")
+    place = lambda k: F.floor(n / 10**k).cast("int") % 10
+    spell = lambda k, unit: F.when(place(k) > 0, F.concat(digits[place(k)], F.lit(unit))).otherwise(F.when((n > 10 ** (k + 1)) & (n % 10**k > 0), "零").otherwise(""))
+    said = F.concat(spell(3, "千"), spell(2, "百"), spell(1, "十"), F.when(place(0) > 0, digits[place(0)]).otherwise(""))
+    return table(spark, sf_dir, "events").select("event_id", B.cn_number(F.when(F.col("event_id") % 5 == 0, n.cast("string")).otherwise(said)).alias("value"))
+
+
+@query
+def line_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What single lines are: formula-like, their text for matching, their first number."""
+    c = content()
+    return lines(spark, sf_dir).select("doc_id", "line_no", terms.math_like(c, False).alias("math"), terms.math_like(c).alias("math_compat"), F.md5(B.match_text(c).cast("binary")).alias("match_md5"), B.first_int(c).alias("number"))
+
+
+@query
+def open_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id") % 4
+    body = F.when(i == 0, F.concat(F.lit("%PDF-1.7 "), "text")).when(i == 1, F.concat(F.lit("%PDF-1.4 /Encrypt 5 0 R "), "text")).when(i == 2, F.col("text"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.when(i < 3, F.base64(body.cast("binary"))).otherwise("no base64!").alias("payload"))
+    return D.open_payloads(rows).select("doc_id", "error")
+
+
+@query
+def span_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans and whole lines of layouts, whose texts are those of the documents' first characters."""
+    span = lambda text, *box: F.struct(text.alias("content"), F.array(*[F.lit(float(x)) for x in box]).alias("bbox"))
+    two = F.struct(F.array(span(F.concat(F.lit("a"), F.substring("text", 1, 5)), 1, 2, 3, 4), span(F.lit(" b "), 0, 3, 5, 6), span(F.lit("  "), 9, 9, 9, 9)).alias("spans"))
+    one = F.struct(F.array(span(F.lit("alone"), 7, 7, 8, 8)).alias("spans"))
+    page = F.struct((F.col("doc_id") % 5).alias("page_idx"), F.array(F.struct(F.array(two, one).alias("lines"))).alias("para_blocks"))
+    return D.span_rows(table(spark, sf_dir, "documents").select("doc_id", F.to_json(F.struct(F.array(page).alias("pdf_info"))).alias("json"))).select("doc_id", F.col("page_num").cast("int").alias("page_num"), F.md5(F.col("content").cast("binary")).alias("content_md5"), F.array_join(F.transform("bbox", lambda x: x.cast("int").cast("string")), ",").alias("bbox"))

@@ -130,6 +130,18 @@ def files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
 
 
+def open_payloads(payloads: DataFrame, column: str = "payload") -> DataFrame:
+    """``payloads`` with ``error``: null for a PDF, else why it can't be read: invalid_pdf or encrypted_pdf.
+
+    A payload is the file's bytes, or a text that is base64 of them. A PDF has its mark within the first 1,024 bytes; one
+    that names an encryption dictionary is encrypted.
+    """
+    raw = F.col(column) if dict(payloads.dtypes)[column] == "binary" else F.try_to_binary(F.col(column), F.lit("base64"))
+    text = F.decode(raw, "ISO-8859-1")
+    pdf = F.coalesce(F.instr(F.substring(text, 1, 1024), "%PDF") > 0, F.lit(False))
+    return payloads.withColumn("error", F.when(~pdf, "invalid_pdf").when(F.regexp_like(text, F.lit(r"/Encrypt[\s/<0-9]")), "encrypted_pdf"))
+
+
 def verify(files: DataFrame, manifest: DataFrame) -> DataFrame:
     """(id, path, status): whether a manifest's files are there and have its digest: ok, missing, wrong or unchecked.
 
