@@ -8,9 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.storage import discard, shared_root, spread, stage
+from vellum.storage import discard, scope, shared_root, spread, stage
 
-__all__ = ["discard", "shared_root", "spread", "stage", "table", "text_slices", "utf8_slices"]
+__all__ = ["discard", "scope", "shared_root", "spread", "stage", "table", "text_slices", "utf8_slices"]
 
 #: Text bytes that one slice of an Arrow batch holds, unless a single text is longer.
 SLICE_BYTES = 4 << 20
