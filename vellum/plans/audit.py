@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -18,6 +19,8 @@ Check = Callable[[DataFrame, dict[str, Any]], DataFrame]
 Model = Callable[[Column], Column]
 LAYOUT: list[Check] = [structure.labels_missing, charts.misplaced_captions, charts.images_without_caption, structure.formulas, structure.headings, citations.layout_faults]
 IMAGES: list[Check] = [charts.misplaced_captions, charts.images_without_caption]
+#: Checks that run side by side.
+AT_A_TIME = 4
 SEMANTIC: list[Check] = [terms.typos, terms.mixed_forms, terms.forbidden, terms.punctuation, citations.positions, citations.styles, citations.list_missing, citations.numbers_missing, citations.authors_missing]
 
 
@@ -50,7 +53,10 @@ def find_issues(elements: DataFrame, rules: dict[str, Any] | None = None, checks
     checks = checks or LAYOUT + SEMANTIC
     # Where there are no images, the checks of images find nothing.
     used = checks if elements.where("type = 'image'").limit(1).count() else [c for c in checks if c not in IMAGES]
-    parts = [check(elements, rules) for check in used] or [elements.where("false").select(*issues.issue("", "", ""))]
+    # Each check is a job of its own, some at a time: one plan of them all would be planned anew after each of its stages.
+    with ThreadPoolExecutor(AT_A_TIME) as pool:
+        parts = list(pool.map(lambda check: stage(check(elements, rules), check.__name__), used))
+    parts = parts or [elements.where("false").select(*issues.issue("", "", ""))]
     if model is not None:
         parts.append(model_scan(elements, model, rules))
     found = issues.dedupe(issues.union(parts))
