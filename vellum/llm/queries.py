@@ -13,6 +13,7 @@ from vellum.llm.common import table
 from vellum.llm.matroska import media_columns
 from vellum.llm.mixing import ORACLE as MIXING_SQL
 from vellum.llm.mixing import WEIGHTS, default_levels, mix
+from vellum.llm.packing import pack
 from vellum.llm.quality_classifier import classify
 from vellum.llm.quality_rules import judge
 from vellum.llm.secret_scan import BASE, scan
@@ -78,5 +79,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.select(F.col("id").alias("doc_id"), "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op2_mixing": op2_mixing, "op3_licenses": op3_licenses, "op4_secrets": op4_secrets, "op5_bpe": op5_bpe, "op6_toxicity": op6_toxicity, "op7_quality_rules": op7_quality_rules, "op8_matroska": op8_matroska, "op9_suffix_dedup": op9_suffix_dedup, "op10_quality_classifier": op10_quality_classifier}
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack(table(spark, sf_dir, "documents"))
+    return pieces.select(F.col("id").alias("doc_id"), "start", (F.length("ids") / 4).cast("long").alias("length"), F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op2_mixing": op2_mixing, "op3_licenses": op3_licenses, "op4_secrets": op4_secrets, "op5_bpe": op5_bpe, "op6_toxicity": op6_toxicity, "op7_quality_rules": op7_quality_rules, "op8_matroska": op8_matroska, "op9_suffix_dedup": op9_suffix_dedup, "op10_quality_classifier": op10_quality_classifier, "op13_packing": op13_packing}
 ORACLES: dict[str, str] = {"op2_mixing": MIXING_SQL}
