@@ -16,6 +16,7 @@ from vellum.llm.mixing import WEIGHTS, default_levels, mix
 from vellum.llm.packing import pack
 from vellum.llm.quality_classifier import classify
 from vellum.llm.quality_rules import judge
+from vellum.llm.runs import periodic_runs, with_periods
 from vellum.llm.secret_scan import BASE, scan
 from vellum.llm.simhash import near_duplicates
 from vellum.llm.suffix_dedup import remove_repeats
@@ -79,10 +80,20 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.select(F.col("id").alias("doc_id"), "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = periodic_runs(docs.select("doc_id", with_periods(F.col("doc_id"), F.col("text")).alias("text")))
+    said = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n"))), "")
+    most = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("start"), (-r.period).alias("period"))))
+    rows = found.select("id", F.size("runs").cast("long").alias("n_runs"), most.alias("most"), F.sha2(said.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+    start, length, period = (-F.col("most.start"), F.col("most.length"), -F.col("most.period"))
+    return rows.select(F.col("id").alias("doc_id"), "n_runs", start.alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(table(spark, sf_dir, "documents"))
     return pieces.select(F.col("id").alias("doc_id"), "start", (F.length("ids") / 4).cast("long").alias("length"), F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op2_mixing": op2_mixing, "op3_licenses": op3_licenses, "op4_secrets": op4_secrets, "op5_bpe": op5_bpe, "op6_toxicity": op6_toxicity, "op7_quality_rules": op7_quality_rules, "op8_matroska": op8_matroska, "op9_suffix_dedup": op9_suffix_dedup, "op10_quality_classifier": op10_quality_classifier, "op13_packing": op13_packing}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op2_mixing": op2_mixing, "op3_licenses": op3_licenses, "op4_secrets": op4_secrets, "op5_bpe": op5_bpe, "op6_toxicity": op6_toxicity, "op7_quality_rules": op7_quality_rules, "op8_matroska": op8_matroska, "op9_suffix_dedup": op9_suffix_dedup, "op10_quality_classifier": op10_quality_classifier, "op12_periodic_runs": op12_periodic_runs, "op13_packing": op13_packing}
 ORACLES: dict[str, str] = {"op2_mixing": MIXING_SQL}
