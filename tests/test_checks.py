@@ -12,6 +12,7 @@ from vellum.functions import predicates as B
 from vellum.operators import charts, citations, issues, service, store, structure, terms, text
 from vellum.operators import parse as parse_ops
 from vellum.operators.parse import parse
+from vellum.operators.spans import match_spans
 from vellum.plans import audit
 from vellum.schemas import ELEMENT, ISSUE, schema_report
 from vellum.sources import documents as D
@@ -188,7 +189,7 @@ def test_model_answers(spark):
 def test_spans(spark):
     remarks = spark.createDataFrame([(1, 0, "The method is unclear"), (1, 1, "Quite another thing"), (1, 2, "Abcdefgh and a lot more words"), (2, 0, "alone")], "doc_id long, pos long, text string")
     spans = spark.createDataFrame([(1, 1, "Here: the method is unclear, really"), (1, 2, "The method is unclear."), (1, 3, "The methods is unclear"), (1, 4, "abcdefgh and a lot")], "doc_id long, span_id long, content string")
-    got = {(r.doc_id, r.pos): (r.span_id, r.ratio) for r in text.match_spans(remarks, spans).collect()}
+    got = {(r.doc_id, r.pos): (r.span_id, r.ratio) for r in match_spans(remarks, spans).collect()}
     assert got == {(1, 0): (1, 1.0), (1, 2): (4, 15 / 24)}
 
 

@@ -13,7 +13,7 @@ from vellum import schemas
 from vellum.config import RULES
 from vellum.functions import patterns as P
 from vellum.functions import predicates as B
-from vellum.operators import charts, citations, issues, parse, service, store, structure, terms, text
+from vellum.operators import charts, citations, issues, parse, service, spans, store, structure, terms, text
 from vellum.plans import audit
 from vellum.sources import documents as D
 from vellum.storage import spread, stage
@@ -358,8 +358,8 @@ def numbered_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def fuzzy_span_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = D.text_lines(table(spark, sf_dir, "documents")).where("length(trim(line)) > 0").select("doc_id", F.col("line_no").alias("span_id"), F.col("line").alias("content"))
-    return text.match_spans(_remarks(spark, sf_dir), spans)
+    held = D.text_lines(table(spark, sf_dir, "documents")).where("length(trim(line)) > 0").select("doc_id", F.col("line_no").alias("span_id"), F.col("line").alias("content"))
+    return spans.match_spans(_remarks(spark, sf_dir), held)
 
 
 @query
