@@ -14,10 +14,9 @@ from pyspark.sql import functions as F
 
 from vellum.functions import patterns as P
 from vellum.functions.predicates import strip
+from vellum.operators import vectors
 
 WIDTH = 768
-#: Expert rows (3 kB each) that are broadcast, or make up a block.
-EXPERTS = 10_000
 # Marks at which a long paragraph may be cut, with their bonus.
 CUTS = ((".!?。！？", 10000), (";:；：", 4000), (",，、", 1000))
 CHUNK = "array<struct<start: int, stop: int, text: string>>"
@@ -218,8 +217,7 @@ def expert_tips(docs: DataFrame, experts: DataFrame, k: int = 5, require_text: b
     """(doc_id, tips): for each document (doc_id, embedding) the texts of the ``k`` (1 to 20) nearest of the expert rows (comment_id, text, active, embedding[, metric_id]), nearest first.
 
     Rows without an embedding aren't looked at, nor, where asked for, those without text or metric or not active (null
-    counts as active). The experts are counted: up to ``EXPERTS`` of them are broadcast; more are dealt out in blocks,
-    each of which gives its nearest, and the nearest of these are taken.
+    counts as active). Texts without a direction have no tips. A block of experts is broadcast; more are searched by blocks.
     """
     k = max(1, min(20, k))
     used = experts.where("embedding is not null")
@@ -229,15 +227,9 @@ def expert_tips(docs: DataFrame, experts: DataFrame, k: int = 5, require_text: b
         used = used.where("trim(metric_id) <> ''")
     if require_active:
         used = used.where("coalesce(active, true)")
-    used = used.select("comment_id", F.col("text").alias("tip"), F.col("embedding").alias("e"))
-    n = used.count()
-    blocks = max(1, -(-n // EXPERTS))
-    used = used.withColumn("block", F.pmod(F.xxhash64("comment_id"), F.lit(blocks)).cast("int"))
-    near = F.struct(F.round(cosine_distance(F.col("embedding"), F.col("e")), 6).alias("d"), "comment_id", "tip")
-    asked = docs.select("doc_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    pairs = asked.join(F.broadcast(used) if blocks == 1 else used, "block")
-    best = pairs.groupBy("doc_id", "block").agg(F.expr("1").alias("one"), F.slice(F.array_sort(F.collect_list(near)), 1, k).alias("xs"))
-    best = best.groupBy("doc_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("xs"))), 1, k).alias("xs"))
+    near = vectors.against(docs.select(F.col("doc_id").alias("query_id"), "embedding"), used, k, WIDTH, "comment_id")
+    tips = near.join(used.select(F.col("comment_id").alias("vec_id"), F.col("text").alias("tip")), "vec_id")
+    best = tips.groupBy(F.col("query_id").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("rank", "tip"))).alias("xs"))
     return best.select("doc_id", F.transform("xs", lambda x: x.tip).alias("tips"))
 
 

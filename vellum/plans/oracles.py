@@ -315,6 +315,8 @@ ORACLES: dict[str, str] = {
     "top3_per_type": over(on(POSITIONS), "SELECT doc_id, seq, hit AS evidence, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq, hit) AS rank FROM ps) WHERE rank <= 3"),
     "prf1": "SELECT lang, tp, fp, fn, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 6) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 6) AS recall, round(CASE WHEN 2 * tp + fp + fn > 0 AND tp > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END, 6) AS f1 FROM (SELECT lang, count(*) FILTER (WHERE p AND t) AS tp, count(*) FILTER (WHERE p AND NOT t) AS fp, count(*) FILTER (WHERE NOT p AND t) AS fn FROM (SELECT doc_id, lang, n_chars < 300 AS p, quality = 0 AS t FROM documents JOIN labels USING (doc_id)) GROUP BY lang)",
     "knn_cosine_topk": "SELECT vec_id, distance FROM (SELECT e.vec_id, round(1 - list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS distance FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q) ORDER BY distance, vec_id LIMIT 5",
+    "knn_exact": "SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, round(1 - list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) + 0 AS distance FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0)) WHERE rank <= 10",
+    "knn_filtered": "SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, round(1 - list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) + 0 AS distance FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0 AND e.label = 1)) WHERE rank <= 5",
     "expert_filter_search": "SELECT doc_id, lang, source FROM documents WHERE text ILIKE '%trash%' OR lang ILIKE '%trash%' OR source ILIKE '%trash%' ORDER BY doc_id DESC LIMIT 50",
     "vector_dim_check": "SELECT status, count(*) AS n FROM (SELECT CASE WHEN embedding IS NULL THEN 'null' WHEN len(embedding) = 64 THEN 'ok' ELSE CAST(len(embedding) AS VARCHAR) END AS status FROM embeddings) GROUP BY status",
     "pad_embedding": "SELECT vec_id, 768 AS width, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM embeddings",

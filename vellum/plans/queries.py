@@ -13,7 +13,7 @@ from vellum import schemas
 from vellum.config import RULES
 from vellum.functions import patterns as P
 from vellum.functions import predicates as B
-from vellum.operators import charts, citations, issues, parse, service, spans, store, structure, terms, text
+from vellum.operators import charts, citations, issues, parse, service, spans, store, structure, terms, text, vectors
 from vellum.plans import audit
 from vellum.sources import documents as D
 from vellum.storage import spread, stage
@@ -246,6 +246,30 @@ def knn_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.nearest(rows, q).select("vec_id", "distance")
 
 
+def _asked(rows: DataFrame) -> DataFrame:
+    """The queries of a search are all rows whose id 50 divides."""
+    return rows.where("vec_id % 50 = 0")
+
+
+@query
+def knn_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return vectors.search(vectors.flat(rows), _asked(rows), 10, None)
+
+
+@query
+def knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return vectors.search(vectors.build(rows), _asked(rows), 5, None, keep=F.col("label") == 1)
+
+
+@query
+def knn_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    index = vectors.build(rows)
+    return vectors.search(index, _asked(rows), 10, vectors.probes_for(index, rows, 10, 0.97))
+
+
 @query
 def expert_filter_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.search(table(spark, sf_dir, "documents"), "trash", ["text", "lang", "source"], "doc_id").select("doc_id", "lang", "source")
