@@ -104,7 +104,7 @@ def test_no_stage_holds_all_pairs(spark):
     assert all(got[k][1] == round(score(remarks[k], lines[got[k][0]]), 6) for k in range(300))
     said = spark.createDataFrame([(1, 1, k, x, 0.9, None) for k, x in enumerate(remarks)], "doc_id long, d long, k long, t string, need double, first long")
     held = b.selectExpr("doc_id", "1L d", "span_id k", "content t")
-    assert S._alike(said, held, 3, 0.9).count() < 0.02 * len(lines) * len(remarks)
+    assert S.alike(said, held, 3, 0.9).count() < 0.02 * len(lines) * len(remarks)
     assert took < 90
 
 

@@ -120,7 +120,7 @@ def _filtered(outer: DataFrame, wanted: np.ndarray, q: int) -> DataFrame:
     return outer.select("doc_id", F.col("k").alias("outer"), F.explode(F.pandas_udf(run, "array<string>")("d", "t")).alias("e"))
 
 
-def _alike(asked: DataFrame, held: DataFrame, q: int, floor: float) -> DataFrame:
+def alike(asked: DataFrame, held: DataFrame, q: int, floor: float) -> DataFrame:
     """(doc_id, r, s): pairs of ``asked`` (doc_id, d, k, t, need, first) and ``held`` (doc_id, d, k, t) that can be as alike as is needed."""
     seen = counts(held, q)
 
@@ -208,7 +208,7 @@ def match_spans(remarks: DataFrame, spans: DataFrame, least: float = LEAST) -> D
         asked = stage(asked.select("doc_id", "d", "k", "t", "need", "first", (common > 1e-6).alias("fits")), "asked")
         fit = asked.where("fits")
         some = held.join(fit.select("doc_id").distinct(), "doc_id", "left_semi")
-        found = _scored(_alike(fit, some, q, floor), fit, held).where(F.col("ratio") >= least)
+        found = _scored(alike(fit, some, q, floor), fit, held).where(F.col("ratio") >= least)
         pairs = stage(pairs.unionByName(found), "pairs")
         settled = _best(pairs).where(F.col("ratio") >= floor).select("doc_id", "k")
         open_ = asked.where("not fits").unionByName(fit.join(settled, ["doc_id", "k"], "left_anti")).select("doc_id", "d", "k", "t")

@@ -162,11 +162,11 @@ _word = f"{P.W}+"
 _like = "2.0 * list_sum(list_transform(list_distinct(string_split(kw, '')), lambda x: least(length(word) - length(replace(word, x, '')), length(kw) - length(replace(kw, x, ''))))) / (length(word) + length(kw))"
 TYPOS = f"""tw AS (SELECT doc_id, seq, page_num, unnest({every('content', _word)}) AS word FROM elements),
 tn AS (SELECT doc_id, word, count(*) AS n FROM tw GROUP BY ALL),
-tk AS (SELECT word, kw, {_like} AS ratio FROM (SELECT DISTINCT word FROM tw), (VALUES ('TensorFlow'), ('Pydantic')) v(kw) WHERE abs(length(word) - length(kw)) <= 2 AND {_like} >= 0.85),
+tk AS (SELECT word, kw, ki, {_like} AS ratio FROM (SELECT DISTINCT word FROM tw), (VALUES ('TensorFlow', 1), ('Pydantic', 2)) v(kw, ki) WHERE abs(length(word) - length(kw)) <= 2 AND {_like} >= 0.85),
 tr AS (SELECT *, least(n, 3 - coalesce(sum(n) OVER (PARTITION BY doc_id, kw ORDER BY ratio DESC, word DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS times FROM tn JOIN tk USING (word)),
 ts AS (SELECT * FROM tr WHERE times > 0 AND lower(word) <> lower(kw) AND word <> kw || 's' AND word <> kw || 'es'),
 typos AS (SELECT tw.*, kw FROM tw JOIN ts USING (doc_id, word)),
-many AS (SELECT doc_id, CAST(sum(times * n) AS BIGINT) AS total, array_to_string(list_sort(list(word))[:3], ', ') AS samples FROM ts GROUP BY doc_id HAVING sum(times * n) > 10)"""
+many AS (SELECT doc_id, CAST(sum(times * n) AS BIGINT) AS total, array_to_string(flatten(list(list_transform(range(least(3, CAST(times * n AS BIGINT))), lambda i: word) ORDER BY ki, ratio DESC, word DESC))[:3], ', ') AS samples FROM ts GROUP BY doc_id HAVING sum(times * n) > 10)"""
 
 #: Elements that the check of marks would look at; these tables have none.
 MARKED = f"mk AS (SELECT * FROM elements WHERE NOT {_likely} AND region NOT IN ('chart', 'formula') AND {has('content', f'{P.CJK}{P.S}*[,?!;:.]|[a-zA-Z]{{2}}{P.S}*[，。？！；：]')})"
