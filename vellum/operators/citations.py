@@ -68,8 +68,8 @@ def reference_rows(elements: DataFrame, tail: float = 0.25) -> DataFrame:
 def _per_document(elements: DataFrame, tail: float) -> DataFrame:
     refs = reference_rows(elements, tail)
     numbers = F.array_distinct(F.flatten(F.collect_list(F.transform(B.reference_numbers(F.col("content")), lambda n: F.coalesce(n.try_cast("int"), F.lit(0))))))
-    found = refs.groupBy("doc_id").agg(numbers.alias("known"), F.count("*").cast("int").alias("n_refs"), F.collect_list(F.lower("content")).alias("texts"))
-    return found.select("doc_id", "known", "n_refs", "texts", F.coalesce(F.when(F.array_max("known") > 0, F.array_max("known")), F.col("n_refs")).alias("top"))
+    found = refs.groupBy("doc_id").agg(numbers.alias("known"), F.count("*").cast("int").alias("n_refs"))
+    return found.select("doc_id", "known", "n_refs", F.coalesce(F.when(F.array_max("known") > 0, F.array_max("known")), F.col("n_refs")).alias("top"))
 
 
 def pages_text(pages: Column) -> Column:
@@ -128,12 +128,15 @@ def numbers_missing(elements: DataFrame, rules: dict[str, Any]) -> DataFrame:
 def authors_missing(elements: DataFrame, rules: dict[str, Any]) -> DataFrame:
     """Author-year citations of which no reference has both the author and the year."""
     tail = float(rules.get("citation_check", {}).get("reference_detect_tail_ratio", 0.25) or 0.25)
-    docs = _per_document(elements, tail).select("doc_id", "texts")
+    refs = reference_rows(elements, tail).select("doc_id", F.lower("content").alias("text"))
     cites = elements.select("doc_id", "seq", "page_num", F.explode(F.regexp_extract_all("content", F.lit(P.AUTHOR_YEAR_ANY), F.lit(1))).alias("inner"))
     cites = cites.select("*", F.regexp_extract("inner", "[0-9]{4}[a-z]?", 0).alias("year"), F.lower(F.regexp_extract("inner", r"(?<![\p{L}\p{N}_])[A-Za-z][A-Za-z'\-]+(?![\p{L}\p{N}_])", 0)).alias("author")).where("author <> ''")
     some = elements.where(F.size(mark(elements, "authors")) > 0).select("doc_id").distinct()
-    rows = cites.join(docs, "doc_id").join(some, "doc_id", "left_semi")
-    rows = rows.where(~F.exists("texts", lambda t: t.contains(F.col("year")) & t.contains(F.col("author"))))
+    asked = cites.join(refs.select("doc_id").distinct(), "doc_id", "left_semi").join(some, "doc_id", "left_semi").withColumn("digits", F.substring("year", 1, 4))
+    # References are found by the years in them, any four digits in a row; the author is looked for in these only.
+    posted = refs.select("doc_id", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("(?=([0-9]{4}))"), F.lit(1)))).alias("digits"))
+    named = F.contains(posted["text"], asked["year"]) & F.contains(posted["text"], asked["author"])
+    rows = asked.join(posted, (asked["doc_id"] == posted["doc_id"]) & (asked["digits"] == posted["digits"]) & named, "left_anti")
     return rows.select(*issue("Citation_Reference_Missing", "Info", "作者-年份引用未在参考文献中找到对应条目", F.concat(F.lit("("), F.col("inner"), F.lit(")")), box=False))
 
 

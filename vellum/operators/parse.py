@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import patterns as P
@@ -63,18 +63,49 @@ def with_offsets(elements: DataFrame) -> DataFrame:
     return elements.where("content <> ''").withColumn("start", start.cast("long")).withColumn("stop", (F.col("start") + F.length("content")).cast("long"))
 
 
+#: Characters of a bin are 2 to the power BIN, and each level's bins hold 2 to the power STEP of those below; there are LEVELS.
+BIN, STEP, LEVELS = 8, 4, 7
+
+
 def pages_at(offsets: DataFrame, places: DataFrame) -> DataFrame:
     """``places`` (doc_id, start, stop) with the pages that a stretch of the document's text is on, as "3" or "3-5".
 
     ``offsets`` are elements with their offsets. A stretch between two elements is on no page, which is "?".
+
+    Stretches and elements meet in bins of the text, so no document is gone through for each of its stretches: the bins at
+    the two ends of a stretch give their elements, and what lies between is made up of whole bins, of the largest that fit,
+    whose first and last pages are known.
     """
-    own = offsets.select(F.col("doc_id").alias("_d"), F.col("start").alias("_a"), F.col("stop").alias("_b"), "page_num")
-    keys = places.select("doc_id", "start", "stop").distinct()
-    met = keys.join(own, (F.col("doc_id") == F.col("_d")) & (F.greatest("start", "_a") < F.least("stop", "_b")), "left")
-    found = met.groupBy("doc_id", "start", "stop").agg(F.min("page_num").alias("low"), F.max("page_num").alias("high"))
+    own = offsets.where("start < stop").select("doc_id", F.col("start").alias("_a"), F.col("stop").alias("_b"), "page_num")
+    own = own.select("*", F.explode(F.sequence(F.shiftright("_a", BIN), F.shiftright(F.col("_b") - 1, BIN))).alias("bin"))
+    levels = F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright("bin", STEP * k).alias("bin")) for k in range(LEVELS)])
+    whole = own.select("doc_id", "page_num", F.explode(levels).alias("x")).groupBy("doc_id", "x.level", "x.bin").agg(F.min("page_num").alias("low"), F.max("page_num").alias("high"))
+    keys = places.select("doc_id", "start", "stop").distinct().withColumn("_s", F.greatest("start", F.lit(0)).cast("long")).withColumn("_e", F.col("stop").cast("long")).where("_s < _e")
+    ends = keys.select("*", F.explode(F.array_distinct(F.array(F.shiftright("_s", BIN), F.shiftright(F.col("_e") - 1, BIN)))).alias("bin"))
+    ends = ends.join(own, ["doc_id", "bin"]).where(F.greatest("_s", "_a") < F.least("_e", "_b")).select("doc_id", "start", "stop", F.col("page_num").alias("low"), F.col("page_num").alias("high"))
+    between = keys.select("*", F.explode(F.filter(F.array(*[_bins(k) for k in range(LEVELS)]), lambda x: F.size(x.bins) > 0)).alias("x"))
+    between = between.select("doc_id", "start", "stop", "x.level", F.explode("x.bins").alias("bin"))
+    inside = between.join(whole, ["doc_id", "level", "bin"]).select("doc_id", "start", "stop", "low", "high")
+    found = ends.unionByName(inside).groupBy("doc_id", "start", "stop").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     low, high = F.col("low").cast("string"), F.col("high").cast("string")
-    page = F.when(F.col("low").isNull(), "?").when(F.col("low") == F.col("high"), low).otherwise(F.concat(low, F.lit("-"), high))
-    return places.join(found.select("doc_id", "start", "stop", page.alias("pages")), ["doc_id", "start", "stop"])
+    page = F.when(F.col("low") == F.col("high"), low).otherwise(F.concat(low, F.lit("-"), high))
+    known = places.where("doc_id is not null and start is not null and stop is not null")
+    return known.join(found.select("doc_id", "start", "stop", page.alias("pages")), ["doc_id", "start", "stop"], "left").withColumn("pages", F.coalesce("pages", F.lit("?")))
+
+
+def _bins(level: int) -> Column:
+    """The bins of a level that make up a stretch from _s to _e together with those of other levels."""
+    first = lambda k: -F.shiftright(-F.col("_s"), BIN + STEP * k)
+    last = lambda k: F.shiftright("_e", BIN + STEP * k)
+    run = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<bigint>"))
+    if level + 1 == LEVELS:
+        bins = run(first(level), last(level))
+    else:
+        # Where bins of the level above lie inside, only those before and after them are left.
+        up, down = F.shiftleft(first(level + 1), STEP), F.shiftleft(last(level + 1), STEP)
+        above = first(level + 1) < last(level + 1)
+        bins = F.when(above, F.concat(run(first(level), up), run(down, last(level)))).otherwise(run(first(level), last(level)))
+    return F.struct(F.lit(level).alias("level"), bins.alias("bins"))
 
 
 def document_pages(docs: DataFrame, elements: DataFrame) -> DataFrame:
