@@ -12,6 +12,9 @@ from vellum.functions import predicates as B
 
 UUID4 = "(?i)^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
 
+#: Parts of an answer.
+KEYS = ("request_id", "info", "result", "usage")
+
 
 def request_faults(requests: DataFrame) -> DataFrame:
     """``requests`` (request_id, paper_id, paper_title, chunk_id[, temperature, max_tokens]) with ``faults``, the fields that aren't valid."""
@@ -51,11 +54,12 @@ def compact_issues(issues: DataFrame) -> DataFrame:
     return issues.select("doc_id", "seq", F.concat(F.lit("{"), F.array_join(F.filter(F.array(*keys, page, box), lambda x: x.isNotNull()), ","), F.lit("}")).alias("issue"))
 
 
-def answers(results: DataFrame, texts: DataFrame, commentary: DataFrame | None = None, name: str = "vellum", version: str = "1.0.0") -> DataFrame:
+def answers(results: DataFrame, texts: DataFrame, commentary: DataFrame | None = None, name: str = "vellum", version: str = "1.0.0", keys: tuple[str, str, str, str] = KEYS) -> DataFrame:
     """(doc_id, answer): the whole answer to an audit request as JSON.
 
     ``results`` as ``audit.results`` gives them, ``texts`` (doc_id, text) for the estimate of tokens, and a commentary
-    (doc_id, comment, suggestion) in place of the standard one.
+    (doc_id, comment, suggestion) in place of the standard one. ``keys`` name the answer's four parts: the request, who
+    answers, the result, and what it took.
     """
     rows = results.join(texts.select("doc_id", B.token_estimate(F.col("text")).alias("tokens")), "doc_id", "left")
     n = F.col("n_issues")
@@ -67,9 +71,9 @@ def answers(results: DataFrame, texts: DataFrame, commentary: DataFrame | None =
         comment, suggestion = F.coalesce("_c", comment), F.coalesce("_s", suggestion)
     tags = F.when(F.col("tags") != "", F.split("tags", ",")).otherwise(F.array().cast("array<string>"))
     said: list[Any] = [
-        F.col("doc_id").cast("string").alias("request_id"),
-        F.struct(F.lit(name).alias("name"), F.lit(version).alias("version")).alias("agent_info"),
-        F.struct("score", "audit_level", comment.alias("comment"), suggestion.alias("suggestion"), tags.alias("tags")).alias("result"),
-        F.struct(F.coalesce("tokens", F.lit(0)).alias("tokens"), F.lit(0).alias("latency_ms")).alias("usage"),
+        F.col("doc_id").cast("string").alias(keys[0]),
+        F.struct(F.lit(name).alias("name"), F.lit(version).alias("version")).alias(keys[1]),
+        F.struct("score", "audit_level", comment.alias("comment"), suggestion.alias("suggestion"), tags.alias("tags")).alias(keys[2]),
+        F.struct(F.coalesce("tokens", F.lit(0)).alias("tokens"), F.lit(0).alias("latency_ms")).alias(keys[3]),
     ]
     return rows.select("doc_id", F.to_json(F.struct(*said)).alias("answer"))

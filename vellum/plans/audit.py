@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from contextvars import copy_context
+from functools import partial
 from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,8 +57,13 @@ def find_issues(elements: DataFrame, rules: dict[str, Any] | None = None, checks
     # Where there are no images, the checks of images find nothing.
     used = checks if elements.where("type = 'image'").limit(1).count() else [c for c in checks if c not in IMAGES]
     # Each check is a job of its own, some at a time: one plan of them all would be planned anew after each of its stages.
+
+    def work(check: Check) -> Callable[[], DataFrame]:
+        # Each job runs in its caller's scope, and with its caller's job group and properties, of which it has a copy.
+        return partial(copy_context().run, inheritable_thread_target(lambda: stage(check(elements, rules), check.__name__)))
+
     with ThreadPoolExecutor(AT_A_TIME) as pool:
-        parts = list(pool.map(lambda check: stage(check(elements, rules), check.__name__), used))
+        parts = [f.result() for f in [pool.submit(work(check)) for check in used]]
     parts = parts or [elements.where("false").select(*issues.issue("", "", ""))]
     if model is not None:
         parts.append(model_scan(elements, model, rules))

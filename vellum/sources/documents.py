@@ -171,5 +171,6 @@ def review_folders(spark: SparkSession, root: str) -> DataFrame:
         rank = F.struct((F.col("file") != F.concat("review", F.lit(end))).alias("other"), "file", "path", "value")
         return own.groupBy("paper", "review").agg(F.min(rank).alias(column))
 
+    # Fixed value: the name of the collection in ids.
     rows = best(".md", "m").join(best("_middle.json", "j"), ["paper", "review"], "left")
     return rows.select(F.concat_ws("-", F.lit("papers-mineru10"), "paper", "review").alias("sample_id"), "paper", "review", F.col("m.path").alias("source"), F.col("m.value").alias("text"), F.col("j.value").alias("layout"))

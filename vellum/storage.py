@@ -6,11 +6,13 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_root: list[str] = []
-_scopes: list[list[DataFrame]] = []
+#: Scopes of the thread, or whatever context runs; a pool's work gets its caller's by a copy of the context.
+_scopes: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("scopes", default=())
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -38,11 +40,13 @@ def spread(df: DataFrame) -> DataFrame:
 @contextmanager
 def scope() -> Iterator[None]:
     """What is staged inside is deleted at the end, when all that reads it has been written."""
-    _scopes.append([])
+    own: list[DataFrame] = []
+    before = _scopes.set((*_scopes.get(), own))
     try:
         yield
     finally:
-        for df in _scopes.pop():
+        _scopes.reset(before)
+        for df in own:
             discard(df)
 
 
@@ -53,8 +57,8 @@ def stage(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
-    if _scopes and not lasting:
-        _scopes[-1].append(out)
+    if (scopes := _scopes.get()) and not lasting:
+        scopes[-1].append(out)
     return out
 
 
