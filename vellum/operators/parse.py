@@ -11,30 +11,51 @@ from vellum.functions import predicates as B
 KEEP = ["doc_id", "seq", "type", "content", "x0", "y0", "x1", "y1", "page_num", "region"]
 
 
-def parse(lines: DataFrame) -> DataFrame:
+#: Lines from which on a document is long, and elements of a block of running sums.
+LONG, BLOCK = 100_000, 20_000
+
+
+def _dealt(lines: DataFrame, long: int | None) -> DataFrame:
+    """Lines dealt out with ``part``: documents whole, but long ones by their pages, with ``title_at``, their first reference title.
+
+    Long documents are found by a count; as each has ``long`` lines, they are few.
+    """
+    none = F.lit(None).cast("long").alias("title_at")
+    sizes = lines.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") >= long).select("doc_id").collect() if long else []
+    if not sizes:
+        return lines.select("*", F.lit(0).alias("part"), none).repartition("doc_id", "part")
+    few = lines.sparkSession.createDataFrame(sizes, lines.select("doc_id").schema)
+    titles = lines.join(F.broadcast(few), "doc_id").where(B.is_reference_title(B.strip(F.col("content")))).groupBy("doc_id").agg(F.min("line_no").alias("title_at"))
+    # A long document without such a title has none before its end.
+    few = few.join(titles, "doc_id", "left").select("doc_id", F.coalesce("title_at", F.lit((1 << 63) - 1)).alias("title_at"))
+    return lines.join(F.broadcast(few), "doc_id", "left").withColumn("part", F.when(F.col("title_at").isNull(), 0).otherwise(F.coalesce("page_num", F.lit(-1)))).repartition("doc_id", "part")
+
+
+def parse(lines: DataFrame, long: int | None = LONG) -> DataFrame:
     """Elements of lines (doc_id, line_no, page_num, content, size, x0, y0, x1, y1), which are in reading order by line_no.
 
     From a reference title on, lines are references. A caption takes up to two lines after it on its page. Other lines
-    give their citations and then a formula, a title or text.
+    give their citations and then a formula, a title or text. Documents of ``long`` lines and more are many tasks' work, a
+    page being one's.
     """
-    # Lines are dealt by document once, for all windows; what a line is by itself is worked out once, before them.
-    own = lines.repartition("doc_id").withColumn("content", B.strip(F.col("content"))).where("content <> ''")
+    # Lines are dealt out once, for all windows; what a line is by itself is worked out once, before them.
+    own = _dealt(lines, long).withColumn("content", B.strip(F.col("content"))).where("content <> ''")
     c = F.col("content")
     own = own.select("*", B.is_reference_title(c).alias("is_title"), B.caption_like(c).alias("is_caption"), B.heading_like(c).alias("heading"), B.formula_like(c).alias("formula"))
     own = own.withColumn("goes_on", B.goes_on(c, F.col("is_title") | F.col("is_caption") | F.col("heading") | F.col("formula")))
-    order = Window.partitionBy("doc_id").orderBy("line_no")
-    page = Window.partitionBy("doc_id", "page_num").orderBy("line_no")
-    body = F.coalesce(F.median(F.when(F.col("size") > 0, F.col("size"))).over(Window.partitionBy("doc_id", "page_num")), F.lit(10.0))
+    order = Window.partitionBy("doc_id", "part").orderBy("line_no")
+    page = Window.partitionBy("doc_id", "part", "page_num").orderBy("line_no")
+    body = F.coalesce(F.median(F.when(F.col("size") > 0, F.col("size"))).over(Window.partitionBy("doc_id", "part", "page_num")), F.lit(10.0))
     own = own.withColumn("body", body)
-    own = own.withColumn("refs", F.max(F.col("is_title").cast("int")).over(order) == 1)
+    own = own.withColumn("refs", F.when(F.col("title_at").isNull(), F.max(F.col("is_title").cast("int")).over(order) == 1).otherwise(F.col("line_no") >= F.col("title_at")))
     # Lines since the last caption of the page: the first two go on with it while nothing else comes between.
     own = own.withColumn("starts", F.col("is_caption") & ~F.col("is_title"))
     own = own.withColumn("caption", F.sum(F.col("starts").cast("int")).over(page))
-    since = Window.partitionBy("doc_id", "page_num", "caption").orderBy("line_no")
+    since = Window.partitionBy("doc_id", "part", "page_num", "caption").orderBy("line_no")
     own = own.withColumn("nth", F.row_number().over(since))
     unbroken = F.min(F.when(F.col("starts"), 1).otherwise(F.col("goes_on").cast("int"))).over(since) == 1
     own = own.withColumn("joins", (F.col("caption") > 0) & ~F.col("starts") & (F.col("nth") <= 3) & unbroken)
-    group = Window.partitionBy("doc_id", "page_num", "caption")
+    group = Window.partitionBy("doc_id", "part", "page_num", "caption")
     part = F.col("starts") | F.col("joins")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(part, F.struct("line_no", "content"))).over(group)), lambda x: x.content), " ")
     box = [F.min(F.when(part, F.col("x0"))).over(group), F.min(F.when(part, F.col("y0"))).over(group), F.max(F.when(part, F.col("x1"))).over(group), F.max(F.when(part, F.col("y1"))).over(group)]
@@ -56,11 +77,20 @@ def parse(lines: DataFrame) -> DataFrame:
     return rows.select("doc_id", "e.seq", "e.type", "e.content", *[f"e.{n}" for n in box], "page_num", "e.region")
 
 
-def with_offsets(elements: DataFrame) -> DataFrame:
-    """Where each element's text begins and ends in the document's joined text."""
-    before = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("content") + 1).over(before), F.lit(0))
-    return elements.where("content <> ''").withColumn("start", start.cast("long")).withColumn("stop", (F.col("start") + F.length("content")).cast("long"))
+def with_offsets(elements: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Where each element's text begins and ends in the document's joined text.
+
+    Lengths are summed in two steps, so a long document isn't one task's work: over blocks of ``block`` line numbers, and
+    then inside each from the sum of those before it.
+    """
+    own = elements.where("content <> ''").withColumn("_block", F.floor(F.col("seq") / (100 * block)))
+    sums = own.groupBy("doc_id", "_block").agg(F.sum(F.length("content") + 1).alias("_n"))
+    earlier = Window.partitionBy("doc_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col("doc_id").alias("_d"), F.col("_block").alias("_k"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
+    before = Window.partitionBy("doc_id", "_block").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("_base") + F.coalesce(F.sum(F.length("content") + 1).over(before), F.lit(0))
+    placed = own.join(sums, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_block") == F.col("_k"))).withColumn("start", start.cast("long"))
+    return placed.withColumn("stop", (F.col("start") + F.length("content")).cast("long")).drop("_block", "_base", "_d", "_k")
 
 
 #: Characters of a bin are 2 to the power BIN, and each level's bins hold 2 to the power STEP of those below; there are LEVELS.
