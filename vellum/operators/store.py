@@ -66,16 +66,21 @@ def resolve_content(requests: DataFrame, sections: DataFrame, reviews: DataFrame
     """
     r = requests.select("paper_id", "chunk_id", F.regexp_extract("chunk_id", "[0-9]+", 0).try_cast("long").alias("number"))
     s = sections.select(F.col("paper_id").alias("p"), "section_id", "section_name", "content", "section_content")
-    both = r.join(s, r.paper_id == s.p)
-    by_number = F.col("number") == F.col("section_id")
-    by_name = F.col("section_name") == F.col("chunk_id")
-    by_squeezed = F.replace("section_name", F.lit(" "), F.lit("")) == F.replace("chunk_id", F.lit(" "), F.lit(""))
-    ways = [(by_number, "section_content"), (by_number, "content"), (by_name, "content"), (by_squeezed, "content"), (by_name, "section_content"), (by_squeezed, "section_content")]
-    tries = F.array(*[F.when(on & (F.col(c) != ""), F.struct(F.lit(k).alias("way"), F.col("section_id").alias("at"), F.col(c).alias("text"))) for k, (on, c) in enumerate(ways)])
-    found = both.select("paper_id", "chunk_id", F.explode(F.filter(tries, lambda x: x.isNotNull())).alias("x"))
-    v = reviews.select(F.col("paper_id").alias("p"), "review_id", F.col("section_id").alias("s_id"), "review_content")
-    more = r.join(v, (r.paper_id == v.p) & ((F.col("number") == F.col("review_id")) | (F.col("number") == F.col("s_id")))).where("review_content <> ''")
-    found = found.unionByName(more.select("paper_id", "chunk_id", F.struct(F.lit(len(ways)).alias("way"), F.col("review_id").alias("at"), F.col("review_content").alias("text")).alias("x")))
+    squeezed = lambda c: F.replace(c, F.lit(" "), F.lit(""))
+    # Each way to name a section is an equi-join of its own, so a request never meets all sections of its paper.
+    joins = [
+        (F.col("number") == F.col("section_id"), [(0, "section_content"), (1, "content")]),
+        (F.col("section_name") == F.col("chunk_id"), [(2, "content"), (4, "section_content")]),
+        (squeezed("section_name") == squeezed("chunk_id"), [(3, "content"), (5, "section_content")]),
+    ]
+    parts = []
+    for on, ways in joins:
+        tries = F.array(*[F.when(F.col(c) != "", F.struct(F.lit(k).alias("way"), F.col("section_id").alias("at"), F.col(c).alias("text"))) for k, c in ways])
+        parts.append(r.join(s, (F.col("paper_id") == F.col("p")) & on).select("paper_id", "chunk_id", F.explode(F.filter(tries, lambda x: x.isNotNull())).alias("x")))
+    v = reviews.where("review_content <> ''").select(F.col("paper_id").alias("p"), "review_id", F.col("section_id").alias("s_id"), "review_content")
+    for on in (F.col("number") == F.col("review_id"), F.col("number") == F.col("s_id")):
+        parts.append(r.join(v, (F.col("paper_id") == F.col("p")) & on).select("paper_id", "chunk_id", F.struct(F.lit(6).alias("way"), F.col("review_id").alias("at"), F.col("review_content").alias("text")).alias("x")))
+    found = reduce(DataFrame.unionByName, parts)
     return found.groupBy("paper_id", "chunk_id").agg(F.min("x").alias("x")).select("paper_id", "chunk_id", F.col("x.text").alias("content"))
 
 

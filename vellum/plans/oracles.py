@@ -326,6 +326,7 @@ ORACLES: dict[str, str] = {
     "content_fallback": "SELECT CAST(o_custkey AS VARCHAR) AS paper_id, CAST(o_orderkey AS VARCHAR) AS chunk_id, content FROM (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'body ' || o_orderkey WHEN o_orderkey % 3 = 1 THEN 'text ' || o_orderkey WHEN o_orderkey % 5 = 0 THEN 'review ' || o_orderkey END AS content FROM orders) WHERE content IS NOT NULL",
     "latest_task": "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1",
     "upsert_merge": "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'changed' ELSE c_mktsegment END AS c_mktsegment, c_nationkey FROM customer UNION ALL SELECT -c_custkey, 'new', -1 FROM customer WHERE c_custkey % 10 = 1",
+    "bucketed_upsert": "SELECT c_custkey, CASE WHEN c_custkey % 6 = 0 THEN 'second' WHEN c_custkey % 4 = 0 THEN 'first' ELSE c_mktsegment END AS c_mktsegment, c_nationkey, c_acctbal FROM customer UNION ALL SELECT -c_custkey, 'new', NULL, NULL FROM customer WHERE c_custkey % 10 = 1",
     "rule_overlay": "SELECT CAST(coalesce(a.n_nationkey, b.k) AS VARCHAR) AS rule_id, coalesce(b.content, a.n_name) AS content, CASE WHEN b.k IS NULL THEN 'yaml' ELSE 'db' END AS source FROM nation a FULL JOIN (SELECT n_nationkey + 5 AS k, 'db ' || n_name AS content FROM nation WHERE n_nationkey % 2 = 0) b ON a.n_nationkey = b.k",
     "ground_truth_upsert": "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(b.severity, a.severity) AS severity, coalesce(CASE WHEN b.message <> '' THEN b.message END, a.message) AS message FROM (SELECT doc_id, 'Info' AS severity, 'old ' || lang AS message FROM documents) a FULL JOIN (SELECT doc_id + 10 AS doc_id, 'Warning' AS severity, CASE WHEN toxic = 1 THEN 'toxic' ELSE '' END AS message FROM labels) b ON a.doc_id = b.doc_id",
     "seed_rules": "SELECT count(*) FILTER (WHERE NOT there) AS inserted, 0::BIGINT AS updated, count(*) FILTER (WHERE there) AS skipped FROM (SELECT n_nationkey + 10 IN (SELECT n_nationkey FROM nation) AS there FROM nation)",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import copy
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,10 +14,10 @@ from vellum import schemas
 from vellum.config import RULES
 from vellum.functions import patterns as P
 from vellum.functions import predicates as B
-from vellum.operators import charts, citations, issues, parse, service, spans, store, structure, terms, text, vectors
+from vellum.operators import bucketed, charts, citations, issues, parse, service, spans, store, structure, terms, text, vectors
 from vellum.plans import audit
 from vellum.sources import documents as D
-from vellum.storage import spread, stage
+from vellum.storage import shared_root, spread, stage
 from vellum.streaming.audit_stream import windowed_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -345,6 +346,21 @@ def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.upsert(target, changes.unionByName(more), ["c_custkey"]).fillna(-1, ["c_nationkey"])
 
 
+@query
+def bucketed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches of changes of a stored table, the first of which comes again after the second."""
+    target = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey", "c_acctbal")
+    kept = bucketed.Bucketed(f"{shared_root(spark)}/vellum-{uuid.uuid4().hex}/customer", ["c_custkey"], 16)
+    kept.create(target)
+    first = target.where("c_custkey % 4 = 0").select("c_custkey", F.lit("first").alias("c_mktsegment"))
+    second = target.where("c_custkey % 6 = 0").select("c_custkey", F.lit("second").alias("c_mktsegment"))
+    new = target.where("c_custkey % 10 = 1").select((-F.col("c_custkey")).alias("c_custkey"), F.lit("new").alias("c_mktsegment"))
+    kept.upsert(first.unionByName(new), 1)
+    kept.upsert(second, 2)
+    kept.upsert(first.unionByName(new), 1)
+    return kept.read(spark)
+
+
 @query
 def rule_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation")
