@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from vellum.storage import discard, stage
 
@@ -16,12 +17,14 @@ BUCKET, BATCH = "_bucket", "_batch"
 class Bucketed:
     """Parquet files in the shared folder ``path``, a partition for each hash of ``keys`` modulo ``buckets``.
 
-    Choose so many buckets that one is some hundred megabytes: it is what a task rewrites.
+    Choose so many buckets that one is some hundred megabytes: it is what a task rewrites. A table that begins without rows
+    needs a ``schema``.
     """
 
     path: str
     keys: list[str] = field(default_factory=list)
     buckets: int = 64
+    schema: StructType | None = None
 
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
@@ -34,8 +37,13 @@ class Bucketed:
         placed = rows.withColumn(BUCKET, self._bucket()).repartition(BUCKET)
         placed.write.mode(mode).option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(BUCKET).parquet(self.path)
 
+    def _stored(self, spark: SparkSession) -> DataFrame:
+        if self.schema is None:
+            return spark.read.parquet(self.path)
+        return spark.read.schema(StructType([*self.schema.fields, StructField(BATCH, LongType()), StructField(BUCKET, IntegerType())])).parquet(self.path)
+
     def read(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(self.path).drop(BUCKET, BATCH)
+        return self._stored(spark).drop(BUCKET, BATCH)
 
     def upsert(self, changes: DataFrame, batch: int, fill: bool = False) -> dict[str, int]:
         """Put ``changes`` (one row a key, null equals null) in place of the rows of their keys, or beside them where there are none.
@@ -51,7 +59,7 @@ class Bucketed:
         if not touched:
             discard(own)
             return {"inserted": 0, "updated": 0, "skipped": 0, "buckets": 0}
-        target = spark.read.parquet(self.path)
+        target = self._stored(spark)
         kinds, columns = dict(target.dtypes), [c for c in target.columns if c not in (BUCKET, BATCH)]
         named = own.select(*[F.col(c).alias(f"_c_{c}") for c in own.columns], F.lit(True).alias("_new"))
         on = F.col(BUCKET) == F.col(f"_c_{BUCKET}")
