@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from typing import Any
 
+from pyspark.sql import DataFrame
+
 # The defaults of every rule that something reads.
 RULES: dict[str, dict[str, Any]] = {
     "typo_check": {"max_typos_total_warning": 10, "critical_keywords": ["TensorFlow", "Pydantic"]},
@@ -37,3 +39,29 @@ def load_rules(text: str | None) -> dict[str, Any]:
     except yaml.YAMLError:
         given = {}
     return overlay(RULES, given) if isinstance(given, dict) else RULES
+
+
+#: Rules of a stored table that are read at once; they are configuration.
+STORED = 10_000
+
+
+def stored_rules(rows: DataFrame, base: dict[str, Any] | None = None) -> dict[str, Any]:
+    """Rules of a stored table (rule_id, content: YAML or JSON) over ``base``: a stored section replaces the whole of it.
+
+    Sections whose content can't be read, or isn't a section where ``base`` has one, change nothing.
+    """
+    import yaml
+
+    base = RULES if base is None else base
+    found = rows.select("rule_id", "content").where("rule_id is not null and content is not null").limit(STORED + 1).collect()
+    if len(found) > STORED:
+        raise ValueError(f"more than {STORED} stored rules")
+    over = {}
+    for rule_id, content in sorted(map(tuple, found)):
+        try:
+            section = yaml.safe_load(content)
+        except yaml.YAMLError:
+            continue
+        if section is not None and isinstance(section, dict) >= isinstance(base.get(rule_id), dict):
+            over[rule_id] = section
+    return overlay(base, over)

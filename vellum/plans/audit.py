@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from contextvars import copy_context
-from functools import partial
+from functools import partial, reduce
 from typing import Any
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.config import RULES
+from vellum.config import RULES, stored_rules
 from vellum.operators import charts, citations, issues, service, store, structure, terms, text
 from vellum.operators.marks import marked
 from vellum.operators.parse import document_pages, document_text, pages_at, parse, place_issues, with_offsets
@@ -60,7 +60,7 @@ def find_issues(elements: DataFrame, rules: dict[str, Any] | None = None, checks
 
     def work(check: Check) -> Callable[[], DataFrame]:
         # Each job runs in its caller's scope, and with its caller's job group and properties, of which it has a copy.
-        return partial(copy_context().run, inheritable_thread_target(lambda: stage(check(elements, rules), check.__name__)))
+        return partial(copy_context().run, inheritable_thread_target(elements.sparkSession)(lambda: stage(check(elements, rules), check.__name__)))
 
     with ThreadPoolExecutor(AT_A_TIME) as pool:
         parts = [f.result() for f in [pool.submit(work(check)) for check in used]]
@@ -81,8 +81,37 @@ def results(found: DataFrame, docs: DataFrame, rules: dict[str, Any] | None = No
     return out.select("doc_id", total.alias("n_issues"), "n_critical", "n_warning", "n_info", "score", "audit_level", F.coalesce("tags", F.lit("")).alias("tags"))
 
 
-def audit(lines: DataFrame, rules: dict[str, Any] | None = None, checks: list[Check] | None = None, model: Model | None = None) -> DataFrame:
-    return results(find_issues(parse(lines), rules, checks, model), lines, rules)
+def elements_of(lines: DataFrame, rects: DataFrame | None = None) -> DataFrame:
+    """Elements of placed lines; drawings of pages (``rects`` as in ``charts.drawing_regions``) with captions but no images are images."""
+    own = parse(lines)
+    return own if rects is None else charts.drawn_images(stage(own, "parsed"), rects)
+
+
+def audit(lines: DataFrame, rules: dict[str, Any] | None = None, checks: list[Check] | None = None, model: Model | None = None, rects: DataFrame | None = None) -> DataFrame:
+    return results(find_issues(elements_of(lines, rects), rules, checks, model), lines, rules)
+
+
+#: Versions of rules that one run may use.
+VERSIONS = 100
+
+
+def audit_versions(lines: DataFrame, chosen: DataFrame, stored: DataFrame, base: dict[str, Any] | None = None, checks: list[Check] | None = None, model: Model | None = None) -> DataFrame:
+    """Results with ``version``: each document is audited with the version of the rules that ``chosen`` (doc_id, version) has for it.
+
+    stored: (version, rule_id, content), sections over ``base``. Documents without a version, or with one that isn't stored,
+    are audited with ``base``, and keep the version they have.
+    """
+    base = RULES if base is None else base
+    named = sorted(r[0] for r in chosen.where("version is not null").select("version").distinct().limit(VERSIONS + 1).collect())
+    if len(named) > VERSIONS:
+        raise ValueError(f"more than {VERSIONS} versions of rules")
+    own = stage(lines.join(chosen.select("doc_id", "version"), "doc_id", "left"), "versions")
+    parts = []
+    for version in [None, *named]:
+        some = own.where(F.col("version").eqNullSafe(F.lit(version))).drop("version")
+        rules = base if version is None else stored_rules(stored.where(F.col("version") == version), base)
+        parts.append(audit(some, rules, checks, model).withColumn("version", F.lit(version).cast(chosen.schema["version"].dataType)))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def answer(docs: DataFrame, lines: DataFrame, experts: DataFrame, rules: dict[str, Any] | None = None, model: Model | None = None) -> DataFrame:

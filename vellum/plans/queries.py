@@ -458,6 +458,24 @@ def drawn_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return charts.drawn_images(elements(spark, sf_dir), rects).where("type = 'image'").select("doc_id", "page_num", "x0", "y0", "x1", "y1")
 
 
+@query
+def audit_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole audit of lines whose pages also have drawings."""
+    rows = lines(spark, sf_dir)
+    rects = rows.select("doc_id", "page_num", F.lit(600.0).alias("width"), F.lit(800.0).alias("height"), (F.col("x0") + F.col("h") * 7).alias("x0"), "y0", "x1", (F.col("y1") + F.col("h") * 6).alias("y1"))
+    return audit.audit(rows, RULES_HERE, rects=rects)
+
+
+@query
+def audit_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of each language but one audited with stored rules of their own."""
+    docs = table(spark, sf_dir, "documents")
+    chosen = docs.select("doc_id", F.when(F.col("lang") != "en", F.col("lang")).alias("version"))
+    weights = [(lang, "score_weights", json.dumps({"critical": 1.0 + k, "warning": 0.5, "info": 0.1 * k})) for k, lang in enumerate(("de", "fr", "es"))]
+    stored = spark.createDataFrame([*weights, ("de", "citation_check", json.dumps({**RULES["citation_check"], "enforce_style": False}))], "version string, rule_id string, content string")
+    return audit.audit_versions(lines(spark, sf_dir), chosen, stored, RULES_HERE)
+
+
 @query
 def captioned_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One caption and three regions on every third page: which region it takes."""

@@ -15,15 +15,16 @@ from vellum.sources.documents import placed_lines
 from vellum.storage import scope
 
 
-def start(spark: SparkSession, source: str, schema: str, sink: str, checkpoint: str, rules: dict[str, Any] | None = None, checks: list[Check] | None = None, lines: Callable[[DataFrame], DataFrame] = placed_lines) -> StreamingQuery:
+def start(spark: SparkSession, source: str, schema: str, sink: str, checkpoint: str, rules: dict[str, Any] | Callable[[], dict[str, Any]] | None = None, checks: list[Check] | None = None, lines: Callable[[DataFrame], DataFrame] = placed_lines) -> StreamingQuery:
     """Audits the Parquet files that come into ``source`` and appends results, with their batch, to ``sink``.
 
-    ``lines`` makes placed lines of a batch's documents. What a batch stages is deleted once its results are written.
+    ``lines`` makes placed lines of a batch's documents. Rules that are a function are asked for by every batch, so a stored
+    table of them (``config.stored_rules``) is read anew. What a batch stages is deleted once its results are written.
     """
 
     def each(batch: DataFrame, number: int) -> None:
         with scope():
-            done = audit(lines(batch), rules, checks).withColumn("batch", F.lit(number).cast("long"))
+            done = audit(lines(batch), rules() if callable(rules) else rules, checks).withColumn("batch", F.lit(number).cast("long"))
             # A batch that is run again writes the same folder again.
             done.write.mode("overwrite").parquet(f"{sink}/batch_no={number:012d}")
 
