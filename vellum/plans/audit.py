@@ -60,7 +60,10 @@ def find_issues(elements: DataFrame, rules: dict[str, Any] | None = None, checks
 
     def work(check: Check) -> Callable[[], DataFrame]:
         # Each job runs in its caller's scope, and with its caller's job group and properties, of which it has a copy.
-        return partial(copy_context().run, inheritable_thread_target(elements.sparkSession)(lambda: stage(check(elements, rules), check.__name__)))
+        inherit = inheritable_thread_target(elements.sparkSession)
+        run = lambda: stage(check(elements, rules), check.__name__)
+        # Where threads aren't pinned to those of the JVM there is nothing to inherit, and no wrapper.
+        return partial(copy_context().run, inherit(run) if callable(inherit) else run)
 
     with ThreadPoolExecutor(AT_A_TIME) as pool:
         parts = [f.result() for f in [pool.submit(work(check)) for check in used]]
