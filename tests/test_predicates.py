@@ -53,3 +53,9 @@ def test_pdf(spark):
     import base64
 
     assert ask(spark, B.is_pdf_base64, [base64.b64encode(b"%PDF-1.4 x").decode(), base64.b64encode(b"text").decode(), "not a pdf"]) == [True, False, False]
+
+
+def test_terms_are_quoted(spark):
+    found = lambda text, term: spark.range(1).select(B.term_found(F.lit(text), term)).first()[0]
+    assert found(r"a x\Ey b", r"x\Ey") and not found("a xEy b", r"x\Ey") and not found("xy", r"x\Ey")
+    assert found("see C.N net", "c.n") and not found("see CxN net", "c.n") and not found("cats", "cat") and found("一图", "图") and not found("x", "")

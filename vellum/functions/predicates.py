@@ -260,7 +260,8 @@ def term_found(c: Column, term: str) -> Column:
     if not term:
         return F.lit(False)
     if any("a" <= x.lower() <= "z" for x in term):
-        return has(c, r"(?iU)\b\Q" + term + r"\E\b")
+        # What ends a quotation is quoted by itself.
+        return has(c, r"(?iU)\b\Q" + term.replace(r"\E", r"\E\\E\Q") + r"\E\b")
     return F.contains(c, F.lit(term))
 
 
