@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -280,9 +284,30 @@ def truncate(c: Column, most: int = 120) -> Column:
     return F.when(F.length(flat) > most, F.concat(F.substring(flat, 1, most - 1), F.lit("…"))).otherwise(flat)
 
 
+def _above(tie: Fraction) -> float:
+    """The least double that is rounded up from ``tie``, halfway between two tenths; a true half goes to the even one."""
+    x = float(tie)
+    if Fraction(x) == tie:
+        return x if int(tie * 10) % 2 else math.nextafter(x, 1)
+    return x if Fraction(x) > tie else math.nextafter(x, 1)
+
+
+_TIES = [_above(Fraction(2 * k + 1, 20)) for k in range(10)]
+
+
+def tenths(x: Column) -> Column:
+    """A number rounded to one decimal, as text. What counts is its exact binary value, as in C, and not its shortest decimal one."""
+    size = F.abs(x.cast("double"))
+    # What is left of a double without its whole part is exact.
+    rest = size - F.floor(size)
+    n = F.floor(size) * 10 + reduce(Column.__add__, [(rest >= t).cast("int") for t in _TIES])
+    return F.concat(F.when(x < 0, "-").otherwise(""), F.floor(n / 10).cast("string"), F.lit("."), (n % 10).cast("string"))
+
+
 def format_box(box: Column) -> Column:
     """[x0, y0, x1, y1] with one decimal, empty for what isn't four numbers."""
-    return F.when(F.size(box) == 4, F.format_string("[%.1f, %.1f, %.1f, %.1f]", *[box[k] for k in range(4)])).otherwise("")
+    said = F.concat(F.lit("["), F.concat_ws(", ", *[tenths(box[k]) for k in range(4)]), F.lit("]"))
+    return F.when(F.size(box) == 4, said).otherwise("")
 
 
 def mask_url(c: Column) -> Column:

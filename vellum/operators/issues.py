@@ -34,7 +34,7 @@ def dedupe(issues: DataFrame) -> DataFrame:
     """The first of issues that agree in document, type, severity, page, message, evidence and box to a tenth."""
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
     page = F.coalesce(F.when(F.col("page") != "", F.col("page")), F.lit("?"))
-    box = F.when(F.col("x0").isNotNull(), F.concat_ws(",", *[F.bround(b, 1).cast("string") for b in BOX]))
+    box = F.when(F.col("x0").isNotNull(), F.concat_ws(",", *[B.tenths(F.col(b)) for b in BOX]))
     key = Window.partitionBy("doc_id", blank("issue_type"), blank("severity"), page, blank("message"), blank("evidence"), box).orderBy("seq")
     return issues.withColumn("_n", F.row_number().over(key)).where("_n = 1").drop("_n")
 

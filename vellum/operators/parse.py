@@ -139,18 +139,20 @@ def _bins(level: int) -> Column:
 
 
 def document_pages(docs: DataFrame, elements: DataFrame) -> DataFrame:
-    """(doc_id, pages): the range of pages of each of ``docs`` (doc_id, and if known selected: array<int>, page_count: int).
+    """(doc_id, pages): the range of pages of each of ``docs`` (doc_id, and if known selected: array<int>, page_count: int, page_list: array<int>).
 
-    By its elements, else by the pages selected, else by the number of pages; N/A where nothing tells.
+    By its elements, else by the pages selected, else by the number of pages, else by the pages listed; N/A where nothing tells.
     """
     have = dict(docs.dtypes)
-    chosen = F.filter("selected", lambda p: p > 0) if "selected" in have else F.array().cast("array<int>")
+    positive = lambda c: F.filter(c, lambda p: p > 0) if c in have else F.array().cast("array<int>")
+    chosen, listed = positive("selected"), positive("page_list")
     count = F.col("page_count") if "page_count" in have else F.lit(None).cast("int")
     own = elements.groupBy("doc_id").agg(F.min("page_num").alias("low"), F.max("page_num").alias("high"))
-    rows = docs.select("doc_id", chosen.alias("chosen"), count.alias("count")).join(own, "doc_id", "left")
+    rows = docs.select("doc_id", chosen.alias("chosen"), count.alias("count"), listed.alias("listed")).join(own, "doc_id", "left")
     span = lambda a, b: F.when(a == b, a.cast("string")).otherwise(F.concat(a.cast("string"), F.lit("-"), b.cast("string")))
     by_elements = F.when(F.col("low") > 0, span(F.col("low"), F.col("high"))).otherwise("N/A")
-    said = F.when(F.col("low").isNotNull(), by_elements).when(F.size("chosen") > 0, span(F.array_min("chosen"), F.array_max("chosen"))).when(F.col("count") > 0, span(F.lit(1), F.col("count")))
+    among = lambda c: span(F.array_min(c), F.array_max(c))
+    said = F.when(F.col("low").isNotNull(), by_elements).when(F.size("chosen") > 0, among("chosen")).when(F.col("count") > 0, span(F.lit(1), F.col("count"))).when(F.size("listed") > 0, among("listed"))
     return rows.select("doc_id", F.coalesce(said, F.lit("N/A")).alias("pages"))
 
 
@@ -178,10 +180,14 @@ def parse_report(lines: DataFrame) -> DataFrame:
     return stats.groupBy("doc_id").agg(F.count("*").alias("pages"), n("scanned").alias("scanned_pages"), n("several").alias("multi_column_pages"))
 
 
+# Fixed value: width and height of a page whose lines have no boxes.
+PAGE_SIZE = (595.0, 842.0)
+
+
 def page_stats(lines: DataFrame) -> DataFrame:
-    """For each page: lines, characters, whether it counts as scanned, and its extents."""
+    """For each page: lines, characters, whether it counts as scanned, and its extents, which are those of a sheet if it has no boxes."""
     text = F.regexp_replace(F.array_join(F.collect_list(F.regexp_replace("content", f"^{P.S}+|{P.S}+$", "")), ""), f"^{P.S}+|{P.S}+$", "")
-    return lines.groupBy("doc_id", "page_num").agg(F.count("*").alias("n_lines"), F.length(text).cast("long").alias("n_chars"), (F.length(text) < 10).alias("scanned"), F.max("x1").alias("max_x"), F.max("y1").alias("max_y"))
+    return lines.groupBy("doc_id", "page_num").agg(F.count("*").alias("n_lines"), F.length(text).cast("long").alias("n_chars"), (F.length(text) < 10).alias("scanned"), *[F.coalesce(F.max(c), F.lit(d)).alias(n) for c, n, d in zip(("x1", "y1"), ("max_x", "max_y"), PAGE_SIZE)])
 
 
 def document_text(elements: DataFrame) -> DataFrame:

@@ -97,7 +97,7 @@ def key_columns(rows: DataFrame, keep: list[str] | None = None) -> DataFrame:
     said = F.trim(F.coalesce("page", F.lit("")))
     page = F.when(said != "", F.coalesce(said.try_cast("int").cast("string"), F.col("page")))
     text = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
-    box = F.when(F.size("bbox") == 4, F.array_join(F.transform("bbox", lambda x: F.bround(x, 1).cast("string")), ","))
+    box = F.when(F.size("bbox") == 4, F.array_join(F.transform("bbox", B.tenths), ","))
     return rows.select(*(keep or []), text("issue_type").alias("issue_type"), text("severity").alias("severity"), page.alias("page"), F.lower(text("evidence")).alias("evidence"), F.lower(text("message")).alias("message"), box.alias("box")).distinct()
 
 
@@ -215,31 +215,6 @@ def report(issues: DataFrame, scores: DataFrame) -> DataFrame:
     return head.unionByName(by_type).unionByName(rows).select("doc_id", F.row_number().over(order).cast("long").alias("line_no"), "line")
 
 
-def deductions(issues: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line): the details of a document's issues in Markdown: layout, then meaning, each by type in order."""
-    layout = F.col("issue_type").isin("Label_Missing", "Formula_Missing", "Formula_Ref_Missing", "Formula_Misaligned", "Hierarchy_Fault", "Citation_Visual_Fault")
-    own = issues.withColumn("part", F.when(layout, 1).otherwise(2))
-    kind = Window.partitionBy("doc_id", "part", "issue_type")
-    own = own.withColumn("at", F.min("seq").over(kind)).withColumn("nth", F.row_number().over(kind.orderBy("seq"))).withColumn("many", F.count("*").over(kind))
-    where = B.format_box(F.array("x0", "y0", "x1", "y1"))
-    evidence = B.strip(F.regexp_replace(F.coalesce("evidence", F.lit("")), r"\s+", " "))
-    said = F.when(F.length(evidence) <= 120, F.concat(F.lit("- **证据**: `"), evidence, F.lit("`"))).otherwise(F.concat(F.lit("- **证据**:\n\n```\n"), evidence, F.lit("\n```")))
-    lines = F.array(
-        F.when(F.col("nth") == 1, F.concat(F.lit("### "), "issue_type", F.lit(" ("), F.col("many").cast("string"), F.lit(" 个问题)"))),
-        F.concat(F.lit("#### "), F.col("nth").cast("string"), F.lit(". [Page "), F.coalesce("page", F.lit("?")), F.lit("] "), F.coalesce("message", F.lit("无描述"))),
-        F.concat(F.lit("- **严重程度**: "), F.coalesce("severity", F.lit("Info"))),
-        F.when(F.col("x0").isNotNull(), F.concat(F.lit("- **BBox**: "), where)),
-        F.when(evidence != "", said),
-    )
-    body = own.select("doc_id", "part", "at", "issue_type", "nth", F.posexplode(F.filter(lines, lambda x: x.isNotNull())).alias("n", "line"))
-    heads = ((0, "# 论文格式审计扣分细则"), (1, "## 1. 视觉布局分析 (CV Layout Analysis)"), (2, "## 2. 语义内容分析 (LLM Semantic Analysis)"))
-    found = own.groupBy("doc_id").agg(F.max((F.col("part") == 1).cast("int")).alias("one"), F.max((F.col("part") == 2).cast("int")).alias("two"))
-    frame = docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.explode(F.when(F.col("one").isNull(), F.array(*[F.struct(F.lit(k).alias("part"), F.lit(-1).alias("n"), F.lit(x).alias("line")) for k, x in (heads[0], (1, "恭喜！未发现明显的格式问题。"))])).otherwise(F.filter(F.array(*[F.struct(F.lit(k).alias("part"), F.lit(n).alias("n"), F.when(when, F.lit(x)).alias("line")) for k, n, x, when in ((0, -2, heads[0][1], F.lit(True)), (1, -2, heads[1][1], F.lit(True)), (1, -1, "未发现布局问题。", F.col("one") == 0), (2, -2, heads[2][1], F.lit(True)), (2, -1, "未发现语义问题。", F.col("two") == 0))]), lambda x: x.line.isNotNull()))).alias("x"))
-    frame = frame.select("doc_id", "x.part", F.lit(-1).cast("long").alias("at"), F.lit("").alias("issue_type"), F.lit(0).alias("nth"), "x.n", "x.line")
-    order = Window.partitionBy("doc_id").orderBy("part", "at", "issue_type", "nth", "n")
-    return frame.unionByName(body).select("doc_id", F.row_number().over(order).cast("long").alias("line_no"), "line")
-
-
 def json_reports(issues: DataFrame, scores: DataFrame) -> DataFrame:
     """(doc_id, report): score and issues as one JSON text, for ``write.text``."""
     row = F.struct("issue_type", "severity", F.col("page").alias("page_num"), F.when(F.col("x0").isNotNull(), F.array("x0", "y0", "x1", "y1")).alias("bbox"), "evidence", "message")

@@ -45,10 +45,10 @@ def model_scan(elements: DataFrame, model: Model, rules: dict[str, Any] | None =
     )
 
 
-def find_issues(elements: DataFrame, rules: dict[str, Any] | None = None, checks: list[Check] | None = None, model: Model | None = None) -> DataFrame:
+def find_issues(elements: DataFrame, rules: dict[str, Any] | None = None, checks: list[Check] | None = None, model: Model | None = None, docs: DataFrame | None = None) -> DataFrame:
     """Deduplicated issues of all checks, in the order of the checks, then those of a language model if there is one.
 
-    An issue without a page gets its document's range. Elements are read by every check and issues by counts and tags, so
+    An issue without a page gets its document's range, for which ``docs`` may tell more (as in ``document_pages``). Elements are read by every check and issues by counts and tags, so
     both are staged in the shared folder, which also keeps the plan of each step small.
     """
     rules = rules or RULES
@@ -71,7 +71,7 @@ def find_issues(elements: DataFrame, rules: dict[str, Any] | None = None, checks
     if model is not None:
         parts.append(model_scan(elements, model, rules))
     found = issues.dedupe(issues.union(parts))
-    pages = document_pages(elements.select("doc_id").distinct(), elements)
+    pages = document_pages(elements.select("doc_id").distinct() if docs is None else docs, elements)
     return stage(place_issues(found, pages), "issues")
 
 

@@ -68,13 +68,17 @@ def likely(c: str, region: str = "region") -> str:
 
 LINES = r"""raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM documents),
 plain AS (SELECT doc_id, line_no, CAST((line_no - 1) // 8 + 1 AS INTEGER) AS page_num, line, CAST((doc_id * 31 + line_no * 17) % 13 AS INTEGER) AS h, (line_no - 1) % 8 AS slot FROM raw),
-lines AS (SELECT doc_id, line_no, page_num, h, CASE h
-  WHEN 0 THEN (1 + line_no % 4) || '.' || (1 + doc_id % 5) || ' ' || substr(line, 1, 30) WHEN 1 THEN 'Figure ' || (1 + line_no % 6) || ' ' || substr(line, 1, 40)
-  WHEN 2 THEN line || ' [' || (1 + doc_id % 9) || ', ' || (1 + line_no % 12) || ']' WHEN 3 THEN line || ' (Smith, ' || (1990 + doc_id % 30) || ')'
-  WHEN 4 THEN '[' || (1 + line_no % 10) || '] ' || substr(line, 1, 50) || ' vol. 3' WHEN 5 THEN 'x_' || line_no || ' = y^2 (' || (1 + line_no % 7) || ')'
+marked AS (SELECT *, CASE WHEN h = 0 THEN (1 + line_no % 4) || '.' || (1 + doc_id % 5) || ' Part ' || line_no WHEN h = 1 THEN 'Figure ' || (1 + line_no % 6) || ' What part ' || line_no || ' shows'
+  WHEN h = 5 THEN 'x_' || line_no || ' = y^2 (' || (1 + line_no % 7) || ')' WHEN h = 10 AND line_no % 3 = 0 THEN 'References' END AS mark, CASE h
+  WHEN 2 THEN line || ' [' || (1 + doc_id % 9) || ', ' || (1 + line_no % 12) || ']' WHEN 3 THEN line || ' (Smith, ' || (1990 + doc_id % 30) || ')' WHEN 4 THEN '[' || (1 + line_no % 10) || '] ' || line || ' vol. 3'
   WHEN 6 THEN line || ' see Figure ' || (1 + line_no % 9) WHEN 7 THEN line || ' TensorFlw and deep-learning' WHEN 8 THEN line || ' as noted.[' || (1 + doc_id % 5) || ']'
-  WHEN 9 THEN line || ' from Eq. (' || (1 + line_no % 9) || ')' WHEN 10 THEN CASE WHEN line_no % 3 = 0 THEN 'References' ELSE line END ELSE line END AS content,
-  CASE WHEN h = 0 THEN 14.0 ELSE 10.0 END::DOUBLE AS size, (72 + h % 3 * 10)::DOUBLE AS x0, (80 + slot * 80)::DOUBLE AS y0, (272 + h % 3 * 10 + h * 20)::DOUBLE AS x1, (92 + slot * 80)::DOUBLE AS y1 FROM plain)"""
+  WHEN 9 THEN line || ' from Eq. (' || (1 + line_no % 9) || ')' ELSE line END AS body FROM plain),
+both_ AS (SELECT *, 0 AS nth, coalesce(mark, body) AS content FROM marked UNION ALL SELECT *, 1, body FROM marked WHERE mark IS NOT NULL),
+lines AS (SELECT doc_id, line_no * 2 + nth AS line_no, page_num, h, content, CASE WHEN h = 0 AND nth = 0 THEN 14.0 ELSE 10.0 END::DOUBLE AS size,
+  (72 + h % 3 * 10)::DOUBLE AS x0, (80 + slot * 80 + nth * 20)::DOUBLE AS y0, (272 + h % 3 * 10 + h * 20)::DOUBLE AS x1, (92 + slot * 80 + nth * 20)::DOUBLE AS y1 FROM both_)"""
+
+#: Lines of the pages asked for of payloads that can be read.
+ASKED_LINES = LINES.removesuffix(")") + "\n WHERE doc_id % 5 < 3 AND (doc_id % 3 = 0 OR page_num IN (1, doc_id % 4 + 1)))"
 
 _cites = f"list_concat(CASE WHEN {has('c', P.CITATION_CODE)} THEN [] ELSE list_filter({every('c', P.CITATION_GROUP)}, lambda x: len(list_filter(string_split(regexp_replace({squeeze('x')}, '[\\[\\]]', '', 'g'), ','), lambda n: NOT coalesce(TRY_CAST(n AS BIGINT) BETWEEN 1 AND 999, false))) = 0) END, {every('c', P.CITATION_AUTHOR)})"
 
@@ -94,8 +98,10 @@ elements AS (SELECT doc_id, line_no * 100 + 99 AS seq, CASE WHEN is_title OR sta
 ELEMENTS = f"{LINES},\n{PARSED}"
 #: Lines of which every third is a heading.
 HEADING_LINES = """raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM documents),
-lines AS (SELECT doc_id, line_no, CAST((line_no - 1) // 8 + 1 AS INTEGER) AS page_num, CASE line_no % 15 WHEN 0 THEN top || ' Alpha' WHEN 3 THEN top || '.' || sub || ' Beta' WHEN 6 THEN top || '.' || sub || '.2.1 Gamma' WHEN 9 THEN top || '.' || sub || ' Beta' WHEN 12 THEN top || '.1.1.1.1 Delta' ELSE line END AS content,
-  CASE WHEN line_no % 3 = 0 THEN 14.0 ELSE 10.0 END::DOUBLE AS size, 72.0::DOUBLE AS x0, (80 + (line_no - 1) % 8 * 80)::DOUBLE AS y0, 272.0::DOUBLE AS x1, (92 + (line_no - 1) % 8 * 80)::DOUBLE AS y1 FROM (SELECT *, CAST(1 + line_no // 15 % 3 AS VARCHAR) AS top, CAST(1 + doc_id % 2 AS VARCHAR) AS sub FROM raw))"""
+marked AS (SELECT *, CASE line_no % 15 WHEN 0 THEN top || ' Alpha' WHEN 3 THEN top || '.' || sub || ' Beta' WHEN 6 THEN top || '.' || sub || '.2.1 Gamma' WHEN 9 THEN top || '.' || sub || ' Beta' WHEN 12 THEN top || '.1.1.1.1 Delta' END AS mark FROM (SELECT *, CAST(1 + line_no // 15 % 3 AS VARCHAR) AS top, CAST(1 + doc_id % 2 AS VARCHAR) AS sub FROM raw)),
+both_ AS (SELECT *, 0 AS nth, coalesce(mark, line) AS content FROM marked UNION ALL SELECT *, 1, line FROM marked WHERE mark IS NOT NULL),
+lines AS (SELECT doc_id, line_no * 2 + nth AS line_no, CAST((line_no - 1) // 8 + 1 AS INTEGER) AS page_num, content, CASE WHEN mark IS NOT NULL AND nth = 0 THEN 14.0 ELSE 10.0 END::DOUBLE AS size,
+  72.0::DOUBLE AS x0, (80 + (line_no - 1) % 8 * 80 + nth * 20)::DOUBLE AS y0, 272.0::DOUBLE AS x1, (92 + (line_no - 1) % 8 * 80 + nth * 20)::DOUBLE AS y1 FROM both_)"""
 
 NUMERIC = f"(?:^|[^\\p{{L}}\\p{{N}}_\\]]){P.CITATION_GROUP}"
 _numeric = f"list_filter({every('content', NUMERIC, 1)}, lambda x: len(list_filter(string_split({squeeze('x')}, ','), lambda n: n <> '0')) > 0 AND len(list_filter(string_split({squeeze('x')}, ','), lambda n: n <> '0' AND coalesce(TRY_CAST(n AS BIGINT), 1000) >= 1000)) = 0)"
@@ -222,7 +228,7 @@ ml AS (SELECT * FROM mm WHERE NOT {likely('c')} AND region NOT IN ('chart', 'for
 mh AS (SELECT *, n + 2 AS a, n + 4 AS b, '中文文本使用了英文标点' AS message FROM ml WHERE zh / greatest(zh + la + di, 1) >= 0.5
   UNION ALL SELECT *, n - length(tail), n + 1, '英文文本使用了中文标点' FROM ml WHERE la >= 5 AND la / greatest(zh + la + di, 1) >= 0.8 AND tail <> '' AND NOT (NOT contains(c, ' ') AND length(c) < 50))"""
 REGIONS = f"""{LINES},
-rp AS (SELECT doc_id, page_num, doc_id % 7 AS k FROM lines WHERE line_no % 8 = 1 AND page_num % 3 = 1),
+rp AS (SELECT DISTINCT doc_id, page_num, (doc_id + page_num) % 7 AS k FROM lines),
 rc AS (SELECT *, 200.0 + k * 50 AS c0, 212.0 + k * 50 AS c1, unnest([0, 1, 2]) AS n FROM rp),
 rb AS (SELECT *, (90 + n * 95)::DOUBLE AS x0, (120 + n * 170)::DOUBLE AS y0, (330 + n * 60)::DOUBLE AS x1, (180 + n * 175)::DOUBLE AS y1 FROM rc),
 rg AS (SELECT *, -(x1 - x0) * (y1 - y0) AS neg, {{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}} AS box, least(300, x1) - greatest(100, x0) > 0 AND least(300, x1) - greatest(100, x0) >= least(200, x1 - x0) * 0.2 AND NOT (k % 2 = 0 AND y0 > c1 + 6) AND NOT (k % 2 = 1 AND y1 < c0 - 6) AS reach,
@@ -278,7 +284,9 @@ ORACLES: dict[str, str] = {
     "select_pages": over(LINES, "SELECT doc_id, line_no, page_num FROM lines WHERE doc_id % 3 = 0 OR page_num IN (1, doc_id % 4 + 1)"),
     "parse_report": over(LINES, f"SELECT doc_id, count(*) AS pages, count(*) FILTER (WHERE scanned) AS scanned_pages, count(*) FILTER (WHERE several) AS multi_column_pages FROM (SELECT doc_id, page_num, length({strip('string_agg(' + strip('content') + chr(44) + chr(39) * 2 + ' ORDER BY line_no)')}) < 10 AS scanned, (doc_id + page_num) % 4 = 0 AND max(line_no % 2) > 0 AS several FROM lines GROUP BY doc_id, page_num) GROUP BY doc_id"),
     "page_ranges": over(on(OFFSETS, "pl AS (SELECT doc_id, unnest(range(0, CAST(max(stop) AS BIGINT) + 1, 700)) AS start FROM ofs GROUP BY doc_id)"), "SELECT pl.doc_id, pl.start, pl.start + 700 AS stop, CASE WHEN min(page_num) IS NULL THEN '?' WHEN min(page_num) = max(page_num) THEN CAST(min(page_num) AS VARCHAR) ELSE min(page_num) || '-' || max(page_num) END AS pages FROM pl LEFT JOIN ofs ON pl.doc_id = ofs.doc_id AND greatest(pl.start, ofs.start) < least(pl.start + 700, ofs.stop) GROUP BY ALL"),
-    "document_pages": over(ELEMENTS, "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN coalesce(pages, 'N/A') WHEN doc_id % 4 = 1 THEN CASE WHEN doc_id % 9 IN (0, 5) THEN '5' ELSE least(5, doc_id % 9) || '-' || greatest(5, doc_id % 9) END WHEN doc_id % 4 = 2 AND doc_id % 3 > 0 THEN CASE WHEN doc_id % 3 = 1 THEN '1' ELSE '1-2' END ELSE 'N/A' END AS pages FROM documents LEFT JOIN (SELECT doc_id, CASE WHEN min(page_num) = max(page_num) THEN CAST(min(page_num) AS VARCHAR) ELSE min(page_num) || '-' || max(page_num) END AS pages FROM elements GROUP BY doc_id) USING (doc_id)"),
+    "document_pages": over(f"{ELEMENTS}, {PAGES}", """SELECT d.doc_id, coalesce(dp.pages, CASE WHEN own % 4 = 1 THEN CASE WHEN own % 9 IN (0, 5) THEN '5' ELSE least(5, own % 9) || '-' || greatest(5, own % 9) END
+  WHEN own % 4 = 2 AND own % 3 > 0 THEN CASE WHEN own % 3 = 1 THEN '1' ELSE '1-2' END WHEN own % 4 > 1 THEN CASE WHEN own % 7 IN (0, 3) THEN '3' ELSE least(3, own % 7) || '-' || greatest(3, own % 7) END ELSE 'N/A' END) AS pages
+  FROM (SELECT doc_id, doc_id AS own FROM documents UNION ALL SELECT -doc_id - 1, doc_id FROM documents) d LEFT JOIN dp ON d.doc_id = dp.doc_id"""),
     "request_faults": "SELECT event_id, concat_ws(',', CASE WHEN event_id % 11 = 0 THEN 'request_id' END, CASE WHEN event_id % 5 = 0 THEN 'paper_id' END, CASE WHEN event_id % 7 = 0 THEN 'paper_title' END, CASE WHEN event_id % 13 = 0 THEN 'chunk_id' END, CASE WHEN event_id % 4 = 0 THEN 'temperature' END, CASE WHEN event_id % 3 = 0 THEN 'max_tokens' END) AS faults FROM events",
     "result_faults": "SELECT event_id, concat_ws(',', CASE WHEN event_id % 130 < 10 OR event_id % 130 > 110 THEN 'score' END, CASE WHEN event_id % 3 = 0 THEN 'tags' END, CASE WHEN event_id % 5 = 0 THEN 'tokens' END, CASE WHEN event_id % 6 = 0 THEN 'latency_ms' END) AS faults FROM events",
     "compact_issues": "SELECT user_id AS doc_id, event_id AS seq, '{\"issue_type\":\"' || event_type || '\"' || CASE WHEN event_id % 2 = 0 THEN ',\"severity\":\"Info\"' ELSE '' END || ',\"message\":\"a ' || chr(92) || '\"b' || chr(92) || '\"\"' || CASE event_id % 3 WHEN 0 THEN ',\"page_num\":' || (event_id % 50) WHEN 1 THEN ',\"page_num\":\"3-5\"' ELSE '' END || CASE WHEN event_id % 4 = 0 THEN ',\"bbox\":[0.5,1.5,2.5,3.5]' ELSE '' END || '}' AS issue FROM events",
@@ -298,7 +306,7 @@ ORACLES: dict[str, str] = {
     "chinese_numbers": "SELECT event_id, CAST(event_id % 9999 + 1 AS INTEGER) AS value FROM events",
     "line_tests": over(LINES, f"SELECT doc_id, line_no, {_math(False)} AS math, {_math(True)} AS math_compat, md5(lower(regexp_replace(content, {q(P.S + '|' + P.MARKS)}, '', 'g'))) AS match_md5, TRY_CAST({get('content', '[0-9]+')} AS BIGINT) AS number FROM lines"),
     "open_payloads": "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'encrypted_pdf' ELSE 'invalid_pdf' END AS error FROM documents",
-    "span_trees": f"SELECT doc_id, CAST(doc_id % 5 + 1 AS INTEGER) AS page_num, md5(content) AS content_md5, bbox FROM (SELECT doc_id, unnest([trim('a' || substr(text, 1, 5)), 'b', 'alone', trim('a' || substr(text, 1, 5)) || 'b']) AS content, unnest(['1,2,3,4', '0,3,5,6', '7,7,8,8', '0,2,5,6']) AS bbox FROM documents)",
+    "span_trees": f"SELECT doc_id, CAST(doc_id % 5 + 1 AS INTEGER) AS page_num, md5(content) AS content_md5, bbox FROM (SELECT doc_id, unnest([trim('a' || text), 'b', 'alone', trim('a' || text) || 'b']) AS content, unnest(['1,2,3,4', '0,3,5,6', '7,7,8,8', '0,2,5,6']) AS bbox FROM documents)",
     "terminology_forbidden": over(on(FORBIDDEN), "SELECT doc_id, 'deep-learning' AS evidence, array_to_string(list_sort(list(DISTINCT page_num)), ', ') AS page FROM fb GROUP BY doc_id"),
     "citation_position": over(on(POSITIONS), "SELECT doc_id, seq, hit AS evidence FROM ps"),
     "dedupe_issues": over(ISSUES, "SELECT doc_id, issue_type, severity, count(*) AS n FROM issues GROUP BY ALL"),
@@ -309,6 +317,16 @@ ORACLES: dict[str, str] = {
  SELECT doc_id, '' AS t, 0 AS p, n, CASE n WHEN 0 THEN '# Audit report' WHEN 1 THEN 'Score: ' || score ELSE 'Level: ' || CASE WHEN score < 60 THEN 'CRITICAL' WHEN score < 80 THEN 'WARNING' ELSE 'PASS' END END AS line FROM (SELECT doc_id, {_score} AS score, unnest([0, 1, 2]) AS n FROM documents LEFT JOIN cs USING (doc_id))
  UNION ALL SELECT doc_id, issue_type, -1, 0, '## ' || issue_type || ' (' || count(*) || ')' FROM issues GROUP BY doc_id, issue_type
  UNION ALL SELECT doc_id, issue_type, place[1], place[2], '- [' || severity || '] p' || CASE WHEN page IN ('', '?') THEN pages ELSE page END || ': ' || message FROM issues LEFT JOIN dp USING (doc_id))"""),
+    "score_report": over(f"{ISSUES}, {COUNTS}", f"""SELECT doc_id, n AS line_no, CASE n WHEN 1 THEN '# 论文格式审计评分报告' WHEN 3 THEN '**文件名**: ' || doc_id || '.pdf' WHEN 5 THEN '**审计时间**: 2024-05-01 12:30:00' WHEN 7 THEN '## 审计结果'
+  WHEN 8 THEN '- **总分**: ' || score || '/100' WHEN 9 THEN '- **评级**: ' || CASE WHEN score < 60 THEN 'CRITICAL' WHEN score < 80 THEN 'WARNING' ELSE 'PASS' END WHEN 10 THEN '- **问题总数**: ' || (c + w + i)
+  WHEN 12 THEN '## 问题统计' WHEN 13 THEN '- **Critical (严重)**: ' || c WHEN 14 THEN '- **Warning (警告)**: ' || w WHEN 15 THEN '- **Info (提示)**: ' || i
+  WHEN 17 THEN '## 评分说明' WHEN 18 THEN '本系统采用非线性扣分机制，避免单一类问题导致分数过低：' WHEN 19 THEN '- **Critical**: 权重 5 (线性扣分)' WHEN 20 THEN '- **Warning**: 权重 2 (平方根非线性扣分)' WHEN 21 THEN '- **Info**: 权重 0.5 (平方根非线性扣分)'
+  WHEN 23 THEN '**总扣分计算**: `5 * ' || c || ' + 2 * sqrt(' || w || ') + 0.5 * sqrt(' || i || ')` ≈ `' || printf('%.2f', loss) || '`' WHEN 24 THEN '**最终得分**: `100 - ' || CAST(round_even(loss, 0) AS BIGINT) || '` = `' || score || '`' ELSE '' END AS line
+  FROM (SELECT *, 5.0 * c + 2.0 * sqrt(w) + 0.5 * sqrt(i) AS loss, unnest(range(1, 25)) AS n FROM (SELECT doc_id, coalesce(c, 0) AS c, coalesce(w, 0) AS w, coalesce(i, 0) AS i, {_score} AS score FROM documents LEFT JOIN cs USING (doc_id)))"""),
+    "ingest_report": over(ASKED_LINES, f"""SELECT doc_id, doc_id % 5 = 3 AS encrypted, coalesce(pages, 0) AS pages, coalesce(scanned, 0) AS scanned_pages, CAST(0 AS BIGINT) AS multi_column_pages FROM documents LEFT JOIN (SELECT doc_id, count(*) AS pages, count(*) FILTER (WHERE n < 10) AS scanned FROM (SELECT doc_id, length({strip('string_agg(' + strip('content') + chr(44) + chr(39) * 2 + ' ORDER BY line_no)')}) AS n FROM lines GROUP BY doc_id, page_num) GROUP BY doc_id) USING (doc_id)"""),
+    "audit_payloads": over(f"{ISSUES.replace(LINES, ASKED_LINES)}, {COUNTS}, {TAGS}", f"""SELECT doc_id, CAST(coalesce(c + w + i, 0) AS BIGINT) AS n_issues, coalesce(c, 0) AS n_critical, coalesce(w, 0) AS n_warning, coalesce(i, 0) AS n_info, {_score} AS score, CASE WHEN {_score} < 60 THEN 'Critical' WHEN {_score} < 80 THEN 'Warning' ELSE 'Info' END AS audit_level, coalesce(tags, '') AS tags,
+  coalesce(pages, 0) AS pages, coalesce(scanned_pages, 0) AS scanned_pages, CASE doc_id % 5 WHEN 3 THEN 'encrypted_pdf' WHEN 4 THEN 'invalid_pdf' END AS error FROM documents LEFT JOIN cs USING (doc_id) LEFT JOIN tg USING (doc_id)
+  LEFT JOIN (SELECT doc_id, count(*) AS pages, count(*) FILTER (WHERE n < 10) AS scanned_pages FROM (SELECT doc_id, length({strip('string_agg(' + strip('content') + chr(44) + chr(39) * 2 + ' ORDER BY line_no)')}) AS n FROM lines GROUP BY doc_id, page_num) GROUP BY doc_id) USING (doc_id)"""),
     "tags": over(f"{ISSUES}, {TAGS}", "SELECT doc_id, coalesce(tags, '') AS tags FROM tg"),
     "audit_report": over(f"{ISSUES}, {COUNTS}, {TAGS}", f"SELECT doc_id, CAST(coalesce(c + w + i, 0) AS BIGINT) AS n_issues, coalesce(c, 0) AS n_critical, coalesce(w, 0) AS n_warning, coalesce(i, 0) AS n_info, {_score} AS score, CASE WHEN {_score} < 60 THEN 'Critical' WHEN {_score} < 80 THEN 'Warning' ELSE 'Info' END AS audit_level, coalesce(tags, '') AS tags FROM documents LEFT JOIN cs USING (doc_id) LEFT JOIN tg USING (doc_id)"),
     "anchor_ids": over(on(LABELS), "SELECT DISTINCT doc_id, md5('Label_Missing-' || page_num || '-[' || printf('%.1f, %.1f, %.1f, %.1f', x0, y0, x1, y1) || ']') AS anchor_id FROM labels JOIN elements USING (doc_id, seq, page_num, content)"),

@@ -14,8 +14,8 @@ from vellum import schemas
 from vellum.config import RULES
 from vellum.functions import patterns as P
 from vellum.functions import predicates as B
-from vellum.operators import bucketed, charts, citations, issues, parse, service, spans, store, structure, terms, text, vectors
-from vellum.plans import audit
+from vellum.operators import bucketed, charts, citations, issues, parse, reports, service, spans, store, structure, terms, text, vectors
+from vellum.plans import audit, ingest
 from vellum.sources import documents as D
 from vellum.storage import shared_root, spread, stage
 from vellum.streaming.audit_stream import windowed_counts
@@ -441,9 +441,23 @@ def audit_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.answer(docs, lines(spark, sf_dir), _experts(spark), RULES_HERE, text.mock_answer)
 
 
+#: When the reports of the queries were made.
+REPORTED = "2024-05-01 12:30:00"
+
+
+def named_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("papers/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("file"))
+
+
+@query
+def score_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = _result(spark, sf_dir).join(named_documents(spark, sf_dir), "doc_id")
+    return reports.score_report(scores, RULES_HERE, REPORTED)
+
+
 @query
 def deduction_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.deductions(found_issues(spark, sf_dir), table(spark, sf_dir, "documents"))
+    return reports.deduction_report(found_issues(spark, sf_dir), named_documents(spark, sf_dir), REPORTED)
 
 
 @query
@@ -478,8 +492,8 @@ def audit_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def captioned_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One caption and three regions on every third page: which region it takes."""
-    pages = lines(spark, sf_dir).where("line_no % 8 = 1 and page_num % 3 = 1").select("doc_id", "page_num", (F.col("doc_id") % 7).alias("k"))
+    """One caption and three regions on every page: which region it takes."""
+    pages = lines(spark, sf_dir).select("doc_id", "page_num").distinct().withColumn("k", (F.col("doc_id") + F.col("page_num")) % 7)
     caps = pages.select("doc_id", "page_num", F.lit(1).cast("long").alias("line_no"), F.when(F.col("k") % 2 == 0, "Figure 1 x").otherwise("Table 1 x").alias("content"), F.lit(100.0).alias("x0"), (200 + F.col("k") * 50).cast("double").alias("y0"), F.lit(300.0).alias("x1"), (212 + F.col("k") * 50).cast("double").alias("y1"))
     n = F.explode(F.sequence(F.lit(0), F.lit(2))).alias("n")
     regions = pages.select("doc_id", "page_num", n).select("doc_id", "page_num", (90 + F.col("n") * 95).cast("double").alias("x0"), (120 + F.col("n") * 170).cast("double").alias("y0"), (330 + F.col("n") * 60).cast("double").alias("x1"), (180 + F.col("n") * 175).cast("double").alias("y1"))
@@ -510,9 +524,13 @@ def page_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents by their elements, and as many without any (negative ids) by what else is known."""
     i = F.col("doc_id")
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.when(i % 4 == 1, F.array(F.lit(5), F.lit(0), (i % 9).cast("int"))).alias("selected"), F.when(i % 4 == 2, (i % 3).cast("int")).alias("page_count"))
-    return parse.document_pages(docs, elements(spark, sf_dir).where("doc_id % 4 = 0"))
+    docs = table(spark, sf_dir, "documents")
+    some = [F.when(i % 4 == 1, F.array(F.lit(5), F.lit(0), (i % 9).cast("int"))), F.when(i % 4 == 2, (i % 3).cast("int")), F.when(i % 4 > 1, F.array((i % 7).cast("int"), F.lit(-2), F.lit(3)))]
+    names = ("selected", "page_count", "page_list")
+    known = docs.select("doc_id", *[c.alias(n) for c, n in zip(some, names)]).unionByName(docs.select((-i - 1).alias("doc_id"), *[c.alias(n) for c, n in zip(some, names)]))
+    return parse.document_pages(known, elements(spark, sf_dir))
 
 
 @query
@@ -636,11 +654,36 @@ def open_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.open_payloads(rows).select("doc_id", "error")
 
 
+def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as payloads in base64, some of them encrypted or no files, with the pages that are asked for."""
+    i = F.col("doc_id") % 5
+    body = F.when(i == 3, F.concat(F.lit("%PDF-1.4 /Encrypt 5 0 R\n"), "text")).when(i == 4, F.col("text")).otherwise(F.concat(F.lit("%PDF-1.7\n"), "text"))
+    pages = F.when(F.col("doc_id") % 3 > 0, F.array(F.lit(-1), F.lit(1), (F.col("doc_id") % 4 + 1).cast("int")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.base64(body.cast("binary")).alias("payload"), pages.alias("pages"))
+
+
+def _payload_lines(payloads: DataFrame) -> DataFrame:
+    """Decorated lines of what is in a payload after its first line."""
+    text = F.decode(F.unbase64("payload"), "UTF-8")
+    return D.decorated_lines(payloads.select("doc_id", F.substr(text, F.instr(text, "\n") + 1).alias("text")))
+
+
+@query
+def ingest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.ingest(_payloads(spark, sf_dir), _payload_lines).report
+
+
+@query
+def audit_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From payloads to results: those that can't be read have an error and no issues."""
+    return ingest.audit_payloads(_payloads(spark, sf_dir), _payload_lines, RULES_HERE)
+
+
 @query
 def span_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans and whole lines of layouts, whose texts are those of the documents' first characters."""
+    """Spans and whole lines of layouts, whose texts are those of the documents."""
     span = lambda text, *box: F.struct(text.alias("content"), F.array(*[F.lit(float(x)) for x in box]).alias("bbox"))
-    two = F.struct(F.array(span(F.concat(F.lit("a"), F.substring("text", 1, 5)), 1, 2, 3, 4), span(F.lit(" b "), 0, 3, 5, 6), span(F.lit("  "), 9, 9, 9, 9)).alias("spans"))
+    two = F.struct(F.array(span(F.concat(F.lit("a"), "text"), 1, 2, 3, 4), span(F.lit(" b "), 0, 3, 5, 6), span(F.lit("  "), 9, 9, 9, 9)).alias("spans"))
     one = F.struct(F.array(span(F.lit("alone"), 7, 7, 8, 8)).alias("spans"))
     page = F.struct((F.col("doc_id") % 5).alias("page_idx"), F.array(F.struct(F.array(two, one).alias("lines"))).alias("para_blocks"))
     return D.span_rows(table(spark, sf_dir, "documents").select("doc_id", F.to_json(F.struct(F.array(page).alias("pdf_info"))).alias("json"))).select("doc_id", F.col("page_num").cast("int").alias("page_num"), F.md5(F.col("content").cast("binary")).alias("content_md5"), F.array_join(F.transform("bbox", lambda x: x.cast("int").cast("string")), ",").alias("bbox"))

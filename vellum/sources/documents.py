@@ -25,46 +25,55 @@ def placed_lines(docs: DataFrame) -> DataFrame:
     )
 
 
+def _two(lines: DataFrame, mark: Column, body: Column) -> DataFrame:
+    """Lines of which some have a line of their own put before them (``mark``, null for none): numbered by twos, in order."""
+    both = F.when(mark.isNotNull(), F.array(mark, body)).otherwise(F.array(body))
+    return lines.select("*", F.posexplode(both).alias("n", "content")).withColumn("slot", F.expr("(line_no - 1) % 8")).withColumn("line_no", F.col("line_no") * 2 + F.col("n"))
+
+
 def decorated_lines(docs: DataFrame) -> DataFrame:
-    """Lines of ``docs`` with headings, captions, citations, formulas and faults put in by a fixed rule, and boxes."""
+    """Whole lines of ``docs`` with citations, references and faults put after them by a fixed rule, and with headings,
+    captions, formulas and reference titles in lines of their own before them; with boxes."""
     lines = text_lines(docs).withColumn("h", F.expr("cast((doc_id * 31 + line_no * 17) % 13 as int)"))
     number = lambda base, what, n: F.expr(f"cast({base} + {what} % {n} as string)")
-    line, cut = F.col("line"), lambda n: F.substring("line", 1, n)
-    kinds = [
-        F.concat(number(1, "line_no", 4), F.lit("."), number(1, "doc_id", 5), F.lit(" "), cut(30)),
-        F.concat(F.lit("Figure "), number(1, "line_no", 6), F.lit(" "), cut(40)),
-        F.concat(line, F.lit(" ["), number(1, "doc_id", 9), F.lit(", "), number(1, "line_no", 12), F.lit("]")),
-        F.concat(line, F.lit(" (Smith, "), number(1990, "doc_id", 30), F.lit(")")),
-        F.concat(F.lit("["), number(1, "line_no", 10), F.lit("] "), cut(50), F.lit(" vol. 3")),
-        F.concat(F.lit("x_"), F.col("line_no").cast("string"), F.lit(" = y^2 ("), number(1, "line_no", 7), F.lit(")")),
-        F.concat(line, F.lit(" see Figure "), number(1, "line_no", 9)),
-        F.concat(line, F.lit(" TensorFlw and deep-learning")),
-        F.concat(line, F.lit(" as noted.["), number(1, "doc_id", 5), F.lit("]")),
-        F.concat(line, F.lit(" from Eq. ("), number(1, "line_no", 9), F.lit(")")),
-        F.when(F.expr("line_no % 3 = 0"), "References").otherwise(line),
-    ]
-    content = F.when(F.col("h") == 0, kinds[0])
-    for k, c in enumerate(kinds[1:], 1):
-        content = content.when(F.col("h") == k, c)
-    slot = F.expr("(line_no - 1) % 8")
-    return lines.select(
-        "doc_id", "line_no", "page_num", "h", content.otherwise(line).alias("content"),
-        F.when(F.col("h") == 0, 14.0).otherwise(10.0).alias("size"),
-        (72 + F.col("h") % 3 * 10).cast("double").alias("x0"), (80 + slot * 80).cast("double").alias("y0"),
-        (272 + F.col("h") % 3 * 10 + F.col("h") * 20).cast("double").alias("x1"), (92 + slot * 80).cast("double").alias("y1"),
+    line, h = F.col("line"), F.col("h")
+    own = F.col("line_no").cast("string")
+    mark = (
+        F.when(h == 0, F.concat(number(1, "line_no", 4), F.lit("."), number(1, "doc_id", 5), F.lit(" Part "), own))
+        .when(h == 1, F.concat(F.lit("Figure "), number(1, "line_no", 6), F.lit(" What part "), own, F.lit(" shows")))
+        .when(h == 5, F.concat(F.lit("x_"), own, F.lit(" = y^2 ("), number(1, "line_no", 7), F.lit(")")))
+        .when((h == 10) & F.expr("line_no % 3 = 0"), "References")
+    )
+    body = (
+        F.when(h == 2, F.concat(line, F.lit(" ["), number(1, "doc_id", 9), F.lit(", "), number(1, "line_no", 12), F.lit("]")))
+        .when(h == 3, F.concat(line, F.lit(" (Smith, "), number(1990, "doc_id", 30), F.lit(")")))
+        .when(h == 4, F.concat(F.lit("["), number(1, "line_no", 10), F.lit("] "), line, F.lit(" vol. 3")))
+        .when(h == 6, F.concat(line, F.lit(" see Figure "), number(1, "line_no", 9)))
+        .when(h == 7, F.concat(line, F.lit(" TensorFlw and deep-learning")))
+        .when(h == 8, F.concat(line, F.lit(" as noted.["), number(1, "doc_id", 5), F.lit("]")))
+        .when(h == 9, F.concat(line, F.lit(" from Eq. ("), number(1, "line_no", 9), F.lit(")")))
+        .otherwise(line)
+    )
+    y = 80 + F.col("slot") * 80 + F.col("n") * 20
+    return _two(lines, mark, body).select(
+        "doc_id", "line_no", "page_num", "h", "content",
+        F.when((h == 0) & (F.col("n") == 0), 14.0).otherwise(10.0).alias("size"),
+        (72 + h % 3 * 10).cast("double").alias("x0"), y.cast("double").alias("y0"),
+        (272 + h % 3 * 10 + h * 20).cast("double").alias("x1"), (y + 12).cast("double").alias("y1"),
     )
 
 
 def heading_lines(docs: DataFrame) -> DataFrame:
-    """Lines of ``docs`` of which every third is made a heading by a fixed rule; headings come again, skip levels and go too deep."""
+    """Whole lines of ``docs``, with a heading before every third by a fixed rule; headings come again, skip levels and go too deep."""
     lines = text_lines(docs)
     top, sub = F.expr("cast(1 + floor(line_no / 15) % 3 as string)"), F.expr("cast(1 + doc_id % 2 as string)")
     k = F.col("line_no") % 15
-    content = F.when(k == 0, F.concat(top, F.lit(" Alpha"))).when(k.isin(3, 9), F.concat(top, F.lit("."), sub, F.lit(" Beta"))).when(k == 6, F.concat(top, F.lit("."), sub, F.lit(".2.1 Gamma"))).when(k == 12, F.concat(top, F.lit(".1.1.1.1 Delta"))).otherwise(F.col("line"))
-    slot = F.expr("(line_no - 1) % 8")
-    return lines.select(
-        "doc_id", "line_no", "page_num", content.alias("content"), F.when(k % 3 == 0, 14.0).otherwise(10.0).alias("size"),
-        F.lit(72.0).alias("x0"), (80 + slot * 80).cast("double").alias("y0"), F.lit(272.0).alias("x1"), (92 + slot * 80).cast("double").alias("y1"),
+    mark = F.when(k == 0, F.concat(top, F.lit(" Alpha"))).when(k.isin(3, 9), F.concat(top, F.lit("."), sub, F.lit(" Beta"))).when(k == 6, F.concat(top, F.lit("."), sub, F.lit(".2.1 Gamma"))).when(k == 12, F.concat(top, F.lit(".1.1.1.1 Delta")))
+    y = 80 + F.col("slot") * 80 + F.col("n") * 20
+    rows = _two(lines.withColumn("headed", k % 3 == 0), mark, F.col("line"))
+    return rows.select(
+        "doc_id", "line_no", "page_num", "content", F.when(F.col("headed") & (F.col("n") == 0), 14.0).otherwise(10.0).alias("size"),
+        F.lit(72.0).alias("x0"), y.cast("double").alias("y0"), F.lit(272.0).alias("x1"), (y + 12).cast("double").alias("y1"),
     )
 
 
