@@ -172,30 +172,75 @@ def anchors(raw: np.ndarray, h: np.ndarray, ends: np.ndarray, length: int = LENG
     return at[first], starts[first], starts[last]
 
 
-ROWS = "k long, anchor long, first int, n short, lead short, stretch long, other long"
+ROWS = "k binary, anchor long, first int, n int, lead short, stretch long, other long, times int"
+
+
+def own_repeats(raw: np.ndarray, h: np.ndarray, text: np.ndarray, first: np.ndarray, last: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows (in order, ``text`` says whose) that stand in their text more than once, byte by byte.
+
+    Gives which runs are an earlier one again, which have one that comes again, and ``sure``: (text, first window, windows) of
+    the stretches that such runs make up together, as many as are apart.
+    """
+    size = last - first + length
+    key = stretch_hash(h, first, size) + text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    order = np.argsort(key, kind="stable")
+    a, b = order[:-1], order[1:]
+    near = np.flatnonzero((key[a] == key[b]) & (text[a] == text[b]) & (size[a] == size[b]))
+    same = np.zeros(len(near), bool)
+    sizes = size[a[near]]
+    for n in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == n)
+        same[at] = equal_bytes(raw, first[a[near[at]]], first[b[near[at]]], n)
+    near = near[same]
+    again, has = np.zeros(len(first), bool), np.zeros(len(first), bool)
+    again[b[near]] = has[a[near]] = True
+    own = np.flatnonzero(again | has)
+    start, stop, whose = first[own], last[own] + 1, text[own]
+    new = np.flatnonzero(np.concatenate([[True], (start[1:] > stop[:-1]) | (whose[1:] != whose[:-1])])) if len(own) else own
+    end = np.concatenate([new[1:], [len(own)]])[: len(new)] - 1
+    return again, has & ~again, np.stack([whose[new], start[new], stop[end] - start[new]], axis=1)
+
+
+def _rows(k: pa.Array, anchor: np.ndarray, first: np.ndarray, n: np.ndarray, lead: np.ndarray, digest: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+    columns = [k, pa.array(anchor.view(np.int64)), *(pa.array(x.astype(np.int32)) for x in (first, n)), pa.array(lead.astype(np.int16)), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(times.astype(np.int32))]
+    return pa.RecordBatch.from_arrays(columns, names=["k", "anchor", "first", "n", "lead", "stretch", "other", "times"])
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int, mark: int, mark_gram: int) -> Iterator[pa.RecordBatch]:
-    """Runs of windows by their anchor, told by a 128-bit digest of their bytes; and marks, which have no windows (n = 0)."""
+    """Runs of windows by their anchor, told by a 128-bit digest of their bytes; and marks, which have no windows (n = 0).
+
+    A run that comes again in its text is one row, counted twice, and where such runs stand is told by rows of lead -1,
+    one for each stretch of them. A mark that comes again is one row with how often it does.
+    """
     for piece, raw, ends in utf8_slices(batches, "t", 1 << 20):
         h = prefix_hashes(raw)
         k = piece.column(0)
+        none = lambda x: np.zeros((len(x), 2), np.int64)
         at, first, last = anchors(raw, h, ends, length, gram)
         if len(at):
             text = np.searchsorted(ends, first, "right") - 1
+            again, has, sure = own_repeats(raw, h, text, first, last, length)
+            if len(sure):
+                whose = sure[:, 0]
+                zero = np.zeros(len(sure), np.int64)
+                yield _rows(k.take(pa.array(whose)), zero, sure[:, 1] - ends[whose], sure[:, 2], zero - 1, none(sure), zero)
+            at, first, last, text, has = (x[~again] for x in (at, first, last, text, has))
             data = raw.tobytes()
             digest = np.frombuffer(b"".join([xxhash.xxh3_128_digest(data[a : b + length]) for a, b in zip(first.tolist(), last.tolist())]), np.int64).reshape(-1, 2)
-            columns = [k.take(pa.array(text)), pa.array(stretch_hash(h, at, gram).view(np.int64)), pa.array((first - ends[text]).astype(np.int32)), pa.array((last - first + 1).astype(np.int16)), pa.array((at - first).astype(np.int16)), pa.array(digest[:, 0]), pa.array(digest[:, 1])]
-            yield pa.RecordBatch.from_arrays(columns, names=["k", "anchor", "first", "n", "lead", "stretch", "other"])
+            yield _rows(k.take(pa.array(text)), stretch_hash(h, at, gram), first - ends[text], last - first + 1, at - first, digest, has + 1)
         at, first, _ = anchors(raw, h, ends, mark, mark_gram)
         if len(at):
             text = np.searchsorted(ends, first, "right") - 1
             # Windows before and after one with a lesser anchor may have the same anchor.
             _, one = np.unique(at, return_index=True)
             at, text = at[one], text[one]
-            none = [np.zeros(len(at), t) for t in (np.int32, np.int16, np.int16, np.int64, np.int64)]
-            columns = [k.take(pa.array(text)), pa.array((stretch_hash(h, at, mark_gram) ^ np.uint64(_ODD)).view(np.int64)), pa.array((at - ends[text]).astype(np.int32)), *map(pa.array, none[1:])]
-            yield pa.RecordBatch.from_arrays(columns, names=["k", "anchor", "first", "n", "lead", "stretch", "other"])
+            anchor = stretch_hash(h, at, mark_gram) ^ np.uint64(_ODD)
+            order = np.lexsort((at, anchor, text))
+            new = np.flatnonzero(np.concatenate([[True], (anchor[order[1:]] != anchor[order[:-1]]) | (text[order[1:]] != text[order[:-1]])]))
+            times = np.diff(np.concatenate([new, [len(order)]]))
+            at, text, anchor = at[order[new]], text[order[new]], anchor[order[new]]
+            zero = np.zeros(len(at), np.int64)
+            yield _rows(k.take(pa.array(text)), anchor, at - ends[text], zero, zero, none(at), times)
 
 
 RUNS = "anchor long, stretch long, other long, mask binary, ks array<int>, digests array<binary>"
@@ -255,19 +300,20 @@ def _sort(rows: list[dict], length: int) -> pa.RecordBatch:
 
 
 def _packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(k, id, z): a key of each row's id and text, and the compressed text, which is what joins move."""
+    """(k, id, z): a key of 128 bits of each row's id and text, and the compressed text, which is what joins move."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
         for piece in text_slices(batches, "t"):
             yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array([pack.compress(t.encode()) for t in piece.column(2).to_pylist()], pa.binary())], names=["k", "id", "z"])
 
-    return _keyed(docs, id_col, text_col).mapInArrow(run, "k long, id long, z binary")
+    return _keyed(docs, id_col, text_col).mapInArrow(run, "k binary, id long, z binary")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
-    return own.select(F.xxhash64("id", "t").alias("k"), "id", "t")
+    said = F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(":"), "t")
+    return own.select(F.unhex(F.md5(said.cast("binary"))).alias("k"), "id", "t")
 
 
 def _stretches(docs: DataFrame, spots: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
@@ -292,21 +338,23 @@ def _stretches(docs: DataFrame, spots: DataFrame, id_col: str, text_col: str, le
 
 
 def windows(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int, run: int, mark: int = MARK, mark_gram: int = MARK_GRAM) -> DataFrame:
-    """(k, first, n, mask, more): of the ``n`` windows from byte ``first`` of a text, those that repeat.
+    """(k, first, n, mask, more, times): of the ``n`` windows from byte ``first`` of a text, those that repeat.
 
     All of them if mask is null; else those with a bit in mask or listed in more. Rows without windows (n = 0) are marks
-    that another place has too. A key's rows come as often as rows have it.
+    that another place has too, and stand ``times`` in the text. A key's rows come as often as rows have it.
     """
     rows = _keyed(docs, id_col, text_col).select("k", "t").mapInArrow(lambda it: _anchor_rows(it, length, gram, mark, mark_gram), ROWS)
     all_rows = stage(rows, "anchors")
+    sure = stage(all_rows.where("lead < 0").select("k", "first", "n"), "sure")
+    told = all_rows.where("lead >= 0")
     # Windows of an anchor that occurs once have no equals.
-    often = stage(all_rows.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor"), "anchors_often")
-    rows = stage(all_rows.join(often, "anchor"), "often")
+    often = stage(told.groupBy("anchor").agg(F.sum("times").alias("times")).where("times > 1").select("anchor"), "anchors_often")
+    rows = stage(told.join(often, "anchor"), "often")
     discard(all_rows)
     discard(often)
     same = ["anchor", "stretch", "other"]
     # Stretches that occur twice repeat whole; of the others each is compared with all kinds of its anchor.
-    kinds = stage(rows.where("n > 0").groupBy(*same).agg(F.count("*").alias("times"), F.min(F.struct("k", "first", "n", "lead")).alias("one")), "kinds")
+    kinds = stage(rows.where("n > 0").groupBy(*same).agg(F.sum("times").alias("times"), F.min(F.struct("k", "first", "n", "lead")).alias("one")), "kinds")
     size = stage(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"), "sizes")
     ask = kinds.join(size, "anchor").withColumn("pieces", F.ceil(F.col("kinds") / run))
     ask = ask.select(*same, "pieces", F.pmod(F.xxhash64("stretch"), "pieces").alias("piece"), "one.*")
@@ -319,9 +367,10 @@ def windows(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int,
     known = found.select(*same, "mask").join(more, same, "left")
     known = kinds.select(*same, "times").join(known, same, "left")
     known = stage(known.select(*same, F.when(F.col("times") == 1, F.col("mask")).alias("mask"), "more"), "known")
-    hits = rows.where("n > 0").join(known, same).select("k", "first", "n", "mask", "more")
+    hits = rows.where("n > 0").join(known, same).select("k", "first", "n", "mask", "more", "times")
     none = [F.lit(None).cast(t).alias(c) for c, t in (("mask", "binary"), ("more", "array<int>"))]
-    return hits.unionByName(rows.where("n = 0").select("k", "first", "n", *none))
+    plain = rows.where("n = 0").select("k", "first", "n", "times").unionByName(sure.select("k", "first", "n", F.lit(0).alias("times")))
+    return hits.unionByName(plain.select("k", "first", "n", *none, "times"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, run: int = RUN) -> DataFrame:
@@ -338,8 +387,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hits = windows(docs, id_col, text_col, length, gram, run)
     window = F.when(F.col("n") > 0, F.struct("first", "n", "mask", "more"))
     # Sets, so that rows that repeat with their id, or without one, are listed once, however many they are.
-    marks = F.collect_set(F.when(F.col("n") == 0, F.col("first")))
-    lists = hits.groupBy("k").agg(F.collect_set(window).alias("hits"), F.size(marks).cast("long").alias("n_marks"))
+    marks = F.collect_set(F.when(F.col("n") == 0, F.struct("first", "times")))
+    lists = hits.groupBy("k").agg(F.collect_set(window).alias("hits"), F.aggregate(marks, F.lit(0).cast("long"), lambda n, x: n + x.times).alias("n_marks"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
@@ -350,10 +399,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 gone = np.zeros(len(data) + length + 1, np.int32)
                 for x in found.as_py() or []:
                     if x["mask"] is None:
-                        starts = np.arange(x["n"])
-                    else:
-                        starts = np.flatnonzero(np.unpackbits(np.frombuffer(x["mask"], np.uint8), count=x["n"]))
-                        starts = np.union1d(starts, np.array(x["more"] or [], np.int64)).astype(np.int64)
+                        gone[x["first"]] += 1
+                        gone[x["first"] + x["n"] - 1 + length] -= 1
+                        continue
+                    starts = np.flatnonzero(np.unpackbits(np.frombuffer(x["mask"], np.uint8), count=x["n"]))
+                    starts = np.union1d(starts, np.array(x["more"] or [], np.int64)).astype(np.int64)
                     np.add.at(gone, x["first"] + starts, 1)
                     np.add.at(gone, x["first"] + starts + length, -1)
                 off = np.cumsum(gone)[: len(data)] > 0
