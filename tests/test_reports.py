@@ -106,6 +106,10 @@ def test_ingest(spark):
     want = parse(select_pages(_lines(good), good.select("doc_id", "pages")))
     assert sorted(map(tuple, got.elements.select(want.columns).collect())) == sorted(map(tuple, want.collect())) and want.count()
     assert {r.page_num for r in got.elements.where("doc_id = 2").collect()} == {2}
+    length = sum(len(x) for x in TEXT.split("\n")) + sum(len(x) for x in TEXT.split("\n")[8:16])
+    assert got.counts == {"payloads": 7, "invalid_pdf": 3, "encrypted_pdf": 1, "lines": 28, "characters": length}
+    none = ingest.ingest(_payloads(spark).where("false"), _lines)
+    assert none.counts == {"payloads": 0, "invalid_pdf": 0, "encrypted_pdf": 0, "lines": 0, "characters": 0} and none.report.count() == 0
 
 
 def test_audit_of_payloads(spark):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Any, NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from vellum.operators.parse import parse_report, select_pages
@@ -15,12 +15,16 @@ from vellum.storage import stage
 
 
 class Ingested(NamedTuple):
-    """elements; errors (doc_id, error_type, message); report (doc_id, encrypted, pages, scanned_pages, multi_column_pages)."""
+    """elements; errors (doc_id, error_type, message); report (doc_id, encrypted, pages, scanned_pages, multi_column_pages).
+
+    ``counts`` (payloads, invalid_pdf, encrypted_pdf, lines, characters) were taken in passing, while rows were staged.
+    """
 
     elements: DataFrame
     errors: DataFrame
     report: DataFrame
     docs: DataFrame
+    counts: dict[str, int]
 
 
 def ingest(payloads: DataFrame, lines_of: Callable[[DataFrame], DataFrame], rects_of: Callable[[DataFrame], DataFrame] | None = None, column: str = "payload") -> Ingested:
@@ -32,18 +36,22 @@ def ingest(payloads: DataFrame, lines_of: Callable[[DataFrame], DataFrame], rect
     """
     opened = open_payloads(payloads, column)
     asked = F.col("pages") if "pages" in payloads.columns else F.lit(None).cast("array<int>")
-    verdicts = stage(opened.select("doc_id", asked.cast("array<int>").alias("pages"), "error"), "opened")
+    told, read = Observation(), Observation()
+    n = lambda error: F.count(F.when(F.col("error") == error, 1)).alias(error)
+    verdicts = opened.select("doc_id", asked.cast("array<int>").alias("pages"), "error")
+    verdicts = stage(verdicts.observe(told, F.count("*").alias("payloads"), n("invalid_pdf"), n("encrypted_pdf")), "opened")
     errors = verdicts.where("error is not null").select("doc_id", F.col("error").alias("error_type"), F.when(F.col("error") == "encrypted_pdf", "pdf is encrypted").otherwise("payload is no pdf").alias("message"))
     good = opened.where("error is null").drop("error")
     selection = verdicts.where("error is null").select("doc_id", "pages")
-    lines = stage(select_pages(lines_of(good), selection), "lines")
+    lines = select_pages(lines_of(good), selection)
+    lines = stage(lines.observe(read, F.count("*").alias("lines"), F.coalesce(F.sum(F.length("content")), F.lit(0)).cast("long").alias("characters")), "lines")
     rects = None
     if rects_of is not None:
         rects = select_pages(rects_of(good), selection)
     counted = verdicts.select("doc_id", (F.coalesce("error", F.lit("")) == "encrypted_pdf").alias("encrypted")).join(parse_report(lines), "doc_id", "left")
     counts = ["pages", "scanned_pages", "multi_column_pages"]
     report = counted.select("doc_id", "encrypted", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts])
-    return Ingested(audit.elements_of(lines, rects), errors, report, verdicts.select("doc_id", F.col("pages").alias("selected")))
+    return Ingested(audit.elements_of(lines, rects), errors, report, verdicts.select("doc_id", F.col("pages").alias("selected")), told.get | read.get)
 
 
 def audit_payloads(payloads: DataFrame, lines_of: Callable[[DataFrame], DataFrame], rules: dict[str, Any] | None = None, rects_of: Callable[[DataFrame], DataFrame] | None = None, stored: DataFrame | None = None, model: audit.Model | None = None, column: str = "payload") -> DataFrame:

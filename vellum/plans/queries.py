@@ -14,6 +14,7 @@ from vellum import schemas
 from vellum.config import RULES
 from vellum.functions import patterns as P
 from vellum.functions import predicates as B
+from vellum.functions import tables
 from vellum.operators import bucketed, charts, citations, issues, parse, reports, service, spans, store, structure, terms, text, vectors
 from vellum.plans import audit, ingest
 from vellum.sources import documents as D
@@ -301,6 +302,14 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.chunks(table(spark, sf_dir, "documents")).select("doc_id", "chunk", "start", "stop", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+@query
+def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of all texts by SQL, beside the other columns of their table."""
+    tables.register(spark)
+    rows = spark.sql("SELECT * FROM chunk_table(TABLE({docs}), 'text', 1500, 200)", docs=table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "lang", "source", "chunk", "start", "stop", F.md5(F.col("chunk_text").cast("binary")).alias("text_md5"))
+
+
 @query
 def fact_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.facts(F.col("text")).alias("facts"))
