@@ -11,14 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from vellum.llm import mixing, overlap, quality_rules, secret_scan
+from vellum.llm import mixing, overlap, quality_rules, secret_scan, simhash
 from vellum.llm.bpe import encode_decode
 from vellum.llm.common import stage
+from vellum.llm.components import connected_components
 
 KEY = "_vellum_key"
-#: Near-duplicates share ``PERCENT`` or more of their five-word shingles. The first seed is that of the shingle hashes, all
-#: together that of the MinHash values.
-WIDTH, SEEDS, PERCENT = 5, (42, 1, 2, 3), 80
+#: Near-duplicates have fingerprints of five-word shingles that differ in ``RADIUS`` of 64 bits at most, or share ``PERCENT``
+#: or more of these shingles. The first seed is that of the shingle hashes, all together that of the MinHash values.
+WIDTH, SEEDS, RADIUS, PERCENT = 5, (42, 1, 2, 3), 4, 80
 MARK = "[SECRET]"
 
 
@@ -36,13 +37,21 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id; rows without an id come after all others.
 
-    Of equal rows one stays; null and empty texts are one group, and so are texts of fewer words than a shingle that have
-    the same words.
+    Texts link if their SimHash fingerprints differ in ``RADIUS`` bits at most, or if their shingles overlap, which also
+    finds those that are farther apart. Of equal rows one stays; null and empty texts are one group, and so are texts of
+    fewer words than a shingle that have the same words.
     """
     rows = keyed(docs)
-    groups = overlap.similar(rows, KEY, width=WIDTH, percent=PERCENT, seeds=SEEDS).withColumnRenamed("id", KEY)
+    near = simhash.near_duplicates(rows, id_col=KEY, width=WIDTH, radius=RADIUS, seeds=SEEDS[:1]).select(F.col("id").alias(KEY), F.col("component").alias("near"))
+    alike = overlap.similar(rows, KEY, width=WIDTH, percent=PERCENT, seeds=SEEDS).select(F.col("id").alias(KEY), "component")
+    groups = stage(alike.distinct().join(near.distinct(), KEY), "groups")
+    # Groups by overlap that a fingerprint joins become one.
+    met = groups.select("near", "component").distinct()
+    low = met.groupBy("near").agg(F.min("component").alias("v"), F.count("*").alias("n")).where("n > 1").select("near", "v")
+    roots = stage(connected_components(met.join(low, "near").select(F.col("component").alias("u"), "v")), "joined")
+    groups = groups.join(roots.withColumnRenamed("node", "component"), "component", "left").select(KEY, F.coalesce("root", "component").alias("component"))
     ids = rows.select(KEY, "doc_id").distinct()
-    best = groups.distinct().join(ids, KEY).groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", KEY)).alias("best"))
+    best = groups.join(ids, KEY).groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", KEY)).alias("best"))
     best = stage(best.select(F.col(f"best.{KEY}").alias(KEY)), "best")
     return rows.join(best, KEY, "left_semi").dropDuplicates([KEY]).select(*docs.columns)
 
