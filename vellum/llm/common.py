@@ -8,35 +8,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from vellum.batches import SLICE_BYTES, text_slices
 from vellum.storage import discard, scope, shared_root, spread, stage
 
-__all__ = ["discard", "scope", "shared_root", "spread", "stage", "table", "text_slices", "utf8_slices"]
-
-#: Text bytes that one slice of an Arrow batch holds, unless a single text is longer.
-SLICE_BYTES = 4 << 20
-
+__all__ = ["SLICE_BYTES", "discard", "scope", "shared_root", "spread", "stage", "table", "text_slices", "utf8_slices"]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return spread(rows) if name == "documents" else rows
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that each piece holds about ``limit`` bytes of ``column`` (one row at least)."""
-    for batch in batches:
-        texts = batch.column(batch.schema.get_field_index(column))
-        if not len(texts):
-            continue
-        wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
-        offsets = np.frombuffer(texts.buffers()[1], np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1]
-        at = 0
-        while at < len(texts):
-            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
-            to = min(to, len(texts))
-            yield batch.slice(at, to - at)
-            at = to
-
-
 def utf8_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES):
     """Like ``text_slices``, with each piece's texts as one byte array and row offsets (null: empty)."""
     for piece in text_slices(batches, column, limit):
