@@ -111,3 +111,33 @@ def test_no_stage_holds_all_pairs(spark):
 def test_match_text_is_what_is_compared(spark):
     rows = spark.createDataFrame([("A b, c。",)], "t string")
     assert rows.select(match_text(rows.t)).first()[0] == "abc"
+
+
+@pytest.mark.parametrize("letters", ["abc", "etaoinshrdlu"])
+def test_crowded_documents_find_the_same(spark, monkeypatch, letters):
+    """Documents of few and of many remarks and spans are told by different means, with one result."""
+    rng = random.Random(7)
+    held = [(doc, k, made(rng, rng.randint(1, 40), letters)) for doc, n in ((0, 8), (1, 40)) for k in range(n)]
+    remarks = [(doc, k, edited(rng, x, rng.choice([0, 0.02, 0.1, 0.4]))) for doc, k, x in held] + [(0, 50 + k, made(rng, 9, letters)) for k in range(5)]
+    a = spark.createDataFrame(remarks, "doc_id long, pos long, text string")
+    b = spark.createDataFrame(held, "doc_id long, span_id long, content string")
+    for few in (512, 20, 0):
+        monkeypatch.setattr(S, "FEW", few)
+        assert {(r.doc_id, r.pos): (r.span_id, r.ratio) for r in S.match_spans(a, b).collect()} == brute(remarks, held)
+
+
+def test_few_spans_make_no_strings(spark, monkeypatch):
+    """Remarks of documents with few spans never become rows of strings of letters."""
+    monkeypatch.setattr(S, "_prefixes", lambda *a, **k: pytest.fail("strings of a document with few spans"))
+    a = spark.createDataFrame([(1, 0, "the same line"), (1, 1, "another line of it, and more")], "doc_id long, pos long, text string")
+    b = spark.createDataFrame([(1, 3, "the same line"), (1, 4, "another line of it")], "doc_id long, span_id long, content string")
+    assert sorted(tuple(r) for r in S.match_spans(a, b).collect()) == [(1, 0, 3, 1.0), (1, 1, 4, 0.681818)]
+
+
+def test_pairs_let_no_like_text_go():
+    rng, pairs = random.Random(6), S._Pairs()
+    for _ in range(5000):
+        a = made(rng, rng.randint(1, 30), "abcd")
+        b = edited(rng, a, rng.choice([0.1, 0.3])) or "a"
+        r = difflib.SequenceMatcher(None, a, b).ratio()
+        assert pairs.enough(a, b, r - 1e-9)
