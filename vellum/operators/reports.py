@@ -77,17 +77,19 @@ def score_report(scores: DataFrame, rules: dict[str, Any] | None = None, at: str
 
 def _details(issues: DataFrame) -> DataFrame:
     """(doc_id, part, at, issue_type, nth, n, line): the lines of each issue, after a heading before the first of its type."""
-    own = issues.withColumn("part", F.when(F.col("issue_type").isin(*LAYOUT_TYPES), 1).otherwise(2)).withColumn("issue_type", F.coalesce("issue_type", F.lit("Other")))
+    # Evidence is drawn together before the windows, and so once.
+    said = B.strip(F.regexp_replace(F.coalesce("evidence", F.lit("")), r"\s+", " "))
+    own = issues.withColumn("evidence", said).withColumn("part", F.when(F.col("issue_type").isin(*LAYOUT_TYPES), 1).otherwise(2)).withColumn("issue_type", F.coalesce("issue_type", F.lit("Other")))
     kind = Window.partitionBy("doc_id", "part", "issue_type")
     own = own.withColumn("at", F.min("seq").over(kind)).withColumn("nth", F.row_number().over(kind.orderBy("seq"))).withColumn("many", F.count("*").over(kind))
-    evidence = B.strip(F.regexp_replace(F.coalesce("evidence", F.lit("")), r"\s+", " "))
+    evidence = F.col("evidence")
     label = lambda name, value: F.concat(F.lit(f"- **{name}**: "), value)
     block = F.array(F.lit("- **证据**:"), F.lit(""), F.lit("```"), evidence, F.lit("```"))
     advice = F.coalesce("suggestion", F.lit("")) if "suggestion" in issues.columns else F.lit("")
     some = lambda when, value: F.when(when, F.array(value)).otherwise(F.array().cast("array<string>"))
     lines = F.concat(
-        some(F.col("nth") == 1, F.format_string("### %s (%d 个问题)", "issue_type", "many")),
-        F.array(F.format_string("#### %d. [Page %s] %s", "nth", F.coalesce("page", F.lit("?")), F.coalesce("message", F.lit("无描述"))), label("严重程度", F.coalesce("severity", F.lit("Info")))),
+        some(F.col("nth") == 1, F.concat(F.lit("### "), "issue_type", F.lit(" ("), F.col("many").cast("string"), F.lit(" 个问题)"))),
+        F.array(F.concat(F.lit("#### "), F.col("nth").cast("string"), F.lit(". [Page "), F.coalesce("page", F.lit("?")), F.lit("] "), F.coalesce("message", F.lit("无描述"))), label("严重程度", F.coalesce("severity", F.lit("Info")))),
         some(F.col("x0").isNotNull(), label("BBox", B.format_box(F.array("x0", "y0", "x1", "y1")))),
         F.when(evidence == "", F.array().cast("array<string>")).when(F.length(evidence) <= INLINE, F.array(label("证据", F.concat(F.lit("`"), evidence, F.lit("`"))))).otherwise(block),
         some(advice != "", label("修改建议", advice)),
